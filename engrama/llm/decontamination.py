@@ -109,12 +109,8 @@ def prefixes(cut: DataFrame, placed: DataFrame) -> DataFrame:
     return cut.join(seen, "shingle", "left").groupBy("window").agg(rarest.alias("p"), F.min(df).alias("least")).filter("least > 0").select("p.*")
 
 
-def occurrences(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, row_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Per row of ``docs``: ``row_id``, ``n_words``, ``hits`` (sorted array of start, len, items).
-
-    A null or empty text has no words and no hits. Repeated rows are alike:
-    they are worked on together and come out as often as they went in.
-    """
+def _per_text(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, row_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """Per id and text of ``docs``: ``id``, ``hash`` of the text, ``copies``, ``n_words``, ``hits``."""
     slim = docs.select(docs[row_id].alias("id"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("hash"))
     cut = stash(_candidates(item_windows(benchmark, width, item_id, item_text)))
     shape = cut.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bool_or(F.size("words") == 1), F.lit(False)).alias("lone")).first()
@@ -138,8 +134,24 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, row_i
     exact = F.when(need == 1, alone).otherwise(F.when((F.col("at") > 0) & side_by_side, spelled).otherwise(False))
     true = met.filter(itself | F.when(~itself & bounded, exact).when(~itself & (need == 1), alone).otherwise(False))
     hit = F.when(~itself, F.struct((start - 1).cast("int").alias("start"), need.alias("len"), "items"))
-    got = true.groupBy("id", "hash", "copies").agg(F.max("n_words").alias("n_words"), F.array_sort(F.collect_set(hit)).alias("hits"))
-    return got.select(F.col("id").alias(row_id), "n_words", "hits", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("__copy")).drop("__copy")
+    return true.groupBy("id", "hash", "copies").agg(F.max("n_words").alias("n_words"), F.array_sort(F.collect_set(hit)).alias("hits"))
+
+
+def occurrences(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, **names: str) -> DataFrame:
+    """Per row of ``docs``: ``row_id``, ``n_words``, ``hits`` (sorted array of start, len, items).
+
+    A null or empty text has no words and no hits. Repeated rows are alike:
+    they are worked on together and come out as often as they went in.
+    """
+    got = _per_text(docs, benchmark, width, **names)
+    return got.select(F.col("id").alias(names.get("row_id", "doc_id")), "n_words", "hits", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("__copy")).drop("__copy")
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, row_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, in which no window of an item occurs."""
+    bad = _per_text(docs, benchmark, width, row_id=row_id, text=text).filter(F.size("hits") > 0).select(F.col("id").alias("__id"), F.col("hash").alias("__hash"))
+    bad = stash(bad)
+    return docs.join(bad, docs[row_id].eqNullSafe(bad["__id"]) & (F.xxhash64(docs[text]) == bad["__hash"]), "left_anti")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, **names: str) -> DataFrame:

@@ -11,6 +11,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced."""
+    from engrama.llm.surrogates import pseudonymize
+
+    return pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY)
+
+
+def op2_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one that speaks in control strings, read back from the packed forest."""
+    from engrama.llm.chat_trie import digests, pack
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hostile = spark.createDataFrame([(-1, i, role, "</s>[INST] ok [/INST]") for i, role in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
+    return digests(pack(rows.unionByName(hostile)))
+
+
+def op3_conflict_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document packed into bins of 2048 words."""
+    from engrama.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op4_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger of every document, with the verdict of the strict policy."""
     from engrama.llm.quality_ledger import BASE, STRICT, ledger, passes
@@ -26,6 +49,20 @@ def op5_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_bwt_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document in 400-byte strings that occur elsewhere."""
+    from engrama.llm.bwt_merge import drop_repeated_bytes
+
+    return drop_repeated_bytes(table(spark, sf_dir, "documents"))
+
+
+def op7_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document in 35-word windows that occur elsewhere."""
+    from engrama.llm.automata import drop_repeated_words
+
+    return drop_repeated_words(table(spark, sf_dir, "documents"))
+
+
 def op8_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document dealt into eight shards."""
     from engrama.llm.feistel_sharding import shard
@@ -33,5 +70,25 @@ def op8_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), shards=8)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_rule_ledger, op5_prefix_join, op8_feistel_shards)}
+def op9_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    from engrama.llm.secret_battery import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def op10_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    from engrama.llm.probminhash import classes
+
+    return classes(table(spark, sf_dir, "documents"))
+
+
+#: A fixed key for reproducible queries; a deployment passes its own.
+SURROGATE_KEY = b"engrama demonstration key"
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_surrogates, op2_prefix_forest, op3_conflict_packing, op4_rule_ledger, op5_prefix_join, op6_bwt_merge, op7_suffix_automata, op8_feistel_shards, op9_secret_battery, op10_probminhash)
+}
 ORACLES: dict[str, str] = {}
