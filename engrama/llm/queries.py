@@ -6,6 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from engrama.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -91,4 +95,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_surrogates, op2_prefix_forest, op3_conflict_packing, op4_rule_ledger, op5_prefix_join, op6_bwt_merge, op7_suffix_automata, op8_feistel_shards, op9_secret_battery, op10_probminhash)
 }
-ORACLES: dict[str, str] = {}
