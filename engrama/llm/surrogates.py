@@ -33,11 +33,11 @@ EXCEPTIONS = 50_000
 
 EMAIL = re.compile(r"(?<![\w.%+-])[\w.%+-]*\w@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-NUMBER = re.compile(r"(?<![\w.+(-])[+(]?\d[\d ().+-]{5,28}\d(?!\w)")
+NUMBER = re.compile(r"(?<![\w.+(-])[+(]?\d[\d ().+-]{5,}\d(?!\w)")
 IPV4 = re.compile(r"\d{1,3}(?:\.\d{1,3}){3}")
 NATIONAL = re.compile(r"\d{3}-\d{2}-\d{4}")
 ACCOUNT = re.compile(r"\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}")
-PHONE = re.compile(r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}|\+\d{1,3}[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){2,3}")
+PHONE = re.compile(r"(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}|\+\d{1,3}[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){2,3}|\d{3}([ .-])\d{3}\1\d{4}|0\d{2,4}[ -]\d{4,8}")
 #: Forms of address and the gender they tell: fixed values.
 ADDRESS = {
     "Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Mister": "m", "Sir": "m", "Madam": "f", "Dr": "", "Prof": "",
@@ -209,13 +209,17 @@ def _valid_iban(flat: str) -> bool:
     return sum(c.isdigit() for c in flat) >= 8 and int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1
 
 
-def _numbers(run: str) -> Iterator[tuple[int, int, str]]:
-    """What a run of digits and separators holds."""
+def _numbers(run: str) -> list[tuple[int, int, str]]:
+    """What a run of digits and separators holds; several numbers may stand side by side."""
+    found: list[tuple[int, int, str]] = []
     for kind, pattern in (("ipv4", IPV4), ("national", NATIONAL), ("account", ACCOUNT), ("phone", PHONE)):
-        got = [m for m in pattern.finditer(run) if _alone(run, *m.span()) and (kind != "ipv4" or all(int(x) < 256 for x in m.group().split(".")))]
-        if got:
-            yield from ((*m.span(), kind) for m in got)
-            return
+        for m in pattern.finditer(run):
+            a, b = m.span()
+            if kind == "ipv4" and any(int(x) > 255 for x in m.group().split(".")):
+                continue
+            if _alone(run, a, b) and all(b <= x or y <= a for x, y, _ in found):
+                found.append((a, b, kind))
+    return found
 
 
 def _alone(run: str, a: int, b: int) -> bool:

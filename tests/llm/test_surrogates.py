@@ -28,6 +28,12 @@ def test_shape_and_coreference():
     assert made("family", "Smith") != s.surrogate(b"other", "family", "Smith", 0)
 
 
+def test_numbers_side_by_side():
+    text = "a +1 (836) 555-9331 4913187196670932 53.121.55.90 44.144.126.223 +1 (906) 555-7738 b"
+    assert [(text[a:b], k) for a, b, k in s.entities(text)] == [("+1 (836) 555-9331", "phone"), ("4913187196670932", "account"), ("53.121.55.90", "ipv4"), ("44.144.126.223", "ipv4"), ("+1 (906) 555-7738", "phone")]
+    assert s.entities("built 2024-01-15 in 1.2.3 at 12:30, 1,000 of 10 000 000") == []
+
+
 def test_permutation_is_one_to_one():
     for radix, n in ((10, 1), (10, 2), (10, 3), (3, 5)):
         values = {tuple(s.permuted(KEY, [i // radix**k % radix for k in range(n)], radix, "0")) for i in range(radix**n)}
