@@ -8,11 +8,12 @@ probability Jaccard similarity. A document's processes stop at the time by
 which all slots are filled: later arrivals can't win.
 
 Equal texts are one node from the start. Nodes that agree in a band are
-candidates: each is verified against its bucket's least node, which settles
-groups of copies with one comparison per member. Buckets that still hold
-different components compare signatures between those components in bounded
-blocks, and pairs that may be similar are verified too. Verification is exact,
-on the shingles. The class of a document is its connected component.
+candidates: each is verified against its bucket's most central node, the one
+that shares most buckets, which settles most copies with one comparison.
+Buckets that still hold different components compare signatures between those
+components in bounded blocks and verify the pairs that may be similar inside
+the task, so only links leave it. Verification is exact, on the shingles. The
+class of a document is its connected component.
 """
 
 from __future__ import annotations
@@ -153,50 +154,81 @@ def _key(text):
     return F.unhex(F.md5(text))
 
 
+def _sets_of(keys: DataFrame, docs: DataFrame) -> DataFrame:
+    """key, s, c: the shingles of the texts with these keys."""
+    wanted = broadcast_if(keys, keys.count(), BROADCAST_NODES)
+    texts = docs.select(_key("text").alias("key"), "text").join(wanted, "key", "left_semi")
+    return stash(texts.mapInArrow(_sets, "key binary, s array<long>, c array<int>").dropDuplicates(["key"]))
+
+
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of ``pairs`` (u, v: keys of texts) whose texts are similar."""
     pairs = stash(pairs)
-    keys = stash(pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct())
-    wanted = broadcast_if(keys, keys.count(), BROADCAST_NODES)
-    texts = docs.select(_key("text").alias("key"), "text").join(wanted, "key", "left_semi")
-    sets = stash(texts.mapInArrow(_sets, "key binary, s array<long>, c array<int>").dropDuplicates(["key"]))
+    sets = _sets_of(stash(pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct()), docs)
     left = pairs.join(sets.withColumnRenamed("key", "u"), "u")
     both = left.join(sets.select(F.col("key").alias("v"), F.col("s").alias("s2"), F.col("c").alias("c2")), "v")
     return stash(both.select("u", "v", "s", "c", "s2", "c2").mapInArrow(_verified, "u binary, v binary"))
 
 
 def _across(rows: pa.Table) -> pa.Table:
-    """Members of a pair of blocks to pairs of different components whose signatures agree enough."""
-    sides = []
-    for side in (0, 1):
-        part = rows.filter(pc.equal(rows.column("side"), side))
-        roots = {r: i for i, r in enumerate(dict.fromkeys(rows.column("root").to_pylist()))}
-        names = part.column("node").to_pylist()
-        sides.append((names, np.array([roots[r] for r in part.column("root").to_pylist()]), np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint16).reshape(len(names), SLOTS)))
-    (one, root_1, sig_1), (two, root_2, sig_2) = sides if sides[1][0] else (sides[0], sides[0])
-    u, v = [], []
-    for i, name in enumerate(one):
-        agree = (sig_2 == sig_1[i]).sum(axis=1)
-        for j in np.flatnonzero((agree >= AGREE) & (root_2 != root_1[i])):
-            if name != two[j]:
-                u.append(min(name, two[j]))
-                v.append(max(name, two[j]))
-    return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())})
-
-
-def remaining(buckets: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs (u, v) within a bucket, of different components, that may be similar.
+    """Members of two blocks of a bucket to links between their components.
+
+    A pair is looked at in the first bucket that both share, the likeliest
+    pairs first, and not once other links have joined their components.
+    """
+    bucket = rows.column("bucket")[0].as_py()
+    parent = {r: r for r in rows.column("root").to_pylist()}
+
+    def find(r: bytes) -> bytes:
+        while parent[r] != r:
+            parent[r] = r = parent[parent[r]]
+        return r
+
+    class Side:
+        def __init__(self, side: int):
+            part = rows.filter(pc.equal(rows.column("side"), side)).combine_chunks()
+            self.names, self.roots = part.column("node").to_pylist(), part.column("root").to_pylist()
+            n = len(self.names)
+            self.signatures = np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint16).reshape(n, SLOTS)
+            self.bands = np.array(part.column("bands").to_pylist(), np.int64).reshape(n, BANDS)
+            self.s, self.c = part.column("s"), part.column("c")
+
+        def set(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+            return np.asarray(self.s[i].values).view(_U), np.asarray(self.c[i].values)
+
+    one, two = Side(0), Side(1)
+    same = not two.names
+    two = one if same else two
+    links: list[tuple[bytes, bytes]] = []
+    for i, name in enumerate(one.names):
+        agree = (two.signatures == one.signatures[i]).sum(axis=1)
+        common = two.bands == one.bands[i]
+        here = one.bands[i][common.argmax(axis=1)] == bucket
+        likely = np.flatnonzero((agree >= AGREE) & here)
+        likely = likely[likely > i] if same else likely
+        for j in likely[np.argsort(-agree[likely], kind="stable")]:
+            a, b = find(one.roots[i]), find(two.roots[j])
+            if a != b and name != two.names[j] and probability_jaccard(one.set(i), two.set(j)) >= SIMILAR - 1e-12:
+                parent[a] = b
+                links.append((name, two.names[j]))
+    return pa.table({"u": pa.array([x for x, _ in links], pa.binary()), "v": pa.array([x for _, x in links], pa.binary())})
+
+
+def remaining(buckets: DataFrame, nodes: DataFrame, roots: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (u, v) within a bucket between different components.
 
     A bucket is cut into blocks of about BLOCK members; a task compares two
-    blocks and returns candidates only.
+    blocks, verifies on the shingles and returns links only.
     """
     member = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed_up = member.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("n")).filter("a != b").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    own = member.join(mixed_up, "bucket").join(nodes.select("node", "signature"), "node")
+    open_members = stash(member.join(mixed_up, "bucket"))
+    sets = _sets_of(stash(open_members.select(F.col("node").alias("key")).distinct()), docs).withColumnRenamed("key", "node")
+    own = open_members.join(nodes.select("node", "signature", "bands").join(sets, "node"), "node")
     block = F.pmod(F.hash("node"), F.col("blocks"))
     sides = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("block"), o).alias("i"), F.greatest(F.col("block"), o).alias("j"), F.when(F.col("block") <= o, 0).otherwise(1).alias("side")))
-    dealt = own.withColumn("block", block).select("bucket", "node", "root", "signature", F.inline(sides))
-    return dealt.groupBy("bucket", "i", "j").applyInArrow(_across, "u binary, v binary").distinct()
+    dealt = own.withColumn("block", block).select("bucket", "node", "root", "signature", "bands", "s", "c", F.inline(sides))
+    return stash(dealt.groupBy("bucket", "i", "j").applyInArrow(_across, "u binary, v binary"))
 
 
 def _rooted(docs: DataFrame, row_id: str, text: str) -> DataFrame:
@@ -205,11 +237,15 @@ def _rooted(docs: DataFrame, row_id: str, text: str) -> DataFrame:
     signed = slim.select(_key("text").alias("key"), "text").mapInArrow(_signed, "key binary, bands array<long>, signature binary")
     nodes = stash(signed.groupBy(F.col("key").alias("node")).agg(F.first("bands").alias("bands"), F.first("signature").alias("signature")))
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = stash(buckets.join(shared.select("bucket", "least"), "bucket"))
-    links = verified(met.filter("node != least").select(F.col("least").alias("u"), F.col("node").alias("v")).distinct(), slim)
+    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = stash(buckets.join(shared, "bucket"))
+    # what copies were made of shares more buckets than the copies do: it is compared first
+    mass = met.groupBy("node").agg(F.sum("n").alias("mass"))
+    central = met.join(mass, "node").groupBy("bucket").agg(F.max(F.struct("mass", "node"))["node"].alias("centre"))
+    pairs = met.join(central, "bucket").filter("node != centre").select(F.col("centre").alias("u"), F.col("node").alias("v")).distinct()
+    links = verified(pairs, slim)
     roots = components(links)
-    more = verified(remaining(met.select("bucket", "node"), nodes, roots), slim)
+    more = remaining(met.select("bucket", "node"), nodes, roots, slim)
     if not more.isEmpty():
         roots = components(links.union(more))
     blank = F.length(F.translate("text", " \t\n\x0b\x0c\r", "")) == 0
