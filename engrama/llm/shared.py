@@ -1,45 +1,15 @@
-"""Tables that outlive an executor, and size checks before a broadcast."""
+"""Size checks before a broadcast, and what cuts a lineage."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from engrama.sources.shared import shared_folder, stash
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``.
-
-    Only where that is unset, as in local tests, a folder of this machine.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = f"file://{tempfile.gettempdir()}/checkpoints/{spark.sparkContext.applicationId}"
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def stash(df: DataFrame) -> DataFrame:
-    """The same rows read back from a table in the shared folder.
-
-    Cuts the lineage: a lost executor costs the reader nothing but a re-read.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/engrama-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["broadcast_if", "shared_folder", "stash"]
 
 
 def broadcast_if(df: DataFrame, rows: int, at_most: int) -> DataFrame:
     """``df`` marked for broadcast if it has few enough rows, else as it is."""
     return F.broadcast(df) if rows <= at_most else df
-
-
-def own_columns(df: DataFrame, *needed: str) -> DataFrame:
-    """Exactly the named columns, whatever else the table carries."""
-    return df.select(*[df[c] for c in needed])
