@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from engrama.functions.text import tokens
 from engrama.settings import Settings
+from engrama.sources.shared import stash
 
 Tokenizer = Callable[[Column], Column]
 
@@ -42,15 +43,19 @@ def query_terms(queries: DataFrame, text: Column, cut: Tokenizer = tokens) -> Da
 def bm25(notes: DataFrame, queries: DataFrame, text: Column, query_text: Column, settings: Settings = Settings(), cut: Tokenizer = tokens) -> DataFrame:
     """query_id, id, bm25, matched (sorted distinct terms) of notes that have a term of the query.
 
-    One scan of the notes: terms are matched against the queries' own inside
-    it, so only matching postings and one length per note leave the scan.
-    Repeated query words count each time.
+    One pass over the notes: each gives a row for itself with its length, and
+    one per word that some query asks for. Only those leave the scan; they are
+    written once, and statistics and scores read them. Repeated query words
+    count each time.
     """
+    itself = ""  # no word: stands for the note
     wanted = query_terms(queries, query_text, cut)
     cutted = notes.select("id", cut(text).alias("w"))
-    stats = cutted.agg(F.count(F.lit(1)).alias("n"), F.greatest(F.avg(F.size("w")), F.lit(1.0)).alias("avg_dl"))
-    hits = cutted.select("id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(wanted.select("term").distinct(), "term")
-    tf = hits.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    terms = wanted.select("term").distinct().union(notes.sparkSession.range(1).select(F.lit(itself)))
+    each = cutted.select("id", F.size("w").alias("dl"), F.explode(F.concat(F.array(F.lit(itself)), "w")).alias("term"))
+    held = stash(each.join(terms, "term").groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")))
+    stats = held.filter(F.col("term") == itself).agg(F.count(F.lit(1)).alias("n"), F.greatest(F.avg("dl"), F.lit(1.0)).alias("avg_dl"))
+    tf = held.filter(F.col("term") != itself)
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weighted = wanted.join(df, "term").join(F.broadcast(stats))
     weighted = weighted.select("query_id", "term", (F.col("times") * idf(F.col("df"), F.col("n"))).alias("w"), "avg_dl")
