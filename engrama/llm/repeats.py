@@ -83,8 +83,8 @@ def minimizers(hashes: np.ndarray, width: int) -> np.ndarray:
     return (best & low).astype(np.int64)
 
 
-def segments(unit: Unit, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of the texts of a chunk: text number, anchor value, first and last window start, anchor minus first start; and a digest each."""
+def segments(unit: Unit, data: np.ndarray, offsets: np.ndarray, digests: bool = True) -> tuple:
+    """Of the texts of a chunk: text number, anchor value, first and last window start, anchor minus first start; and a digest each, if asked for."""
     values, first = unit.values(data, offsets)
     empty = np.zeros(0, np.int64)
     if len(values) < unit.length:
@@ -102,13 +102,24 @@ def segments(unit: Unit, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndar
     fresh[1:] = (anchor[1:] != anchor[:-1]) | (text[starts[1:]] != text[starts[:-1]])
     head = np.flatnonzero(fresh)
     a, b = starts[head], starts[np.concatenate([head[1:], [len(starts)]]) - 1]
+    own = first[text[a]]
+    if not digests:
+        return text[a], grams[anchor[head]].view(np.int64), a - own, b - own, anchor[head] - a, []
     raw = memoryview(np.ascontiguousarray(values if unit.words else data).view(np.uint8))
     wide = 8 if unit.words else 1
     digest = [hashlib.blake2b(raw[i * wide : (j + unit.length) * wide], digest_size=16).digest() for i, j in zip(a.tolist(), b.tolist(), strict=True)]
-    own = first[text[a]]
     return text[a], grams[anchor[head]].view(np.int64), a - own, b - own, anchor[head] - a, digest
 
 
+def _anchors(unit: Unit) -> Callable:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, data, offsets in chunks(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(segments(unit, data, offsets, digests=False)[1], pa.int64())], names=["anchor"])
+
+    return rows
+
+
 def _anchored(unit: Unit) -> Callable:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,7 +185,9 @@ def repeated_starts(texts: DataFrame, unit: Unit, engine: Engine) -> DataFrame:
 
     Equal keys mean equal texts; every row counts as a text of its own.
     """
-    places = stash(texts.mapInArrow(_anchored(unit), "key binary, anchor long, digest binary, a int, b int, lead int"))
+    # most anchors are there once: a first pass over the texts finds the others, 8 bytes each
+    shared = stash(texts.select("text").mapInArrow(_anchors(unit), "anchor long").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"))
+    places = stash(texts.mapInArrow(_anchored(unit), "key binary, anchor long, digest binary, a int, b int, lead int").join(shared, "anchor", "left_semi"))
     kinds = stash(places.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "a", "b", "lead")).alias("one")))
     again = kinds.filter("n > 1").select("anchor", "digest")
     alike = places.join(again, ["anchor", "digest"]).select("key", "a", "b").distinct()
