@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from engrama.functions.text import CONFLICTS
 from engrama.operators import consolidation, genesis, graph, sessions, vectors
 from engrama.plans.registry import query, table
 from engrama.plans.text_queries import collection, degrees, notes, star_edges
@@ -217,16 +218,24 @@ def phantom_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consolidation.phantom_links(found)
 
 
+def slug_sql(title: str) -> str:
+    return rf"trim(regexp_replace(regexp_replace(regexp_replace(lower(trim({title})), '[^\p{{L}}\p{{N}}_\s-]', '', 'g'), '[\s_]+', '-', 'g'), '-+', '-', 'g'), '-')"
+
+
+def flat_sql(body: str) -> str:
+    return rf"lower(trim(regexp_replace({body}, '\s+', ' ', 'g')))"
+
+
 DECIDE_SQL = (
-    "with c as (select doc_id as concept_id, doc_id % 20 as query_id, left(text, 12) as title, case when doc_id % 9 = 0 then concat('not ', right(text, 20)) when doc_id % 9 = 1 then left(text, 30) else concat('new ', doc_id) end as definition from documents), "
+    f"with {NEAR_SQL}, c as (select doc_id as concept_id, doc_id % 20 as query_id, left(text, 12) as title, case when doc_id % 9 = 0 then concat('not ', right(text, 20)) when doc_id % 9 = 1 then left(text, 30) else concat('new ', doc_id) end as definition from documents), "
     "f as (select *, row_number() over (partition by query_id order by concept_id) as r from c qualify r <= 5), n as (select doc_id as id, left(text, 12) as title, text from documents where doc_id % 2 = 0), "
-    "m as (select f.*, e.match from f left join (select lower(trim(title)) as k, min(id) as match from n group by 1) e on e.k = lower(trim(f.title))) "
-    "select m.query_id, m.concept_id, case when m.match is not null and m.definition like 'not %' then 'skip' when m.match is not null and contains(trim(regexp_replace(lower(n.text), '\\s+', ' ', 'g')), trim(regexp_replace(lower(m.definition), '\\s+', ' ', 'g'))) then 'already_present' when m.match is not null then 'merge' "
-    "when regexp_replace(lower(trim(m.title)), '[\\s_]+', '-', 'g') in (select regexp_replace(lower(trim(title)), '[\\s_]+', '-', 'g') from n) then 'skip' else 'create' end as action, m.match as target from m left join n on n.id = m.match"
+    "m as (select f.*, coalesce(e.match, k.b) as match from f left join (select lower(trim(title)) as k, min(id) as match from n group by 1) e on e.k = lower(trim(f.title)) left join (select a, b from near where r = 1 and s >= 0.82) k on k.a = f.concept_id) "
+    rf"select m.query_id, m.concept_id, case when m.match is not null and regexp_matches(m.definition, '(?i)\b(?:{CONFLICTS})\b') then 'skip' when m.match is not null and contains({flat_sql('n.text')}, {flat_sql('m.definition')}) then 'already_present' when m.match is not null then 'merge' "
+    f"when {slug_sql('m.title')} in (select {slug_sql('title')} from n) then 'skip' else 'create' end as action, m.match as target from m left join n on n.id = m.match"
 )
 
 
-@query()
+@query(DECIDE_SQL)
 def genesis_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     k = F.col("doc_id")
