@@ -111,7 +111,8 @@ def node_quality(nodes: DataFrame, synapses: DataFrame, settings: Settings = Set
     top = synapses.agg(F.max("frequency").alias("top"))
     share = F.when(F.col("top") > 0, F.least(F.col("frequency") / F.col("top"), F.lit(1.0))).otherwise(F.lit(0.0))
     rated = nodes.select("id").join(per, "id", "left").join(F.broadcast(top))
-    score = F.round(F.coalesce(0.40 * F.col("strong_ratio") + 0.35 * F.col("mean_weight") + 0.25 * share, F.lit(0.0)), 4)
+    # sums differ in their last bits with the order of rows: the nudge settles values halfway between two digits
+    score = F.round(F.coalesce(0.40 * F.col("strong_ratio") + 0.35 * F.col("mean_weight") + 0.25 * share + 1e-9, F.lit(0.0)), 4)
     r = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 4).alias(c)
     return rated.select("id", score.alias("score"), r("strong_ratio"), r("mean_weight"), F.coalesce("frequency", F.lit(0.0)).alias("frequency")).withColumn("dormant", F.col("score") < settings.dormant_below)
 

@@ -17,7 +17,7 @@ syn as (select a.id as note_a, b.id as note_b, cast(count(*) as double) as frequ
   from act a join act b on a.h = b.h and a.id < b.id where a.score >= 0.15 and b.score >= 0.15 group by 1, 2),
 clock as (select max(ts) as now from events),
 nodes as (select distinct user_id as id from events)"""
-STRONG = "round(0.4 * avg(case when weight > 0.7 then 1.0 else 0.0 end) + 0.35 * avg(weight) + 0.25 * least(sum(frequency) / max(top), 1.0), 4)"
+STRONG = "round(0.4 * avg(case when weight > 0.7 then 1.0 else 0.0 end) + 0.35 * avg(weight) + 0.25 * least(sum(frequency) / max(top), 1.0) + 1e-9, 4)"
 
 
 def quality_sql(source: str = "syn") -> str:
