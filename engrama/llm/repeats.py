@@ -10,8 +10,8 @@ Segments of equal content are counted by a digest and need no text. What is
 left are classes with different segments, of which one may be the only one of
 its kind: their text is fetched, one place each, and an engine finds the
 windows that the class has twice. A class of more segments than CLASS is dealt
-over several tasks, and the windows that are alone in theirs are counted
-across them by digest.
+over several tasks, and its windows are counted across them by digest: those
+that are alone in their task one by one, the others as repeated already.
 """
 
 from __future__ import annotations
@@ -148,7 +148,7 @@ def _fetched(unit: Unit) -> Callable:
 
 
 _HITS = "key binary, a int, b int"
-_LONE = "anchor long, window binary, key binary, at int"
+_COUNTED = "anchor long, window binary, times int, key binary, at int"
 
 
 def _compared(unit: Unit, engine: Engine) -> Callable:
@@ -165,17 +165,27 @@ def _compared(unit: Unit, engine: Engine) -> Callable:
 
 
 def _windows(unit: Unit) -> Callable:
-    """Segments of split classes, with what is known to be repeated, to digests of their other windows."""
+    """Segments of split classes, with what is known to be repeated, to digests of their windows.
+
+    A window known to be repeated has no place, counts twice and comes once a batch: it only tells the other tasks.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for x, body, a, b, key, known in zip(*[batch.column(c).to_pylist() for c in ("anchor", "body", "a", "b", "key", "known")], strict=True):
+            told: set[tuple[int, bytes]] = set()
+            for x, body, a, b, n, key, known in zip(*[batch.column(c).to_pylist() for c in ("anchor", "body", "a", "b", "n", "key", "known")], strict=True):
                 symbols = unit.unpack(body)
-                done = {p for k in known or () for p in range(k["a"], k["b"] + 1)}
-                out += [(x, hashlib.blake2b(unit.pack(symbols[p - a : p - a + unit.length]), digest_size=16).digest(), key, p) for p in range(a, b + 1) if p not in done]
-            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names=["anchor", "window", "key", "at"])
+                done = range(a, b + 1) if n > 1 else {p for k in known or () for p in range(k["a"], k["b"] + 1)}
+                for p in range(a, b + 1):
+                    window = hashlib.blake2b(unit.pack(symbols[p - a : p - a + unit.length]), digest_size=16).digest()
+                    if p not in done:
+                        out.append((x, window, 1, key, p))
+                    elif (x, window) not in told:
+                        told.add((x, window))
+                        out.append((x, window, 2, None, None))
+            kinds = (pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names=["anchor", "window", "times", "key", "at"])
 
     return rows
 
@@ -205,9 +215,9 @@ def repeated_starts(texts: DataFrame, unit: Unit, engine: Engine) -> DataFrame:
     hits = alike.union(found)
     if not large.isEmpty():
         known = found.groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("known"))
-        lone = stash(large.join(known, "key", "left").mapInArrow(_windows(unit), _LONE))
-        twice = lone.groupBy("anchor", "window").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("anchor", "window")
-        hits = hits.union(lone.join(twice, ["anchor", "window"]).select("key", F.col("at").alias("a"), F.col("at").alias("b")))
+        counted = stash(large.join(known, "key", "left").mapInArrow(_windows(unit), _COUNTED))
+        twice = counted.groupBy("anchor", "window").agg(F.sum("times").alias("times")).filter("times > 1").select("anchor", "window")
+        hits = hits.union(counted.filter("key is not null").join(twice, ["anchor", "window"]).select("key", F.col("at").alias("a"), F.col("at").alias("b")))
     return stash(hits).groupBy("key").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans"))
 
 

@@ -45,6 +45,16 @@ def test_bytes(spark, monkeypatch, length, split):
         assert tuple(r)[1:] == truth[r.doc_id], r.doc_id
 
 
+def test_a_window_repeated_in_one_task_and_alone_in_another(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "CLASS", 2)
+    # three different segments each: two tasks, most often 2 + 1
+    texts = [" ".join([f"a{g}x{i}", *(f"w{g}x{k}" for k in range(8)), f"z{g}x{i}"]) for g in range(12) for i in range(3)]
+    docs = documents(spark, texts, repeat=False)
+    for drop, length, cut, join in ((drop_repeated_words, 8, words, " ".join), (drop_repeated_bytes, 40, str.encode, bytes)):
+        truth = expected([cut(t) for t in texts], length, join)
+        assert [tuple(r)[1:] for r in drop(docs, length).orderBy("doc_id").collect()] == truth
+
+
 def test_automaton_counts():
     shard = SuffixAutomaton()
     for s in ("abab", "bab", "abab"):
