@@ -8,9 +8,10 @@ sequence that its characters may attend to: those of its ancestors, beside its
 own up to each character.
 
 Trees are kept whole up to PACK conversations. A turn that more conversations
-share is split by the turns below it, and where whole conversations are that
-many, by a salt; each part then emits the shared turns once. So no task holds
-more than a bounded part of a tree, whatever the conversations share.
+share is split: the conversations that share no longer run of turns so often
+are dealt over parts of about PACK by their next turn, or where they end there,
+by a salt; each part emits the shared turns once. So no task holds more than a
+bounded part of a tree, whatever the conversations share.
 """
 
 from __future__ import annotations
@@ -118,19 +119,21 @@ def conversations(rows: DataFrame) -> DataFrame:
 
 
 def parts(convs: DataFrame, pack: int = PACK) -> DataFrame:
-    """``convs`` with ``part``: the first prefix that at most ``pack`` conversations share, or a salted whole one.
+    """``convs`` with ``part``: the first prefix, or of those with a prefix that over ``pack`` share, the longest such one and a bucket of the next.
 
-    Counts of prefixes are combined before they are shuffled; the hot ones are
-    fewer than one in ``pack`` prefix rows.
+    A prefix has a bucket per ``pack`` conversations of which it is the longest
+    such one. Counts of prefixes are combined before they are shuffled; the hot
+    ones are fewer than one in ``pack`` prefix rows.
     """
-    hot = convs.select(F.explode("prefixes").alias("prefix")).groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > pack)
-    met = convs.select("conv_id", F.posexplode("prefixes").alias("depth", "prefix")).join(hot, "prefix").groupBy("conv_id").agg(F.max(F.struct("depth", "n")).alias("deepest"))
-    found = convs.join(met.withColumnRenamed("conv_id", "__of"), F.col("conv_id").eqNullSafe(F.col("__of")), "left").drop("__of")
-    below = F.coalesce(F.col("deepest.depth") + 1, F.lit(0))
-    salt = F.pmod(F.xxhash64("conv_id"), F.ceil(F.col("deepest.n") / pack)).cast("string")
-    own = F.get("prefixes", below)
-    part = F.when(own.isNotNull(), F.hex(own)).otherwise(F.concat_ws("/", F.hex(F.get("prefixes", F.size("prefixes") - 1)), salt))
-    return found.withColumn("part", part).drop("deepest")
+    hot = convs.select(F.explode("prefixes").alias("prefix")).groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > pack).select("prefix")
+    met = convs.select("conv_id", F.posexplode("prefixes").alias("depth", "prefix")).join(hot, "prefix").groupBy("conv_id").agg(F.max(F.struct("depth", "prefix")).alias("deepest"))
+    met = met.select(F.col("conv_id").alias("__of"), "deepest.depth", "deepest.prefix")
+    sizes = met.groupBy("prefix").agg(F.ceil(F.count(F.lit(1)) / pack).alias("buckets"))
+    found = convs.join(met.join(F.broadcast(sizes), "prefix"), F.col("conv_id").eqNullSafe(F.col("__of")), "left")
+    below = F.get("prefixes", F.col("depth") + 1)
+    dealt = F.when(below.isNotNull(), F.xxhash64(below)).otherwise(F.xxhash64("conv_id"))
+    part = F.when(F.col("prefix").isNull(), F.hex(F.get("prefixes", F.lit(0)))).otherwise(F.concat_ws("/", F.hex("prefix"), F.pmod(dealt, F.col("buckets")).cast("string")))
+    return found.withColumn("part", part).drop("__of", "depth", "prefix", "buckets")
 
 
 def pack_part(convs: list[tuple[int | None, list[dict], list[bytes]]]) -> tuple[list[dict], dict[int, int]]:

@@ -62,5 +62,17 @@ def test_shared_turns_are_emitted_once_and_attended(spark):
         assert len(paths) == len(part.nodes)
 
 
+def test_a_hot_turn_with_distinct_followers_is_emitted_once_a_part(spark):
+    hot, after = "one system prompt for all " * 20, [f"question {i}" for i in range(60)]
+    rows = [(i, t, *turn) for i, q in enumerate(after) for t, turn in enumerate([("system", hot), ("user", q)])]
+    # another hot one below it, that must not add parts
+    rows += [(100 + i, t, *turn) for i in range(300) for t, turn in enumerate([("system", hot), ("user", "the same"), ("assistant", f"answer {i}")])]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    parts = c.pack(table, 20).collect()
+    assert sum(len(p.leaves) for p in parts) == 360 and max(len(p.leaves) for p in parts) <= 60
+    assert sum(p.packed.count(hot) for p in parts) <= 60 // 20 + 300 // 20
+    assert sum(p.packed.count("question") for p in parts) == 60
+
+
 def test_empty(spark):
     assert c.digests(c.pack(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
