@@ -32,6 +32,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 WORDS_OF_ASSIGN = ("password", "passwd", "secret", "token", "apikey", "api_key")
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
+#: Padding stands at the end only: another '=' parts a name from a value.
+PART = re.compile(r"[A-Za-z0-9+/_-]+(?:={1,6}(?![A-Za-z0-9+/_=-]))?")
+#: What one of the two alphabets with signs holds, for parts that mix the signs of both.
+ONE_ALPHABET = (re.compile(r"[A-Za-z0-9_=-]{16,}"), re.compile(r"[A-Za-z0-9+/=]{16,}"))
 #: Alphabets by increasing size: the first that has all characters is inferred.
 ALPHABETS = (
     ("hex", "0123456789abcdef"),
@@ -124,6 +128,26 @@ def random_p(token: str) -> float:
     return _upper_tail(fisher, 6)
 
 
+def candidates(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the tokens to be tested, in order.
+
+    Those that mix the signs of both alphabets are tested by the parts that
+    either holds; such parts may overlap.
+    """
+    out: list[tuple[int, int]] = []
+    for m in TOKEN.finditer(text):
+        for part in PART.finditer(text, *m.span()) if "=" in m.group() else (m,):
+            a, b = part.span()
+            token = text[a:b]
+            if b - a < 16:
+                continue
+            if ("+" in token or "/" in token) and ("-" in token or "_" in token):
+                out += sorted(x.span() for signs in ONE_ALPHABET for x in signs.finditer(text, a, b))
+            else:
+                out.append((a, b))
+    return out
+
+
 def step_of(p: float, length: int) -> int:
     """Where a token falls in the histogram: -log10 of its p-value over a weight in proportion to its length."""
     return max(0, min(LAST, int((math.log10(length) - math.log10(max(p, 1e-300))) / STEP)))
@@ -135,7 +159,8 @@ def _tests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     length: dict[int, int] = {}
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            for token in TOKEN.findall(text) if text else ():
+            for a, b in candidates(text) if text else ():
+                token = text[a:b]
                 s = step_of(text_p(token), len(token))
                 count[s] = count.get(s, 0) + 1
                 length[s] = length.get(s, 0) + len(token)
@@ -165,13 +190,16 @@ def all_spans(text: str | None, least: int) -> list[tuple[int, int, int]]:
     if not text:
         return []
     spans = base_spans(text)
-    found = list(spans)
-    for m in TOKEN.finditer(text):
-        token = m.group()
+    found: list[tuple[int, int, int]] = []
+    for a, b in candidates(text):
+        token = text[a:b]
         p = text_p(token)
-        if p < 1 and step_of(p, len(token)) >= least and random_p(token) >= LOOKS_RANDOM and not any(a < m.end() and m.start() < b for a, _, b in spans):
-            found.append((m.start(), 3, m.end()))
-    return sorted(found)
+        if p < 1 and step_of(p, len(token)) >= least and random_p(token) >= LOOKS_RANDOM and not any(x < b and a < y for x, _, y in spans):
+            if found and a < found[-1][2]:  # parts of one token
+                found[-1] = (found[-1][0], 3, max(b, found[-1][2]))
+            else:
+                found.append((a, 3, b))
+    return sorted(spans + found)
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:

@@ -49,6 +49,23 @@ def test_random_tokens_are_found_among_words(spark):
     assert masked[0] == plain[0] and sum(k in masked[50 + i] for i, k in enumerate(keys)) <= 2
 
 
+def test_values_behind_names_and_in_paths(spark):
+    rng = random.Random(2)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    forms = ["AUTH={}", "aws_credential_id={}", "SIGNATURE={}==", "?user=me&sig={}&x=1", "my-app/{}", "a/b+c-{}", "======== {} --------========"]
+    keys = ["".join(rng.choices(chars, k=40)) for _ in range(5 * len(forms))]
+    lines = [forms[i % len(forms)].format(k) for i, k in enumerate(keys)]
+    docs = documents(spark, lines + ["plain words of no interest, name=value and my-path/to_things/of-interest here"] * 50, repeat=False)
+    got = {r.doc_id: r.spans for r in s.scan(docs).collect()}
+    at = [line.index(k) for line, k in zip(lines, keys)]
+    # the key's own place, with padding; in paths that mix signs all parts found are one span
+    hit = [any(f":{a}:" in x and x.startswith("random") and int(x.split(":")[2]) - a - 40 in (0, 2) for x in got[i].split(",")) for i, a in enumerate(at) if i % 7 not in (4, 5)]
+    assert sum(hit) >= len(hit) - 2
+    covered = [any(x and int(x.split(":")[1]) <= a and a + 40 <= int(x.split(":")[2]) for x in got[i].split(",")) for i, a in enumerate(at) if i % 7 in (4, 5)]
+    assert sum(covered) >= len(covered) - 1
+    assert not any(got[i] for i in range(len(lines), len(lines) + 50))
+
+
 def test_redaction_joins_overlaps(spark):
     got = s.redact(documents(spark, [None, "a token = \"" + "0a" * 20 + "\" b"], repeat=False)).orderBy("doc_id").collect()
     assert [r.text for r in got] == [None, 'a [secret]" b']
