@@ -121,6 +121,23 @@ def _ipv4(key: bytes, entity: str, tweak: str) -> str:
     return ".".join(map(str, permuted(key, octets, 256, tweak)))
 
 
+#: Letters beyond ASCII that are permuted among their own: fixed values.
+LETTERS = ("абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ")
+
+
+def _foreign(key: bytes, word: str, tweak: str) -> str:
+    """Letters beyond ASCII permuted within their script, case kept; those of other scripts become Latin by key."""
+    new = list(word)
+    for letters in LETTERS:
+        own = [i for i, c in enumerate(word) if not c.isascii() and c.lower() in letters]
+        for i, v in zip(own, permuted(key, [letters.index(word[i].lower()) for i in own], len(letters), tweak), strict=True):
+            new[i] = letters[v].upper() if word[i].isupper() else letters[v]
+    for i, c in enumerate(word):
+        if not c.isascii() and c.isalpha() and not any(c.lower() in letters for letters in LETTERS):
+            new[i] = chr(97 + _number(key, "other", word, i, tweak) % 26)
+    return "".join(new)
+
+
 def _letters(key: bytes, word: str, tweak: str) -> str:
     """ASCII letters and digits permuted within their kind; case and all else stay."""
     low = [i for i, c in enumerate(word) if c.isascii() and c.isalpha()]
@@ -131,10 +148,11 @@ def _letters(key: bytes, word: str, tweak: str) -> str:
 
 
 def _email(key: bytes, entity: str, tweak: str) -> str:
-    """Both sides but the top domain and an ``example`` one."""
+    """Both sides but the top domain and an ``example`` one; from the third tweak on the user's part grows, so that some surrogate is free."""
     user, _, domain = entity.partition("@")
     *parts, top = domain.split(".")
-    return f"{_letters(key, user, tweak + 'u')}@{'.'.join(p if p.lower() == 'example' else _letters(key, p, tweak + str(i)) for i, p in enumerate(parts))}.{top}"
+    longer = "".join(chr(97 + _number(key, "longer", entity, tweak, i) % 26) for i in range(int(tweak) - 2))
+    return f"{_letters(key, _foreign(key, user, tweak + 'u'), tweak + 'u')}{longer}@{'.'.join(p if p.lower() == 'example' else _letters(key, p, tweak + str(i)) for i, p in enumerate(parts))}.{top}"
 
 
 def _iban(key: bytes, entity: str, tweak: str) -> str:

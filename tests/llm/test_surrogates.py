@@ -73,5 +73,17 @@ def test_collisions_are_resolved_and_both_ways_agree(spark, monkeypatch):
     assert check(spark, texts) == first
 
 
+def test_addresses_without_a_free_surrogate_of_their_form(spark):
+    users = [*"abcdefghijklmnopqrstuvwxyz", "иван", "漢字", "²", "_"]
+    texts = [f"to {u}@example.com" for u in users]
+    docs = documents(spark, texts, repeat=False)
+    # each attempt of an address differs, or the search for a free one has no end
+    for u in users:
+        assert len({s.surrogate(KEY, "email", f"{u}@example.com", n) for n in range(2, 12)}) == 10
+        assert s.surrogate(KEY, "email", f"{u}@example.com", 3) != f"{u}@example.com"
+    got = [r.text for r in s.pseudonymize(docs, KEY).collect()]
+    assert len(set(got)) == len(texts) and not set(got) & set(texts)
+
+
 def test_empty(spark):
     assert s.pseudonymize(documents(spark, []), KEY).count() == 0
