@@ -3,15 +3,18 @@
 Patterns give the base spans. Beyond them every token of 16 or more characters
 of the usual encodings is tested. The null hypothesis is ordinary writing, in
 which a token changes between digits, lower case and upper case at less than
-TEXT_CHANGES of its inner places; the number of changes gives its p-value. Over
-all tokens of the corpus the weighted Benjamini-Hochberg rule (weights follow
+TEXT_CHANGES of its inner places, and its letters follow each other as those of
+the corpus do. The number of changes gives a p-value; it is divided by the
+likelihood ratio of evenly drawn letters to the corpus's pairs of letters, whose
+mean under the null is 1 whatever the changes are. Over all tokens of the corpus the weighted Benjamini-Hochberg rule (weights follow
 the length, mean 1) sets the cut-off that keeps the false discovery rate at
 FALSE_DISCOVERIES. A discovery is a secret only if it also looks random in its
 encoding: chi-squared uniformity of the alphabet, runs about the middle of the
 alphabet and lag-one serial correlation, combined by Fisher's method.
 
-The cut-off needs one histogram over the corpus, whose size is fixed; the texts
-are read twice and never shuffled.
+The null needs one table of letter pairs over the corpus and the cut-off one
+histogram, both of a fixed size; the texts are read three times and never
+shuffled.
 """
 
 from __future__ import annotations
@@ -19,8 +22,9 @@ from __future__ import annotations
 import math
 import operator
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,9 +44,12 @@ ONE_ALPHABET = (re.compile(r"[A-Za-z0-9_=-]{16,}"), re.compile(r"[A-Za-z0-9+/=]{
 ALPHABETS = (
     ("hex", "0123456789abcdef"),
     ("HEX", "0123456789ABCDEF"),
+    ("lower", "abcdefghijklmnopqrstuvwxyz"),
+    ("UPPER", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
     ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
     ("base36", "0123456789abcdefghijklmnopqrstuvwxyz"),
     ("BASE36", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+    ("letters", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     ("base62", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"),
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
@@ -85,6 +92,42 @@ def text_p(token: str) -> float:
     return min(1.0, total)
 
 
+#: Of a byte: its letter without case, or 26 for what is none.
+_LETTER = np.full(256, 26, np.int16)
+_LETTER[65:91] = _LETTER[97:123] = np.arange(26)
+_PIECE = 1 << 20
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each letter follows each, 26 standing for what is none, for the texts of a partition."""
+    count = np.zeros(27 * 27, np.int64)
+    for batch in batches:
+        data = np.frombuffer("\n".join(["", *(t for t in batch.column(0).to_pylist() if t)]).encode(), np.uint8)
+        for at in range(0, len(data) - 1, _PIECE):
+            letters = _LETTER[data[at : at + _PIECE + 1]]
+            count += np.bincount(letters[:-1] * 27 + letters[1:], minlength=27 * 27)
+    yield pa.RecordBatch.from_pydict({"pair": pa.array(range(27 * 27), pa.int32()), "n": pa.array(count, pa.int64())})
+
+
+def letter_null(docs: DataFrame, text: str = "text") -> list[float]:
+    """By 27 times the letter before plus the letter: log of how much likelier it is in the corpus than evenly drawn."""
+    rows = docs.select(docs[text].alias("text")).mapInArrow(_pairs, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    count = np.zeros(27 * 27)
+    for r in rows:
+        count[r["pair"]] = r["n"]
+    letters = count.reshape(27, 27)[:, :26] + 1
+    out = np.zeros((27, 27))
+    out[:, :26] = np.log(letters / letters.sum(axis=1, keepdims=True) * 26)
+    return out.ravel().tolist()
+
+
+def token_p(token: str, null: list[float]) -> float:
+    """Chance under the null of a token that is as unlike ordinary writing by its classes and letters."""
+    letters = [26, *_LETTER[np.frombuffer(token.encode(), np.uint8)].tolist()]
+    likelier = sum(null[27 * a + b] for a, b in zip(letters, letters[1:], strict=False))
+    return math.exp(max(-690.0, min(0.0, math.log(max(text_p(token), 1e-300)) + likelier)))
+
+
 def _upper_tail(chi: float, df: int) -> float:
     """Of the chi-squared distribution, by Wilson and Hilferty."""
     z = ((max(chi, 0.0) / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
@@ -153,26 +196,29 @@ def step_of(p: float, length: int) -> int:
     return max(0, min(LAST, int((math.log10(length) - math.log10(max(p, 1e-300))) / STEP)))
 
 
-def _tests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tests(null: list[float]) -> Callable:
     """Number of tokens and their total length by step, for the texts of a partition."""
-    count: dict[int, int] = {}
-    length: dict[int, int] = {}
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            for a, b in candidates(text) if text else ():
-                token = text[a:b]
-                s = step_of(text_p(token), len(token))
-                count[s] = count.get(s, 0) + 1
-                length[s] = length.get(s, 0) + len(token)
-    yield pa.RecordBatch.from_pydict({"step": pa.array(list(count), pa.int32()), "n": pa.array(list(count.values()), pa.int64()), "length": pa.array([length[s] for s in count], pa.int64())})
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count: dict[int, int] = {}
+        length: dict[int, int] = {}
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                for a, b in candidates(text) if text else ():
+                    s = step_of(token_p(text[a:b], null), b - a)
+                    count[s] = count.get(s, 0) + 1
+                    length[s] = length.get(s, 0) + b - a
+        yield pa.RecordBatch.from_pydict({"step": pa.array(list(count), pa.int32()), "n": pa.array(list(count.values()), pa.int64()), "length": pa.array([length[s] for s in count], pa.int64())})
+
+    return rows
 
 
-def cutoff(docs: DataFrame, text: str = "text", rate: float = FALSE_DISCOVERIES) -> int:
+def cutoff(docs: DataFrame, null: list[float], text: str = "text", rate: float = FALSE_DISCOVERIES) -> int:
     """The least step at which tokens are discoveries; beyond LAST if there are none.
 
     All tokens of the corpus are tested; the driver gets at most LAST + 1 sums.
     """
-    seen = docs.select(docs[text].alias("text")).mapInArrow(_tests, "step int, n long, length long")
+    seen = docs.select(docs[text].alias("text")).mapInArrow(_tests(null), "step int, n long, length long")
     rows = seen.groupBy("step").agg(F.sum("n").alias("n"), F.sum("length").alias("length")).orderBy("step").collect()
     tests = sum(r["n"] for r in rows)
     mean = sum(r["length"] for r in rows) / max(tests, 1)
@@ -185,7 +231,7 @@ def cutoff(docs: DataFrame, text: str = "text", rate: float = FALSE_DISCOVERIES)
     return best
 
 
-def all_spans(text: str | None, least: int) -> list[tuple[int, int, int]]:
+def all_spans(text: str | None, least: int, null: list[float]) -> list[tuple[int, int, int]]:
     """Base spans and the discoveries outside them, by start and kind."""
     if not text:
         return []
@@ -193,7 +239,7 @@ def all_spans(text: str | None, least: int) -> list[tuple[int, int, int]]:
     found: list[tuple[int, int, int]] = []
     for a, b in candidates(text):
         token = text[a:b]
-        p = text_p(token)
+        p = token_p(token, null)
         if p < 1 and step_of(p, len(token)) >= least and random_p(token) >= LOOKS_RANDOM and not any(x < b and a < y for x, _, y in spans):
             if found and a < found[-1][2]:  # parts of one token
                 found[-1] = (found[-1][0], 3, max(b, found[-1][2]))
@@ -215,11 +261,12 @@ def scan(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFra
     """
     import hashlib
 
-    least = cutoff(docs, text)
+    null = letter_null(docs, text)
+    least = cutoff(docs, null, text)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [all_spans(t, least) for t in batch.column(1).to_pylist()]
+            found = [all_spans(t, least, null) for t in batch.column(1).to_pylist()]
             kinds = [[k for _, k, _ in f] for f in found]
             counts = {f"n_{name}": pa.array([k.count(i) for k in kinds], pa.int64()) for i, name in enumerate(KINDS)}
             base = [hashlib.sha256(_joined([s for s in f if s[1] < 3]).encode()).hexdigest() for f in found]
@@ -236,11 +283,12 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> DataF
 
     All columns and rows stay; a null text stays null.
     """
-    least = cutoff(docs, text)
+    null = letter_null(docs, text)
+    least = cutoff(docs, null, text)
 
     @F.pandas_udf("string")
     def cleaned(texts):
-        return texts.map(lambda t: _without(t, all_spans(t, least), mark), na_action="ignore")
+        return texts.map(lambda t: _without(t, all_spans(t, least, null), mark), na_action="ignore")
 
     return docs.withColumn(text, cleaned(docs[text]))
 

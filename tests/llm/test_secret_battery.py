@@ -66,6 +66,20 @@ def test_values_behind_names_and_in_paths(spark):
     assert not any(got[i] for i in range(len(lines), len(lines) + 50))
 
 
+def test_keys_of_every_encoding_are_found(spark):
+    rng = random.Random(3)
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    kinds = [(upper.lower(), 40), (upper, 40), (upper + "234567", 32), (upper + upper.lower(), 32), (upper + upper.lower() + "0123456789-_", 22)]
+    keys = ["".join(rng.choices(*kinds[i % 5][:1], k=kinds[i % 5][1])) for i in range(100)]
+    words = "the national committee considers another important question whether extraordinarily long compounds remain readable for everyone".split()
+    plain = [" ".join(rng.choices(words, k=60)) + " " + rng.choice(words) + rng.choice(words) + rng.choice(words) for _ in range(300)]
+    docs = documents(spark, plain + [f"key {k} end" for k in keys], repeat=False)
+    got = {r.doc_id: r.n_random for r in s.scan(docs).collect()}
+    assert sum(got[i] for i in range(300)) <= 3
+    for kind in range(5):
+        assert sum(got[300 + i] for i in range(kind, 100, 5)) >= 18, kind
+
+
 def test_redaction_joins_overlaps(spark):
     got = s.redact(documents(spark, [None, "a token = \"" + "0a" * 20 + "\" b"], repeat=False)).orderBy("doc_id").collect()
     assert [r.text for r in got] == [None, 'a [secret]" b']
