@@ -2,14 +2,15 @@
 
 Detected: e-mail addresses, phone numbers, IPv4 addresses, card and account
 numbers, national numbers of the shape 3-2-4, IBANs, and names after a form of
-address. A surrogate keeps what a reader can see of the type: separators,
+address, with all further mentions of those names in the text. A surrogate keeps what a reader can see of the type: separators,
 letter case and script, the gender that the form of address tells, a valid
 check digit where there was one.
 
 Numbers go through a keyed permutation of the digit strings of their length, so
 distinct numbers of a format stay distinct; letters likewise. Names are drawn
 by key. Over all entities of the corpus it is then checked that no two share a
-surrogate and that no surrogate is itself an entity; those that fail try again
+surrogate and that no surrogate is itself an entity; a given name is one entity,
+whose gender is the one that most of its mentions tell. Those that fail try again
 with the next tweak until none is left. The same entity gets the same surrogate
 everywhere.
 
@@ -20,7 +21,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,6 +49,11 @@ ADDRESS = {
 _UPPER = "A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĘĚĞĢĪĮİĶĹĽŁŃŇŌŐŒŔŘŚŞŠŢŤŪŮŰŲŹŻŽΑ-ΩΆΈΉΊΌΎΏА-ЯЁ"
 NAMED = re.compile(rf"(?<!\w)({'|'.join(sorted(ADDRESS, key=len, reverse=True))})\.?((?: [{_UPPER}][\w'’]+(?:-[{_UPPER}][\w'’]+)*){{1,3}})(?!\w)")
 
+#: Abbreviations: after the others a full stop ends a sentence, and what follows need not be a name.
+SHORT = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Mme", "Mlle", "Sr", "Sra")
+_WORD = re.compile(r"\w+(?:['’-]\w+)*")
+_PARTS = tuple(re.compile(x) for x in (r"\w+(?:['’-]\w+)*?(?=['’]s$)", r"\w+(?:['’]\w+)*?(?=['’]s(?!\w)|(?!['’\w]))", r"\w+"))
+
 #: Given names by script and gender: fixed values.
 GIVEN = {
     ("latin", "f"): "Ada Alba Anna Bella Carla Clara Dora Edith Ella Elsa Emma Eva Flora Greta Hanna Helena Ida Ines Irma Jana Julia Lara Lena Lina Lisa Lucia Maria Marta Mira Nina Nora Olga Paula Rita Rosa Sara Sofia Tina Vera Zoe",
@@ -212,17 +219,40 @@ def entities(text: str | None) -> list[tuple[int, int, str]]:
             if free(a, b):
                 found.append((a, b, part[2]))
     if any(word in text for word in ADDRESS):
+        known: dict[str, str] = {}
         for m in NAMED.finditer(text):
             at, names = m.start(2), m.group(2).split(" ")[1:]
             for i, name in enumerate(names):
                 a = at + 1
                 at = a + len(name)
+                end = at - 2 if name.endswith(("'s", "’s")) else at
                 kind = "family" if i == len(names) - 1 else "given" + (ADDRESS[m[1]] and "_" + ADDRESS[m[1]])
-                if free(a, at):
-                    found.append((a, at, kind))
+                if free(a, end):
+                    found.append((a, end, kind))
+                if m[1] in SHORT or text[m.end(1)] != ".":
+                    # of a name in both places, the family's stands alone
+                    known[text[a:end]] = "family" if known.get(text[a:end]) == "family" else kind
+        if known:
+            taken = bytearray(len(text))
+            for a, b, _ in found:
+                taken[a:b] = b"\1" * (b - a)
+            for m in _WORD.finditer(text):
+                # a compound as a whole, or else its parts
+                for a, b in [m.span()] if m.group() in known else _known_parts(known, m.group(), m.start()):
+                    if not any(taken[a:b]):
+                        found.append((a, b, known[text[a:b]]))
     return sorted(found)
 
 
+def _known_parts(known: dict[str, str], word: str, at: int) -> list[tuple[int, int]]:
+    """Where known names stand in a word of several parts: without its ending, between hyphens, or between all signs."""
+    for pattern in _PARTS if not word.isalnum() else ():
+        hit = [(at + m.start(), at + m.end()) for m in pattern.finditer(word) if m.group() in known]
+        if hit:
+            return hit
+    return []
+
+
 def _valid_iban(flat: str) -> bool:
     return sum(c.isdigit() for c in flat) >= 8 and int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1
 
@@ -244,31 +274,43 @@ def _alone(run: str, a: int, b: int) -> bool:
     return not (run[a - 1 : a].isdigit() or run[b : b + 1].isdigit() or re.match(r"\.\d", run[b:]) or re.search(r"\d\.$", run[:a]))
 
 
-def replaced(key: bytes, text: str | None, attempts: dict) -> tuple[str | None, int]:
-    """The text with its entities replaced, and how many there are."""
+def replaced(key: bytes, text: str | None, attempts: dict, genders: dict | None = None) -> tuple[str | None, int]:
+    """The text with its entities replaced, and how many there are; ``genders`` has another kind for some (kind, given name)."""
+    genders = genders or {}
     found = entities(text)
     out, at = [], 0
     for a, b, kind in found:
         entity = text[a:b]
+        kind = genders.get((kind, entity), kind)
         out += [text[at:a], surrogate(key, kind, entity, attempts.get((kind, entity), 0))]
         at = b
     return (text if not found else "".join(out) + text[at:]), len(found)
 
 
-def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        seen = {(kind, text[a:b]) for text in batch.column(0).to_pylist() for a, b, kind in entities(text)}
-        yield pa.RecordBatch.from_pydict({"kind": pa.array([k for k, _ in seen], pa.string()), "entity": pa.array([e for _, e in seen], pa.string())})
+        seen = Counter((kind, text[a:b]) for text in batch.column(0).to_pylist() for a, b, kind in entities(text))
+        yield pa.RecordBatch.from_pydict({"kind": pa.array([k for k, _ in seen], pa.string()), "entity": pa.array([e for _, e in seen], pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
+
 
+def mentioned(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``kind``, ``entity``, and the kind that counts (``resolved``): a given name has the gender that most mentions tell, none if as many tell the other."""
+    found = stash(docs.select(docs[text].alias("text")).mapInArrow(_counted, "kind string, entity string, n long").groupBy("kind", "entity").agg(F.sum("n").alias("n")))
+    told = F.sum(F.when(F.col("kind") == "given_f", F.col("n")).when(F.col("kind") == "given_m", -F.col("n")).otherwise(0)).alias("told")
+    names = found.filter(F.col("kind").startswith("given"))
+    gender = names.groupBy("entity").agg(told).select("entity", F.when(F.col("told") > 0, "given_f").when(F.col("told") < 0, "given_m").otherwise("given").alias("resolved"))
+    return stash(names.join(gender, "entity").select("kind", "entity", "resolved").union(found.filter(~F.col("kind").startswith("given")).select("kind", "entity", F.col("kind").alias("resolved"))))
 
-def exceptions(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
+
+def exceptions(docs: DataFrame, key: bytes, text: str = "text", found: DataFrame | None = None) -> DataFrame:
     """``kind``, ``entity``, ``attempt`` (from 1) of the entities whose first surrogate is not free."""
 
     @F.pandas_udf("string")
     def made(kinds, names, attempts):
         return kinds.combine(names, lambda k, e: (k, e)).combine(attempts, lambda ke, n: surrogate(key, *ke, int(n)))
 
-    known = stash(docs.select(docs[text].alias("text")).mapInArrow(_distinct, "kind string, entity string").distinct())
+    found = mentioned(docs, text) if found is None else found
+    known = stash(found.select(F.col("resolved").alias("kind"), "entity").distinct())
     group = F.when(F.col("kind").startswith("given"), "given").otherwise(F.col("kind"))
     tried = known.withColumn("attempt", F.lit(0))
     while True:
@@ -283,23 +325,30 @@ def exceptions(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
         tried = now.join(again, ["kind", "entity"], "left").select("kind", "entity", (F.col("attempt") + F.coalesce("more", F.lit(0))).alias("attempt"))
 
 
+def _tables(rest: Iterable) -> tuple[dict, dict]:
+    """Attempts by the kind that counts and entity, and that kind by the mention's own and entity."""
+    return {(r["resolved"], r["entity"]): r["attempt"] for r in rest}, {(r["kind"], r["entity"]): r["resolved"] for r in rest}
+
+
 def pseudonymize(docs: DataFrame, key: bytes, text: str = "text", counted: str = "n_entities") -> DataFrame:
     """``docs`` with the text replaced and the number of entities in ``counted``.
 
     A null text stays null and has none. Rows and other columns stay as they
     are. A column that is already called ``counted`` is replaced.
     """
-    rest = exceptions(docs, key, text)
+    found = mentioned(docs, text)
+    tried = exceptions(docs, key, text, found).withColumnRenamed("kind", "resolved")
+    rest = stash(found.join(tried, ["resolved", "entity"], "left").filter("attempt is not null or kind <> resolved").select("kind", "entity", "resolved", F.coalesce("attempt", F.lit(0)).alias("attempt")))
     few = rest.limit(EXCEPTIONS + 1).count() <= EXCEPTIONS
     kind = "struct<text:string,n:bigint>"
     if few:
-        attempts = {(r["kind"], r["entity"]): r["attempt"] for r in rest.collect()}
+        attempts, genders = _tables(rest.collect())
 
         @F.pandas_udf(kind)
         def apply(texts):
             import pandas as pd
 
-            return pd.DataFrame([replaced(key, t, attempts) for t in texts], columns=["text", "n"])
+            return pd.DataFrame([replaced(key, t, attempts, genders) for t in texts], columns=["text", "n"])
 
         out = docs.withColumn("__out", apply(docs[text]))
     else:  # by the text: its own exceptions only
@@ -310,13 +359,13 @@ def pseudonymize(docs: DataFrame, key: bytes, text: str = "text", counted: str =
                 rows = [(h, k, t[a:b]) for h, t in zip(*[c.to_pylist() for c in batch.columns], strict=True) for a, b, k in entities(t)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))], names=["h", "kind", "entity"])
 
-        own = docs.select(place.alias("h"), docs[text]).mapInArrow(met, "h long, kind string, entity string").distinct().join(rest, ["kind", "entity"]).groupBy("h").agg(F.collect_list(F.struct("kind", "entity", "attempt")).alias("__own"))
+        own = docs.select(place.alias("h"), docs[text]).mapInArrow(met, "h long, kind string, entity string").distinct().join(rest, ["kind", "entity"]).groupBy("h").agg(F.collect_list(F.struct("kind", "entity", "resolved", "attempt")).alias("__own"))
 
         @F.pandas_udf(kind)
         def apply_own(texts, lists):
             import pandas as pd
 
-            return pd.DataFrame([replaced(key, t, {(r["kind"], r["entity"]): r["attempt"] for r in x} if x is not None else {}) for t, x in zip(texts, lists, strict=True)], columns=["text", "n"])
+            return pd.DataFrame([replaced(key, t, *_tables(x if x is not None else ())) for t, x in zip(texts, lists, strict=True)], columns=["text", "n"])
 
         out = docs.withColumn("__h", place).join(own, F.col("__h") == F.col("h"), "left").withColumn("__out", apply_own(text, "__own"))
     return out.select(*[F.col("__out.text").alias(text) if c == text else docs[c] for c in docs.columns if c != counted], F.col("__out.n").alias(counted))

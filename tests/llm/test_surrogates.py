@@ -85,5 +85,28 @@ def test_addresses_without_a_free_surrogate_of_their_form(spark):
     assert len(set(got)) == len(texts) and not set(got) & set(texts)
 
 
+def test_further_mentions_and_one_surrogate_a_name(spark, monkeypatch):
+    texts = [
+        "Mr John Smith came. Smith said that John Smith's dog left; Smith-Jones and Smithers stay, johnny too.",
+        "Dr John Smith wrote. Mr. John Brown read, Mrs Smith's friend.",
+        "Yes, Sir. The end of the day. The other one.",
+    ]
+    docs = documents(spark, texts, repeat=False)
+    for most in (s.EXCEPTIONS, -1):
+        monkeypatch.setattr(s, "EXCEPTIONS", most)
+        got = {r.doc_id: r.text for r in s.pseudonymize(docs, KEY).collect()}
+        first = re.fullmatch(r"Mr ([\w-]+) (\w+) came. (\w+) said that ([\w-]+) (\w+)'s dog left; (\w+)-Jones and Smithers stay, johnny too.", got[0])
+        john, smith = first[1], first[2]
+        assert (john, smith, smith, john, smith, smith) == (*first.groups(),) and "John" != john != "Smith" != smith
+        assert john.split("-")[0] in s.GIVEN["latin", "m"].split()
+        assert re.fullmatch(rf"Dr {john} {smith} wrote. Mr. {john} \w+ read, Mrs {smith}'s friend.", got[1])
+        assert got[2].endswith(" end of the day. The other one.")
+
+
+def test_mentions_in_compounds():
+    text = "Mr Luke O'Brien, Frau Anna-Maria Voss. O'Brien's, Anna-Maria's, Voss-O'Brien, l'Voss and Voss' or Voss’s"
+    assert [text[a:b] for a, b, _ in s.entities(text)] == ["Luke", "O'Brien", "Anna-Maria", "Voss", "O'Brien", "Anna-Maria", "Voss", "O'Brien", "Voss", "Voss", "Voss"]
+
+
 def test_empty(spark):
     assert s.pseudonymize(documents(spark, []), KEY).count() == 0
