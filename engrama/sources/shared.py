@@ -31,4 +31,16 @@ def stash(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/engrama-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._engrama_table = path
+    return back
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete stashed tables that nothing reads any more; what is no stashed table stays."""
+    for table in tables:
+        path = vars(table).pop("_engrama_table", None)
+        if path:
+            spark = table.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
