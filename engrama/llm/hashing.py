@@ -7,12 +7,13 @@ one text, so memory is bounded by the longest text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 BASE = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
 _GAP = np.zeros(256, bool)
@@ -20,6 +21,27 @@ _GAP[[32, 9, 10, 11, 12, 13]] = True
 _powers: dict[int, np.ndarray] = {}
 
 
+def thrifty(rows: Callable) -> Callable:
+    """An iterator function whose worker gives back what it has freed at the end of a task.
+
+    Workers are kept for later tasks; without this, memory stays with them at the height of the task that needed most.
+    """
+
+    def thrifty_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from rows(batches)
+        give_back()
+
+    return thrifty_rows
+
+
+def give_back() -> None:
+    """Free memory of the allocators to the system, where they can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
     have = _powers.get(base)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engrama.llm.components import components
-from engrama.llm.hashing import RunHashes, chunks, mixed, word_values
+from engrama.llm.hashing import RunHashes, chunks, mixed, thrifty, word_values
 from engrama.llm.shared import broadcast_if, stash
 
 WIDTH = 5
@@ -38,6 +38,8 @@ ROWS, BANDS = 5, 26
 SLOTS = ROWS * BANDS
 #: Slots in which a pair of similarity SIMILAR agrees but for a chance of 3e-7: five deviations below the mean.
 AGREE = math.floor(SLOTS * SIMILAR - 5 * math.sqrt(SLOTS * SIMILAR * (1 - SIMILAR)))
+#: Shingles (and slots) that are worked on at once.
+LOAD = 100_000
 #: Members of a bucket that are compared in one block.
 BLOCK = 1000
 #: Nodes that are sent to every task; beyond, they are joined.
@@ -114,29 +116,45 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, text) to key, bands and a shortened signature; none for a text without words."""
+
+    def signed(keys: pa.Array, held: list[tuple[int, tuple[np.ndarray, np.ndarray]]]) -> pa.RecordBatch:
+        found = signatures([s for _, s in held])
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(held) + 1) * BANDS, pa.int32()), pa.array(bands(found).view(np.int64).reshape(-1)))
+        short = pa.array([row.astype(np.uint16).tobytes() for row in found], pa.binary())
+        return pa.RecordBatch.from_arrays([keys.take(pa.array([i for i, _ in held])), lists, short], names=["key", "bands", "signature"])
+
     for batch in batches:
-        keys, sets = batch.column(0), list(weighted_shingles(batch.column(1)))
-        at = 0
-        while at < len(sets):
-            stop, load = at, 0
-            while stop < len(sets) and load < 200_000:
-                load += len(sets[stop][0]) + SLOTS
-                stop += 1
-            full = [i for i in range(at, stop) if len(sets[i][0])]
-            if full:
-                found = signatures([sets[i] for i in full])
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1) * BANDS, pa.int32()), pa.array(bands(found).view(np.int64).reshape(-1)))
-                short = pa.array([row.astype(np.uint16).tobytes() for row in found], pa.binary())
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(full)), lists, short], names=["key", "bands", "signature"])
-            at = stop
+        held, load = [], 0
+        for i, one in enumerate(weighted_shingles(batch.column(1))):
+            if not len(one[0]):
+                continue
+            held.append((i, one))
+            load += len(one[0]) + SLOTS
+            if load >= LOAD:
+                yield signed(batch.column(0), held)
+                held, load = [], 0
+        if held:
+            yield signed(batch.column(0), held)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, text) to key, shingles and counts."""
+
+    def listed(keys: pa.Array, first: int, held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        ends = pa.array(np.concatenate([[0], np.cumsum([len(s) for s, _ in held])]), pa.int32())
+        column = lambda i, t: pa.ListArray.from_arrays(ends, pa.array(np.concatenate([x[i].view(np.int64) for x in held]).astype(t)))
+        return pa.RecordBatch.from_arrays([keys.slice(first, len(held)), column(0, np.int64), column(1, np.int32)], names=["key", "s", "c"])
+
     for batch in batches:
-        sets = list(weighted_shingles(batch.column(1)))
-        lists = lambda i, t: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s[0]) for s in sets])]), pa.int32()), pa.array(np.concatenate([s[i].view(np.int64) for s in sets]).astype(t)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), lists(0, np.int64), lists(1, np.int32)], names=["key", "s", "c"])
+        first, held, load = 0, [], 0
+        for one in weighted_shingles(batch.column(1)):
+            held.append(one)
+            load += len(one[0])
+            if load >= LOAD:
+                yield listed(batch.column(0), first, held)
+                first, held, load = first + len(held), [], 0
+        if held:
+            yield listed(batch.column(0), first, held)
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +176,7 @@ def _sets_of(keys: DataFrame, docs: DataFrame) -> DataFrame:
     """key, s, c: the shingles of the texts with these keys."""
     wanted = broadcast_if(keys, keys.count(), BROADCAST_NODES)
     texts = docs.select(_key("text").alias("key"), "text").join(wanted, "key", "left_semi")
-    return stash(texts.mapInArrow(_sets, "key binary, s array<long>, c array<int>").dropDuplicates(["key"]))
+    return stash(texts.mapInArrow(thrifty(_sets), "key binary, s array<long>, c array<int>").dropDuplicates(["key"]))
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -167,7 +185,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     sets = _sets_of(stash(pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct()), docs)
     left = pairs.join(sets.withColumnRenamed("key", "u"), "u")
     both = left.join(sets.select(F.col("key").alias("v"), F.col("s").alias("s2"), F.col("c").alias("c2")), "v")
-    return stash(both.select("u", "v", "s", "c", "s2", "c2").mapInArrow(_verified, "u binary, v binary"))
+    return stash(both.select("u", "v", "s", "c", "s2", "c2").mapInArrow(thrifty(_verified), "u binary, v binary"))
 
 
 def _across(rows: pa.Table) -> pa.Table:
@@ -234,7 +252,7 @@ def remaining(buckets: DataFrame, nodes: DataFrame, roots: DataFrame, docs: Data
 def _rooted(docs: DataFrame, row_id: str, text: str) -> DataFrame:
     """Per row: ``id``, ``node`` (key of its text), ``root`` (name of its class)."""
     slim = docs.select(docs[row_id].alias("id"), F.coalesce(docs[text], F.lit("")).alias("text"))
-    signed = slim.select(_key("text").alias("key"), "text").mapInArrow(_signed, "key binary, bands array<long>, signature binary")
+    signed = slim.select(_key("text").alias("key"), "text").mapInArrow(thrifty(_signed), "key binary, bands array<long>, signature binary")
     nodes = stash(signed.groupBy(F.col("key").alias("node")).agg(F.first("bands").alias("bands"), F.first("signature").alias("signature")))
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from engrama.sources.shared import shared_folder, stash
+from engrama.sources.shared import drop, shared_folder, stash
 
-__all__ = ["broadcast_if", "shared_folder", "stash"]
+__all__ = ["broadcast_if", "drop", "shared_folder", "stash"]
 
 
 def broadcast_if(df: DataFrame, rows: int, at_most: int) -> DataFrame:
