@@ -87,3 +87,39 @@ def test_redaction_joins_overlaps(spark):
 
 def test_empty(spark):
     assert s.scan(documents(spark, [])).count() == 0
+
+
+def test_very_long_tokens():
+    rng = random.Random(4)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    null = s.Writing([*[-3.3] * 26, 0.0], [0.0] * 729)
+    for token in ("".join(rng.choices(chars, k=100_000)), "a1" * 50_000, "ab" * 50_000, "A" + "b" * 100_000, "1" * 100_000):
+        assert s.runs_log_p(token) <= 0 and s.writing_log_p(token, null) <= 0
+        assert s.tested(token, null) is not None
+    assert s.tested("".join(rng.choices(chars, k=100_000)), null)[1] == s.LAST
+
+
+def test_runs_equal_the_binomial_tail():
+    import math
+
+    rng = random.Random(5)
+    for _ in range(200):
+        token = "".join(rng.choices("aB1", k=rng.randint(2, 60)))
+        places, changes = len(token) - 1, sum(a != b for a, b in zip(token, token[1:]))
+        tail = sum(math.comb(places, k) * s.TEXT_CHANGES**k * (1 - s.TEXT_CHANGES) ** (places - k) for k in range(changes, places + 1))
+        assert s.runs_log_p(token) == 0 if changes <= places * s.TEXT_CHANGES else abs(s.runs_log_p(token) - math.log(tail)) < 1e-9
+
+
+def test_cuts_equal_benjamini_hochberg_by_hand():
+    rng = random.Random(6)
+    for _ in range(100):
+        tokens = [(rng.choice([0, rng.randint(0, 600)]), rng.randint(0, 60), rng.randint(16, 64)) for _ in range(rng.randint(1, 60))]
+        least, most = s.cut([(step, random_step, 1, length) for step, random_step, length in tokens])
+        # step holds -log10(p / length), and weights are length over the mean length
+        mean = sum(x for *_, x in tokens) / len(tokens)
+        by_p = sorted((10 ** (-step * s.STEP) * mean, step) for step, *_ in tokens)
+        passed = [i for i, (p, _) in enumerate(by_p, 1) if p * len(by_p) / i <= s.FALSE_DISCOVERIES]
+        assert sum(step >= least for step, *_ in tokens) == max(passed, default=0)
+        found = sorted(10 ** (-r * s.RANDOM_STEP) for step, r, _ in tokens if step >= least)
+        out = max([i for i, p in enumerate(found, 1) if p < 1 and p * len(found) / i <= s.FALSE_REJECTIONS], default=0)
+        assert sum(step >= least and r > most for step, r, _ in tokens) == out
