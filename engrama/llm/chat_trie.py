@@ -1,35 +1,33 @@
 """Conversations as a forest of shared turns.
 
 A conversation is formatted turn by turn. Conversations with the same initial
-turns share the nodes of a prefix tree; the packed sequence emits each node's
+turns share the nodes of a prefix tree; the packed sequence has each node's
 characters once, depth first. Every node carries the position of its first
 character in its conversations (``position``) and the intervals of the packed
 sequence that its characters may attend to: those of its ancestors, beside its
 own up to each character.
 
-Trees are kept whole up to PACK conversations. A turn that more conversations
-share is split: the conversations that share no longer run of turns so often
-are dealt over parts of about PACK by their next turn, or where they end there,
-by a salt; each part emits the shared turns once. So no task holds more than a
-bounded part of a tree, whatever the conversations share.
+A node is named by the digest of its run of turns, and its path is the digests
+of its ancestors and its own. Sorted by path, the distinct nodes stand in depth
+first order, so a prefix sum of their lengths gives their places: a range sort,
+a running sum per partition, and a sum per partition for the driver. However
+many conversations share a turn, it is one row, and no task holds a tree.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from engrama.llm.shared import stash
-
-#: Conversations under one node up to which its tree stays in one part.
-PACK = 2000
-#: Conversations that a task packs, about.
-TASK = 4000
+from engrama.llm.hashing import thrifty
+from engrama.llm.shared import drop, stash
 
 #: The strings that the template gives a meaning.
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|role|>", "<|text|>", "<|none|>")
@@ -99,152 +97,129 @@ def prefix_digests(turns: list[dict]) -> list[bytes]:
     return out
 
 
-def _with_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        digests = pa.array([prefix_digests(t) for t in batch.column(1).to_pylist()], pa.list_(pa.binary()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), digests], names=["conv_id", "turns", "prefixes"])
+def _turn_rows(kind: pa.DataType) -> Callable:
+    """(conv_id, turns) to a row per turn: its node, path, formatted text, position, and where in it the loss counts."""
+    schema = pa.schema([("conv_id", kind), ("last", pa.bool_()), ("node", pa.binary()), ("path", pa.binary()), ("text", pa.string()), ("position", pa.int64()), ("loss_from", pa.int64()), ("loss_to", pa.int64())])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for conv, turns in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                path, position = b"", 0
+                for i, (turn, node) in enumerate(zip(turns, prefix_digests(turns), strict=True), 1):
+                    path += node
+                    text, a, b = format_turn(turn["role"], turn["text"])
+                    learnt = turn["role"] == "assistant"
+                    out.append((conv, i == len(turns), node, path, text, position, a if learnt else None, b if learnt else None))
+                    position += len(text)
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], f.type) for i, f in enumerate(schema)], schema=schema)
 
+    return rows
 
-def conversations(rows: DataFrame) -> DataFrame:
-    """Rows of turns as ``conv_id``, ``turns`` (in order) and ``prefixes``.
+
+def turns_of(rows: DataFrame) -> DataFrame:
+    """Rows of turns as ``conv_id``, ``last``, and the node of each turn.
 
     Turns are ordered by ``turn``, nulls first; ties and repeated rows by role
     and text, all kept. A null text counts as empty. Rows without ``conv_id``
     are one conversation.
     """
     turn = F.struct(rows["turn"].alias("turn"), rows["role"].alias("role"), F.coalesce(rows["text"], F.lit("")).alias("text"))
-    whole = rows.select(rows["conv_id"].cast("long").alias("conv_id"), turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    whole = rows.select(rows["conv_id"].alias("conv_id"), turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     slim = whole.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
-    return slim.mapInArrow(_with_digests, "conv_id long, turns array<struct<role:string,text:string>>, prefixes array<binary>")
-
+    kind = rows.schema["conv_id"].dataType
+    return slim.mapInArrow(thrifty(_turn_rows(to_arrow_type(kind))), f"conv_id {kind.simpleString()}, last boolean, node binary, path binary, text string, position long, loss_from long, loss_to long")
 
-def parts(convs: DataFrame, pack: int = PACK) -> DataFrame:
-    """``convs`` with ``part``: the first prefix, or of those with a prefix that over ``pack`` share, the longest such one and a bucket of the next.
 
-    A prefix has a bucket per ``pack`` conversations of which it is the longest
-    such one. Counts of prefixes are combined before they are shuffled; the hot
-    ones are fewer than one in ``pack`` prefix rows.
-    """
-    hot = convs.select(F.explode("prefixes").alias("prefix")).groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > pack).select("prefix")
-    met = convs.select("conv_id", F.posexplode("prefixes").alias("depth", "prefix")).join(hot, "prefix").groupBy("conv_id").agg(F.max(F.struct("depth", "prefix")).alias("deepest"))
-    met = met.select(F.col("conv_id").alias("__of"), "deepest.depth", "deepest.prefix")
-    sizes = met.groupBy("prefix").agg(F.ceil(F.count(F.lit(1)) / pack).alias("buckets"))
-    found = convs.join(met.join(F.broadcast(sizes), "prefix"), F.col("conv_id").eqNullSafe(F.col("__of")), "left")
-    below = F.get("prefixes", F.col("depth") + 1)
-    dealt = F.when(below.isNotNull(), F.xxhash64(below)).otherwise(F.xxhash64("conv_id"))
-    part = F.when(F.col("prefix").isNull(), F.hex(F.get("prefixes", F.lit(0)))).otherwise(F.concat_ws("/", F.hex("prefix"), F.pmod(dealt, F.col("buckets")).cast("string")))
-    return found.withColumn("part", part).drop("__of", "depth", "prefix", "buckets")
-
-
-def pack_part(convs: list[tuple[int | None, list[dict], list[bytes]]]) -> tuple[list[dict], dict[int, int]]:
-    """Nodes of the forest over some conversations, depth first, and the leaf of each conversation.
-
-    Children stand in the order of their digests. A node has its place in the
-    packed sequence (``start``, ``end``), the ``position`` of its first
-    character in a conversation, and the intervals of its ancestors.
-    """
-    children: dict[bytes, dict[bytes, None]] = {b"": {}}
-    turn_of: dict[bytes, dict] = {}
-    for _, turns, prefixes in convs:
-        last = b""
-        for turn, digest in zip(turns, prefixes, strict=True):
-            if digest not in children:
-                children[digest] = {}
-                turn_of[digest] = turn
-                children[last][digest] = None
-            last = digest
-    nodes: list[dict] = []
-    number: dict[bytes, int] = {}
-    at = 0
-    stack = [(d, -1, 0) for d in sorted(children[b""], reverse=True)]
-    while stack:
-        digest, parent, position = stack.pop()
-        formatted, a, b = format_turn(turn_of[digest]["role"], turn_of[digest]["text"])
-        above = [] if parent < 0 else [*nodes[parent]["attends"], (nodes[parent]["start"], nodes[parent]["end"])]
-        if len(above) > 1 and above[-2][1] == above[-1][0]:  # neighbours in the sequence are one interval
-            above[-2:] = [(above[-2][0], above[-1][1])]
-        loss = (at + a, at + b) if turn_of[digest]["role"] == "assistant" else None
-        number[digest] = len(nodes)
-        nodes.append({"parent": parent, "start": at, "end": at + len(formatted), "position": position, "attends": above, "loss": loss, "text": formatted})
-        stack += [(d, number[digest], position + len(formatted)) for d in sorted(children[digest], reverse=True)]
-        at += len(formatted)
-    return nodes, {i: number[p[-1]] for i, (_, _, p) in enumerate(convs) if p}
-
-
-_NODE = "struct<parent:int,start:bigint,`end`:bigint,position:bigint,attends:array<struct<start:bigint,`end`:bigint>>,loss:struct<start:bigint,`end`:bigint>>"
-
-
-def _pack_table(rows: pa.Table) -> pa.Table:
-    """One row per part: the packed characters, the nodes, and each conversation's leaf."""
-    by_part: dict[str, list] = {}
-    for part, conv, turns, prefixes in zip(*[rows.column(c).to_pylist() for c in ("part", "conv_id", "turns", "prefixes")], strict=True):
-        by_part.setdefault(part, []).append((conv, turns, prefixes))
-    out: dict[str, list] = {"part": [], "packed": [], "nodes": [], "leaves": []}
-    for part, convs in by_part.items():
-        nodes, leaves = pack_part(convs)
-        pair = lambda x: x and {"start": x[0], "end": x[1]}
-        out["part"].append(part)
-        out["packed"].append("".join(n["text"] for n in nodes))
-        out["nodes"].append([{"parent": n["parent"], "start": n["start"], "end": n["end"], "position": n["position"], "attends": [pair(x) for x in n["attends"]], "loss": pair(n["loss"])} for n in nodes])
-        out["leaves"].append([{"conv_id": convs[i][0], "node": leaves.get(i, -1)} for i in range(len(convs))])
-    span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-    node = pa.struct([("parent", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("position", pa.int64()), ("attends", pa.list_(span)), ("loss", span)])
-    schema = pa.schema([("part", pa.string()), ("packed", pa.string()), ("nodes", pa.list_(node)), ("leaves", pa.list_(pa.struct([("conv_id", pa.int64()), ("node", pa.int32())])))])
-    return pa.Table.from_pydict(out, schema=schema)
-
-
-def pack(rows: DataFrame, pack: int = PACK) -> DataFrame:
-    """Per part: ``part``, ``packed`` (the sequence), ``nodes``, ``leaves``.
-
-    Character i of a node has position id ``position + i`` and attends to the
-    node's ``attends`` intervals and to its own node up to itself. ``loss`` is
-    where an assistant's text stands. An empty table gives no rows.
-    """
-    convs = stash(conversations(rows))
-    tasks = max(1, -(-convs.count() // TASK))
-    dealt = parts(convs, pack).withColumn("task", F.pmod(F.xxhash64("part"), F.lit(tasks)).cast("int"))
-    return dealt.groupBy("task").applyInArrow(_pack_table, f"part string, packed string, nodes array<{_NODE}>, leaves array<struct<conv_id:bigint,node:int>>")
+def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted (node, length) to where each node begins in its partition."""
+    part, at = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        lengths = batch.column("length").to_pylist()
+        starts = []
+        for n in lengths:
+            starts.append(at)
+            at += n
+        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("length"), pa.array([part] * len(starts), pa.int32()), pa.array(starts, pa.int64())], names=["node", "length", "part", "start"])
 
 
-def read_back(packed: str, nodes: list[dict], leaf: int) -> tuple[str, str]:
-    """A conversation's formatted text, and the text under its loss mask, from the packed sequence alone.
+def placed(nodes: DataFrame) -> DataFrame:
+    """``node``, ``start``, ``end`` of distinct nodes (node, path, length) in the packed sequence.
 
-    The leaf's intervals and its own give the characters in the order of their
-    position ids.
+    The driver gets one sum per partition.
+    """
+    local = stash(nodes.select("path", "node", "length").repartitionByRange("path").sortWithinPartitions("path").select("node", "length").mapInArrow(_running, "node binary, length long, part int, start long"))
+    sums = local.groupBy("part").agg(F.sum("length").alias("n")).collect()
+    before, at = [], 0
+    for r in sorted(sums, key=lambda r: r["part"]):
+        before.append((r["part"], at))
+        at += r["n"]
+    first = local.sparkSession.createDataFrame(before, "part int, before long")
+    start = F.col("start") + F.col("before")
+    return local.join(F.broadcast(first), "part").select("node", start.alias("start"), (start + F.col("length")).alias("end"))
+
+
+def pack(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The nodes of the packed forest, and the leaf of each conversation.
+
+    Nodes: ``start``, ``end`` (places of its characters in the packed sequence),
+    ``text`` (those characters), ``position`` (position id of the first),
+    ``attends`` (intervals of its ancestors, root first) and ``loss`` (interval
+    of an assistant's text). Character i of a node has position id ``position
+    + i`` and attends to ``attends`` and to its own node up to itself. Sorted by
+    ``start`` the texts make up the sequence. Leaves: ``conv_id``, ``start`` of
+    the node of its last turn.
+
+    Equal turns after equal turns are one node, in repeated conversations too.
+    Very long texts are one node each. The path of a node, 16 bytes a turn, is
+    what grows with the depth. An empty table gives no nodes and no leaves.
     """
-    if leaf < 0:
-        return "", ""
-    node = nodes[leaf]
-    spans = [(x["start"], x["end"]) for x in node["attends"]] + [(node["start"], node["end"])]
-    path = []
-    while leaf >= 0:
-        path.append(nodes[leaf])
-        leaf = nodes[leaf]["parent"]
-    loss = "".join(unescape(packed[n["loss"]["start"] : n["loss"]["end"]]) for n in reversed(path) if n["loss"])
-    return "".join(packed[a:b] for a, b in spans), loss
+    turns = stash(turns_of(rows))
+    nodes = stash(turns.dropDuplicates(["node"]).drop("conv_id", "last"))
+    places = stash(placed(nodes.withColumn("length", F.length("text").cast("long"))))
+    # 16 bytes a turn; the last are the node's own
+    above = nodes.select(F.col("node").alias("of"), F.posexplode(F.transform(F.sequence(F.lit(0), (F.length("path") / 16).cast("int") - 1), lambda i: F.substring("path", 1 + 16 * i, F.lit(16)))).alias("depth", "node"))
+    spans = above.filter(F.col("of") != F.col("node")).join(places, "node").groupBy("of").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("attends"))
+    whole = nodes.join(places, "node").join(spans.withColumnRenamed("of", "node"), "node", "left")
+    empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    loss = F.when(F.col("loss_from").isNotNull(), F.struct((F.col("start") + F.col("loss_from")).alias("start"), (F.col("start") + F.col("loss_to")).alias("end")))
+    forest = stash(whole.select("start", "end", "text", "position", F.coalesce("attends", empty).alias("attends"), loss.alias("loss")))
+    leaves = stash(turns.filter("last").select("conv_id", "node").join(places, "node").select("conv_id", "start"))
+    drop(turns, nodes, places)
+    return forest, leaves
+
+
+def read_back(nodes: list[dict]) -> tuple[str, str]:
+    """A conversation's formatted text, and the text under its loss mask, from the nodes on its path."""
+    path = sorted(nodes, key=lambda n: n["position"])
+    loss = "".join(unescape(n["text"][n["loss"]["start"] - n["start"] : n["loss"]["end"] - n["start"]]) for n in path if n["loss"])
+    return "".join(n["text"] for n in path), loss
 
 
 def _digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out: dict[str, list] = {c: [] for c in ("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")}
-        for packed, nodes, leaves in zip(*[batch.column(c).to_pylist() for c in ("packed", "nodes", "leaves")], strict=True):
-            for leaf in leaves:
-                formatted, loss = read_back(packed, nodes, leaf["node"])
-                turns = parse(formatted)
-                listed = "".join(f"{role or ''}\n{text}\n" for role, text in turns)
-                out["conv_id"].append(leaf["conv_id"])
-                out["n_turns"].append(len(turns))
-                out["turns_sha256"].append(hashlib.sha256(listed.encode()).hexdigest())
-                out["loss_chars"].append(len(loss))
-                out["loss_sha256"].append(hashlib.sha256(loss.encode()).hexdigest())
-                out["formatted_chars"].append(len(formatted))
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
-
-
-def digests(packed: DataFrame) -> DataFrame:
-    """Per conversation, read back from ``pack``'s rows: ``conv_id``, ``n_turns``, ``turns_sha256``, ``loss_chars``, ``loss_sha256``, ``formatted_chars``.
-
-    A null role counts as an empty one in ``turns_sha256``.
+        out: dict[str, list] = {c: [] for c in ("n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")}
+        for nodes in batch.column(1).to_pylist():
+            formatted, loss = read_back(nodes)
+            turns = parse(formatted)
+            listed = "".join(f"{role or ''}\n{text}\n" for role, text in turns)
+            out["n_turns"].append(len(turns))
+            out["turns_sha256"].append(hashlib.sha256(listed.encode()).hexdigest())
+            out["loss_chars"].append(len(loss))
+            out["loss_sha256"].append(hashlib.sha256(loss.encode()).hexdigest())
+            out["formatted_chars"].append(len(formatted))
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)]], names=["conv_id", *out])
+
+
+def digests(forest: DataFrame, leaves: DataFrame) -> DataFrame:
+    """Per conversation, read back from ``pack``'s tables: ``conv_id``, ``n_turns``, ``turns_sha256``, ``loss_chars``, ``loss_sha256``, ``formatted_chars``.
+
+    The intervals of the leaf and its own name the nodes; their positions give
+    the order. A null role counts as an empty one in ``turns_sha256``.
     """
-    return packed.select("packed", "nodes", "leaves").mapInArrow(_digest_rows, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    own = forest.select("start", F.concat(F.col("attends.start"), F.array("start")).alias("path"))
+    wanted = leaves.join(own, "start").select("conv_id", F.explode("path").alias("start"))
+    held = wanted.join(forest.select("start", "text", "position", "loss"), "start").groupBy("conv_id").agg(F.collect_list(F.struct("start", "text", "position", "loss")).alias("nodes"))
+    kind = leaves.schema["conv_id"].dataType.simpleString()
+    return held.mapInArrow(thrifty(_digest_rows), f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

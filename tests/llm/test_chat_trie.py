@@ -40,39 +40,55 @@ def expected(rows):
     return out
 
 
+SCHEMA = "conv_id long, turn long, role string, text string"
+
+
 def test_read_back_equals_the_conversations(spark):
     rows = conversations()
-    table = spark.createDataFrame([(*r, "x", "y") for r in rows], "conv_id long, turn long, role string, text string, part string, prefixes string")
-    for size in (2000, 5, 1):
-        got = {r.conv_id: tuple(r)[1:] for r in c.digests(c.pack(table, size)).collect()}
-        assert got == expected(rows)
+    table = spark.createDataFrame([(*r, "x", "y", b"z") for r in rows], SCHEMA + ", part string, path string, node binary")
+    got = {r.conv_id: tuple(r)[1:] for r in c.digests(*c.pack(table)).collect()}
+    assert got == expected(rows)
+    # conversations may have names
+    named = spark.createDataFrame([(None if r[0] is None else f"n{r[0]}", *r[1:]) for r in rows], SCHEMA.replace("conv_id long", "conv_id string"))
+    assert {r.conv_id: tuple(r)[1:] for r in c.digests(*c.pack(named)).collect()} == {None if k is None else f"n{k}": v for k, v in expected(rows).items()}
 
 
-def test_shared_turns_are_emitted_once_and_attended(spark):
+def test_the_forest_equals_a_trie_built_by_hand(spark):
     rows = conversations()
-    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    for part in c.pack(table).collect():
-        assert sum(n.end - n.start for n in part.nodes) == len(part.packed)
-        paths = set()
-        for n in part.nodes:
-            path = "".join(part.packed[x.start : x.end] for x in n.attends)
-            assert n.position == len(path)
-            assert n.parent < 0 or part.nodes[n.parent].end <= n.start
-            paths.add(path + part.packed[n.start : n.end])
-        assert len(paths) == len(part.nodes)
-
-
-def test_a_hot_turn_with_distinct_followers_is_emitted_once_a_part(spark):
-    hot, after = "one system prompt for all " * 20, [f"question {i}" for i in range(60)]
-    rows = [(i, t, *turn) for i, q in enumerate(after) for t, turn in enumerate([("system", hot), ("user", q)])]
-    # another hot one below it, that must not add parts
-    rows += [(100 + i, t, *turn) for i in range(300) for t, turn in enumerate([("system", hot), ("user", "the same"), ("assistant", f"answer {i}")])]
-    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    parts = c.pack(table, 20).collect()
-    assert sum(len(p.leaves) for p in parts) == 360 and max(len(p.leaves) for p in parts) <= 60
-    assert sum(p.packed.count(hot) for p in parts) <= 60 // 20 + 300 // 20
-    assert sum(p.packed.count("question") for p in parts) == 60
+    convs = {}
+    for conv, turn, role, text in rows:
+        convs.setdefault(conv, []).append((turn is not None, turn or 0, role is not None, role or "", text or ""))
+    paths = {tuple(c.format_turn(r if has else None, t)[0] for _, _, has, r, t in sorted(turns)[:k]) for turns in convs.values() for k in range(1, len(turns) + 1)}
+    forest, leaves = c.pack(spark.createDataFrame(rows, SCHEMA))
+    nodes = sorted(forest.collect(), key=lambda n: n.start)
+    packed = "".join(n.text for n in nodes)
+    assert [n.start for n in nodes] == [sum(len(m.text) for m in nodes[:i]) for i in range(len(nodes))]
+    seen, open_nodes = set(), []
+    for n in nodes:
+        assert n.end == n.start + len(n.text)
+        path = tuple(packed[x.start : x.end] for x in n.attends)
+        assert n.position == sum(map(len, path))
+        seen.add((*path, n.text))
+        # depth first: what a node attends to are the nodes still open
+        while open_nodes and open_nodes[-1] not in [(x.start, x.end) for x in n.attends]:
+            open_nodes.pop()
+        assert open_nodes == [(x.start, x.end) for x in n.attends]
+        open_nodes.append((n.start, n.end))
+    assert len(nodes) == len(seen) and seen == paths
+    assert leaves.count() == len(convs)
+
+
+def test_a_hot_turn_is_emitted_once_whatever_follows(spark):
+    hot = "one system prompt for all " * 20
+    for sharers in (2500, 5000):
+        rows = [(i, t, *turn) for i in range(sharers) for t, turn in enumerate([("system", hot), ("user", f"question {i % (sharers - 100)}"), ("assistant", "the same")])]
+        forest, leaves = c.pack(spark.createDataFrame(rows, SCHEMA))
+        texts = [n.text for n in forest.select("text").collect()]
+        assert sum(hot in t for t in texts) == 1
+        assert sum("question" in t for t in texts) == sum("the same" in t for t in texts) == sharers - 100
+        assert leaves.count() == sharers
 
 
 def test_empty(spark):
-    assert c.digests(c.pack(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
+    forest, leaves = c.pack(spark.createDataFrame([], SCHEMA))
+    assert forest.count() == leaves.count() == c.digests(forest, leaves).count() == 0
