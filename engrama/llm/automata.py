@@ -1,24 +1,38 @@
 """Word sequences that occur elsewhere, by suffix automata of reference shards.
 
-A shard holds the segments of some classes (see ``repeats``). Its suffix
-automaton counts, for every state, how often the strings of the state occur in
-the shard. The shard's segments are streamed through it; the matching
-statistics are cut to ``length`` words, and where the state that is reached then
-has two occurrences or more, the window that ends there is repeated.
-
-Shards are routed by class instead of being sent to every document: a window
-only ever meets the shard that can hold its like, so the work grows with the
-corpus and not with corpus times shards.
+The reference is every segment that may hold a repeat (see ``repeats``), each
+different one once with its copies. A shard holds the segments of some classes.
+Its suffix automaton counts, for every state, how often the strings of the state
+occur; documents are streamed through it, and where the matching statistics
+reach ``length`` words in a state of two occurrences or more, the window that
+ends there is repeated.
+
+A reference of up to BROADCAST_WORDS words is a few automata of a few MB; they
+are sent to every task and whole documents are streamed through them, without a
+shuffle of texts. A larger one stays where it was built, a shard a task, and of
+the documents only the segments that share an anchor with a shard come to it:
+the work grows with the corpus and not with corpus times shards. Both ways give
+the same windows.
 """
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from engrama.llm.repeats import Unit, remove_repeats
+from engrama.llm.hashing import thrifty
+from engrama.llm.repeats import WORD, Runs, Segments, Unit, bodies_of, keyed, repeated_starts, shared_segments, spans_of, without
+from engrama.llm.shared import drop, stash
 
 LENGTH = 35
 GRAM = 6
+#: Words of a shard that is sent to every task, about, and of all that are: some 100 bytes a word.
+SHARD_WORDS, BROADCAST_WORDS = 100_000, 500_000
 
 
 class SuffixAutomaton:
@@ -86,33 +100,75 @@ class SuffixAutomaton:
         return out
 
 
-def match(segments: list[tuple[int, list, int, int, int]], length: int) -> list[list[tuple[int, int]]]:
-    """Repeated starts of each segment (class, words, anchor minus first start, starts, copies), as (first, last) pairs."""
-    by_class: dict[int, list[int]] = {}
-    for i, s in enumerate(segments):
-        by_class.setdefault(s[0], []).append(i)
-    out: list[list[tuple[int, int]]] = [[] for _ in segments]
-    for members in by_class.values():
-        shard = SuffixAutomaton()
-        for i in members:
-            shard.add(segments[i][1], segments[i][4])
-        shard.finish()
-        for i in members:
-            for end in shard.repeated_ends(segments[i][1], length):
-                at = end - length + 1
-                if out[i] and out[i][-1][1] == at - 1:
-                    out[i][-1] = (out[i][-1][0], at)
-                else:
-                    out[i].append((at, at))
+def runs_of(ends: list[int], length: int) -> list[tuple[int, int]]:
+    """First and last starts of windows that end at ``ends``, ascending."""
+    out: list[tuple[int, int]] = []
+    for end in ends:
+        at = end - length + 1
+        if out and out[-1][1] == at - 1:
+            out[-1] = (out[-1][0], at)
+        else:
+            out.append((at, at))
     return out
 
 
-def drop_repeated_words(docs: DataFrame, length: int = LENGTH, row_id: str = "doc_id", text: str = "text") -> DataFrame:
+def shard_of(bodies: list[bytes], copies: list[int]) -> SuffixAutomaton:
+    """The automaton of these segments, occurrences counted."""
+    shard = SuffixAutomaton()
+    for body, n in zip(bodies, copies, strict=True):
+        shard.add(WORD.findall(body.decode()), n)
+    shard.finish()
+    return shard
+
+
+def match(segments: Segments, length: int) -> Runs:
+    """Repeated starts of the segments, streamed through the automaton of the shard that they make up."""
+    bodies = segments.body.to_pylist()
+    shard = shard_of(bodies, segments.copies.tolist())
+    out = [(i, a, b) for i, body in enumerate(bodies) for a, b in runs_of(shard.repeated_ends(WORD.findall(body.decode()), length), length)]
+    segment, first, last = np.array(out, int).reshape(-1, 3).T
+    return segment, first, last
+
+
+def _built(rows: pa.Table) -> pa.Table:
+    """A shard's segments to its automaton."""
+    return pa.table({"shard": pa.array([pickle.dumps(shard_of(rows.column("body").to_pylist(), rows.column("n").to_pylist()))], pa.binary())})
+
+
+def _streamed(shards, length: int) -> Callable:
+    """Documents (key, text) through all shards to the runs of their repeated starts."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automata = [pickle.loads(x) for x in shards.value]
+        for batch in batches:
+            out: list[tuple] = []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = WORD.findall(text)
+                if len(words) >= length:
+                    ends = sorted({e for shard in automata for e in shard.repeated_ends(words, length)})
+                    out += [(key, a, b) for a, b in runs_of(ends, length)]
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.int32())], names=["key", "a", "b"])
+
+    return rows
+
+
+def drop_repeated_words(docs: DataFrame, length: int = LENGTH, row_id: str = "doc_id", text: str = "text", broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """Per row: ``row_id``, ``n_words``, ``n_removed``, ``n_spans``, ``kept_sha256``.
 
     A word goes if a window of ``length`` words that covers it also starts
     anywhere else in the corpus. A null text has no words; windows don't cross
-    documents; repeated rows are copies of each other.
+    documents; repeated rows are copies of each other. Very long texts are
+    streamed whole. An empty table gives no rows.
     """
-    gram = min(GRAM, max(1, length // 4))
-    return remove_repeats(docs, Unit(length, gram, words=True), match, row_id, text, "n_words")
+    unit = Unit(length, min(GRAM, max(1, length // 4)), words=True)
+    rows = keyed(docs, row_id, text)
+    texts = rows.select("key", "text")
+    places, kinds = shared_segments(texts, unit)
+    reference = kinds.agg(F.sum(F.col("one.b") - F.col("one.a") + length)).first()[0] or 0
+    if reference > broadcast_words:
+        return without(rows, repeated_starts(texts, unit, match, places, kinds), unit, row_id, "n_words")
+    count = max(1, -(-reference // SHARD_WORDS))
+    built = bodies_of(kinds, texts, unit).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(count))).groupBy("shard").applyInArrow(_built, "shard binary")
+    shards = docs.sparkSession.sparkContext.broadcast([bytes(r["shard"]) for r in built.collect()])
+    drop(places, kinds)
+    return without(rows, spans_of(stash(texts.mapInArrow(thrifty(_streamed(shards, length)), "key binary, a int, b int"))), unit, row_id, "n_words")

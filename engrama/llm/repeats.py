@@ -6,12 +6,12 @@ have equal anchors at equal offsets, so only windows of one anchor value, its
 class, need be compared. Consecutive windows with one anchor form a segment;
 each window of the corpus lies in exactly one.
 
-Segments of equal content are counted by a digest and need no text. What is
-left are classes with different segments, of which one may be the only one of
-its kind: their text is fetched, one place each, and an engine finds the
-windows that the class has twice. A class of more segments than CLASS is dealt
-over several tasks, and its windows are counted across them by digest: those
-that are alone in their task one by one, the others as repeated already.
+That is a filter, and a way to deal the work: an anchor that the corpus has
+once holds no repeat. All other segments go to an engine, each different one
+once with the number of its copies, and the engine finds the windows that the
+class has twice. A class of more segments than CLASS is dealt over several
+tasks, and its windows are counted across them by digest: those that are alone
+in their task one by one, the others as repeated already.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from engrama.llm.hashing import RunHashes, chunks, word_values
-from engrama.llm.shared import stash
+from engrama.llm.hashing import RunHashes, chunks, thrifty, word_bounds, word_values
+from engrama.llm.shared import drop, stash
 
 #: Segments of one class that one task compares.
 CLASS = 4000
@@ -35,8 +35,22 @@ CLASS = 4000
 TASK = 3000
 _U = np.uint64
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: Per segment: engine's result, the repeated starts as (first, last) pairs counted from the segment's first.
-Engine = Callable[[list[tuple[int, list, int, int, int]], int], list[list[tuple[int, int]]]]
+
+
+@dataclass(frozen=True)
+class Segments:
+    """What an engine compares: by segment its class, content, anchor's place minus first start, number of starts, and copies."""
+
+    anchor: np.ndarray
+    body: pa.Array
+    lead: np.ndarray
+    starts: np.ndarray
+    copies: np.ndarray
+
+
+#: The repeated starts as runs: segment, first and last start counted from the segment's first.
+Runs = tuple[np.ndarray, np.ndarray, np.ndarray]
+Engine = Callable[[Segments, int], Runs]
 
 
 @dataclass(frozen=True)
@@ -57,11 +71,18 @@ class Unit:
     def symbols(self, text: str) -> list | bytes:
         return WORD.findall(text) if self.words else text.encode()
 
+    def bounds(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each symbol begins and ends, and which is each text's first."""
+        if self.words:
+            return word_bounds(data, offsets)
+        at = np.arange(len(data) + 1)
+        return at[:-1], at[1:], offsets
+
     def pack(self, symbols: list | bytes) -> bytes:
         return " ".join(symbols).encode() if self.words else symbols
 
-    def unpack(self, packed: bytes) -> list | bytes:
-        return packed.decode().split(" ") if self.words else packed
+    def unpack(self, body: bytes) -> list | bytes:
+        return WORD.findall(body.decode()) if self.words else body
 
     def join(self, parts: list) -> bytes:
         """Kept parts as bytes."""
@@ -130,36 +151,47 @@ def _anchored(unit: Unit) -> Callable:
     return rows
 
 
+def _cut(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Pieces of ``data`` as a binary array."""
+    lengths = ends - starts
+    before = np.concatenate([[0], np.cumsum(lengths)])
+    picked = data[np.repeat(starts - before[:-1], lengths) + np.arange(before[-1])] if len(starts) else data[:0]
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(before.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(picked))]).cast(pa.binary())
+
+
+_PLACE = ("anchor", "digest", "a", "b", "lead", "n")
+
+
 def _fetched(unit: Unit) -> Callable:
-    """(text, places) to the symbols of each place."""
+    """(key, text, places) to the content of each place."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                symbols = unit.symbols(batch.column("text")[i].as_py())
-                places = batch.column("places")[i].as_py()
-                columns = {c: [p[c] for p in places] for c in ("anchor", "digest", "a", "b", "lead", "n")}
-                body = [unit.pack(symbols[p["a"] : p["b"] + unit.length]) for p in places]
-                kinds = {"anchor": pa.int64(), "digest": pa.binary(), "a": pa.int32(), "b": pa.int32(), "lead": pa.int32(), "n": pa.int64()}
-                key = pa.array([batch.column("key")[i].as_py()] * len(places), pa.binary())
-                yield pa.RecordBatch.from_arrays([key, *[pa.array(columns[c], t) for c, t in kinds.items()], pa.array(body, pa.binary())], names=["key", *kinds, "body"])
+            for row, data, offsets in chunks(batch.column("text")):
+                own = batch.column("places").slice(row, len(offsets) - 1)
+                places, of = own.flatten(), np.repeat(np.arange(len(own)), own.value_lengths().to_numpy())
+                begin, end, first = unit.bounds(data, offsets)
+                a, b = (places.field(c).to_numpy() for c in ("a", "b"))
+                body = _cut(data, begin[first[of] + a], end[first[of] + b + unit.length - 1]) if len(of) else pa.array([], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(of + row)), *[places.field(c) for c in _PLACE], body], names=["key", *_PLACE, "body"])
 
     return rows
 
 
-_HITS = "key binary, a int, b int"
+_FOUND = "key binary, anchor long, digest binary, n long, start int, first int, last int"
 _COUNTED = "anchor long, window binary, times int, key binary, at int"
 
 
 def _compared(unit: Unit, engine: Engine) -> Callable:
-    """Segments of some classes to the repeated starts of those that are there once."""
+    """Segments of some classes to their repeated starts."""
 
     def table(rows: pa.Table) -> pa.Table:
-        r = rows.to_pydict()
-        listed = [(x, unit.unpack(body), lead, b - a + 1, n) for x, body, lead, a, b, n in zip(r["anchor"], r["body"], r["lead"], r["a"], r["b"], r["n"], strict=True)]
-        found = engine(listed, unit.length)
-        out = [(key, a + i, a + j) for key, a, n, spans in zip(r["key"], r["a"], r["n"], found, strict=True) if n == 1 for i, j in spans]
-        return pa.table({"key": pa.array([x[0] for x in out], pa.binary()), "a": pa.array([x[1] for x in out], pa.int32()), "b": pa.array([x[2] for x in out], pa.int32())})
+        rows = rows.combine_chunks()
+        column = lambda c: rows.column(c).to_numpy()
+        body = rows.column("body").chunk(0) if rows.num_rows else pa.array([], pa.binary())
+        segment, first, last = engine(Segments(column("anchor"), body, column("lead"), column("b") - column("a") + 1, column("n")), unit.length)
+        own = rows.select(["key", "anchor", "digest", "n", "a"]).rename_columns(["key", "anchor", "digest", "n", "start"]).take(pa.array(segment))
+        return own.append_column("first", pa.array(first, pa.int32())).append_column("last", pa.array(last, pa.int32()))
 
     return table
 
@@ -190,35 +222,63 @@ def _windows(unit: Unit) -> Callable:
     return rows
 
 
-def repeated_starts(texts: DataFrame, unit: Unit, engine: Engine) -> DataFrame:
-    """``key``, ``spans`` (array of a, b): starts of repeated windows, for texts (key, text) that have any.
+def shared_segments(texts: DataFrame, unit: Unit) -> tuple[DataFrame, DataFrame]:
+    """Places and kinds of the segments whose anchor the corpus has twice.
 
-    Equal keys mean equal texts; every row counts as a text of its own.
+    Places: ``key``, ``anchor``, ``digest``, ``a``, ``b``, ``lead``. Kinds: ``anchor``, ``digest``, ``n`` places, ``one`` of them.
     """
     # most anchors are there once: a first pass over the texts finds the others, 8 bytes each
-    shared = stash(texts.select("text").mapInArrow(_anchors(unit), "anchor long").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"))
-    places = stash(texts.mapInArrow(_anchored(unit), "key binary, anchor long, digest binary, a int, b int, lead int").join(shared, "anchor", "left_semi"))
-    kinds = stash(places.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "a", "b", "lead")).alias("one")))
-    again = kinds.filter("n > 1").select("anchor", "digest")
-    alike = places.join(again, ["anchor", "digest"]).select("key", "a", "b").distinct()
-    # classes with different segments, one of which at least is there once
-    split = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1").select("anchor", "kinds")
-    open_places = kinds.join(split, "anchor").select("one.key", F.struct("anchor", "digest", "one.a", "one.b", "one.lead", "n").alias("place")).groupBy("key").agg(F.collect_list("place").alias("places"))
-    once = texts.join(open_places.select("key"), "key", "left_semi").dropDuplicates(["key"])
-    bodies = once.join(open_places, "key").mapInArrow(_fetched(unit), "key binary, anchor long, digest binary, a int, b int, lead int, n long, body binary")
-    salted = bodies.join(split, "anchor").withColumn("salts", F.ceil(F.col("kinds") / CLASS).cast("int"))
-    open_segments = stash(salted.withColumn("salt", F.pmod(F.xxhash64("digest"), F.col("salts"))).drop("kinds"))
-    tasks = max(1, -(-open_segments.count() // TASK))
+    shared = stash(texts.select("text").mapInArrow(thrifty(_anchors(unit)), "anchor long").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"))
+    places = stash(texts.mapInArrow(thrifty(_anchored(unit)), "key binary, anchor long, digest binary, a int, b int, lead int").join(shared, "anchor", "left_semi"))
+    drop(shared)
+    return places, stash(places.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "a", "b", "lead")).alias("one")))
+
+
+def bodies_of(kinds: DataFrame, texts: DataFrame, unit: Unit) -> DataFrame:
+    """``kinds`` with the content of one place each: ``key``, ``anchor``, ``digest``, ``a``, ``b``, ``lead``, ``n``, ``body``."""
+    wanted = kinds.select("one.key", F.struct("anchor", "digest", "one.a", "one.b", "one.lead", "n").alias("place")).groupBy("key").agg(F.collect_list("place").alias("places"))
+    once = texts.join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"])
+    return once.join(wanted, "key").select("key", "text", "places").mapInArrow(thrifty(_fetched(unit)), "key binary, anchor long, digest binary, a int, b int, lead int, n long, body binary")
+
+
+def compared(kinds: DataFrame, texts: DataFrame, unit: Unit, engine: Engine) -> tuple[DataFrame, DataFrame]:
+    """Repeated starts of the kinds, class by class, and (key, a, b) of those that only a count across tasks finds."""
+    classes = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).select("anchor", F.ceil(F.col("kinds") / CLASS).cast("int").alias("salts"))
+    salted = bodies_of(kinds, texts, unit).join(classes, "anchor")
+    segments = stash(salted.withColumn("salt", F.pmod(F.xxhash64("digest"), F.col("salts"))))
+    tasks = max(1, -(-segments.count() // TASK))
     dealt = F.when(F.col("salts") == 1, F.pmod(F.xxhash64("anchor"), F.lit(tasks)).cast("string")).otherwise(F.concat_ws("/", F.col("anchor").cast("string"), "salt"))
-    found = stash(open_segments.withColumn("task", dealt).groupBy("task").applyInArrow(_compared(unit, engine), _HITS))
-    large = open_segments.filter("salts > 1")
-    hits = alike.union(found)
-    if not large.isEmpty():
-        known = found.groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("known"))
-        counted = stash(large.join(known, "key", "left").mapInArrow(_windows(unit), _COUNTED))
+    found = stash(segments.withColumn("task", dealt).groupBy("task").applyInArrow(_compared(unit, engine), _FOUND))
+    large = segments.filter("salts > 1")
+    if large.isEmpty():
+        across = found.filter("false").select("key", F.col("first").alias("a"), F.col("last").alias("b"))
+    else:
+        known = found.filter("n = 1").groupBy("key").agg(F.collect_list(F.struct((F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last")).alias("b"))).alias("known"))
+        counted = stash(large.join(known, "key", "left").mapInArrow(thrifty(_windows(unit)), _COUNTED))
         twice = counted.groupBy("anchor", "window").agg(F.sum("times").alias("times")).filter("times > 1").select("anchor", "window")
-        hits = hits.union(counted.filter("key is not null").join(twice, ["anchor", "window"]).select("key", F.col("at").alias("a"), F.col("at").alias("b")))
-    return stash(hits).groupBy("key").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans"))
+        across = stash(counted.filter("key is not null").join(twice, ["anchor", "window"]).select("key", F.col("at").alias("a"), F.col("at").alias("b")))
+        drop(counted)
+    drop(segments)
+    return found, across
+
+
+def repeated_starts(texts: DataFrame, unit: Unit, engine: Engine, places: DataFrame, kinds: DataFrame) -> DataFrame:
+    """``key``, ``spans`` (array of a, b): starts of repeated windows, for texts (key, text) that have any.
+
+    Equal keys mean equal texts; every row counts as a text of its own.
+    ``places`` and ``kinds`` are those of ``shared_segments``, dropped when done.
+    """
+    found, across = compared(kinds, texts, unit, engine)
+    once = found.filter("n = 1").select("key", (F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last")).alias("b"))
+    copies = places.join(found.filter("n > 1").select("anchor", "digest", "first", "last"), ["anchor", "digest"]).select("key", (F.col("a") + F.col("first")).alias("a"), (F.col("a") + F.col("last")).alias("b")).distinct()
+    hits = stash(once.union(copies).union(across))
+    drop(places, kinds, found, across)
+    return spans_of(hits)
+
+
+def spans_of(hits: DataFrame) -> DataFrame:
+    """(key, a, b) to ``key``, ``spans``."""
+    return hits.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans"))
 
 
 def _removed(unit: Unit, total: str) -> Callable:
@@ -254,11 +314,21 @@ def key_of(text):
     return F.unhex(F.md5(text))
 
 
-def remove_repeats(docs: DataFrame, unit: Unit, engine: Engine, row_id: str, text: str, total: str) -> DataFrame:
-    """Per row: ``row_id``, ``total`` symbols, ``n_removed``, ``n_spans``, ``kept_sha256``."""
+def keyed(docs: DataFrame, row_id: str, text: str) -> DataFrame:
+    """``id``, ``text`` (empty for null) and ``key``, a digest that stands for it."""
     slim = docs.select(docs[row_id].alias("id"), F.coalesce(docs[text], F.lit("")).alias("text"))
-    texts = slim.select(key_of("text").alias("key"), "text")
-    spans = repeated_starts(texts, unit, engine)
-    kind = slim.schema["id"].dataType.simpleString()
-    out = slim.withColumn("key", key_of("text")).join(spans, "key", "left").select("id", "text", "spans").mapInArrow(_removed(unit, total), f"id {kind}, {total} long, n_removed long, n_spans long, kept_sha256 string")
+    return slim.withColumn("key", F.unhex(F.md5("text")))
+
+
+def without(rows: DataFrame, spans: DataFrame, unit: Unit, row_id: str, total: str) -> DataFrame:
+    """Per row of ``keyed``: ``row_id``, ``total`` symbols, ``n_removed``, ``n_spans``, ``kept_sha256``."""
+    kind = rows.schema["id"].dataType.simpleString()
+    out = rows.join(spans, "key", "left").select("id", "text", "spans").mapInArrow(thrifty(_removed(unit, total)), f"id {kind}, {total} long, n_removed long, n_spans long, kept_sha256 string")
     return out.withColumnRenamed("id", row_id)
+
+
+def remove_repeats(docs: DataFrame, unit: Unit, engine: Engine, row_id: str, text: str, total: str) -> DataFrame:
+    """Per row: ``row_id``, ``total`` symbols, ``n_removed``, ``n_spans``, ``kept_sha256``."""
+    rows = keyed(docs, row_id, text)
+    texts = rows.select("key", "text")
+    return without(rows, repeated_starts(texts, unit, engine, *shared_segments(texts, unit)), unit, row_id, total)
