@@ -11,17 +11,20 @@ opens.
 A document longer than a bin is cut: full bins of its own, and a tail that is
 packed. Best fit is sequential, so the corpus is dealt by a hash of the row
 into groups of some GROUP_ROWS rows, packed side by side; their number grows
-with the corpus, and a hot source or cluster is spread over all of them.
+with the corpus, and a hot source or cluster is spread over all of them. Where
+a row goes depends on the rows only, not on how they are partitioned.
 """
 
 from __future__ import annotations
 
 import bisect
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from engrama.llm.columns import plain_words
+from engrama.llm.shared import stash
 
 CAPACITY = 2048
 PER_SOURCE = 2
@@ -91,35 +94,38 @@ def word_count(text: Column) -> Column:
     return F.size(plain_words(text))
 
 
-def pack(docs: DataFrame, size: Column | None = None, capacity: int = CAPACITY, per_source: int = PER_SOURCE, row_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, size: Column | None = None, capacity: int = CAPACITY, per_source: int = PER_SOURCE, row_id: str = "doc_id", source: str = "source", text: str = "text", cluster: str | None = None, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Per piece: ``row_id``, ``piece``, ``start``, ``length``, ``bin``, ``offset``.
 
     ``size`` defaults to the number of words. ``start`` is where the piece
     begins in its document, ``offset`` where it stands in its bin; bins are
     named ``group-number``, and ``whole-row-piece`` where one piece fills a
-    bin. Documents are clusters by equal text; a null source or text conflicts
-    with nothing. A document without a unit gives one piece of length 0 that is
-    placed like any other. Repeated rows are equal texts: they land in
-    different bins.
+    bin. Clusters are those of the column ``cluster``, such as the classes of
+    near-duplicates, or else equal texts; a null source, cluster or text
+    conflicts with nothing. A document without a unit gives one piece of length
+    0 that is placed like any other; a very long one fills bins of its own.
+    Repeated rows are equal texts: they land in different bins. An empty table
+    gives no rows.
     """
     amount = (size if size is not None else word_count(docs[text])).cast("long")
     body = docs[text]
-    cluster = F.when(F.length(body) > 0, F.hex(F.xxhash64(body)))
-    slim = docs.select(docs[row_id].alias("id"), docs[source].cast("string").alias("source"), cluster.alias("cluster"), F.coalesce(amount, F.lit(0).cast("long")).alias("amount"))
-    groups = max(1, -(-docs.count() // GROUP_ROWS))
+    held = docs[cluster].cast("string") if cluster else F.when(F.length(body) > 0, F.hex(F.xxhash64(body)))
+    slim = docs.select(docs[row_id].alias("id"), docs[source].cast("string").alias("source"), held.alias("cluster"), F.coalesce(amount, F.lit(0).cast("long")).alias("amount"))
+    # repeated rows are told apart by a number
+    counted = slim.groupBy("id", "source", "cluster", "amount").agg(F.count(F.lit(1)).alias("n"))
+    rows = stash(counted.select("id", "source", "cluster", "amount", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy")))
+    groups = max(1, -(-rows.count() // group_rows))
     full, tail = F.expr(f"amount div {capacity}"), F.col("amount") % capacity
-    # repeated rows share an id and a text: where a row stands in the input tells them apart
-    place = F.monotonically_increasing_id()
-    whole = slim.filter(full > 0).select("id", F.concat(F.lit("whole-"), place.cast("string")).alias("name"), F.explode(F.sequence(F.lit(0).cast("long"), full - 1)).alias("piece"))
+    whole = rows.filter(full > 0).select("id", F.concat(F.lit("whole-"), F.md5(F.to_json(F.struct("id", "source", "cluster", "amount", "copy")))).alias("name"), F.explode(F.sequence(F.lit(0).cast("long"), full - 1)).alias("piece"))
     wholes = whole.select("id", "piece", (F.col("piece") * capacity).alias("start"), F.lit(capacity).cast("long").alias("length"), F.concat_ws("-", "name", F.col("piece").cast("string")).alias("bin"), F.lit(0).cast("long").alias("offset"))
-    group = F.pmod(F.xxhash64("id", place), F.lit(groups)).cast("int")
-    tails = slim.filter((tail > 0) | (F.col("amount") == 0)).select("id", "source", "cluster", full.alias("piece"), tail.alias("length"), group.alias("group"))
+    group = F.pmod(F.xxhash64("id", "source", "cluster", "amount", "copy"), F.lit(groups)).cast("int")
+    tails = rows.filter((tail > 0) | (F.col("amount") == 0)).select("id", "source", "cluster", full.alias("piece"), tail.alias("length"), group.alias("group"))
 
     kind = slim.schema["id"].dataType.simpleString()
 
     def packed(rows: pa.Table) -> pa.Table:
         r = rows.to_pydict()
-        order = sorted(range(rows.num_rows), key=lambda i: (-r["length"][i], str(r["id"][i]), r["cluster"][i] or ""))
+        order = sorted(range(rows.num_rows), key=lambda i: (-r["length"][i], str(r["id"][i]), r["cluster"][i] or "", r["source"][i] or ""))
         placed = pack_group(*[[r[c][i] for i in order] for c in ("length", "source", "cluster")], capacity, per_source)
         out = rows.select(["id", "piece", "length"]).take(order)
         return out.append_column("bin", pa.array([f"{r['group'][0]}-{b}" for b, _ in placed], pa.string())).append_column("offset", pa.array([o for _, o in placed], pa.int64()))

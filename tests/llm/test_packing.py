@@ -50,5 +50,36 @@ def test_bins_hold_their_promises(spark):
         assert len(set(own)) == len(own)
 
 
+def placed(rows):
+    return sorted(tuple(r) for r in rows.collect())
+
+
+def test_every_group_equals_exhaustive_best_fit(spark):
+    texts = hostile_texts(n=60)
+    docs = documents(spark, texts)
+    got = pack(docs, capacity=100, group_rows=16)
+    assert placed(got) == placed(pack(docs.repartition(7), capacity=100, group_rows=16))
+    source = {r.doc_id: r.source for r in docs.collect()}
+    groups = {}
+    for r in got.collect():
+        if not r.bin.startswith("whole"):
+            groups.setdefault(r.bin.split("-")[0], []).append(r)
+    assert len(groups) > 2
+    cluster = {r.doc_id: r.c for r in docs.selectExpr("doc_id", "if(length(text) > 0, hex(xxhash64(text)), null) c").collect()}
+    for name, rows in groups.items():
+        rows.sort(key=lambda r: (-r.length, str(r.doc_id), cluster[r.doc_id] or "", source[r.doc_id] or ""))
+        expected = naive([r.length for r in rows], [source[r.doc_id] for r in rows], [cluster[r.doc_id] for r in rows], 100, 2)
+        # of repeated rows either may be the first
+        assert sorted((r.doc_id, r.bin, r.offset) for r in rows) == sorted((r.doc_id, f"{name}-{b}", at) for r, (b, at) in zip(rows, expected))
+
+
+def test_clusters_of_a_column_conflict(spark):
+    docs = spark.createDataFrame([(i, f"text {i}", None, i // 4) for i in range(40)], "doc_id long, text string, source string, class_id long")
+    bins = {}
+    for r in pack(docs, capacity=100, cluster="class_id").collect():
+        bins.setdefault(r.bin, []).append(r.doc_id // 4)
+    assert len(bins) == 4 and all(len(set(held)) == len(held) for held in bins.values())
+
+
 def test_empty(spark):
     assert pack(documents(spark, [])).count() == 0
