@@ -2,6 +2,11 @@
 
 Each stage works on all rows that the one before it kept. Between stages the
 rows are written as Parquet in the shared folder.
+
+Every stage but the last returns the columns that it was given. An empty table
+passes through all of them; a null text counts as empty, so quality rules reject
+it, and a stage that meets one nevertheless keeps it as it is. Repeated rows are
+equal texts: one stays after near-dedup. Texts are worked on whole.
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ from engrama.llm.packing import pack
 from engrama.llm.probminhash import representatives
 from engrama.llm.quality_ledger import STRICT, apply_policy, ledger
 from engrama.llm.secret_battery import redact
-from engrama.llm.shared import stash
+from engrama.llm.shared import drop, stash
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +65,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = stash(stage(spark, docs, sf_dir))
+        kept = stash(stage(spark, docs, sf_dir))
+        drop(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
