@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from engrama.llm.shared import stash
+from engrama.llm.shared import drop, stash
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -35,7 +35,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now, seen = stash(edges.select("u", "v").filter("u != v").distinct()), None
     while True:
-        now = stash(_small(_large(now)))
+        before, now = now, stash(_small(_large(now)))
+        drop(before)
         mark = now.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if mark == seen or not mark["n"]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

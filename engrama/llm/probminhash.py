@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from engrama.llm.components import components
 from engrama.llm.hashing import RunHashes, chunks, mixed, thrifty, word_values
-from engrama.llm.shared import broadcast_if, stash
+from engrama.llm.shared import broadcast_if, drop, stash
 
 WIDTH = 5
 SIMILAR = 0.8
@@ -185,7 +185,9 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     sets = _sets_of(stash(pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct()), docs)
     left = pairs.join(sets.withColumnRenamed("key", "u"), "u")
     both = left.join(sets.select(F.col("key").alias("v"), F.col("s").alias("s2"), F.col("c").alias("c2")), "v")
-    return stash(both.select("u", "v", "s", "c", "s2", "c2").mapInArrow(thrifty(_verified), "u binary, v binary"))
+    links = stash(both.select("u", "v", "s", "c", "s2", "c2").mapInArrow(thrifty(_verified), "u binary, v binary"))
+    drop(pairs, sets)
+    return links
 
 
 def _across(rows: pa.Table) -> pa.Table:
@@ -241,12 +243,14 @@ def remaining(buckets: DataFrame, nodes: DataFrame, roots: DataFrame, docs: Data
     member = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed_up = member.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("n")).filter("a != b").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     open_members = stash(member.join(mixed_up, "bucket"))
-    sets = _sets_of(stash(open_members.select(F.col("node").alias("key")).distinct()), docs).withColumnRenamed("key", "node")
-    own = open_members.join(nodes.select("node", "signature", "bands").join(sets, "node"), "node")
+    sets = _sets_of(stash(open_members.select(F.col("node").alias("key")).distinct()), docs)
+    own = open_members.join(nodes.select("node", "signature", "bands").join(sets.withColumnRenamed("key", "node"), "node"), "node")
     block = F.pmod(F.hash("node"), F.col("blocks"))
     sides = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("block"), o).alias("i"), F.greatest(F.col("block"), o).alias("j"), F.when(F.col("block") <= o, 0).otherwise(1).alias("side")))
     dealt = own.withColumn("block", block).select("bucket", "node", "root", "signature", "bands", "s", "c", F.inline(sides))
-    return stash(dealt.groupBy("bucket", "i", "j").applyInArrow(_across, "u binary, v binary"))
+    links = stash(dealt.groupBy("bucket", "i", "j").applyInArrow(_across, "u binary, v binary"))
+    drop(open_members, sets)
+    return links
 
 
 def _rooted(docs: DataFrame, row_id: str, text: str) -> DataFrame:
@@ -269,7 +273,9 @@ def _rooted(docs: DataFrame, row_id: str, text: str) -> DataFrame:
     blank = F.length(F.translate("text", " \t\n\x0b\x0c\r", "")) == 0
     rows = slim.select("id", _key("text").alias("node"), blank.alias("blank"), F.monotonically_increasing_id().cast("string").alias("place"))
     placed = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return stash(placed.select("id", "node", F.when(F.col("blank"), F.concat(F.lit("blank-"), "place")).otherwise(F.hex("root")).alias("root")))
+    out = stash(placed.select("id", "node", F.when(F.col("blank"), F.concat(F.lit("blank-"), "place")).otherwise(F.hex("root")).alias("root")))
+    drop(nodes, met, links, more)
+    return out
 
 
 def classes(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
