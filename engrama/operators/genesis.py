@@ -54,8 +54,32 @@ def source_ids(routing: DataFrame, settings: Settings = Settings()) -> DataFrame
     return routing.filter(F.coalesce("score", F.lit(1.0)) >= settings.source_min_score).groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.coalesce("score", F.lit(1.0))).alias("s"), "id"))), lambda x: x["id"]).alias("ids"))
 
 
-def merged_content(content: Column, evidence: Column, date: Column, known: Column, more: Column) -> tuple[Column, Column]:
-    """A note's content with the evidence appended and its date stamped, unless it is there; and the united origins."""
-    stamped = F.regexp_replace(content, r"(?m)^updated: .*$", "updated: ")
-    stamped = F.when(content.rlike(r"(?m)^updated: "), F.replace(stamped, F.lit("updated: "), F.concat(F.lit("updated: "), date))).otherwise(content)
-    return F.when(text.has_evidence(content, evidence), content).otherwise(F.concat(stamped, F.lit("\n## Evidence\n\n- "), date, F.lit(": "), evidence, F.lit("\n"))), F.array_union(known, more)
+def stamped(content: Column, field: str, value: Column) -> Column:
+    """The note with a frontmatter field set: its first line of that name, else a new last line of the frontmatter; without one, as it is."""
+    first = rf"(?s)\A((?:.*?\n)??){field}:\s*[^\n]*"
+    end = F.locate("\n---", content, 5)
+    inserted = F.concat(F.substring(content, F.lit(1), end - 1), F.lit(f"\n{field}: "), value, F.substring(content, end, F.length(content)))
+    return (
+        F.when(content.rlike(first), F.regexp_replace(content, F.lit(first), F.concat(F.lit(f"$1{field}: "), F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$")))))
+        .when(content.startswith("---\n") & (end > 0), inserted)
+        .otherwise(content)
+    )
+
+
+def merged_content(content: Column, evidence: Column, date: Column, known: Column, more: Column, sources: Column | None = None, query: Column | None = None) -> tuple[Column, Column]:
+    """A note's content with the evidence appended, its date stamped and its origins united, unless the evidence is there or blank; and those origins.
+
+    ``sources`` are the notes it came from, of which three are named; without
+    any it came from a recovered session.
+    """
+    origins = F.array_union(known, more)
+    named = F.array_join(F.slice(sources, 1, 3), ", ") if sources is not None else F.lit("")
+    asked = F.substring(F.trim(F.regexp_replace(F.coalesce(query, F.lit("")), r"\s+", " ")), 1, 240) if query is not None else F.lit("")
+    # the form of a section is a fixed value
+    section = F.concat(
+        F.lit("\n\n## Assimilated Evidence\n- **"), date, F.lit("** — "), F.regexp_replace(evidence, r"^\s+|\s+$", ""),
+        F.lit("\n  - source: "), F.when(named == "", F.lit("session recovery")).otherwise(named), F.lit("\n  - query: "), asked, F.lit("\n\n"),
+    )
+    merged = F.concat(F.regexp_replace(content, r"\s+\z", ""), section)
+    merged = F.when(F.size(more) > 0, stamped(merged, "activated_from_ids", F.to_json(origins))).otherwise(merged)
+    return F.when(text.has_evidence(content, evidence), content).otherwise(stamped(merged, "updated", date)), origins

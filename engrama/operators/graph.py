@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -51,13 +52,19 @@ def unresolved(links: DataFrame) -> DataFrame:
 
 
 def wikilink_edges(links: DataFrame) -> DataFrame:
-    """Resolved links other than to oneself."""
-    return links.filter(F.col("dst").isNotNull() & (F.col("src") != F.col("dst"))).select("src", "dst", "display", *_kind("wikilink", 1.0, explicit=True))
+    """Resolved links other than to oneself; explicit are those whose target names its source."""
+    explicit = paths.explicit_target(F.col("target_raw")).isNotNull()
+    return links.filter(F.col("dst").isNotNull() & (F.col("src") != F.col("dst"))).select("src", "dst", "display", *_kind("wikilink", 1.0, explicit=explicit))
 
 
-def _kind(name: str | Column, weight: float, explicit: bool = False, generated: bool = False, relation: Column | None = None, group: Column | None = None) -> list[Column]:
+def without_dangling(links: DataFrame, nodes: DataFrame, ignored: bool) -> DataFrame:
+    """Links that lead to a note, where some notes were ignored; else all of them."""
+    return links.join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi").select(*links.columns) if ignored else links
+
+
+def _kind(name: str | Column, weight: float, explicit: bool | Column = False, generated: bool = False, relation: Column | None = None, group: Column | None = None) -> list[Column]:
     null = F.lit(None).cast("string")
-    return [(F.lit(name) if isinstance(name, str) else name).alias("type"), F.lit(weight).alias("weight"), F.lit(explicit).alias("explicit"), (null if relation is None else relation).alias("relation"), (null if group is None else group).alias("group_id"), F.lit(generated).alias("generated"), F.lit(True).alias("traversable")]
+    return [(F.lit(name) if isinstance(name, str) else name).alias("type"), F.lit(weight).alias("weight"), (F.lit(explicit) if isinstance(explicit, bool) else explicit).alias("explicit"), (null if relation is None else relation).alias("relation"), (null if group is None else group).alias("group_id"), F.lit(generated).alias("generated"), F.lit(True).alias("traversable")]
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -76,7 +83,7 @@ def provenance_edges(nodes: DataFrame, existing: DataFrame) -> tuple[DataFrame,
     """Edges between a note and the notes it was made from, both ways; and origins that are no notes."""
     named = nodes.select("id", F.explode("activated_from_ids").alias("origin"))
     known = nodes.select(F.col("id").alias("origin"))
-    pairs = named.join(known, "origin").select(F.col("id").alias("src"), F.col("origin").alias("dst"), F.lit("").alias("display"), *_kind("neurogenesis_source", 1.0, generated=True))
+    pairs = named.join(known, "origin").select(F.col("id").alias("src"), F.col("origin").alias("dst"), F.lit("").alias("display"), *_kind("neurogenesis_source", 0.35, generated=True, relation=F.lit("activated_from")))
     missing = named.join(known, "origin", "left_anti").select(F.lit("neurogenesis_source").alias("kind"), F.col("id").alias("source"), F.col("origin").alias("target"))
     return new_edges(both_ways(pairs), existing, by_type=True), missing
 
@@ -104,14 +111,24 @@ def counterpart_edges(counterparts: DataFrame, documents: DataFrame, existing: D
     outside = ids.filter("source_type = 'external'").select("source_id", F.col("relative_path").alias("external_path"), F.col("id").alias("external_node"))
     met = counterparts.join(inside, "vault_path", "left").join(outside, ["source_id", "external_path"], "left")
     checked = met.select("*", F.when(F.col("vault_node").isNull() | F.col("external_node").isNull(), F.raise_error(F.concat(F.lit("counterpart without a note: "), "vault_path", F.lit(" / "), "external_path"))).alias("__ok")).filter("__ok is null")
-    direct = both_ways(checked.select(F.col("vault_node").alias("src"), F.col("external_node").alias("dst"), F.lit("").alias("display"), *_kind("counterpart", 1.0, explicit=True, relation=F.col("relation"), group=F.col("group_id"))))
+    kind = F.when(F.col("relation") == "same_project", "counterpart").otherwise("project_reference")
+    direct = both_ways(checked.select(F.col("vault_node").alias("src"), F.col("external_node").alias("dst"), F.lit("").alias("display"), *_kind(kind, 1.0, generated=True, relation=F.col("relation"), group=F.col("group_id"))))
     direct = new_edges(direct, existing, by_type=True)
     group = F.split("external_path", "/")[0]
     own = outside.withColumn("__g", group)
     spread = own.drop("external_path").join(checked.select("source_id", "group_id", "relation", "vault_node", group.alias("__g")), ["source_id", "__g"])
     kind = F.when(F.col("relation") == "same_project", "project_context").otherwise("project_reference")
     near = spread.select(F.col("external_node").alias("src"), F.col("vault_node").alias("dst"), F.lit("").alias("display"), *_kind(kind, 0.55, generated=True, relation=F.col("relation"), group=F.col("group_id")))
-    return direct.unionByName(new_edges(near, existing.unionByName(direct.select(*existing.columns)) if set(existing.columns) <= set(direct.columns) else existing))
+    return direct.unionByName(new_edges(near, existing.select("src", "dst").union(direct.select("src", "dst"))))
+
+
+def counterpart_groups(nodes: DataFrame, counterparts: DataFrame) -> DataFrame:
+    """``nodes`` whose two ends of a ``same_project`` counterpart are in its group; of several groups the last by name."""
+    same = counterparts.filter("relation = 'same_project'")
+    inside = same.select(paths.canonical_id(F.lit("vault"), F.lit("vault"), F.col("vault_path")).alias("id"), "group_id")
+    outside = same.select(paths.canonical_id(F.lit("external"), F.col("source_id"), F.col("external_path")).alias("id"), "group_id")
+    named = inside.union(outside).groupBy("id").agg(F.max("group_id").alias("__g"))
+    return nodes.join(named, "id", "left").withColumn("project_group", F.coalesce("__g", "project_group")).select(*nodes.columns)
 
 
 def degree(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -166,6 +183,23 @@ def snapshot_diff(old: DataFrame, new: DataFrame, compared: list[str]) -> DataFr
     return o.join(n, F.col("o.id") == F.col("n.id"), "full_outer").select(F.coalesce("n.id", "o.id").alias("id"), change.alias("change")).filter("change is not null")
 
 
+def incremental_update(cached_nodes: DataFrame, cached_links: DataFrame, documents: DataFrame, nodes_of: Callable[[DataFrame], DataFrame], links_of: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Notes, raw links and changes (id, change) after a scan, of which only new and changed documents are parsed.
+
+    ``documents`` and ``cached_nodes`` have ``id`` and ``mtime``; ``cached_links``
+    ``src``, ``target_raw`` and more. Links of changed and deleted notes go, and
+    of the others those to deleted ones; targets are resolved by the caller, so
+    a note that is new also gets the links that waited for it.
+    """
+    changes = snapshot_diff(cached_nodes.select("id", "mtime"), documents.select("id", "mtime"), ["mtime"])
+    fresh = documents.join(changes.filter("change != 'deleted'").select("id"), "id", "left_semi").select(*documents.columns)
+    stale = changes.filter("change != 'added'").select("id")
+    gone = changes.filter("change = 'deleted'").select(F.col("id").alias("target_raw"))
+    nodes = cached_nodes.join(stale, "id", "left_anti").unionByName(nodes_of(fresh).select(*cached_nodes.columns))
+    kept = cached_links.join(stale.withColumnRenamed("id", "src"), "src", "left_anti").join(gone, "target_raw", "left_anti").select(*cached_links.columns)
+    return nodes, kept.unionByName(links_of(fresh).select(*cached_links.columns)), changes
+
+
 def refresh_plan(stored: DataFrame, current: DataFrame, force: bool = False) -> DataFrame:
     """id, action: embed (new or changed hash, or all), delete, keep. Both sides: id, content_hash."""
     s, c = stored.alias("s"), current.alias("c")
@@ -184,6 +218,63 @@ def migrate_ids(synapses: DataFrame, mapping: DataFrame) -> DataFrame:
     return moved.filter("note_a != note_b").groupBy("note_a", "note_b").agg(F.max("r").alias("r")).select("note_a", "note_b", *[F.col(f"r.{c}").alias(c) for c in rest])
 
 
+def migrate_quality(quality: DataFrame, mapping: DataFrame, order: str = "id") -> DataFrame:
+    """Quality rows under their new ids (old_id, new_id); of those that collide the last by ``order`` stays."""
+    moved = quality.join(mapping.select(F.col("old_id").alias("id"), "new_id"), "id", "left")
+    rest = [c for c in quality.columns if c != "id"]
+    last = moved.groupBy(F.coalesce("new_id", "id").alias("__new")).agg(F.max_by(F.struct(*rest), F.col(order)).alias("r"))
+    return last.select(F.col("__new").alias("id"), *[F.col(f"r.{c}").alias(c) for c in rest]).select(*quality.columns)
+
+
+def source_counts(nodes: DataFrame) -> DataFrame:
+    """source_type, source_id, notes."""
+    return nodes.groupBy("source_type", "source_id").agg(F.count(F.lit(1)).alias("notes"))
+
+
+def link_counts(edges: DataFrame) -> DataFrame:
+    """One row: resolved wikilinks and counterpart edges."""
+    return edges.agg(F.count_if(F.col("type") == "wikilink").alias("wikilinks"), F.count_if(F.col("type") == "counterpart").alias("counterparts"))
+
+
+def find_note(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """asked, id: the note of exactly the asked id, else the first in id order that differs in case only."""
+    met = wanted.join(nodes.select("id"), F.lower("asked") == F.lower("id"))
+    return met.groupBy("asked").agg(F.min_by("id", F.struct(F.col("id") != F.col("asked"), "id")).alias("id"))
+
+
+#: Edges that are shown where only direct ones are: fixed values.
+DIRECT = ("wikilink", "counterpart", "project_context", "project_reference")
+#: Weight of learned edges from which an overview shows them: a fixed value.
+OVERVIEW_WEIGHT = 0.42
+
+
+def visible_edges(edges: DataFrame, hebbian_from: float = 0.0, direct_only: bool = False, phantoms: bool = True, hidden: tuple[str, ...] = (), overview: bool = False, nodes: DataFrame | None = None) -> DataFrame:
+    """Edges (src, dst, type, weight) that the controls let through; with ``nodes``, only between those."""
+    kind = F.coalesce("type", F.lit("wikilink"))
+    if direct_only:
+        shown = edges.filter(kind.isin(*DIRECT))
+    else:
+        least = max(hebbian_from, OVERVIEW_WEIGHT) if overview else hebbian_from
+        shown = edges.filter(~kind.isin(*hidden) & ((kind != "hebbian") | (F.coalesce("weight", F.lit(0.0)) >= least)) & ((kind != "phantom") | F.lit(phantoms)))
+    if nodes is None:
+        return shown
+    here = nodes.select(F.col("id").alias("src"))
+    return shown.join(here, "src", "left_semi").join(here.withColumnRenamed("src", "dst"), "dst", "left_semi").select(*edges.columns)
+
+
+def neighbourhood(edges: DataFrame, id: object) -> tuple[DataFrame, DataFrame]:
+    """The notes (id) one visible edge around a note, itself among them, and those edges."""
+    near = edges.filter((F.col("src") == F.lit(id)) | (F.col("dst") == F.lit(id)))
+    ends = near.select(F.col("src").alias("id")).union(near.select("dst"))
+    return ends.union(edges.sparkSession.range(1).select(F.lit(id).cast(edges.schema["src"].dataType))).distinct(), near
+
+
+def path_edges(edges: DataFrame, path: list) -> DataFrame:
+    """Edges between neighbours on a path of notes, either way."""
+    steps = edges.sparkSession.createDataFrame(list(zip(path, path[1:], strict=False)) or [(None, None)], edges.select("src", "dst").schema)
+    return edges.join(F.broadcast(steps.union(steps.select("dst", "src")).distinct()), ["src", "dst"], "left_semi").select(*edges.columns)
+
+
 def retrieval_lens(seeds: DataFrame, edges: DataFrame, top: int = 12, most: int = 140) -> DataFrame:
     """Seeds (id, score), the best first, and one undirected hop around them: id, hop."""
     best = seeds.orderBy(F.desc("score"), "id").limit(top).select("id")

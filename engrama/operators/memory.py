@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from engrama.settings import Settings
+from engrama.sources.shared import stash
 
 
 def pairs(active: DataFrame, keys: list[str], least: float) -> DataFrame:
@@ -46,6 +47,22 @@ def learn(synapses: DataFrame, active: DataFrame, now: Column, source: str = "us
     return out.filter(~F.col("__idle") | (F.col("weight") >= settings.forget_below)).drop("__idle")
 
 
+def running_total(rows: DataFrame, order: str, value: str, total: str) -> DataFrame:
+    """``rows`` with the sum of ``value`` over all rows up to each, by a distinct ``order``.
+
+    A range sort and a sum per partition, of which the driver gets as many as
+    there are partitions; no task sees all rows.
+    """
+    dealt = stash(rows.repartitionByRange(order).withColumn("__part", F.spark_partition_id()))
+    sums, at, before = dealt.groupBy("__part").agg(F.sum(value).alias("n")).collect(), 0, []
+    for r in sorted(sums, key=lambda r: r["__part"]):
+        before.append((r["__part"], at))
+        at += r["n"] or 0
+    first = rows.sparkSession.createDataFrame(before, "__part int, __before long")
+    inside = F.sum(value).over(W.partitionBy("__part").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+    return dealt.join(F.broadcast(first), "__part").withColumn(total, F.col("__before") + inside).drop("__part", "__before")
+
+
 def replay(log: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """note_a, note_b, frequency, weight after a log of queries (seq, id, score, source), as ``learn`` would leave them one by one.
 
@@ -53,27 +70,31 @@ def replay(log: DataFrame, settings: Settings = Settings()) -> DataFrame:
     decayed once per query with neither note active; their number is the
     difference of a running count that follows from how often each note and
     both had been active. A synapse that fell below the limit starts anew.
+    Pairs that never gain are left out before they are gathered.
     """
     counts = (F.col("source") != "nightly").cast("long")
-    seqs = log.select("seq", "source").distinct().withColumn("q", F.sum(counts).over(W.orderBy("seq").rowsBetween(W.unboundedPreceding, 0)))  # a row per query
+    seqs = running_total(log.select("seq", counts.alias("n")).distinct(), "seq", "n", "q")
     rows = log.select("seq", "id", "score", "source").join(seqs.select("seq", "q"), "seq")
     own = W.partitionBy("id").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("c", F.sum(counts).over(own))
-    a = rows.select("seq", "q", "source", F.col("id").alias("note_a"), F.col("score").alias("sa"), F.col("c").alias("ca"))
+    rows = stash(rows.withColumn("c", F.sum(counts).over(own)).withColumn("n", counts))
+    a = rows.select("seq", "q", "source", "n", F.col("id").alias("note_a"), F.col("score").alias("sa"), F.col("c").alias("ca"))
     b = rows.select("seq", F.col("id").alias("note_b"), F.col("score").alias("sb"), F.col("c").alias("cb"))
-    both = a.join(b, "seq").filter("note_a < note_b")
-    both = both.withColumn("cab", F.sum(counts).over(W.partitionBy("note_a", "note_b").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)))
-    neither = F.col("q") - F.col("ca") - F.col("cb") + F.col("cab")
+    both = a.join(b, (a["seq"] == b["seq"]) & (F.col("note_a") < F.col("note_b"))).drop(b["seq"])
+    neither = F.col("q") - F.col("ca") - F.col("cb")  # less what both were active in
     gain = F.when(F.col("source") == "user", 1.0).otherwise(settings.derived_increment)
     least = settings.pair_min_score
-    events = both.select("note_a", "note_b", "seq", "cab", neither.alias("idle"), F.when((F.col("sa") >= least) & (F.col("sb") >= least), gain).alias("gain"))
-    folded = events.groupBy("note_a", "note_b").agg(F.max("cab").alias("cab"), F.sort_array(F.collect_list(F.when(F.col("gain").isNotNull(), F.struct("seq", "idle", "gain")))).alias("e")).filter(F.size("e") > 0)
-    zero = F.struct(F.lit(0.0).alias("f"), F.lit(0.0).alias("w"), F.lit(0).cast("long").alias("idle"))
+    gains = F.when((F.col("sa") >= least) & (F.col("sb") >= least), gain)
+    folded = both.groupBy("note_a", "note_b").agg(F.sort_array(F.collect_list(F.struct("seq", "n", neither.alias("rest"), gains.alias("gain")))).alias("e"), F.sum("n").alias("cab"), F.count(gains).alias("gained")).filter("gained > 0")
+    zero = F.struct(F.lit(0.0).alias("f"), F.lit(0.0).alias("w"), F.lit(0).cast("long").alias("idle"), F.lit(0).cast("long").alias("cab"))
+    neither = neither + F.col("cab")
 
     def step(acc: Column, x: Column) -> Column:
-        alive = acc["w"] * F.pow(F.lit(settings.decay), x["idle"] - acc["idle"]) >= settings.forget_below
+        cab = acc["cab"] + x["n"]
+        idle = x["rest"] + cab
+        alive = acc["w"] * F.pow(F.lit(settings.decay), idle - acc["idle"]) >= settings.forget_below
         f = F.when(alive, acc["f"]).otherwise(F.lit(0.0)) + x["gain"]
-        return F.struct(f.alias("f"), weight_of(f, settings).alias("w"), x["idle"].alias("idle"))
+        grown = F.struct(f.alias("f"), weight_of(f, settings).alias("w"), idle.alias("idle"), cab.alias("cab"))
+        return F.when(x["gain"].isNull(), F.struct(acc["f"].alias("f"), acc["w"].alias("w"), acc["idle"].alias("idle"), cab.alias("cab"))).otherwise(grown)
 
     done = folded.select("note_a", "note_b", "cab", F.aggregate("e", zero, step).alias("s"))
     total = rows.groupBy("id").agg(F.max("c").alias("c"))

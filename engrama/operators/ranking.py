@@ -42,6 +42,11 @@ def summary(metrics: DataFrame, columns: list[str], by: list[str] | None = None)
     return rows.groupBy(*(by or []), "metric").agg(F.count("v").alias("n"), r(F.avg("v")).alias("mean"), r(F.stddev_pop("v")).alias("std"), r(F.min("v")).alias("min"), r(F.max("v")).alias("max"))
 
 
+def misses(metrics: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """n, misses: queries, and those that found nothing expected; per group where asked."""
+    return metrics.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("first_hit") < 0).alias("misses"))
+
+
 def sparsity(ranked: DataFrame, total: Column) -> DataFrame:
     """query_id, sparsity: the share of notes that stayed inactive."""
     return ranked.groupBy("query_id").agg((1 - F.count(F.lit(1)) / F.first(total)).alias("sparsity"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +13,12 @@ SYNAPSES = "note_a string, note_b string, weight double, frequency double, last_
 QUALITY = "id string, score double, strong_ratio double, mean_weight double, frequency double, dormant boolean, dormant_cycles int, evaluated_at timestamp"
 PHANTOMS = "source string, target string, similarity double"
 META = "queries long, created timestamp, updated timestamp, consolidation_cycles int"
-SCHEMAS = {"synapses": SYNAPSES, "node_quality": QUALITY, "phantom_links": PHANTOMS, "meta": META}
+BATCHES = "stream string, batch long"
+SCHEMAS = {"synapses": SYNAPSES, "node_quality": QUALITY, "phantom_links": PHANTOMS, "meta": META, "batches": BATCHES}
+#: What names a row, where two writers' tables are merged; of the others the later writer's stays.
+KEYS = {"synapses": ["note_a", "note_b"], "node_quality": ["id"], "phantom_links": ["source", "target"], "batches": ["stream"]}
+#: Seconds that a writer waits for another one.
+PATIENCE = 600
 
 
 class Store:
@@ -37,10 +46,35 @@ class Store:
             return {name: self.spark.createDataFrame([], schema) for name, schema in SCHEMAS.items()}
         return {name: self.spark.read.schema(schema).parquet(f"{self.folder}/v{version}/{name}") for name, schema in SCHEMAS.items()}
 
-    def save(self, tables: dict[str, DataFrame]) -> int:
-        """A new snapshot; tables that are not given are carried over."""
-        version, old = self.version() + 1, self.load()
-        for name in SCHEMAS:
-            tables.get(name, old[name]).write.mode("overwrite").parquet(f"{self.folder}/v{version}/{name}")
-        self.spark.range(1).select(F.lit(version).alias("version")).write.mode("append").parquet(f"{self.folder}/pointer")
+    @contextmanager
+    def _alone(self) -> Iterator[None]:
+        """Held by one writer at a time: a file that can only be created once."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/writer")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        until = time.monotonic() + PATIENCE
+        while not fs.createNewFile(path):
+            if time.monotonic() > until:
+                raise TimeoutError(f"{self.folder}/writer is held; remove it if its writer has died")
+            time.sleep(0.1)
+        try:
+            yield
+        finally:
+            fs.delete(path, False)
+
+    def save(self, tables: dict[str, DataFrame], base: int | None = None) -> int:
+        """A new snapshot; tables that are not given are carried over.
+
+        ``base`` is the version that the tables were made from. If another
+        writer has saved since, rows that only it has are kept.
+        """
+        with self._alone():
+            latest, old = self.version(), self.load()
+            version = latest + 1
+            for name in SCHEMAS:
+                table = tables.get(name, old[name])
+                if name in tables and name in KEYS and base is not None and base != latest:
+                    own = table.select(*old[name].columns)
+                    table = own.unionByName(old[name].join(own.select(*KEYS[name]), KEYS[name], "left_anti").select(*own.columns))
+                table.write.mode("overwrite").parquet(f"{self.folder}/v{version}/{name}")
+            self.spark.range(1).select(F.lit(version).alias("version")).write.mode("append").parquet(f"{self.folder}/pointer")
         return version

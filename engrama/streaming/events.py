@@ -38,11 +38,17 @@ def learn_live(stream: DataFrame, store, learn: Callable[[DataFrame, DataFrame],
     """Fold each micro-batch of activations into the stored synapses.
 
     ``learn(synapses, batch)`` gives the new ones; each batch becomes one
-    snapshot of the store.
+    snapshot of the store, which names it. A batch that is delivered again is
+    known by its number and changes nothing.
     """
 
-    def step(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
-            store.save({"synapses": learn(store.load()["synapses"], batch)})
+    def step(batch: DataFrame, number: int) -> None:
+        base, state = store.version(), store.load()
+        done = state["batches"].filter((F.col("stream") == checkpoint) & (F.col("batch") >= number))
+        if batch.isEmpty() or not done.isEmpty():
+            return
+        named = batch.sparkSession.createDataFrame([(checkpoint, number)], "stream string, batch long")
+        others = state["batches"].filter(F.col("stream") != checkpoint)
+        store.save({"synapses": learn(state["synapses"], batch), "batches": others.unionByName(named)}, base)
 
     return deliver(stream, step, checkpoint)
