@@ -43,8 +43,8 @@ def candidate_sessions(messages: DataFrame, checkpoint: DataFrame, sessions: Dat
 
 
 def merged_candidates(notes: DataFrame, sessions: DataFrame, most: int = 3) -> DataFrame:
-    """source_id, at: the candidates of both kinds (source_id, at), oldest first, cut once more."""
-    return notes.select("source_id", "at").union(sessions.select("source_id", "at")).orderBy("at", "source_id").limit(most)
+    """source_id, used_at: the candidates of both kinds (source_id, used_at), oldest first, cut once more."""
+    return notes.select("source_id", "used_at").union(sessions.select("source_id", "used_at")).orderBy("used_at", "source_id").limit(most)
 
 
 def allowed(source: Column, learn: Column, respond: Column) -> tuple[Column, Column, Column]:

@@ -79,9 +79,14 @@ def hebbian_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.replay(log).select("note_a", "note_b", F.round("frequency", 6).alias("frequency"), F.round("weight", 6).alias("weight"))
 
 
-@query(f"with {SYN_SQL} select distinct id from (select note_a as id from syn, clock where weight >= 0.15 and last_coactivated > now - interval 10 minutes union all select note_b from syn, clock where weight >= 0.15 and last_coactivated > now - interval 10 minutes)")
+RECENT = "weight >= 0.15 and last_coactivated + interval 1 hour > now - interval 10 minutes"
+
+
+@query(f"with {SYN_SQL} select distinct id from (select note_a as id from syn, clock where {RECENT} union all select note_b from syn, clock where {RECENT})")
 def recent_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memory.recent_notes(synapses(spark, sf_dir), now(spark, sf_dir))
+    """A synapse counts as active until its hour ends."""
+    ended = synapses(spark, sf_dir).withColumn("last_coactivated", F.col("last_coactivated") + F.expr("interval 1 hour"))
+    return memory.recent_notes(ended, now(spark, sf_dir))
 
 
 @query(

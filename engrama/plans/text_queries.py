@@ -234,19 +234,28 @@ def khop_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return active.select("id", F.round("score", 6).alias("score"), "role", "hop", "parent")
 
 
-def fire_sql(steps: int = 5) -> str:
+#: Settings under which firing goes on for several steps.
+EAGER = Settings(fire_base=0.02, fire_k=0.01)
+RING_SQL = """ring as (select d.doc_id as src, d.doc_id + k as dst from documents d, (values (1), (2), (3)) v(k) where d.doc_id + k in (select doc_id from documents)),
+ringdeg as (select d.doc_id as id, coalesce(o.n, 0) + coalesce(i.n, 0) as degree from documents d left join (select src, count(*) as n from ring group by 1) o on o.src = d.doc_id left join (select dst, count(*) as n from ring group by 1) i on i.dst = d.doc_id)"""
+
+
+def fire_sql(steps: int = 5, base: float = 0.02, k: float = 0.01) -> str:
     out = "z0 as (select id, score as value, 0 as step from seeds)"
-    for k in range(1, steps + 1):
+    for n in range(1, steps + 1):
         out += f""",
-i{k} as (select e.dst as id, sum(z.value * coalesce(kp.score, 0.3)) as incoming from z{k - 1} z join edges e on e.src = z.id left join kept kp on kp.id = z.id group by 1),
-z{k} as (select * from z{k - 1} union all select i.id, least(i.incoming - (0.15 + 0.075 * ln(1 + g.degree)), 1.0), {k} from i{k} i join deg g on g.id = i.id where i.id not in (select id from z{k - 1}) and i.incoming - (0.15 + 0.075 * ln(1 + g.degree)) > 0 and ({k} = 1 or (select coalesce(sum(value), 0) from z{k - 1} where step = {k - 1}) >= 0.0001))"""
+i{n} as (select e.dst as id, sum(z.value * coalesce(kp.score, 0.3)) as incoming from z{n - 1} z join ring e on e.src = z.id left join kept kp on kp.id = z.id group by 1),
+z{n} as (select * from z{n - 1} union all select i.id, least(i.incoming - ({base} + {k} * ln(1 + g.degree)), 1.0), {n} from i{n} i join ringdeg g on g.id = i.id where i.id not in (select id from z{n - 1}) and i.incoming - ({base} + {k} * ln(1 + g.degree)) > 0 and ({n} = 1 or (select coalesce(sum(value), 0) from z{n - 1} where step = {n - 1}) >= 0.0001))"""
     return out
 
 
-@query(f"with {FUSED_SQL}, {fire_sql()} select id, round(value, 6) as value, step from z5")
+@query(f"with {FUSED_SQL}, {RING_SQL}, {fire_sql()} select id, round(value, 6) as value, step from z5")
 def integrate_fire(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the seeds along links of each document to its next three."""
     seeds, kept = seed_scores(spark, sf_dir)
-    return activation.fire(seeds, star_edges(spark, sf_dir), kept, degrees(spark, sf_dir)).select("id", F.round("value", 6).alias("value"), "step")
+    docs = notes(spark, sf_dir).select("id")
+    ring = docs.select(F.col("id").alias("src"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("k")).select("src", (F.col("src") + F.col("k")).alias("dst")).join(docs.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
+    return activation.fire(seeds, ring, kept, graph.degree(docs, ring), EAGER).select("id", F.round("value", 6).alias("value"), "step")
 
 
 @query(f"with {FUSED_SQL} select case when max(score) >= 0.65 then 'direct' when max(score) >= 0.45 then 'weak' when max(score) is null then 'none' else 'insufficient' end as state, count(*) as seeds from seeds")
@@ -267,7 +276,7 @@ metrics as (select query_id, precision, recall, case when precision + recall > 0
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window as W
 
-    got = scores(spark, sf_dir, first=False)
+    got = stash(scores(spark, sf_dir, first=False).select("query_id", "id", "bm25"))
     order = W.partitionBy("query_id").orderBy(F.desc(F.round("bm25", 9)), "id")
     ranked = got.withColumn("rank", F.row_number().over(order)).filter("rank <= 10").select("query_id", "id", "rank")
     good = table(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("id"))
@@ -285,14 +294,15 @@ def ir_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.summary(retrieval_metrics(spark, sf_dir), ["precision", "mrr"])
 
 
-NOTE_SQL = "concat('---\ntitle: Note ', doc_id, '\ntags: [', lang, ', ', source, ']\nsource: a\nsource: ', source, '\nno colon here\n---\n# ', left(text, 40), '\n`[[code]]` [[', lang, '/', doc_id % 7, '|shown]] and [[ plain', doc_id % 3, ' ]]\n```\n[[fenced]]\n```\n> *tail*')"
+NOTE_SQL = "concat('---\ntitle: Note ', doc_id, '\ntags: [', lang, ', ', source, ']\nsource: a\nsource: ', source, '\nno colon here\n---\n# ', replace(replace(replace(text, ' the ', ' [[the]] '), ' of ', ' [[of|shown]] '), ' de ', ' `[[de]]` '), '\n`[[code]]` [[', lang, '/', doc_id % 7, '|shown]] and [[ plain', doc_id % 3, ' ]]\n```\n[[fenced]]\n```\n> *tail*')"
 
 
 def note_content() -> F.Column:
-    """A Markdown note made of a document, the same in SQL."""
+    """A Markdown note made of a whole document, some of whose words are links or code, the same in SQL."""
+    linked = F.replace(F.replace(F.replace("text", F.lit(" the "), F.lit(" [[the]] ")), F.lit(" of "), F.lit(" [[of|shown]] ")), F.lit(" de "), F.lit(" `[[de]]` "))
     c = lambda x: F.col(x).cast("string")
     return F.concat(
-        F.lit("---\ntitle: Note "), c("doc_id"), F.lit("\ntags: ["), "lang", F.lit(", "), "source", F.lit("]\nsource: a\nsource: "), "source", F.lit("\nno colon here\n---\n# "), F.left("text", F.lit(40)),
+        F.lit("---\ntitle: Note "), c("doc_id"), F.lit("\ntags: ["), "lang", F.lit(", "), "source", F.lit("]\nsource: a\nsource: "), "source", F.lit("\nno colon here\n---\n# "), linked,
         F.lit("\n`[[code]]` [["), "lang", F.lit("/"), (F.col("doc_id") % 7).cast("string"), F.lit("|shown]] and [[ plain"), (F.col("doc_id") % 3).cast("string"), F.lit(" ]]\n```\n[[fenced]]\n```\n> *tail*"),
     )
 
@@ -303,10 +313,13 @@ def frontmatter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm.select("doc_id", F.col("fm")["title"].alias("title"), F.col("fm")["tags"].alias("tags"), F.col("fm")["source"].alias("last_source"), F.size("fm").alias("n_keys"))
 
 
-@query("select doc_id, 0 as ord, concat(lang, '/', doc_id % 7) as target, 'shown' as display from documents union all select doc_id, 1, concat('plain', doc_id % 3), concat('plain', doc_id % 3) from documents")
+@query(
+    "with n as (select doc_id, regexp_replace(replace(" + NOTE_SQL + r", concat('```', chr(10), '[[fenced]]', chr(10), '```'), ''), '`[^`\n]*`', '', 'g') as c from documents), "
+    r"l as (select doc_id, regexp_extract_all(c, '\[\[([^\]|]+)(?:\|([^\]]+))?\]\]', 1) as t, regexp_extract_all(c, '\[\[([^\]|]+)(?:\|([^\]]+))?\]\]', 2) as d from n), "
+    "u as (select doc_id, unnest(range(0, len(t))) as ord, t, d from l) select doc_id, ord, trim(t[ord + 1]) as target, case when trim(coalesce(d[ord + 1], '')) <> '' then trim(d[ord + 1]) else trim(t[ord + 1]) end as display from u"
+)
 def wikilinks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.regexp_replace(note_content(), r"(?s)\n# .*?\n`", "\n# \n`")  # the quoted text may hold marks of its own
-    found = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.wikilinks(head)).alias("ord", "l"))
+    found = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.wikilinks(note_content())).alias("ord", "l"))
     return found.select("doc_id", "ord", F.col("l.target").alias("target"), F.col("l.display").alias("display"))
 
 
@@ -317,12 +330,16 @@ def plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.plain_text(note_content()).alias("plain"))
 
 
-SLUG_SQL = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(left(text, 30))), '[^\p{L}\p{N}_\s-]', '', 'g'), '[\s_]+', '-', 'g'), '-+', '-', 'g'), '-')"
+#: Whole texts, and titles of which each list of labels has some.
+TITLE_SQL = "case doc_id % 8 when 0 then 'GPT 4o-mini' when 1 then 'Ollama' when 2 then 'Graph Refresh' when 3 then 'honcho dialectic' when 4 then 'Pulse' when 5 then concat('v', doc_id, '.2') else text end"
+SLUG_SQL = rf"trim(regexp_replace(regexp_replace(regexp_replace(lower(trim({TITLE_SQL})), '[^\p{{L}}\p{{N}}_\s-]', '', 'g'), '[\s_]+', '-', 'g'), '-+', '-', 'g'), '-')"
+NOISE_SQL = " or ".join(f"regexp_matches(slug, '{x}')" for x in text.NOISE)
 
 
-@query(f"select doc_id, {SLUG_SQL} as slug, length({SLUG_SQL}) < 4 or regexp_full_match({SLUG_SQL}, '[\\d.v-]+') as noise from documents")
+@query(rf"with s as (select doc_id, {SLUG_SQL} as slug from documents) select doc_id, slug, length(slug) < 4 or regexp_full_match(slug, '[\d.v-]+') or {NOISE_SQL} as noise from s")
 def slug_and_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    title = F.left("text", F.lit(30))
+    k = F.col("doc_id") % 8
+    title = F.when(k == 0, "GPT 4o-mini").when(k == 1, "Ollama").when(k == 2, "Graph Refresh").when(k == 3, "honcho dialectic").when(k == 4, "Pulse").when(k == 5, F.concat(F.lit("v"), F.col("doc_id").cast("string"), F.lit(".2"))).otherwise(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", text.slugify(title).alias("slug"), text.is_noise(title).alias("noise"))
 
 
@@ -331,10 +348,16 @@ def conflict_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.looks_conflicting(F.col("text")).alias("conflicting"))
 
 
-@query("select conv_id, turn, case when trim(replace(concat(text, '<pad>'), '<pad>', '')) = '' then '[no response from LLM]' else trim(replace(concat(text, '<pad>'), '<pad>', '')) end as response from conversations where role = 'assistant'")
+REPLY_SQL = "case (conv_id + turn) % 5 when 0 then concat(text, '<pad>') when 1 then concat('<pad> I cannot assist with ', text) when 2 then 'User safety: unsafe<pad>' when 3 then concat('as an AI, ', text) else '<pad> <pad>' end"
+REFUSAL_SQL = " or ".join(f"regexp_matches(r, '{x}')" for x in text.REFUSALS)
+
+
+@query(rf"with r as (select conv_id, turn, trim(replace({REPLY_SQL}, '<pad>', '')) as r from conversations where role = 'assistant') select conv_id, turn, case when r = '' or {REFUSAL_SQL} then '[no response from LLM]' else r end as response from r")
 def response_sanitizer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").filter("role = 'assistant'")
-    return rows.select("conv_id", "turn", text.sanitize_response(F.concat("text", F.lit("<pad>"))).alias("response"))
+    """Answers, refusals of each kind, and padding."""
+    k = (F.col("conv_id") + F.col("turn")) % 5
+    reply = F.when(k == 0, F.concat("text", F.lit("<pad>"))).when(k == 1, F.concat(F.lit("<pad> I cannot assist with "), "text")).when(k == 2, "User safety: unsafe<pad>").when(k == 3, F.concat(F.lit("as an AI, "), "text")).otherwise("<pad> <pad>")
+    return table(spark, sf_dir, "conversations").filter("role = 'assistant'").select("conv_id", "turn", text.sanitize_response(reply).alias("response"))
 
 
 @query("select doc_id, substr(sha256(text), 1, 16) as content_hash from documents")

@@ -193,3 +193,74 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {(r.start, r.n) for r in spark.table("w").collect()}
     expected = {(r.start, r.n) for r in streams.tumbling(rows).collect() if (last - r.start).total_seconds() >= 7200}
     assert got == expected and got
+
+
+def test_two_writers_keep_each_others_rows(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/state")
+    row = lambda a, b, w: spark.sql(f"select '{a}' as note_a, '{b}' as note_b, {w}D as weight, 1D as frequency, timestamp'2024-01-01' as last_coactivated, timestamp'2024-01-01' as created")
+    base = store.save({"synapses": row("a", "b", 0.5)})
+    one, two = row("a", "b", 0.6).union(row("a", "c", 0.7)), row("a", "b", 0.9)
+    store.save({"synapses": one}, base)
+    store.save({"synapses": two}, base)
+    assert {(r.note_a, r.note_b): r.weight for r in store.load()["synapses"].collect()} == {("a", "b"): 0.9, ("a", "c"): 0.7}
+    store.save({"synapses": two}, store.version())  # nobody else has saved: deletions stick
+    assert store.load()["synapses"].count() == 1
+
+
+def test_a_batch_is_learned_once(spark, tmp_path):
+    store, folder = Store(spark, f"file://{tmp_path}/state"), tmp_path / "in"
+    spark.sql("select 'a' as id, 0.5D as score, timestamp'2024-01-01' as ts").write.parquet(str(folder))
+    learned = []
+
+    def learn(synapses, batch):
+        learned.append(batch.count())
+        return synapses
+
+    run = lambda: streams.learn_live(streams.event_stream(spark, str(folder), "id string, score double, ts timestamp"), store, learn, str(tmp_path / "check")).awaitTermination(60)
+    run()
+    version = store.version()
+    for f in (tmp_path / "check" / "commits").iterdir():  # as if the query had died before it could note the batch
+        f.unlink()
+    run()
+    assert learned == [1] and store.version() == version
+
+
+def test_frontmatter_fields_are_stamped_once(spark):
+    from engrama.operators.genesis import merged_content, stamped
+
+    cases = {
+        "updated: a\nupdated: b": "updated: X$1\nupdated: b",
+        "---\ntitle: t\nupdated: a\n---\nupdated: b": "---\ntitle: t\nupdated: X$1\n---\nupdated: b",
+        "---\ntitle: t\n---\nbody": "---\ntitle: t\nupdated: X$1\n---\nbody",
+        "no front": "no front",
+        "not updated: x": "not updated: x",
+    }
+    rows = spark.createDataFrame(list(cases.items()), "c string, e string")
+    assert all(r.got == r.e for r in rows.select("e", stamped(F.col("c"), "updated", F.lit("X$1")).alias("got")).collect())
+    text, ids = spark.range(1).select(*merged_content(F.lit("---\nactivated_from_ids: [\"a\"]\n---\nold  \n"), F.lit(" new "), F.lit("D"), F.array(F.lit("a")), F.array(F.lit("a"), F.lit("b")))).first()
+    assert list(ids) == ["a", "b"] and text == "---\nactivated_from_ids: [\"a\",\"b\"]\nupdated: D\n---\nold\n\n## Assimilated Evidence\n- **D** — new\n  - source: session recovery\n  - query: \n\n"
+
+
+def test_consolidation_makes_phantom_links(spark):
+    notes = spark.createDataFrame([(i, [float(x) for x in e]) for i, e in FRUIT], "id string, embedding array<double>")
+    syn = spark.createDataFrame([("apple", "cherry", 0.9, 10.0, "2026-07-01 00:00:00")], "note_a string, note_b string, weight double, frequency double, last_coactivated string")
+    edges = spark.createDataFrame([("apple", "banana")], "src string, dst string")
+    out = consolidation.consolidate(syn, notes.select("id", F.lit(0).alias("dormant_cycles")), notes, F.lit("2026-07-03").cast("timestamp"), edges=edges, collection=notes)
+    linked = {tuple(sorted((r.source, r.target))) for r in out["phantom_links"].collect()}
+    assert ("apple", "cherry") in linked and ("carrot", "spinach") in linked and ("apple", "banana") not in linked
+
+
+def test_running_total(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.randint(0, 9)) for i in rng.sample(range(10_000), 500)]
+    got = {r.s: r.t for r in memory.running_total(spark.createDataFrame(rows, "s long, n long").repartition(5), "s", "n", "t").collect()}
+    assert got == {s: sum(n for x, n in rows if x <= s) for s, _ in rows}
+
+
+def test_neighbourhood_and_paths(spark):
+    edges = spark.createDataFrame([("a", "b", "wikilink", 1.0), ("b", "c", "hebbian", 0.3), ("c", "d", "hebbian", 0.9), ("x", "y", "phantom", 0.5)], "src string, dst string, type string, weight double")
+    near, touched = graph.neighbourhood(edges, "b")
+    assert {r.id for r in near.collect()} == {"a", "b", "c"} and touched.count() == 2
+    assert [r.id for r in graph.neighbourhood(edges, "alone")[0].collect()] == ["alone"]
+    assert {(r.src, r.dst) for r in graph.path_edges(edges, ["d", "c", "b"]).collect()} == {("c", "d"), ("b", "c")} and graph.path_edges(edges, ["a"]).count() == 0
+    assert {(r.src, r.dst) for r in graph.visible_edges(edges, overview=True).collect()} == {("a", "b"), ("c", "d"), ("x", "y")}
