@@ -1,6 +1,6 @@
 """Personal data replaced by keyed surrogates of the same type and shape.
 
-Detected: e-mail addresses, phone numbers, IPv4 addresses, card and account
+Detected: e-mail addresses, phone numbers, IP addresses, card and account
 numbers, national numbers of the shape 3-2-4, IBANs, and names after a form of
 address, with all further mentions of those names in the text. A surrogate keeps what a reader can see of the type: separators,
 letter case and script, the gender that the form of address tells, a valid
@@ -10,9 +10,11 @@ Numbers go through a keyed permutation of the digit strings of their length, so
 distinct numbers of a format stay distinct; letters likewise. Names are drawn
 by key. Over all entities of the corpus it is then checked that no two share a
 surrogate and that no surrogate is itself an entity; a given name is one entity,
-whose gender is the one that most of its mentions tell. Those that fail try again
-with the next tweak until none is left. The same entity gets the same surrogate
-everywhere.
+whose gender is the one that most of its mentions tell; in capitals it is the
+same entity. Those that fail try again with the next tweak until none is left.
+Surrogates of addresses and names grow, so that comes to an end; numbers of one
+shape that are still not free after PATIENCE tries all take one permutation, under
+which they stay distinct. The same entity gets the same surrogate everywhere.
 
 Texts are read twice and not shuffled; only distinct entities are.
 """
@@ -20,6 +22,7 @@ Texts are read twice and not shuffled; only distinct entities are.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
@@ -28,14 +31,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from engrama.llm.hashing import thrifty
 from engrama.llm.shared import stash
 
+#: Tries of a number, after which all numbers of its kind and shape take one permutation, whatever it gives.
+PATIENCE = 50
 #: Entities that need a further tweak, up to which they are sent to every task.
 EXCEPTIONS = 50_000
 
 EMAIL = re.compile(r"(?<![\w.%+-])[\w.%+-]*\w@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 NUMBER = re.compile(r"(?<![\w.+(-])[+(]?\d[\d ().+-]{5,}\d(?!\w)")
+IPV6 = re.compile(r"(?<![\w:.])(?=[0-9A-Fa-f:]{6,39}(?![\w:]))[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}")
 IPV4 = re.compile(r"\d{1,3}(?:\.\d{1,3}){3}")
 NATIONAL = re.compile(r"\d{3}-\d{2}-\d{4}")
 ACCOUNT = re.compile(r"\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}")
@@ -128,6 +135,13 @@ def _ipv4(key: bytes, entity: str, tweak: str) -> str:
     return ".".join(map(str, permuted(key, octets, 256, tweak)))
 
 
+def _ipv6(key: bytes, entity: str, tweak: str) -> str:
+    """Groups keep their lengths; capitals stay capitals."""
+    new = iter(permuted(key, [int(c, 16) for c in entity if c != ":"], 16, tweak))
+    made = "".join(c if c == ":" else f"{next(new):x}" for c in entity)
+    return made.upper() if any(c.isupper() for c in entity) else made
+
+
 #: Letters beyond ASCII that are permuted among their own: fixed values.
 LETTERS = ("абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ")
 
@@ -195,7 +209,21 @@ def _family(key: bytes, entity: str, tweak: str) -> str:
     return out.capitalize()
 
 
-MAKERS: dict[str, Callable[[bytes, str, str], str]] = {"email": _email, "iban": _iban, "ipv4": _ipv4, "national": _phone, "account": _account, "phone": _phone, "given": _given(""), "given_f": _given("f"), "given_m": _given("m"), "family": _family}
+MAKERS: dict[str, Callable[[bytes, str, str], str]] = {"email": _email, "iban": _iban, "ipv4": _ipv4, "ipv6": _ipv6, "national": _phone, "account": _account, "phone": _phone, "given": _given(""), "given_f": _given("f"), "given_m": _given("m"), "family": _family}
+
+
+#: Kinds whose makers permute what has one shape.
+PERMUTED = ("iban", "ipv4", "ipv6", "national", "account", "phone")
+
+
+def spelled(name: str) -> str:
+    """A name in capitals as it is otherwise spelled; others as they are."""
+    return re.sub(r"\w+", lambda m: m.group()[0] + m.group()[1:].lower(), name) if len(name) > 1 and name.isupper() else name
+
+
+def entity_of(kind: str, text: str) -> str:
+    """What a mention stands for."""
+    return spelled(text) if kind == "family" or kind.startswith("given") else text
 
 
 def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
@@ -210,6 +238,8 @@ def entities(text: str | None) -> list[tuple[int, int, str]]:
     free = lambda a, b: all(b <= x or y <= a for x, y, _ in found)
     if "@" in text:
         found += [(*m.span(), "email") for m in EMAIL.finditer(text)]
+    if text.count(":") > 1:
+        found += [(*m.span(), "ipv6") for m in IPV6.finditer(text) if _valid_ipv6(m.group())]
     for m in IBAN.finditer(text):
         if _valid_iban(m.group().replace(" ", "")) and free(*m.span()):
             found.append((*m.span(), "iban"))
@@ -231,28 +261,39 @@ def entities(text: str | None) -> list[tuple[int, int, str]]:
                     found.append((a, end, kind))
                 if m[1] in SHORT or text[m.end(1)] != ".":
                     # of a name in both places, the family's stands alone
-                    known[text[a:end]] = "family" if known.get(text[a:end]) == "family" else kind
+                    name = spelled(text[a:end])
+                    known[name] = "family" if known.get(name) == "family" else kind
         if known:
             taken = bytearray(len(text))
             for a, b, _ in found:
                 taken[a:b] = b"\1" * (b - a)
             for m in _WORD.finditer(text):
                 # a compound as a whole, or else its parts
-                for a, b in [m.span()] if m.group() in known else _known_parts(known, m.group(), m.start()):
+                for a, b in [m.span()] if spelled(m.group()) in known else _known_parts(known, m.group(), m.start()):
                     if not any(taken[a:b]):
-                        found.append((a, b, known[text[a:b]]))
+                        found.append((a, b, known[spelled(text[a:b])]))
     return sorted(found)
 
 
 def _known_parts(known: dict[str, str], word: str, at: int) -> list[tuple[int, int]]:
     """Where known names stand in a word of several parts: without its ending, between hyphens, or between all signs."""
     for pattern in _PARTS if not word.isalnum() else ():
-        hit = [(at + m.start(), at + m.end()) for m in pattern.finditer(word) if m.group() in known]
+        hit = [(at + m.start(), at + m.end()) for m in pattern.finditer(word) if spelled(m.group()) in known]
         if hit:
             return hit
     return []
 
 
+def _valid_ipv6(address: str) -> bool:
+    """Of three groups or more: shorter ones are found in source code."""
+    if sum(map(bool, address.split(":"))) < 3:
+        return False
+    try:
+        return ipaddress.IPv6Address(address) is not None
+    except ValueError:
+        return False
+
+
 def _valid_iban(flat: str) -> bool:
     return sum(c.isdigit() for c in flat) >= 8 and int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1
 
@@ -280,22 +321,23 @@ def replaced(key: bytes, text: str | None, attempts: dict, genders: dict | None
     found = entities(text)
     out, at = [], 0
     for a, b, kind in found:
-        entity = text[a:b]
+        entity = entity_of(kind, text[a:b])
         kind = genders.get((kind, entity), kind)
-        out += [text[at:a], surrogate(key, kind, entity, attempts.get((kind, entity), 0))]
+        made = surrogate(key, kind, entity, attempts.get((kind, entity), 0))
+        out += [text[at:a], made if entity == text[a:b] else made.upper()]
         at = b
     return (text if not found else "".join(out) + text[at:]), len(found)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        seen = Counter((kind, text[a:b]) for text in batch.column(0).to_pylist() for a, b, kind in entities(text))
+        seen = Counter((kind, entity_of(kind, text[a:b])) for text in batch.column(0).to_pylist() for a, b, kind in entities(text))
         yield pa.RecordBatch.from_pydict({"kind": pa.array([k for k, _ in seen], pa.string()), "entity": pa.array([e for _, e in seen], pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
 
 
 def mentioned(docs: DataFrame, text: str = "text") -> DataFrame:
     """``kind``, ``entity``, and the kind that counts (``resolved``): a given name has the gender that most mentions tell, none if as many tell the other."""
-    found = stash(docs.select(docs[text].alias("text")).mapInArrow(_counted, "kind string, entity string, n long").groupBy("kind", "entity").agg(F.sum("n").alias("n")))
+    found = stash(docs.select(docs[text].alias("text")).mapInArrow(thrifty(_counted), "kind string, entity string, n long").groupBy("kind", "entity").agg(F.sum("n").alias("n")))
     told = F.sum(F.when(F.col("kind") == "given_f", F.col("n")).when(F.col("kind") == "given_m", -F.col("n")).otherwise(0)).alias("told")
     names = found.filter(F.col("kind").startswith("given"))
     gender = names.groupBy("entity").agg(told).select("entity", F.when(F.col("told") > 0, "given_f").when(F.col("told") < 0, "given_m").otherwise("given").alias("resolved"))
@@ -305,24 +347,30 @@ def mentioned(docs: DataFrame, text: str = "text") -> DataFrame:
 def exceptions(docs: DataFrame, key: bytes, text: str = "text", found: DataFrame | None = None) -> DataFrame:
     """``kind``, ``entity``, ``attempt`` (from 1) of the entities whose first surrogate is not free."""
 
-    @F.pandas_udf("string")
-    def made(kinds, names, attempts):
-        return kinds.combine(names, lambda k, e: (k, e)).combine(attempts, lambda ke, n: surrogate(key, *ke, int(n)))
+    @F.arrow_udf("string")
+    def made(kinds: pa.Array, names: pa.Array, attempts: pa.Array) -> pa.Array:
+        return pa.array([surrogate(key, *row) for row in zip(kinds.to_pylist(), names.to_pylist(), attempts.to_pylist(), strict=True)], pa.string())
 
     found = mentioned(docs, text) if found is None else found
     known = stash(found.select(F.col("resolved").alias("kind"), "entity").distinct())
     group = F.when(F.col("kind").startswith("given"), "given").otherwise(F.col("kind"))
-    tried = known.withColumn("attempt", F.lit(0))
+    tried, tries = known.withColumn("attempt", F.lit(0)), 0
     while True:
         now = stash(tried.withColumn("made", made("kind", "entity", "attempt")))
         # of those that share a surrogate the one tried most, then the first, keeps it
         keeper = now.groupBy(group.alias("g"), "made").agg(F.max_by(F.struct("kind", "entity"), F.struct("attempt", F.hash("kind", "entity"), "kind", "entity")).alias("own"), F.count(F.lit(1)).alias("n")).filter("n > 1")
         lost = now.join(keeper, (group == F.col("g")) & (now["made"] == keeper["made"])).filter((F.col("own.kind") != F.col("kind")) | (F.col("own.entity") != F.col("entity"))).select("kind", "entity")
         real = now.join(known.select(F.col("kind").alias("__k"), F.col("entity").alias("__real")), (F.col("kind") == F.col("__k")) & (F.col("made") == F.col("__real"))).select("kind", "entity")
-        again = stash(lost.union(real).distinct().withColumn("more", F.lit(1)))
+        settled = F.col("kind").isin(*PERMUTED) & (F.col("attempt") >= PATIENCE)
+        again = stash(lost.union(real).distinct().join(now.filter(settled).select("kind", "entity"), ["kind", "entity"], "left_anti").withColumn("more", F.lit(1)))
         if again.isEmpty():
             return now.filter("attempt > 0").select("kind", "entity", "attempt")
         tried = now.join(again, ["kind", "entity"], "left").select("kind", "entity", (F.col("attempt") + F.coalesce("more", F.lit(0))).alias("attempt"))
+        tries += 1
+        if tries >= PATIENCE:
+            form = F.regexp_replace(F.regexp_replace("entity", r"\p{L}", "a"), r"\d", "0").alias("form")
+            stuck = tried.filter(settled).select("kind", form).distinct().withColumn("__at", F.lit(PATIENCE))
+            tried = tried.select("*", form).join(stuck, ["kind", "form"], "left").select("kind", "entity", F.coalesce("__at", "attempt").alias("attempt"))
 
 
 def _tables(rest: Iterable) -> tuple[dict, dict]:
@@ -330,42 +378,53 @@ def _tables(rest: Iterable) -> tuple[dict, dict]:
     return {(r["resolved"], r["entity"]): r["attempt"] for r in rest}, {(r["kind"], r["entity"]): r["resolved"] for r in rest}
 
 
+def _unused(columns: list[str], name: str) -> str:
+    """A column name that the table doesn't have, whatever the case."""
+    held = {c.lower() for c in columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def pseudonymize(docs: DataFrame, key: bytes, text: str = "text", counted: str = "n_entities") -> DataFrame:
     """``docs`` with the text replaced and the number of entities in ``counted``.
 
-    A null text stays null and has none. Rows and other columns stay as they
-    are. A column that is already called ``counted`` is replaced.
+    A null text stays null and has none; very long texts are replaced whole.
+    Rows, repeated ones too, and other columns stay as they are. A column that
+    is already called ``counted`` is replaced. An empty table gives no rows.
     """
     found = mentioned(docs, text)
     tried = exceptions(docs, key, text, found).withColumnRenamed("kind", "resolved")
     rest = stash(found.join(tried, ["resolved", "entity"], "left").filter("attempt is not null or kind <> resolved").select("kind", "entity", "resolved", F.coalesce("attempt", F.lit(0)).alias("attempt")))
     few = rest.limit(EXCEPTIONS + 1).count() <= EXCEPTIONS
-    kind = "struct<text:string,n:bigint>"
+    kind, made = "struct<text:string,n:bigint>", _unused(docs.columns, "made")
+    fields = pa.struct([("text", pa.string()), ("n", pa.int64())])
+    listed = lambda rows: pa.array([{"text": t, "n": n} for t, n in rows], fields)
     if few:
         attempts, genders = _tables(rest.collect())
 
-        @F.pandas_udf(kind)
-        def apply(texts):
-            import pandas as pd
-
-            return pd.DataFrame([replaced(key, t, attempts, genders) for t in texts], columns=["text", "n"])
+        @F.arrow_udf(kind)
+        def apply(texts: pa.Array) -> pa.Array:
+            return listed(replaced(key, t, attempts, genders) for t in texts.to_pylist())
 
-        out = docs.withColumn("__out", apply(docs[text]))
+        out = docs.withColumn(made, apply(docs[text]))
     else:  # by the text: its own exceptions only
-        place = F.xxhash64(text)
+        digest = lambda c: F.unhex(F.md5(F.coalesce(c, F.lit(""))))
 
         def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = [(h, k, t[a:b]) for h, t in zip(*[c.to_pylist() for c in batch.columns], strict=True) for a, b, k in entities(t)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))], names=["h", "kind", "entity"])
-
-        own = docs.select(place.alias("h"), docs[text]).mapInArrow(met, "h long, kind string, entity string").distinct().join(rest, ["kind", "entity"]).groupBy("h").agg(F.collect_list(F.struct("kind", "entity", "resolved", "attempt")).alias("__own"))
+                rows = [(d, k, entity_of(k, t[a:b])) for d, t in zip(*[c.to_pylist() for c in batch.columns], strict=True) for a, b, k in entities(t)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.binary(), pa.string(), pa.string()))], names=["digest", "kind", "entity"])
 
-        @F.pandas_udf(kind)
-        def apply_own(texts, lists):
-            import pandas as pd
+        place, lists = _unused(docs.columns, "digest"), _unused(docs.columns, "own")
+        own = docs.select(digest(docs[text]).alias("digest"), docs[text].alias("text")).mapInArrow(thrifty(met), "digest binary, kind string, entity string").distinct().join(rest, ["kind", "entity"])
+        own = own.groupBy(F.col("digest").alias(place)).agg(F.collect_list(F.struct("kind", "entity", "resolved", "attempt")).alias(lists))
 
-            return pd.DataFrame([replaced(key, t, *_tables(x if x is not None else ())) for t, x in zip(texts, lists, strict=True)], columns=["text", "n"])
+        @F.arrow_udf(kind)
+        def apply_own(texts: pa.Array, exceptions: pa.Array) -> pa.Array:
+            return listed(replaced(key, t, *_tables(x or ())) for t, x in zip(texts.to_pylist(), exceptions.to_pylist(), strict=True))
 
-        out = docs.withColumn("__h", place).join(own, F.col("__h") == F.col("h"), "left").withColumn("__out", apply_own(text, "__own"))
-    return out.select(*[F.col("__out.text").alias(text) if c == text else docs[c] for c in docs.columns if c != counted], F.col("__out.n").alias(counted))
+        with_place = docs.withColumn(place, digest(docs[text]))
+        out = with_place.join(own, place, "left").withColumn(made, apply_own(with_place[text], own[lists]))
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    return out.select(*[F.col(f"{made}.text").alias(text) if c == text else quoted(c) for c in docs.columns if c != counted], F.col(f"{made}.n").alias(counted))

@@ -108,5 +108,65 @@ def test_mentions_in_compounds():
     assert [text[a:b] for a, b, _ in s.entities(text)] == ["Luke", "O'Brien", "Anna-Maria", "Voss", "O'Brien", "Anna-Maria", "Voss", "O'Brien", "Voss", "Voss", "Voss"]
 
 
+def test_capitals_are_the_same_name():
+    text = "Mr JOHN SMITH and Mrs Smith; SMITH's dog, John, O'BRIEN"
+    out, n = s.replaced(KEY, text, {})
+    m = re.fullmatch(r"Mr (\w+) (\w+) and Mrs (\w+); (\w+)'s dog, (\w+), O'BRIEN", out)
+    john, smith = m[5], m[3]
+    assert n == 5 and (m[1], m[2], m[4]) == (john.upper(), smith.upper(), smith.upper()) and john != john.upper()
+
+
+def test_ip_addresses():
+    text = "at 2001:db8::8a2e:370:7334, FE80:0:0:0:202:B3FF:FE1E:8329 not 12:30:45, a::b, std::x, 1:2:3 or ::"
+    assert [(text[a:b], k) for a, b, k in s.entities(text)] == [("2001:db8::8a2e:370:7334", "ipv6"), ("FE80:0:0:0:202:B3FF:FE1E:8329", "ipv6")]
+    made = s.surrogate(KEY, "ipv6", "2001:db8::8a2e:370:7334", 0)
+    assert s._valid_ipv6(made) and [len(x) for x in made.split(":")] == [4, 3, 0, 4, 3, 4]
+
+
+def test_a_full_space_comes_to_an_end(spark, monkeypatch):
+    monkeypatch.setattr(s, "PATIENCE", 3)
+    # numbers of which all others of their shape are in the corpus: no surrogate is free
+    monkeypatch.setattr(s, "_alone", lambda *_: True)
+    monkeypatch.setattr(s, "PHONE", re.compile(r"\+\d{1,3} \d{2}(?!\d)"))
+    monkeypatch.setattr(s, "NUMBER", re.compile(r"\+\d{1,3} \d{2}"))
+    texts = [f"call +49 {i:02d} now" for i in range(100)]
+    found = spark.createDataFrame([("phone", f"+49 {i:02d}", "phone") for i in range(100)], "kind string, entity string, resolved string")
+    attempts = {r.entity: r.attempt for r in s.exceptions(documents(spark, texts), KEY, found=found).collect()}
+    made = [s.surrogate(KEY, "phone", f"+49 {i:02d}", attempts.get(f"+49 {i:02d}", 0)) for i in range(100)]
+    assert len(set(made)) == 100
+
+
+def test_whole_table_by_brute_force(spark):
+    """Every entity of a small table, over all its texts: one surrogate each, no two alike, none real, nothing else touched."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    before, after = ({r.doc_id: r.text for r in df.collect()} for df in (docs, s.pseudonymize(docs, KEY)))
+    made = {}
+    for i, text in before.items():
+        at, rest = 0, after[i]
+        for a, b, kind in s.entities(text):
+            assert rest.startswith(text[at:a])
+            rest = rest[a - at :]
+            following = next((x for x, _, _ in s.entities(text) if x >= b), len(text))
+            end = rest.index(text[b:following]) if following > b else None
+            kind = "given" if kind.startswith("given") else kind
+            made.setdefault((kind, s.entity_of(kind, text[a:b])), set()).add(s.entity_of(kind, rest[:end]))
+            rest, at = rest[end:], b
+        assert rest == text[at:]
+    assert len(made) > 50 and all(len(x) == 1 for x in made.values())
+    for kind in {k for k, _ in made}:
+        real, new = {e for k, e in made if k == kind}, [next(iter(x)) for (k, _), x in made.items() if k == kind]
+        assert len(set(new)) == len(new) and not real & set(new)
+
+
+def test_extra_columns_of_any_name(spark, monkeypatch):
+    table = spark.createDataFrame([(1, "Mr John Smith at 78.241.210.149", *"abcdefgh"), (2, None, *"abcdefgh")], "doc_id long, text string, h string, __h string, __out string, made string, digest string, own string, kind string, `a.b` string")
+    for most in (s.EXCEPTIONS, -1):
+        monkeypatch.setattr(s, "EXCEPTIONS", most)
+        got = s.pseudonymize(table, KEY)
+        assert got.columns == [*table.columns, "n_entities"]
+        rows = {r.doc_id: r for r in got.collect()}
+        assert tuple(rows[1])[2:] == (*"abcdefgh", 3) and tuple(rows[2])[1:] == (None, *"abcdefgh", 0) and "Smith" not in rows[1].text
+
+
 def test_empty(spark):
     assert s.pseudonymize(documents(spark, []), KEY).count() == 0
