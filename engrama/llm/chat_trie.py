@@ -1,17 +1,22 @@
 """Conversations as a forest of shared turns.
 
 A conversation is formatted turn by turn. Conversations with the same initial
-turns share the nodes of a prefix tree; the packed sequence has each node's
+turns share the nodes of a prefix tree, each a run of turns in which no
+conversation ends or parts from the others; the packed sequence has each node's
 characters once, depth first. Every node carries the position of its first
 character in its conversations (``position``) and the intervals of the packed
 sequence that its characters may attend to: those of its ancestors, beside its
 own up to each character.
 
-A node is named by the digest of its run of turns, and its path is the digests
-of its ancestors and its own. Sorted by path, the distinct nodes stand in depth
-first order, so a prefix sum of their lengths gives their places: a range sort,
-a running sum per partition, and a sum per partition for the driver. However
-many conversations share a turn, it is one row, and no task holds a tree.
+A node is named by the digest of all turns up to its end, and its path has the
+digest at the first turn of each node down to it. Sorted by path, the distinct
+nodes stand in depth first order, so a prefix sum of their lengths gives their
+places: a range sort, a running sum per partition, and a sum per partition for
+the driver. However many conversations share a turn, it is one row, and no task
+holds a tree. A node that ends where a conversation ends is no deeper than that
+conversation is long, and for each that ends in a fork there is a conversation
+of its own that goes on: paths and intervals together are no longer than twice
+the input.
 """
 
 from __future__ import annotations
@@ -97,28 +102,17 @@ def prefix_digests(turns: list[dict]) -> list[bytes]:
     return out
 
 
-def _turn_rows(kind: pa.DataType) -> Callable:
-    """(conv_id, turns) to a row per turn: its node, path, formatted text, position, and where in it the loss counts."""
-    schema = pa.schema([("conv_id", kind), ("last", pa.bool_()), ("node", pa.binary()), ("path", pa.binary()), ("text", pa.string()), ("position", pa.int64()), ("loss_from", pa.int64()), ("loss_to", pa.int64())])
-
+def _with_digests(kind: pa.DataType) -> Callable:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for conv, turns in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                path, position = b"", 0
-                for i, (turn, node) in enumerate(zip(turns, prefix_digests(turns), strict=True), 1):
-                    path += node
-                    text, a, b = format_turn(turn["role"], turn["text"])
-                    learnt = turn["role"] == "assistant"
-                    out.append((conv, i == len(turns), node, path, text, position, a if learnt else None, b if learnt else None))
-                    position += len(text)
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], f.type) for i, f in enumerate(schema)], schema=schema)
+            digests = pa.array([prefix_digests(t) for t in batch.column(1).to_pylist()], pa.list_(pa.binary()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(kind), batch.column(1), digests], names=["conv_id", "turns", "prefixes"])
 
     return rows
 
 
-def turns_of(rows: DataFrame) -> DataFrame:
-    """Rows of turns as ``conv_id``, ``last``, and the node of each turn.
+def conversations(rows: DataFrame) -> DataFrame:
+    """Rows of turns as ``conv_id``, ``turns`` (in order) and ``prefixes``, a digest of each initial run of turns.
 
     Turns are ordered by ``turn``, nulls first; ties and repeated rows by role
     and text, all kept. A null text counts as empty. Rows without ``conv_id``
@@ -128,7 +122,47 @@ def turns_of(rows: DataFrame) -> DataFrame:
     whole = rows.select(rows["conv_id"].alias("conv_id"), turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     slim = whole.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
     kind = rows.schema["conv_id"].dataType
-    return slim.mapInArrow(thrifty(_turn_rows(to_arrow_type(kind))), f"conv_id {kind.simpleString()}, last boolean, node binary, path binary, text string, position long, loss_from long, loss_to long")
+    return slim.mapInArrow(thrifty(_with_digests(to_arrow_type(kind))), f"conv_id {kind.simpleString()}, turns array<struct<role:string,text:string>>, prefixes array<binary>")
+
+
+def ends(convs: DataFrame) -> DataFrame:
+    """``conv_id``, ``ends``: after which of its turns (from 0) a node ends, because some conversation does or several go on differently.
+
+    Per initial run of turns two digests and a flag are kept, combined before they are shuffled.
+    """
+    steps = convs.select("conv_id", F.posexplode(F.arrays_zip("prefixes", F.slice("prefixes", F.lit(2), F.size("prefixes")).alias("following"))).alias("at", "z")).select("conv_id", "at", F.col("z.prefixes").alias("prefix"), F.col("z.following").alias("following"))
+    told = steps.groupBy("prefix").agg(F.min("following").alias("a"), F.max("following").alias("b"), F.bool_or(F.col("following").isNull()).alias("last")).filter("last or a != b").select("prefix")
+    return steps.select("conv_id", "at", "prefix").join(told, "prefix").groupBy("conv_id").agg(F.sort_array(F.collect_list("at")).alias("ends"))
+
+
+_NODE = "last boolean, node binary, path binary, above array<binary>, text string, position long, turns array<bigint>, losses array<struct<start:bigint,`end`:bigint>>"
+
+
+def _node_rows(kind: pa.DataType) -> Callable:
+    """(conv_id, turns, prefixes, ends) to a row per node; turns and losses are counted from its first character."""
+    span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+    schema = pa.schema([("conv_id", kind), ("last", pa.bool_()), ("node", pa.binary()), ("path", pa.binary()), ("above", pa.list_(pa.binary())), ("text", pa.string()), ("position", pa.int64()), ("turns", pa.list_(pa.int64())), ("losses", pa.list_(span))])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for conv, turns, prefixes, ends in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                path, above, position, first = b"", [], 0, 0
+                for end in ends:
+                    path += prefixes[first]
+                    text, starts, losses = "", [], []
+                    for turn in turns[first : end + 1]:
+                        formatted, a, b = format_turn(turn["role"], turn["text"])
+                        starts.append(len(text))
+                        if turn["role"] == "assistant":
+                            losses.append({"start": len(text) + a, "end": len(text) + b})
+                        text += formatted
+                    out.append((conv, end + 1 == len(turns), prefixes[end], path, list(above), text, position, starts, losses))
+                    above.append(prefixes[end])
+                    position, first = position + len(text), end + 1
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], f.type) for i, f in enumerate(schema)], schema=schema)
+
+    return rows
 
 
 def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,35 +198,39 @@ def pack(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Nodes: ``start``, ``end`` (places of its characters in the packed sequence),
     ``text`` (those characters), ``position`` (position id of the first),
-    ``attends`` (intervals of its ancestors, root first) and ``loss`` (interval
-    of an assistant's text). Character i of a node has position id ``position
-    + i`` and attends to ``attends`` and to its own node up to itself. Sorted by
-    ``start`` the texts make up the sequence. Leaves: ``conv_id``, ``start`` of
-    the node of its last turn.
-
-    Equal turns after equal turns are one node, in repeated conversations too.
-    Very long texts are one node each. The path of a node, 16 bytes a turn, is
-    what grows with the depth. An empty table gives no nodes and no leaves.
+    ``turns`` (where its turns begin), ``attends`` (intervals of its ancestors,
+    root first) and ``losses`` (intervals of assistants' texts). Character i of
+    a node has position id ``position + i`` and attends to ``attends`` and to
+    its own node up to itself. Sorted by ``start`` the texts make up the
+    sequence. Leaves: ``conv_id``, ``start`` of the node in which it ends.
+
+    Equal turns after equal turns are there once, in repeated conversations
+    too. Very long texts and conversations stay whole, a conversation in one
+    task. An empty table gives no nodes and no leaves.
     """
-    turns = stash(turns_of(rows))
-    nodes = stash(turns.dropDuplicates(["node"]).drop("conv_id", "last"))
+    convs = stash(conversations(rows))
+    kind = convs.schema["conv_id"].dataType
+    cuts = ends(convs).withColumnRenamed("conv_id", "__of")
+    cut = convs.join(cuts, F.col("conv_id").eqNullSafe(F.col("__of"))).select("conv_id", "turns", "prefixes", "ends")
+    held = stash(cut.mapInArrow(thrifty(_node_rows(to_arrow_type(kind))), f"conv_id {kind.simpleString()}, {_NODE}"))
+    nodes = stash(held.dropDuplicates(["node"]).drop("conv_id", "last"))
     places = stash(placed(nodes.withColumn("length", F.length("text").cast("long"))))
-    # 16 bytes a turn; the last are the node's own
-    above = nodes.select(F.col("node").alias("of"), F.posexplode(F.transform(F.sequence(F.lit(0), (F.length("path") / 16).cast("int") - 1), lambda i: F.substring("path", 1 + 16 * i, F.lit(16)))).alias("depth", "node"))
-    spans = above.filter(F.col("of") != F.col("node")).join(places, "node").groupBy("of").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("attends"))
+    above = nodes.select(F.col("node").alias("of"), F.explode("above").alias("node"))
+    spans = above.join(places, "node").groupBy("of").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("attends"))
     whole = nodes.join(places, "node").join(spans.withColumnRenamed("of", "node"), "node", "left")
     empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    loss = F.when(F.col("loss_from").isNotNull(), F.struct((F.col("start") + F.col("loss_from")).alias("start"), (F.col("start") + F.col("loss_to")).alias("end")))
-    forest = stash(whole.select("start", "end", "text", "position", F.coalesce("attends", empty).alias("attends"), loss.alias("loss")))
-    leaves = stash(turns.filter("last").select("conv_id", "node").join(places, "node").select("conv_id", "start"))
-    drop(turns, nodes, places)
+    losses = F.transform("losses", lambda x: F.struct((F.col("start") + x["start"]).alias("start"), (F.col("start") + x["end"]).alias("end")))
+    turns = F.transform("turns", lambda x: F.col("start") + x)
+    forest = stash(whole.select("start", "end", "text", "position", turns.alias("turns"), F.coalesce("attends", empty).alias("attends"), losses.alias("losses")))
+    leaves = stash(held.filter("last").select("conv_id", "node").join(places, "node").select("conv_id", "start"))
+    drop(convs, held, nodes, places)
     return forest, leaves
 
 
 def read_back(nodes: list[dict]) -> tuple[str, str]:
     """A conversation's formatted text, and the text under its loss mask, from the nodes on its path."""
     path = sorted(nodes, key=lambda n: n["position"])
-    loss = "".join(unescape(n["text"][n["loss"]["start"] - n["start"] : n["loss"]["end"] - n["start"]]) for n in path if n["loss"])
+    loss = "".join(unescape(n["text"][x["start"] - n["start"] : x["end"] - n["start"]]) for n in path for x in n["losses"])
     return "".join(n["text"] for n in path), loss
 
 
@@ -220,6 +258,6 @@ def digests(forest: DataFrame, leaves: DataFrame) -> DataFrame:
     """
     own = forest.select("start", F.concat(F.col("attends.start"), F.array("start")).alias("path"))
     wanted = leaves.join(own, "start").select("conv_id", F.explode("path").alias("start"))
-    held = wanted.join(forest.select("start", "text", "position", "loss"), "start").groupBy("conv_id").agg(F.collect_list(F.struct("start", "text", "position", "loss")).alias("nodes"))
+    held = wanted.join(forest.select("start", "text", "position", "losses"), "start").groupBy("conv_id").agg(F.collect_list(F.struct("start", "text", "position", "losses")).alias("nodes"))
     kind = leaves.schema["conv_id"].dataType.simpleString()
     return held.mapInArrow(thrifty(_digest_rows), f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

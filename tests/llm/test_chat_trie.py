@@ -63,18 +63,23 @@ def test_the_forest_equals_a_trie_built_by_hand(spark):
     nodes = sorted(forest.collect(), key=lambda n: n.start)
     packed = "".join(n.text for n in nodes)
     assert [n.start for n in nodes] == [sum(len(m.text) for m in nodes[:i]) for i in range(len(nodes))]
-    seen, open_nodes = set(), []
+    seen, open_nodes, cut, turns = set(), [], {}, 0
     for n in nodes:
         assert n.end == n.start + len(n.text)
-        path = tuple(packed[x.start : x.end] for x in n.attends)
-        assert n.position == sum(map(len, path))
-        seen.add((*path, n.text))
+        assert n.position == sum(x.end - x.start for x in n.attends)
+        above = [cut[x.start] for x in n.attends]
+        cut[n.start] = [packed[a:b] for a, b in zip(n.turns, [*n.turns[1:], n.end])]
+        turns += len(n.turns)
+        for k in range(1, len(n.turns) + 1):
+            seen.add((*(t for x in above for t in x), *cut[n.start][:k]))
+        for x in n.losses:
+            assert any(a < x.start <= x.end < b for a, b in zip(n.turns, [*n.turns[1:], n.end]))
         # depth first: what a node attends to are the nodes still open
         while open_nodes and open_nodes[-1] not in [(x.start, x.end) for x in n.attends]:
             open_nodes.pop()
         assert open_nodes == [(x.start, x.end) for x in n.attends]
         open_nodes.append((n.start, n.end))
-    assert len(nodes) == len(seen) and seen == paths
+    assert turns == len(seen) and seen == paths  # every shared turn once
     assert leaves.count() == len(convs)
 
 
@@ -89,6 +94,14 @@ def test_a_hot_turn_is_emitted_once_whatever_follows(spark):
         assert leaves.count() == sharers
 
 
+def test_a_long_conversation_is_few_nodes(spark):
+    rows = [(i, t, "user" if t % 2 == 0 else "assistant", f"turn {t}" if t < 900 - 300 * i else f"turn {t} of {i}") for i in range(3) for t in range(1000)]
+    forest, leaves = c.pack(spark.createDataFrame(rows, SCHEMA))
+    nodes = forest.collect()
+    assert sorted(len(n.turns) for n in nodes) == [300, 300, 400, 400, 700] and max(len(n.attends) for n in nodes) == 2
+    assert {r.conv_id: tuple(r)[1:] for r in c.digests(forest, leaves).collect()} == expected(rows)
+
+
 def test_empty(spark):
     forest, leaves = c.pack(spark.createDataFrame([], SCHEMA))
     assert forest.count() == leaves.count() == c.digests(forest, leaves).count() == 0
