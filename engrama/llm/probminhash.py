@@ -11,9 +11,10 @@ Equal texts are one node from the start. Nodes that agree in a band are
 candidates: each is verified against its bucket's most central node, the one
 that shares most buckets, which settles most copies with one comparison.
 Buckets that still hold different components compare signatures between those
-components in bounded blocks and verify the pairs that may be similar inside
-the task, so only links leave it. Verification is exact, on the shingles. The
-class of a document is its connected component.
+components in bounded blocks. The likeliest pairs, some per member, are
+verified; a block that has more of them is compared once more inside a task with
+the shingles at hand, so that only links leave it. Verification is exact, on the
+shingles. The class of a document is its connected component.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ AGREE = math.floor(SLOTS * SIMILAR - 5 * math.sqrt(SLOTS * SIMILAR * (1 - SIMILA
 LOAD = 100_000
 #: Members of a bucket that are compared in one block.
 BLOCK = 1000
+#: Members of all buckets that share a task, about; likely pairs per member that leave it; pairs that are looked at at once.
+TASK, PER_MEMBER, PAIRS = 4000, 4, 20_000
 #: Nodes that are sent to every task; beyond, they are joined.
 BROADCAST_NODES = 200_000
 _U = np.uint64
@@ -234,23 +237,108 @@ def _across(rows: pa.Table) -> pa.Table:
     return pa.table({"u": pa.array([x for x, _ in links], pa.binary()), "v": pa.array([x for _, x in links], pa.binary())})
 
 
-def remaining(buckets: DataFrame, nodes: DataFrame, roots: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (u, v) within a bucket between different components.
+def _fresh(rows: dict[str, np.ndarray]) -> np.ndarray:
+    """Where another block begins."""
+    out = np.ones(len(rows["bucket"]), bool)
+    out[1:] = np.logical_or.reduce([rows[c][1:] != rows[c][:-1] for c in ("bucket", "i", "j")])
+    return out
+
+
+def _pairs_of(rows: dict[str, np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Per block of a bucket its first row and the pairs of rows to look at, in parts; rows are sorted by block."""
+    begins = np.flatnonzero(_fresh(rows))
+    for a, b in zip(begins, begins + np.diff(begins, append=len(rows["bucket"])), strict=True):
+        members = np.arange(a, b)
+        one = members[rows["side"][a:b] == 0]
+        two = one if rows["i"][a] == rows["j"][a] else members[rows["side"][a:b] == 1]
+        step = max(1, PAIRS // max(1, len(two)))
+        for at in range(0, len(one), step):
+            u, v = (x.ravel() for x in np.meshgrid(one[at : at + step], two, indexing="ij"))
+            wanted = (rows["root"][u] != rows["root"][v]) & ((u < v) | (rows["i"][a] != rows["j"][a]))
+            yield int(a), u[wanted], v[wanted]
+
 
-    A bucket is cut into blocks of about BLOCK members; a task compares two
-    blocks, verifies on the shingles and returns links only.
+_LIKELY = "u binary, v binary, bucket long, i int, j int"
+
+
+def _likely(table: pa.Table) -> pa.Table:
+    """Members of many blocks to their likeliest pairs of different components, and the blocks (without u, v) that have more.
+
+    A pair is looked at in the first bucket that both share.
     """
+    table = table.sort_by([("bucket", "ascending"), ("i", "ascending"), ("j", "ascending"), ("side", "ascending"), ("node", "ascending")]).combine_chunks()
+    rows = {c: table.column(c).to_numpy() for c in ("bucket", "i", "j", "side")}
+    rows["root"] = np.asarray(table.column("root").combine_chunks().dictionary_encode().indices)
+    signatures = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(-1, SLOTS)
+    bands = np.array(table.column("bands").to_pylist(), np.int64).reshape(-1, BANDS)
+    best: dict[int, list[tuple[np.ndarray, ...]]] = {}
+    held: list[tuple[int, np.ndarray, np.ndarray]] = []
+
+    def looked_at() -> None:
+        u, v = (np.concatenate([h[k] for h in held]) for k in (1, 2))
+        block = np.repeat([h[0] for h in held], [len(h[1]) for h in held])
+        agree = (signatures[u] == signatures[v]).sum(axis=1)
+        near = agree >= AGREE
+        u, v, block, agree = u[near], v[near], block[near], agree[near]
+        first = (bands[u] == bands[v]).argmax(axis=1)
+        here = bands[u, first] == rows["bucket"][u]
+        for x in np.unique(block[here]):
+            of = here & (block == x)
+            best.setdefault(int(x), []).append((agree[of], u[of], v[of]))
+
+    load = 0
+    for part in _pairs_of(rows):
+        held.append(part)
+        load += len(part[1])
+        if load >= PAIRS:
+            looked_at()
+            held, load = [], 0
+    if load:
+        looked_at()
+    nodes = table.column("node")
+    left, right, more = [], [], []
+    begins = np.flatnonzero(_fresh(rows))
+    sizes = dict(zip(begins.tolist(), np.diff(begins, append=len(table)).tolist(), strict=True))
+    for x, parts in best.items():
+        agree, u, v = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        order = np.argsort(-agree, kind="stable")[: PER_MEMBER * sizes[x]]
+        left += u[order].tolist()
+        right += v[order].tolist()
+        if len(order) < len(agree):
+            more.append(x)
+    pick = lambda at, c, t: pa.concat_arrays([pa.nulls(len(left), t), table.column(c).take(pa.array(at, pa.int64())).combine_chunks().cast(t)])
+    ends = [pa.concat_arrays([nodes.take(pa.array(x, pa.int64())).combine_chunks().cast(pa.binary()), pa.nulls(len(more), pa.binary())]) for x in (left, right)]
+    return pa.table([*ends, pick(more, "bucket", pa.int64()), pick(more, "i", pa.int32()), pick(more, "j", pa.int32())], names=["u", "v", "bucket", "i", "j"])
+
+
+def _dealt(buckets: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of the buckets that hold different components, once per pair of blocks: bucket, i, j, side, node, root, signature, bands."""
     member = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed_up = member.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("n")).filter("a != b").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    open_members = stash(member.join(mixed_up, "bucket"))
-    sets = _sets_of(stash(open_members.select(F.col("node").alias("key")).distinct()), docs)
-    own = open_members.join(nodes.select("node", "signature", "bands").join(sets.withColumnRenamed("key", "node"), "node"), "node")
+    own = member.join(mixed_up, "bucket").join(nodes.select("node", "signature", "bands"), "node")
     block = F.pmod(F.hash("node"), F.col("blocks"))
     sides = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("block"), o).alias("i"), F.greatest(F.col("block"), o).alias("j"), F.when(F.col("block") <= o, 0).otherwise(1).alias("side")))
-    dealt = own.withColumn("block", block).select("bucket", "node", "root", "signature", "bands", "s", "c", F.inline(sides))
-    links = stash(dealt.groupBy("bucket", "i", "j").applyInArrow(_across, "u binary, v binary"))
-    drop(open_members, sets)
-    return links
+    return own.withColumn("block", block).select("bucket", "node", "root", "signature", "bands", F.inline(sides))
+
+
+def remaining(buckets: DataFrame, nodes: DataFrame, links: DataFrame, docs: DataFrame) -> DataFrame:
+    """``links`` and those (u, v) within a bucket between components that they leave apart."""
+    dealt = stash(_dealt(buckets, nodes, components(links)))
+    tasks = max(1, -(-dealt.count() // TASK))
+    found = stash(dealt.withColumn("task", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(tasks)).cast("int")).groupBy("task").applyInArrow(_likely, _LIKELY))
+    near = verified(found.filter("u is not null").select("u", "v").distinct(), docs)
+    links = stash(links.union(near))
+    more = stash(found.filter("u is null").select("bucket", "i", "j"))
+    drop(dealt, found, near)
+    if more.isEmpty():
+        return links
+    # these blocks have more likely pairs than were verified: compared again, under what is joined by now, with the shingles at hand
+    again = stash(_dealt(buckets.join(more.select("bucket").distinct(), "bucket", "left_semi"), nodes, components(links)).join(more, ["bucket", "i", "j"], "left_semi"))
+    sets = _sets_of(stash(again.select(F.col("node").alias("key")).distinct()), docs)
+    rest = stash(again.join(sets.withColumnRenamed("key", "node"), "node").groupBy("bucket", "i", "j").applyInArrow(_across, "u binary, v binary"))
+    both = stash(links.union(rest))
+    drop(again, sets, rest, more, links)
+    return both
 
 
 def _rooted(docs: DataFrame, row_id: str, text: str) -> DataFrame:
@@ -265,16 +353,13 @@ def _rooted(docs: DataFrame, row_id: str, text: str) -> DataFrame:
     mass = met.groupBy("node").agg(F.sum("n").alias("mass"))
     central = met.join(mass, "node").groupBy("bucket").agg(F.max(F.struct("mass", "node"))["node"].alias("centre"))
     pairs = met.join(central, "bucket").filter("node != centre").select(F.col("centre").alias("u"), F.col("node").alias("v")).distinct()
-    links = verified(pairs, slim)
+    links = remaining(met.select("bucket", "node"), nodes, verified(pairs, slim), slim)
     roots = components(links)
-    more = remaining(met.select("bucket", "node"), nodes, roots, slim)
-    if not more.isEmpty():
-        roots = components(links.union(more))
     blank = F.length(F.translate("text", " \t\n\x0b\x0c\r", "")) == 0
     rows = slim.select("id", _key("text").alias("node"), blank.alias("blank"), F.monotonically_increasing_id().cast("string").alias("place"))
     placed = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     out = stash(placed.select("id", "node", F.when(F.col("blank"), F.concat(F.lit("blank-"), "place")).otherwise(F.hex("root")).alias("root")))
-    drop(nodes, met, links, more)
+    drop(nodes, met, links)
     return out
 
 

@@ -3,6 +3,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import engrama.llm.probminhash as p
@@ -54,9 +55,11 @@ def test_signatures_estimate_the_similarity():
     assert np.mean(shares) == pytest.approx(exact, abs=0.03)
 
 
-@pytest.mark.parametrize("block", [1000, 2])
-def test_classes_equal_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "per_member", "pairs"), [(1000, 4, 20_000), (2, 4, 3), (5, 0, 20_000)])
+def test_classes_equal_brute_force(spark, monkeypatch, block, per_member, pairs):
     monkeypatch.setattr(p, "BLOCK", block)
+    monkeypatch.setattr(p, "PER_MEMBER", per_member)  # at 0 all likely pairs are left to the tasks that have the shingles
+    monkeypatch.setattr(p, "PAIRS", pairs)
     rng = random.Random(9)
     texts = hostile_texts(n=25)
     base = [f"w{rng.randint(0, 999)}" for _ in range(150)]
@@ -73,6 +76,43 @@ def test_classes_equal_brute_force(spark, monkeypatch, block):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({least for least, _ in truth.values()})
 
 
+def test_likely_pairs_equal_all_pairs(monkeypatch):
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(p, "AGREE", 70)
+    base = rng.integers(0, 2**16, p.SLOTS).astype(np.uint16)
+    members = []
+    for _ in range(40):
+        signature = base.copy()
+        changed = rng.random(p.SLOTS) < rng.choice([0.1, 0.3, 0.6])
+        signature[changed] = rng.integers(0, 2**16, changed.sum())
+        members.append((signature, p.bands(signature[None].astype(np.uint64))[0].view(np.int64), int(rng.integers(0, 12))))
+    rows, truth = [], set()
+    for bucket in {int(b) for _, bands, _ in members for b in bands}:
+        for m, (signature, bands, root) in enumerate(members):
+            if bucket in bands:
+                rows.append((bucket, 0, 0, 0, m.to_bytes(2, "big"), bytes([root]), signature.tobytes(), bands.tolist()))
+    for m in range(40):
+        for n in range(m + 1, 40):
+            if members[m][2] != members[n][2] and (members[m][1] == members[n][1]).any() and (members[m][0] == members[n][0]).sum() >= 70:
+                truth.add((m.to_bytes(2, "big"), n.to_bytes(2, "big")))
+    names = ["bucket", "i", "j", "side", "node", "root", "signature", "bands"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+    table = pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
+    monkeypatch.setattr(p, "PER_MEMBER", 1000)
+    out = p._likely(table).to_pylist()
+    assert len(out) == len(truth) > 20 and {tuple(sorted((r["u"], r["v"]))) for r in out} == truth
+    monkeypatch.setattr(p, "PER_MEMBER", 0)
+    assert all(r["u"] is None and r["bucket"] is not None for r in p._likely(table).to_pylist())
+    assert p._likely(table.slice(0, 0)).num_rows == 0
+
+
+def test_a_table_by_brute_force(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id")
+    texts, ids = ([r[c] for r in rows.collect()] for c in ("text", "doc_id"))
+    truth = {ids[i]: (ids[least], len(c)) for i, (least, c) in brute(texts).items()}
+    assert {r.doc_id: (r.class_id, r.class_size) for r in p.classes(rows).collect()} == truth
+
+
 def test_repeated_rows_are_one_class(spark):
     docs = documents(spark, ["a b c d e f", None, "a b c d e f"])
     assert sorted(map(tuple, p.classes(docs).collect())) == sorted([(0, 0, 5), (0, 0, 5), (2, 0, 5), (2, 0, 5), (2, 0, 5), (1, 1, 1)])
