@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from engrama.llm.chat_trie import CONTROL, MARKS
 from engrama.llm.feistel_sharding import PRIME, ROUNDS, Permutation
-from engrama.llm.quality_ledger import RULE_BITS
+from engrama.llm.quality_ledger import POLICIES, RULE_BITS
 
 PLAIN = r"[^\x20\x09-\x0D]+"
 NORMAL = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -26,7 +26,7 @@ _RULES = {
     "few_letters": "10 * n_letters < 4 * word_chars",
     "stuttered_words": "10 * n_stutters > 3 * n_words",
 }
-OP4 = rf"""
+_LEDGER = rf"""
 with d as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '{PLAIN}') as w from documents),
 win as (select doc_id, i, count(*) over (partition by doc_id, k) as c from (select doc_id, i, list_slice(w, i, i + 7) as k from (select doc_id, w, unnest(range(1, len(w) - 6)) as i from d where len(w) >= 8))),
 rep as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(i, i + 8)) as p from win where c > 1) group by 1),
@@ -34,10 +34,16 @@ st as (select doc_id, count(*) as n from (select doc_id, w, unnest(range(2, len(
 li as (select doc_id, count(*) as n, count(*) - count(distinct l) as dup from (select doc_id, unnest(string_split(t, chr(10))) as l from d) where regexp_matches(l, '{PLAIN}') group by 1),
 m as (select d.doc_id, len(w) as n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) as word_chars, {_count('#*$%&|<>')} as n_symbols, {_count('!?')} as n_marks, length(t) - length(regexp_replace(t, '\p{{L}}+', '', 'g')) as n_letters,
   coalesce(li.n, 0) as n_lines, coalesce(li.dup, 0) as n_dup_lines, coalesce(rep.n, 0) as n_repeat_words, coalesce(st.n, 0) as n_stutters from d left join rep on rep.doc_id = d.doc_id left join st on st.doc_id = d.doc_id left join li on li.doc_id = d.doc_id),
-b as (select *, cast({' + '.join(f'case when {_RULES[r]} then {1 << bit} else 0 end' for r, bit in RULE_BITS.items())} as bigint) as failure_bits from m)
+b as (select *, cast({' + '.join(f'case when {_RULES[r]} then {1 << bit} else 0 end' for r, bit in RULE_BITS.items())} as bigint) as failure_bits from m)"""
+OP4 = rf"""{_LEDGER}
 select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols, cast(n_dup_lines as bigint) as n_dup_lines, cast(n_repeat_words as bigint) as n_repeat_words,
   n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, failure_bits = 0 as kept, failure_bits from b"""
 
+_RULES_OF = ", ".join(f"('{p.name}', {p.version}, {p.mask}::bigint, '{r}', {1 << RULE_BITS[r]}::bigint)" for p in POLICIES for r in p.rules)
+ABLATIONS = rf"""{_LEDGER}, p as (select * from (values {_RULES_OF}) v(policy, version, mask, rule, bit))
+select policy, version, rule, count(*) as documents, count(*) filter (where failure_bits & mask = 0) as kept, count(*) filter (where failure_bits & bit <> 0) as failing, count(*) filter (where failure_bits & mask = bit) as failing_alone,
+  count(*) filter (where failure_bits & mask & ~bit = 0) as kept_without, bit_or(case when failure_bits & mask <> 0 then failure_bits else 0 end) as bits_seen from b cross join p group by policy, version, rule"""
+
 _NORMAL_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{LETTERS}', '{LETTERS.lower()}'), '{NORMAL}')"
 OP5 = rf"""
 with b as (select cast(item_id as varchar) as item, {_NORMAL_WORDS} as w from benchmark),
@@ -120,4 +126,4 @@ from documents d join walk on walk.id = d.doc_id and walk.y < walk.n join sums o
 
 
 OP8 = _sharding()
-ORACLES = {"op2_prefix_forest": OP2, "op4_rule_ledger": OP4, "op5_prefix_join": OP5, "op6_bwt_merge": OP6, "op7_suffix_automata": OP7, "op8_feistel_shards": OP8}
+ORACLES = {"op2_prefix_forest": OP2, "op4_rule_ledger": OP4, "rule_ablations": ABLATIONS, "op5_prefix_join": OP5, "op6_bwt_merge": OP6, "op7_suffix_automata": OP7, "op8_feistel_shards": OP8}

@@ -45,7 +45,7 @@ LOAD = 100_000
 BLOCK = 1000
 #: Members of all buckets that share a task, about; likely pairs per member that leave it; pairs that are looked at at once.
 TASK, PER_MEMBER, PAIRS = 4000, 4, 20_000
-#: Nodes that are sent to every task; beyond, they are joined.
+#: Nodes (names of 16 bytes, so some 20 MB) that are sent to every task; beyond, they are joined.
 BROADCAST_NODES = 200_000
 _U = np.uint64
 

@@ -55,6 +55,8 @@ RULES = ("too_few_words", "repeated_windows", "symbol_heavy", "shouting_marks",
 RULE_BITS = {name: bit for bit, name in enumerate(RULES)}
 BASE = Policy("base", 1, ("too_few_words", "repeated_windows"))
 STRICT = Policy("strict", 1, RULES)
+#: What the ledger is read under; a changed policy is a new version.
+POLICIES = (BASE, STRICT, Policy("strict", 2, RULES[:-1]))
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_marks", "n_letters", "n_stutters")
 
 
@@ -81,8 +83,9 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the measurements and ``failure_bits``.
 
     A null or empty text has no words, so it fails ``too_few_words`` and every
-    other measurement is 0. Repeated rows are measured each on its own. Columns
-    of ``docs`` that bear the name of a measurement are replaced.
+    other measurement is 0. Repeated rows are measured each on its own, very
+    long texts whole. Columns of ``docs`` that bear the name of a measurement
+    are replaced. An empty table gives no rows.
     """
     added = {*MEASURES, "failure_bits"}
     keep = [docs[c] for c in docs.columns if c not in added]
@@ -115,7 +118,7 @@ def apply_policy(rows: DataFrame, policy: Policy) -> DataFrame:
     return rows.filter(passes(policy))
 
 
-def ablations(rows: DataFrame, policies: list[Policy]) -> DataFrame:
+def ablations(rows: DataFrame, policies: list[Policy] | tuple[Policy, ...] = POLICIES) -> DataFrame:
     """Per policy and rule of it: documents that fail the rule, that fail it alone, and what is kept without it.
 
     The ledger is first reduced to its distinct bit patterns (at most 2 to the

@@ -46,6 +46,13 @@ def op4_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~passes(BASE)).alias("base_failed"), passes(STRICT).alias("kept"), "failure_bits")
 
 
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule contributes to each policy, from the ledger of every document."""
+    from engrama.llm.quality_ledger import ablations, ledger
+
+    return ablations(ledger(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op5_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows of ten words in every document."""
     from engrama.llm.decontamination import decontaminate
@@ -93,5 +100,5 @@ SURROGATE_KEY = b"engrama demonstration key"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_surrogates, op2_prefix_forest, op3_conflict_packing, op4_rule_ledger, op5_prefix_join, op6_bwt_merge, op7_suffix_automata, op8_feistel_shards, op9_secret_battery, op10_probminhash)
+    for f in (op1_surrogates, op2_prefix_forest, op3_conflict_packing, op4_rule_ledger, rule_ablations, op5_prefix_join, op6_bwt_merge, op7_suffix_automata, op8_feistel_shards, op9_secret_battery, op10_probminhash)
 }
