@@ -14,8 +14,6 @@ postings; a text is never shuffled.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +21,7 @@ from engrama.llm.columns import let, normal_words, word_hashes
 from engrama.llm.shared import stash
 
 WIDTH = 10
-#: Rows of the benchmark side that are broadcast at once (some 150 bytes each); a larger side is joined in blocks.
+#: Rows of the benchmark side that are broadcast (some 150 bytes each); a larger side is joined by a shuffle.
 BROADCAST_ROWS = 200_000
 #: Shingles of the benchmark up to which they are part of the scan's expression.
 LITERALS = 20_000
@@ -58,16 +56,17 @@ def _candidates(windows: DataFrame) -> DataFrame:
     return windows.select(F.xxhash64("words").alias("window"), "words", "items", F.posexplode(own).alias("offset", "shingle"))
 
 
-def _in_blocks(table: DataFrame, rows: int, by: str) -> list[DataFrame]:
-    """``table`` in parts small enough to be broadcast, each marked so."""
-    blocks = max(1, -(-rows // BROADCAST_ROWS))
-    if blocks == 1:
-        return [F.broadcast(table)]
-    return [F.broadcast(table.filter(F.pmod(F.xxhash64(by), F.lit(blocks)) == b)) for b in range(blocks)]
-
-
-def _all_of(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+def _joined(places: DataFrame, table: DataFrame, rows: int) -> DataFrame:
+    """``places`` (id, hash, at, shingle, ...) whose shingle is in ``table``, with its columns, and those that stand for a document (``at`` 0), with nulls."""
+    others = [c for c in table.columns if c != "shingle"]
+    if rows <= BROADCAST_ROWS:
+        itself = table.sparkSession.range(1).select(*[F.lit(ITSELF).cast("long").alias(c) if c == "shingle" else F.lit(None).cast(table.schema[c].dataType).alias(c) for c in table.columns])
+        return places.join(F.broadcast(table.unionByName(itself)), "shingle")
+    # a document's own row has a key of its own, or all of them would meet in one task
+    own = F.col("at") == 0
+    keyed = places.withColumn("__key", F.when(own, F.xxhash64("hash", "id")).otherwise(F.col("shingle")))
+    met = keyed.join(table.withColumnRenamed("shingle", "__key").withColumn("__met", F.lit(True)), "__key", "left").filter(own | F.col("__met"))
+    return met.select(*places.columns, *[F.when(~own, F.col(c)).alias(c) for c in others])
 
 
 def postings(docs: DataFrame, wanted: DataFrame, lone: bool) -> DataFrame:
@@ -88,10 +87,7 @@ def postings(docs: DataFrame, wanted: DataFrame, lone: bool) -> DataFrame:
         known = [r[0] for r in wanted.collect()] + [ITSELF]
         met = base.select("*", F.inline(F.filter(F.concat(marker, placed), lambda x: x["shingle"].isin(known))))
     else:
-        cut = base.select("*", F.inline(F.concat(marker, placed)))
-        itself = wanted.sparkSession.range(1).select(F.lit(ITSELF).cast("long").alias("shingle"))
-        first, *others = _in_blocks(wanted, rows, "shingle")
-        met = _all_of([cut.join(part, "shingle") for part in (F.broadcast(first.unionByName(itself)), *others)])
+        met = _joined(base.select("*", F.inline(F.concat(marker, placed))), wanted, rows)
     place = F.abs("at")
     return met.select("id", "hash", "at", "shingle", F.when(place > 0, F.get("w", place - 1)).alias("word"), F.when(place > 0, F.get("w", place)).alias("after"), F.when(place == 0, F.size("w").cast("long")).alias("n_words"))
 
@@ -121,9 +117,7 @@ def _per_text(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, row_id:
     own = F.struct("at", "shingle", "word", "after")
     per = placed.groupBy("id", "hash").agg(F.max("n_words").alias("n_words"), F.count("n_words").alias("copies"), F.array_sort(F.collect_set(own)).alias("p"))
     each = per.select("*", F.posexplode("p").alias("i", "one")).select("*", F.col("one.at").alias("at"), F.col("one.shingle").alias("shingle"))
-    marker = placed.sparkSession.range(1).select(F.lit(0).alias("offset"), F.lit(ITSELF).cast("long").alias("shingle"), F.lit(None).cast("array<string>").alias("words"), F.lit(None).cast("array<string>").alias("items"))
-    first, *others = _in_blocks(table, shape["n"], "shingle")
-    met = _all_of([each.join(part, "shingle") for part in (F.broadcast(first.unionByName(marker)), *others)])
+    met = _joined(each, table, shape["n"])
     itself, need = F.col("words").isNull(), F.size("words")
     start = F.abs("at") - F.col("offset")  # of the window, counted from 1
     bounded = (start >= 1) & (start + need - 1 <= F.col("n_words")) & (F.col("i") >= F.col("offset"))
