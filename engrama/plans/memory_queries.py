@@ -70,7 +70,22 @@ def hebbian_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("note_a", "note_b", "frequency", F.round("weight", 6).alias("weight"))
 
 
-@query()
+REPLAY_SQL = f"""with recursive {SYN_SQL},
+lg as (select cast(epoch(h) as bigint) as seq, id, score, case when hour(h) = 3 then 'nightly' when hour(h) % 5 = 0 then 'derived' else 'user' end as source, case when hour(h) = 3 then 0 else 1 end as n from act),
+qs as (select seq, sum(n) over (order by seq) as q from (select distinct seq, n from lg)),
+rw as (select lg.*, qs.q, sum(lg.n) over (partition by id order by lg.seq) as c from lg join qs on qs.seq = lg.seq),
+pr as (select a.id as note_a, b.id as note_b, a.seq, a.q - a.c - b.c as rest, a.n, case when a.score >= 0.15 and b.score >= 0.15 then case when a.source = 'user' then 1.0 else 0.3 end end as gain from rw a join rw b on a.seq = b.seq and a.id < b.id),
+both_active as (select *, sum(n) over (partition by note_a, note_b order by seq) as cab from pr),
+ev as (select note_a, note_b, cast(rest + cab as double) as idle, cast(gain as double) as gain, row_number() over (partition by note_a, note_b order by seq) as k from both_active where gain is not null),
+fold as (select note_a, note_b, k, gain as f, 0.7 * least(gain / 10, 1.0) + 0.3 as w, idle from ev where k = 1
+  union all select note_a, note_b, k, f, 0.7 * least(f / 10, 1.0) + 0.3, idle from (select ev.note_a, ev.note_b, ev.k, case when fold.w * pow(0.95, ev.idle - fold.idle) >= 0.01 then fold.f else 0 end + ev.gain as f, ev.idle from fold join ev on ev.note_a = fold.note_a and ev.note_b = fold.note_b and ev.k = fold.k + 1)),
+done as (select note_a, note_b, arg_max(f, k) as f, arg_max(w, k) as w, arg_max(idle, k) as idle from fold group by 1, 2),
+total as (select id, max(c) as c from rw group by 1), joint as (select note_a, note_b, max(cab) as cab from both_active group by 1, 2),
+fin as (select d.note_a, d.note_b, d.f, d.w * pow(0.95, (select max(q) from qs) - a.c - b.c + j.cab - d.idle) as w from done d join total a on a.id = d.note_a join total b on b.id = d.note_b join joint j on j.note_a = d.note_a and j.note_b = d.note_b)
+select note_a, note_b, round(f, 6) as frequency, round(w, 6) as weight from fin where w >= 0.01"""
+
+
+@query(REPLAY_SQL)
 def hebbian_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     act = activity(spark, sf_dir)
     seq = F.unix_timestamp("h").cast("long")
