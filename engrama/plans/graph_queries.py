@@ -218,19 +218,27 @@ def semantic_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.col("a").alias("concept_id"), F.col("b").alias("match"), F.round("similarity", 6).alias("similarity"))
 
 
-@query(
-    f"with {NEAR_SQL}, {STAR_SQL}, p as (select a as source, b as target, greatest(0, 1 - (1 - c) * (1 - c) / 2) as similarity from (select a, b, r, (select list_cosine_similarity(cast(x.embedding as double[]), cast(y.embedding as double[])) from embeddings x, embeddings y where x.vec_id = a and y.vec_id = b) as c from near where r <= 8)) "
-    "select p.source, p.target, round(p.similarity, 6) as similarity from p left join edges e on e.src = p.source and e.dst = p.target where p.similarity >= 0.65 and e.src is null"
+PHANTOM_SQL = (
+    f"{NEAR_SQL}, {STAR_SQL}, p as (select a as source, b as target, greatest(0, 1 - (1 - c) * (1 - c) / 2) as similarity from (select a, b, r, (select list_cosine_similarity(cast(x.embedding as double[]), cast(y.embedding as double[])) from embeddings x, embeddings y where x.vec_id = a and y.vec_id = b) as c from near where r <= 8)), "
+    "cand as (select p.source, p.target, p.similarity from p left join edges e on e.src = p.source and e.dst = p.target where p.similarity >= 0.65 and e.src is null)"
 )
+
+
+@query(f"with {PHANTOM_SQL} select source, target, round(similarity, 6) as similarity from cand")
 def phantom_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = consolidation.phantom_candidates(collection(spark, sf_dir), star_edges(spark, sf_dir))
     return found.select("source", "target", F.round("similarity", 6).alias("similarity"))
 
 
-@query()
+@query(
+    f"with recursive {PHANTOM_SQL}, listed as materialized (select *, row_number() over (order by source, similarity desc, target) as r from cand), "
+    "chosen as (select cast(0 as bigint) as r, cast([] as bigint[]) as ends, cast([] as bigint[]) as kept union all select r, case when fits then list_concat(ends, [source, target]) else ends end, case when fits then list_append(kept, r) else kept end "
+    "from (select l.r, l.source, l.target, c.ends, c.kept, len(list_filter(c.ends, lambda x: x = l.source)) < 3 and len(list_filter(c.ends, lambda x: x = l.target)) < 3 as fits from chosen c join listed l on l.r = c.r + 1 where len(c.kept) < 100)), "
+    "last as (select unnest(kept) as r from (select kept from chosen order by r desc limit 1)) select source, target, round(similarity, 6) as similarity from listed where r in (select r from last)"
+)
 def phantom_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = consolidation.phantom_candidates(collection(spark, sf_dir), star_edges(spark, sf_dir))
-    return consolidation.phantom_links(found)
+    return consolidation.phantom_links(found).select("source", "target", F.round("similarity", 6).alias("similarity"))
 
 
 def slug_sql(title: str) -> str:
