@@ -33,6 +33,8 @@ from engrama.llm.shared import drop, stash
 CLASS = 4000
 #: Segments of small classes that share a task, about.
 TASK = 3000
+#: Windows of a large class that a task has listed at once, about.
+LISTED = 50_000
 _U = np.uint64
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -202,6 +204,9 @@ def _windows(unit: Unit) -> Callable:
     A window known to be repeated has no place, counts twice and comes once a batch: it only tells the other tasks.
     """
 
+    kinds = (pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int32())
+    listed = lambda out: pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names=["anchor", "window", "times", "key", "at"])
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
@@ -216,8 +221,11 @@ def _windows(unit: Unit) -> Callable:
                     elif (x, window) not in told:
                         told.add((x, window))
                         out.append((x, window, 2, None, None))
-            kinds = (pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names=["anchor", "window", "times", "key", "at"])
+                if len(out) >= LISTED:
+                    yield listed(out)
+                    out = []
+            if out:
+                yield listed(out)
 
     return rows
 
