@@ -125,5 +125,34 @@ select d.doc_id, cast(strlen(coalesce(text, '')) + 1 as bigint) as size, cast(c
 from documents d join walk on walk.id = d.doc_id and walk.y < walk.n join sums on sums.doc_id = d.doc_id"""
 
 
+def _crc_table() -> str:
+    """CRC-32 of each byte, as a query with columns i and x."""
+    out = "select i, cast(i as bigint) as x from range(256) t(i)"
+    for _ in range(8):
+        out = f"select i, case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end as x from ({out})"
+    return out
+
+
+OP12 = rf"""
+with crc as (select list(x order by i) as t from ({_crc_table()})),
+h as (select doc_id, regexp_extract_all(coalesce(text, ''), '{PLAIN}') as w, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(cast(doc_id as varchar), ''), lambda c: cast(ascii(c) as bigint))), lambda acc, x: xor(acc >> 8, t[(xor(acc, x) & 255) + 1])), 4294967295) as h from documents cross join crc),
+a as (select doc_id, w, len(w) as n, h, h // 10 as g, case when len(w) > 0 then (h // 10) % len(w) else 0 end as a from h),
+p as (select *, 1 + (n - a) // (3 + g % 8) as p from a),
+d as (select doc_id, n, case when h % 10 = 0 and n > 0 then list_transform(range(n), lambda i: w[case when i < a then i else a + (i - a) % p end + 1]) else w end as w from p),
+periods as (select doc_id, n, w, unnest(range(1, n // 4 + 1)) as q from d where n >= 6),
+probes as (select doc_id, q, w, unnest(range(0, (n - 1) // q)) as j from periods),
+hits as (select doc_id, q, j from probes where w[j * q + 1] = w[(j + 1) * q + 1]),
+threes as (select distinct doc_id, q from (select doc_id, q, j, lead(j, 2) over (partition by doc_id, q order by j) as k from hits) where k = j + 2),
+same as (select doc_id, q, i from (select doc_id, q, w, unnest(range(0, n - q)) as i from threes join d using (doc_id)) where w[i + 1] = w[i + q + 1]),
+islands as (select doc_id, q, min(i) as s, count(*) + q as l from (select *, i - row_number() over (partition by doc_id, q order by i) as f from same) group by doc_id, q, f),
+runs as (select doc_id, s, l, min(q) as q from islands where l >= greatest(6, 4 * q) group by doc_id, s, l),
+gone as (select distinct doc_id, unnest(range(s + q, s + l)) as i from runs),
+words as (select doc_id, unnest(w) as x, unnest(range(n)) as i from d),
+kept as (select doc_id, string_agg(x, ' ' order by i) as c from (select words.* from words anti join gone on gone.doc_id = words.doc_id and gone.i = words.i) group by 1),
+told as (select doc_id, count(*) as n, string_agg(concat(s, ',', l, ',', q, chr(10)), '' order by s, q) as t from runs group by 1),
+best as (select * from runs qualify row_number() over (partition by doc_id order by l desc, s, q) = 1)
+select d.doc_id, cast(coalesce(told.n, 0) as bigint) as n_runs, cast(best.s as bigint) as start, cast(best.l as bigint) as length, cast(best.q as bigint) as period, cast(1000 * best.l // best.q as bigint) as exponent_milli, sha256(coalesce(told.t, '')) as runs_sha256, sha256(coalesce(kept.c, '')) as collapsed_sha256
+from d left join told on told.doc_id = d.doc_id left join best on best.doc_id = d.doc_id left join kept on kept.doc_id = d.doc_id"""
+
 OP8 = _sharding()
-ORACLES = {"op2_prefix_forest": OP2, "op4_rule_ledger": OP4, "rule_ablations": ABLATIONS, "op5_prefix_join": OP5, "op6_bwt_merge": OP6, "op7_suffix_automata": OP7, "op8_feistel_shards": OP8}
+ORACLES = {"op2_prefix_forest": OP2, "op4_rule_ledger": OP4, "rule_ablations": ABLATIONS, "op5_prefix_join": OP5, "op6_bwt_merge": OP6, "op7_suffix_automata": OP7, "op8_feistel_shards": OP8, "op12_periodic_runs": OP12}

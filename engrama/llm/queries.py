@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from engrama.llm.oracles import ORACLES
 
@@ -95,10 +96,35 @@ def op10_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents"))
 
 
+def runs_digest(docs: DataFrame) -> DataFrame:
+    """Digests of the periodic runs of ``docs``, a tenth of which are looped."""
+    from engrama.llm.periodic_runs import collapse, looped
+
+    rows = collapse(docs.select("doc_id", looped(docs["doc_id"], docs["text"]).alias("text")))
+    by_length = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("short"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    best = rows.withColumn("best", by_length)
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.back")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.short")).alias("period"),
+        F.expr("(1000 * best.length) div -best.short").alias("exponent_milli"),
+        F.sha2(F.concat_ws("", F.transform(lines, lambda x: F.concat(x, F.lit("\n")))), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, and its text without their repetitions."""
+    return runs_digest(table(spark, sf_dir, "documents"))
+
+
 #: A fixed key for reproducible queries; a deployment passes its own.
 SURROGATE_KEY = b"engrama demonstration key"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_surrogates, op2_prefix_forest, op3_conflict_packing, op4_rule_ledger, rule_ablations, op5_prefix_join, op6_bwt_merge, op7_suffix_automata, op8_feistel_shards, op9_secret_battery, op10_probminhash)
+    for f in (op1_surrogates, op2_prefix_forest, op3_conflict_packing, op4_rule_ledger, rule_ablations, op5_prefix_join, op6_bwt_merge, op7_suffix_automata, op8_feistel_shards, op9_secret_battery, op10_probminhash, op12_periodic_runs)
 }
