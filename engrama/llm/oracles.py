@@ -154,5 +154,28 @@ best as (select * from runs qualify row_number() over (partition by doc_id order
 select d.doc_id, cast(coalesce(told.n, 0) as bigint) as n_runs, cast(best.s as bigint) as start, cast(best.l as bigint) as length, cast(best.q as bigint) as period, cast(1000 * best.l // best.q as bigint) as exponent_milli, sha256(coalesce(told.t, '')) as runs_sha256, sha256(coalesce(kept.c, '')) as collapsed_sha256
 from d left join told on told.doc_id = d.doc_id left join best on best.doc_id = d.doc_id left join kept on kept.doc_id = d.doc_id"""
 
+def _codes(parts: int = 4, entries: int = 256, rounds: int = 4, scale: int = 1024) -> str:
+    """Every part against every entry, in each round."""
+
+    def assigned(r: int) -> str:
+        return f"""n{r} as materialized (select vec_id, part, entry, d from (select x.vec_id, x.part, b.entry, sum((x.c - b.c) * (x.c - b.c)) as d from x join b{r} b on b.part = x.part and b.pos = x.pos group by 1, 2, 3) qualify row_number() over (partition by vec_id, part order by d, entry) = 1)"""
+
+    def moved(r: int) -> str:
+        return f"""b{r + 1} as materialized (select b.part, b.entry, b.pos, coalesce(m.c, b.c) as c from b{r} b left join (select n.part, n.entry, x.pos, cast(floor(sum(x.c) / count(*)) as bigint) as c from n{r} n join x on x.vec_id = n.vec_id and x.part = n.part group by 1, 2, 3) m on m.part = b.part and m.entry = b.entry and m.pos = b.pos)"""
+
+    steps = ",\n".join(f"{assigned(r)},\n{moved(r)}" for r in range(rounds))
+    return f"""
+with k as (select vec_id, label, embedding as e, len(embedding) // {parts} as w from embeddings where embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+x as materialized (select vec_id, (i // w) as part, i % w as pos, cast(floor(cast(e[i + 1] as double) * {scale}) as bigint) as c from (select vec_id, e, w, unnest(range(len(e))) as i from k)),
+f as (select vec_id, row_number() over (order by vec_id) - 1 as entry from k qualify row_number() over (order by vec_id) <= {entries}),
+b0 as materialized (select x.part, f.entry, x.pos, x.c from x join f on f.vec_id = x.vec_id),
+{steps},
+{assigned(rounds)},
+c as (select vec_id, string_agg(printf('%02x', cast(entry as integer)), '' order by part) as code, cast(sum(d) as bigint) as error from n{rounds} group by 1),
+h as (select sha256(string_agg(cast(c as varchar), ',' order by part, entry, pos)) as codebooks_sha256 from b{rounds})
+select c.vec_id, c.code, c.error, cast(sum(c.error) over (partition by k.label) as bigint) as label_error, h.codebooks_sha256 from c join k on k.vec_id = c.vec_id cross join h"""
+
+
 OP8 = _sharding()
-ORACLES = {"op2_prefix_forest": OP2, "op4_rule_ledger": OP4, "rule_ablations": ABLATIONS, "op5_prefix_join": OP5, "op6_bwt_merge": OP6, "op7_suffix_automata": OP7, "op8_feistel_shards": OP8, "op12_periodic_runs": OP12}
+OP11 = _codes()
+ORACLES = {"op2_prefix_forest": OP2, "op4_rule_ledger": OP4, "rule_ablations": ABLATIONS, "op5_prefix_join": OP5, "op6_bwt_merge": OP6, "op7_suffix_automata": OP7, "op8_feistel_shards": OP8, "op11_vafile_codes": OP11, "op12_periodic_runs": OP12}

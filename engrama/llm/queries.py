@@ -96,6 +96,13 @@ def op10_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents"))
 
 
+def op11_vafile_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code of every embedding, by codebooks trained on all of them."""
+    from engrama.llm.vafile_codes import compress
+
+    return compress(table(spark, sf_dir, "embeddings"))
+
+
 def runs_digest(docs: DataFrame) -> DataFrame:
     """Digests of the periodic runs of ``docs``, a tenth of which are looped."""
     from engrama.llm.periodic_runs import collapse, looped
@@ -126,5 +133,5 @@ SURROGATE_KEY = b"engrama demonstration key"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_surrogates, op2_prefix_forest, op3_conflict_packing, op4_rule_ledger, rule_ablations, op5_prefix_join, op6_bwt_merge, op7_suffix_automata, op8_feistel_shards, op9_secret_battery, op10_probminhash, op12_periodic_runs)
+    for f in (op1_surrogates, op2_prefix_forest, op3_conflict_packing, op4_rule_ledger, rule_ablations, op5_prefix_join, op6_bwt_merge, op7_suffix_automata, op8_feistel_shards, op9_secret_battery, op10_probminhash, op11_vafile_codes, op12_periodic_runs)
 }
