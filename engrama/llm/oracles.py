@@ -176,6 +176,16 @@ h as (select sha256(string_agg(cast(c as varchar), ',' order by part, entry, pos
 select c.vec_id, c.code, c.error, cast(sum(c.error) over (partition by k.label) as bigint) as label_error, h.codebooks_sha256 from c join k on k.vec_id = c.vec_id cross join h"""
 
 
+OP13 = rf"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{LETTERS}', '{LETTERS.lower()}'), '{PLAIN}') as w from documents),
+s as materialized (select doc_id, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda i: array_to_string(list_slice(w, i, i + 3), ' ')))) as t from d where len(w) > 0),
+n as materialized (select doc_id, count(*) as n from s group by 1),
+c as (select a.doc_id as a, b.doc_id as b, count(*) as i from s a join s b on a.t = b.t and a.doc_id <> b.doc_id group by 1, 2),
+l as materialized (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 85 * (x.n + y.n - i)),
+r(a, b) as (select a, b from l union select r.a, l.b from r join l on l.a = r.b),
+m as (select a, min(b) as b from r group by 1)
+select d.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, least(d.doc_id, coalesce(m.b, d.doc_id)) as component_id from d left join n on n.doc_id = d.doc_id left join m on m.a = d.doc_id"""
+
 OP8 = _sharding()
 OP11 = _codes()
-ORACLES = {"op2_prefix_forest": OP2, "op4_rule_ledger": OP4, "rule_ablations": ABLATIONS, "op5_prefix_join": OP5, "op6_bwt_merge": OP6, "op7_suffix_automata": OP7, "op8_feistel_shards": OP8, "op11_vafile_codes": OP11, "op12_periodic_runs": OP12}
+ORACLES = {"op2_prefix_forest": OP2, "op4_rule_ledger": OP4, "rule_ablations": ABLATIONS, "op5_prefix_join": OP5, "op6_bwt_merge": OP6, "op7_suffix_automata": OP7, "op8_feistel_shards": OP8, "op11_vafile_codes": OP11, "op12_periodic_runs": OP12, "op13_ngram_join": OP13}

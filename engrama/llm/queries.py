@@ -128,10 +128,17 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs_digest(table(spark, sf_dir, "documents"))
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document under links of similar shingle sets."""
+    from engrama.llm.ngram_join import join_classes
+
+    return join_classes(table(spark, sf_dir, "documents"))
+
+
 #: A fixed key for reproducible queries; a deployment passes its own.
 SURROGATE_KEY = b"engrama demonstration key"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_surrogates, op2_prefix_forest, op3_conflict_packing, op4_rule_ledger, rule_ablations, op5_prefix_join, op6_bwt_merge, op7_suffix_automata, op8_feistel_shards, op9_secret_battery, op10_probminhash, op11_vafile_codes, op12_periodic_runs)
+    for f in (op1_surrogates, op2_prefix_forest, op3_conflict_packing, op4_rule_ledger, rule_ablations, op5_prefix_join, op6_bwt_merge, op7_suffix_automata, op8_feistel_shards, op9_secret_battery, op10_probminhash, op11_vafile_codes, op12_periodic_runs, op13_ngram_join)
 }
