@@ -16,14 +16,17 @@ slack + 1 + E of each. Three orders are used:
   it is not verified. Verification counts the common tokens of the whole sets.
 
 The result are connected components, so pairs that are connected need no comparison.
-Each bucket's most central node is compared with its members first; buckets
-that still hold several components are compared block against block, where a pair is
-looked at in the first bucket it shares. Only links leave a task.
+Each bucket's most central node is compared with its members first. Nodes that are
+joined by buckets that still hold several components are a neighbourhood: each
+goes there once, with its set and its buckets, however many it shares with others. A large
+neighbourhood is cut by size of set, since linked sets are of like size, and
+into blocks. Only links leave a task.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -43,12 +46,10 @@ SHARE = 85
 EXTRA = 10
 #: Odd factors, one per hash order.
 ORDERS = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
-#: Shingles of the members that are compared as one block; of all blocks that share a task, about.
-BLOCK, TASK = 1 << 20, 1 << 22
+#: Shingles of the members that are compared as one block; of all blocks that share a task, about; rows of a batch of shingles.
+BLOCK, TASK, LOAD = 1 << 18, 1 << 21, 1 << 20
 #: Nodes (48 bytes, so some 25 MB) that are sent to every task; beyond, they are joined.
 BROADCAST_NODES = 500_000
-#: Buckets of a node up to which comparisons remember where a pair was met before.
-REMEMBERED = 64
 _U = np.uint64
 
 
@@ -103,7 +104,7 @@ def _tokens(part: Callable[[np.ndarray], np.ndarray]):
             for i, tokens in enumerate(shingle_sets(batch.column(1))):
                 held.append(part(tokens))
                 load += len(held[-1])
-                if load >= BLOCK or i + 1 == len(nodes):
+                if load >= LOAD or i + 1 == len(nodes):
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes[at : i + 1], [len(x) for x in held])), pa.array(np.concatenate(held).view(np.int64))], names=["node", "token"])
                     held, load, at = [], 0, i + 1
 
@@ -117,7 +118,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, tokens in enumerate(shingle_sets(batch.column(1))):
             held.append(tokens)
             load += len(tokens)
-            if load >= BLOCK or i + 1 == batch.num_rows:
+            if load >= LOAD or i + 1 == batch.num_rows:
                 ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in held])]), pa.int32())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(held)), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(held).view(np.int64)))], names=["node", "tokens"])
                 held, load, at = [], 0, i + 1
@@ -148,7 +149,7 @@ class Holders:
 def links_between(one: dict, two: dict | None) -> list[tuple[int, int]]:
     """Links that join the components of members of one block and of another (None: the same block).
 
-    A block has ``node``, ``root``, ``sets`` and ``met`` (buckets in which members were compared before).
+    A block has ``node``, ``root``, ``sets`` and ``met``, the buckets of each member: those of a pair must meet.
     """
     same, two = two is None, two or one
     sizes = np.array([len(s) for s in two["sets"]])
@@ -157,11 +158,11 @@ def links_between(one: dict, two: dict | None) -> list[tuple[int, int]]:
     if len(roots) == 1:
         return []
     orders = [(o, Holders([prefix(s, o) for s in two["sets"]])) for o in (1, 2)]
-    whole, before = Holders(two["sets"]), Holders(two["met"])
+    whole, buckets = Holders(two["sets"]), Holders(two["met"])
     out = []
     for i, tokens in enumerate(one["sets"]):
         n = len(tokens)
-        open_ = (yours != mine[i]) & (100 * np.minimum(sizes, n) >= SHARE * np.maximum(sizes, n)) & (before.shared(one["met"][i]) == 0)
+        open_ = (yours != mine[i]) & (100 * np.minimum(sizes, n) >= SHARE * np.maximum(sizes, n)) & (buckets.shared(one["met"][i]) > 0)
         if same:
             open_[: i + 1] = False
         for o, holders in orders:
@@ -235,30 +236,37 @@ def _stars(met: DataFrame) -> DataFrame:
     pairs = met.join(central, "token").filter(f"node != u and 100 * least(n, m) >= {SHARE} * greatest(n, m)").select("u", "m", "node", "n").distinct()
     # few enough members at a time for one task; the centre is on the other side of each
     sizes = pairs.groupBy("u", "m").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
-    none = F.array().cast("array<long>")
+    here = F.array(F.lit(0).cast("long"))  # they share a bucket by construction
     ends = sizes.select(F.col("u").alias("bucket"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("blocks"))).alias("j"), F.col("u").alias("node"), F.col("m").alias("n")).withColumn("side", F.lit(0))
     others = pairs.join(sizes.select("u", "blocks"), "u").select(F.col("u").alias("bucket"), (1 + F.pmod(F.hash("node"), F.col("blocks"))).alias("j"), "node", "n", F.lit(1).alias("side"))
     both = ends.unionByName(others)
-    return both.select("bucket", F.lit(0).alias("i"), F.col("j").cast("int").alias("j"), "side", "node", "n", F.col("node").alias("root"), none.alias("met"))
+    return both.select("bucket", F.lit(0).cast("long").alias("i"), F.col("j").cast("long").alias("j"), "side", "node", "n", F.col("node").alias("root"), here.alias("met"))
 
 
 def _apart(met: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members of the buckets that still hold several components, once per pair of blocks.
-
-    A bucket whose members all have the same largest bucket, another one, is left to that.
-    """
-    member = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_ = member.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("token")
-    member = stash(member.join(open_, "token"))
-    home = member.groupBy("node").agg(F.max(F.struct("members", "token"))["token"].alias("home"))
-    needed = member.join(home, "node").groupBy("token").agg(F.min("home").alias("a"), F.max("home").alias("b")).filter("a != b or a = token").select("token")
-    member = member.join(needed, "token")
-    every = member.groupBy("node").agg(F.collect_list("token").alias("every"))
-    before = F.when(F.size("every") <= REMEMBERED, F.filter("every", lambda t: t < F.col("token"))).otherwise(F.array().cast("array<long>"))
-    own = member.join(every, "node").withColumn("met", before).withColumn("blocks", F.ceil(F.col("words") / BLOCK).cast("int"))
-    block = F.pmod(F.hash("node"), F.col("blocks"))
-    sides = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("block"), o).alias("i"), F.greatest(F.col("block"), o).alias("j"), F.when(F.col("block") <= o, 0).otherwise(1).alias("side")))
-    return own.withColumn("block", block).select(F.col("token").alias("bucket"), F.inline(sides), "node", "n", "root", "met")
+    """Members of the buckets that still hold several components, by neighbourhood, once per pair of blocks."""
+    member = met.select("token", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = member.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.min("node").alias("first")).filter("a != b").select("token", "first")
+    member = stash(member.join(several, "token"))
+    near = components(member.select(F.col("node").alias("u"), F.col("first").alias("v")))
+    own = member.groupBy("node").agg(F.first("n").alias("n"), F.first("root").alias("root"), F.collect_list("token").alias("met"))
+    own = stash(own.join(near.withColumnRenamed("root", "bucket"), "node", "left").withColumn("bucket", F.coalesce("bucket", "node")))
+    drop(member)
+    # linked sets are in the same class of size or in neighbouring ones: a class is a little wider than their ratio
+    size_class = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / SHARE) * (1 + 1e-9))).cast("long")
+    large = own.groupBy("bucket").agg(F.sum("n").alias("words")).filter(F.col("words") > BLOCK).select("bucket", F.lit(True).alias("large"))
+    placed = own.join(large, "bucket", "left").withColumn("c", F.when(F.col("large"), size_class).otherwise(F.lit(0).cast("long")))
+    parts = placed.groupBy("bucket", "c").agg(F.ceil(F.sum("n") / BLOCK).cast("long").alias("parts"))
+    around = parts.select("bucket", (F.col("c") + 1).alias("c"), F.col("parts").alias("below")).join(parts.select("bucket", (F.col("c") - 1).alias("c"), F.col("parts").alias("above")), ["bucket", "c"], "full_outer")
+    dealt = placed.join(parts, ["bucket", "c"]).join(around, ["bucket", "c"], "left").withColumn("part", F.pmod(F.hash("node"), F.col("parts")).cast("long"))
+    code = lambda c, part: c * (1 << 20) + part
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - F.lit(1).cast("long"))).otherwise(F.array().cast("array<long>"))
+    c, part = F.col("c"), F.col("part")
+    pair = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), side.alias("side"))
+    same = F.transform(upto(F.col("parts")), lambda o: pair(code(c, F.least(part, o)), code(c, F.greatest(part, o)), F.when(part <= o, 0).otherwise(1)))
+    higher = F.transform(upto(F.coalesce("above", F.lit(0).cast("long"))), lambda o: pair(code(c, part), code(c + 1, o), F.lit(0)))
+    lower = F.transform(upto(F.coalesce("below", F.lit(0).cast("long"))), lambda o: pair(code(c - 1, o), code(c, part), F.lit(1)))
+    return dealt.select("bucket", F.inline(F.concat(same, higher, lower)), "node", "n", "root", "met")
 
 
 def join_classes(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:

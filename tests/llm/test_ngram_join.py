@@ -68,10 +68,9 @@ def near_copies(seed, n):
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_equals_all_pairs(spark, seed, monkeypatch):
     texts = near_copies(seed, 300) + hostile_texts(seed)
-    if seed == 2:  # blocks of few members, no memory of earlier buckets, no broadcast
+    if seed == 2:  # blocks of few members, no broadcast
         monkeypatch.setattr(ngram_join, "BLOCK", 400)
         monkeypatch.setattr(ngram_join, "TASK", 5000)
-        monkeypatch.setattr(ngram_join, "REMEMBERED", 0)
         monkeypatch.setattr(ngram_join, "BROADCAST_NODES", 0)
     docs = documents(spark, texts)
     expected = naive([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
@@ -102,11 +101,12 @@ def test_prefixes_under_every_order_meet():
 def test_links_join_components_once():
     base = np.arange(100, dtype=np.uint64)
     sets = [np.sort(np.append(base, np.uint64(1000 + i))) for i in range(50)]
-    none = [np.zeros(0, np.uint64)] * 50
-    block = {"node": np.arange(50), "root": np.arange(50), "sets": sets, "met": none}
+    shared = [np.array([7, 8 + i % 2], np.uint64) for i in range(50)]
+    block = {"node": np.arange(50), "root": np.arange(50), "sets": sets, "met": shared}
     assert len(links_between(block, None)) == 49
     assert links_between(block | {"root": np.zeros(50, np.int64)}, None) == []
-    assert links_between(block | {"met": [np.array([7], np.uint64)] * 50}, None) == []
+    assert links_between(block | {"met": [np.array([i], np.uint64) for i in range(50)]}, None) == []
+    assert len(links_between(block | {"met": [x[1:] for x in shared]}, None)) == 48  # two components without a bucket in common
 
 
 def test_large_family_in_blocks(spark, monkeypatch):
