@@ -16,15 +16,52 @@ NESTED_NAMESPACES = ("wiki/concepts/", "wiki/entities/", "wiki/comparisons/", "w
 EDGE = "src string, dst string, display string, type string, weight double, explicit boolean, relation string, group_id string, generated boolean, traversable boolean"
 
 
+def _base(path: str) -> Column:
+    return F.element_at(F.split(path, "/"), -1)
+
+
+def name_candidates(links: DataFrame) -> DataFrame:
+    """target_raw, rank, by_base, key: what could be meant by each distinct target, whole ids first and last any note of its base name."""
+    wanted = links.select("target_raw").distinct()
+    ids = F.array(F.col("target_raw"), *[F.concat(F.lit(p), F.col("target_raw")) for p in NAMESPACES])
+    whole = wanted.select("target_raw", F.posexplode(ids).alias("rank", "key")).select("target_raw", "rank", F.lit(False).alias("by_base"), "key")
+    return whole.union(wanted.select("target_raw", F.lit(len(NAMESPACES) + 1), F.lit(True), _base("target_raw")))
+
+
+def best_candidates(candidates: DataFrame, nodes: DataFrame) -> DataFrame:
+    """target_raw, dst of the targets that mean a note; of a base name the first note in id order."""
+    keys = nodes.select("id", F.explode(F.array(F.struct(F.lit(False).alias("by_base"), F.col("id").alias("key")), F.struct(F.lit(True).alias("by_base"), _base("id").alias("key")))).alias("k")).select("id", "k.by_base", "k.key")
+    return candidates.join(keys, ["by_base", "key"]).groupBy("target_raw").agg(F.min(F.struct("rank", "id"))["id"].alias("dst"))
+
+
 def resolve_by_name(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """links (src, target_raw, ...) with ``dst``: the exact id, then a namespace's, then the first note of that base name in id order; else null."""
-    candidates = F.array(F.col("target_raw"), *[F.concat(F.lit(p), F.col("target_raw")) for p in NAMESPACES])
-    wanted = links.select("target_raw").distinct()
-    direct = wanted.select("target_raw", F.posexplode(candidates).alias("rank", "id")).join(nodes.select("id"), "id").select("target_raw", "rank", "id")
-    by_base = nodes.groupBy(F.element_at(F.split("id", "/"), -1).alias("base")).agg(F.min("id").alias("id"))
-    based = wanted.withColumn("base", F.element_at(F.split("target_raw", "/"), -1)).join(by_base, "base").select("target_raw", F.lit(len(NAMESPACES) + 1).alias("rank"), "id")
-    best = direct.union(based).groupBy("target_raw").agg(F.min_by("id", "rank").alias("dst"))
-    return links.join(best, "target_raw", "left")
+    return links.join(best_candidates(name_candidates(links), nodes), "target_raw", "left")
+
+
+def touched_targets(candidates: DataFrame, changed: DataFrame) -> DataFrame:
+    """The candidates of those targets that could mean a note that is new, gone or renamed (``changed``: id)."""
+    keys = changed.select(F.lit(False).alias("by_base"), F.col("id").alias("key")).union(changed.select(F.lit(True), _base("id"))).distinct()
+    targets = candidates.join(keys, ["by_base", "key"], "left_semi").select("target_raw").distinct()
+    return candidates.join(targets, "target_raw", "left_semi").select(*candidates.columns)
+
+
+def update_resolution(resolved: DataFrame, candidates: DataFrame, changed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """target_raw, dst after notes came and went, of which only the targets are resolved anew that could mean one of those.
+
+    ``resolved`` holds what was meant before, ``candidates`` (kept with it) what
+    could be; ``nodes`` are all notes there are now. Targets without an entry in
+    ``resolved`` are new and resolved too.
+    """
+    fresh = name_only(candidates).join(resolved.select("target_raw"), "target_raw", "left_anti")
+    todo = touched_targets(candidates, changed).unionByName(candidates.join(fresh, "target_raw", "left_semi").select(*candidates.columns)).distinct()
+    again = best_candidates(todo, nodes)
+    names = name_only(todo).join(again, "target_raw", "left")
+    return resolved.select("target_raw", "dst").join(names.select("target_raw"), "target_raw", "left_anti").unionByName(names)
+
+
+def name_only(candidates: DataFrame) -> DataFrame:
+    return candidates.select("target_raw").distinct()
 
 
 def resolve_in_source(links: DataFrame, documents: DataFrame) -> DataFrame:
@@ -149,6 +186,21 @@ def undirected_once(edges: DataFrame) -> DataFrame:
     return edges.dropDuplicates(["type", "__lo", "__hi"]) if "__lo" in edges.columns else edges.withColumn("__lo", F.least("src", "dst")).withColumn("__hi", F.greatest("src", "dst")).dropDuplicates(["type", "__lo", "__hi"]).drop("__lo", "__hi")
 
 
+def client_degree(nodes: DataFrame, edges: DataFrame, synapses: DataFrame, phantoms: DataFrame, least: float = 0.15) -> DataFrame:
+    """id, degree, glow of every note: ends of links of all three kinds between notes, and the weight of its strong synapses over the largest such sum (1 at least).
+
+    A structural link counts once per type and direction; synapses (note_a, note_b, weight) and phantom links (source, target) once each.
+    """
+    here = nodes.select("id")
+    structural = edges.select(F.coalesce("type", F.lit("wikilink")).alias("type"), "src", "dst").distinct().select("src", "dst", F.lit(0.0).alias("w"))
+    learned = synapses.select(F.col("note_a").alias("src"), F.col("note_b").alias("dst"), F.when(F.col("weight") >= least, F.col("weight")).otherwise(F.lit(0.0)).alias("w"))
+    every = structural.unionByName(learned).unionByName(phantoms.select(F.col("source").alias("src"), F.col("target").alias("dst"), F.lit(0.0).alias("w")))
+    inside = every.join(here.withColumnRenamed("id", "src"), "src", "left_semi").join(here.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    ends = inside.select(F.explode(F.array("src", "dst")).alias("id"), "w").groupBy("id").agg(F.count(F.lit(1)).alias("degree"), F.sum("w").alias("raw"))
+    most = ends.agg(F.greatest(F.coalesce(F.max("raw"), F.lit(0.0)), F.lit(1.0)).alias("most"))
+    return here.join(ends, "id", "left").join(F.broadcast(most)).select("id", F.coalesce("degree", F.lit(0)).alias("degree"), (F.coalesce("raw", F.lit(0.0)) / F.col("most")).alias("glow"))
+
+
 def orphans(nodes: DataFrame, *edge_sets: DataFrame) -> DataFrame:
     """Notes that no edge touches."""
     ends = reduce(DataFrame.union, [e.select("src").union(e.select("dst")) for e in edge_sets]).distinct().select(F.col("src").alias("id"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,22 +41,33 @@ def query_terms(queries: DataFrame, text: Column, cut: Tokenizer = tokens) -> Da
     return queries.select("query_id", F.explode(cut(text)).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).cast("long").alias("times"))
 
 
-def bm25(notes: DataFrame, queries: DataFrame, text: Column, query_text: Column, settings: Settings = Settings(), cut: Tokenizer = tokens) -> DataFrame:
+#: The notes' own rows are dealt over this many keys.
+SALTS = 64
+
+
+def bm25(notes: DataFrame, queries: DataFrame, text: Column, query_text: Column, settings: Settings = Settings(), cut: Tokenizer = tokens, stems: DataFrame | None = None) -> DataFrame:
     """query_id, id, bm25, matched (sorted distinct terms) of notes that have a term of the query.
 
     One pass over the notes: each gives a row for itself with its length, and
     one per word that some query asks for. Only those leave the scan; they are
     written once, and statistics and scores read them. Repeated query words
-    count each time.
+    count each time. With ``stems`` (term, stem) words count as their stems.
     """
-    itself = ""  # no word: stands for the note
+    own = "\0"  # no word: begins the keys that stand for notes
     wanted = query_terms(queries, query_text, cut)
+    if stems is None:
+        terms = wanted.select("term", F.col("term").alias("stem")).distinct()
+    else:
+        wanted = wanted.join(stems, "term").groupBy("query_id", F.col("stem").alias("term")).agg(F.sum("times").alias("times"))
+        terms = stems.join(wanted.select(F.col("term").alias("stem")).distinct(), "stem", "left_semi").select("term", "stem")
+    itself = notes.sparkSession.range(SALTS).select(F.concat(F.lit(own), F.col("id").cast("string")).alias("term"))
+    terms = terms.union(itself.select("term", "term"))
     cutted = notes.select("id", cut(text).alias("w"))
-    terms = wanted.select("term").distinct().union(notes.sparkSession.range(1).select(F.lit(itself)))
-    each = cutted.select("id", F.size("w").alias("dl"), F.explode(F.concat(F.array(F.lit(itself)), "w")).alias("term"))
-    held = stash(each.join(terms, "term").groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")))
-    stats = held.filter(F.col("term") == itself).agg(F.count(F.lit(1)).alias("n"), F.greatest(F.avg("dl"), F.lit(1.0)).alias("avg_dl"))
-    tf = held.filter(F.col("term") != itself)
+    salted = F.concat(F.lit(own), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("string"))
+    each = cutted.select("id", F.size("w").alias("dl"), F.explode(F.concat(F.array(salted), "w")).alias("term"))
+    held = stash(each.join(terms, "term").groupBy("id", F.col("stem").alias("term")).agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")))
+    stats = held.filter(F.col("term").startswith(own)).agg(F.count(F.lit(1)).alias("n"), F.greatest(F.avg("dl"), F.lit(1.0)).alias("avg_dl"))
+    tf = held.filter(~F.col("term").startswith(own))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weighted = wanted.join(df, "term").join(F.broadcast(stats))
     weighted = weighted.select("query_id", "term", (F.col("times") * idf(F.col("df"), F.col("n"))).alias("w"), "avg_dl")
@@ -64,6 +76,12 @@ def bm25(notes: DataFrame, queries: DataFrame, text: Column, query_text: Column,
     return tf.join(weighted, "term").groupBy("query_id", "id").agg(F.sum(part).alias("bm25"), F.sort_array(F.collect_set("term")).alias("matched"))
 
 
+def vocabulary(*texts: DataFrame, cut: Tokenizer = tokens) -> DataFrame:
+    """term: the distinct words of tables with ``text``."""
+    parts = [t.select(F.explode(cut(F.col("text"))).alias("term")).distinct() for t in texts]
+    return reduce(DataFrame.union, parts).distinct()
+
+
 def normalized(scores: DataFrame) -> DataFrame:
     """bm25_norm: over the largest score of the query; zero scores are left out."""
     top = scores.groupBy("query_id").agg(F.max("bm25").alias("__top"))
@@ -75,8 +93,3 @@ def normalized_alone(raw: Column, top: Column | None = None) -> Column:
     if top is not None:
         return F.least(raw / top, F.lit(1.0))
     return F.least(F.log1p(raw) / F.log1p(F.lit(10.0)), F.lit(1.0))
-
-
-def stemmed(cut: Tokenizer, stem: Callable[[Column], Column] | None = None) -> Tokenizer:
-    """A tokenizer with a stemmer over its words; without one they stay."""
-    return cut if stem is None else lambda c: F.transform(cut(c), stem)

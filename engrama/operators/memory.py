@@ -10,11 +10,30 @@ from engrama.settings import Settings
 from engrama.sources.shared import stash
 
 
+#: Notes of one query that are paired in one task with as many others.
+PAIR_BLOCK = 1000
+
+
+def in_blocks(rows: DataFrame, keys: list[str], size: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (keys, id, ...) twice, so that equal (keys, __i, __j) bring every two rows of a key together once.
+
+    The rows of a key are dealt into blocks, and each pair of blocks is a key of
+    its own: a key with a million rows is many small joins instead of a large one.
+    """
+    blocks = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / (size or PAIR_BLOCK)).cast("int").alias("__n"))
+    dealt = rows.join(blocks, keys).withColumn("__own", F.pmod(F.xxhash64("id"), F.col("__n")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("__n") - 1))
+    left = dealt.withColumn("__i", F.col("__own")).withColumn("__j", every).drop("__n", "__own")
+    right = dealt.withColumn("__j", F.col("__own")).withColumn("__i", every).drop("__n", "__own")
+    return left, right
+
+
 def pairs(active: DataFrame, keys: list[str], least: float) -> DataFrame:
     """note_a < note_b of the notes (id, score) that are active together, per key."""
     held = active.filter(F.col("score") >= least).select(*keys, "id").distinct()
-    other = held.withColumnRenamed("id", "note_b")
-    return held.withColumnRenamed("id", "note_a").join(other, keys).filter("note_a < note_b")
+    left, right = in_blocks(held, keys)
+    met = left.withColumnRenamed("id", "note_a").join(right.withColumnRenamed("id", "note_b"), [*keys, "__i", "__j"])
+    return met.filter("note_a < note_b").drop("__i", "__j")
 
 
 def weight_of(frequency: Column, settings: Settings = Settings()) -> Column:
@@ -63,30 +82,52 @@ def running_total(rows: DataFrame, order: str, value: str, total: str) -> DataFr
     return dealt.join(F.broadcast(first), "__part").withColumn(total, F.col("__before") + inside).drop("__part", "__before")
 
 
-def replay(log: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """note_a, note_b, frequency, weight after a log of queries (seq, id, score, source), as ``learn`` would leave them one by one.
+#: What is known of pairs, notes and queries after a log, as ``fold`` gives it.
+PAIR_STATE = "f double, w double, idle long, cab long"
+
+
+def fold(log: DataFrame, before: tuple[DataFrame, DataFrame, int] | None = None, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame, int]:
+    """What a log of queries (seq, id, score, source) adds to what was known ``before``: pairs, notes and the number of queries.
 
-    Per pair a fold over its co-activations. Between two of them, the weight
-    decayed once per query with neither note active; their number is the
-    difference of a running count that follows from how often each note and
-    both had been active. A synapse that fell below the limit starts anew.
-    Pairs that never gain are left out before they are gathered.
+    Pairs (note_a, note_b, f, w, idle, cab) have the frequency and weight of
+    their last gain, how many queries had neither note active by then, and how
+    many had both by now; notes (id, c) how many had them active. Queries of
+    the night count for none of these. Only pairs and notes that the log touches
+    are given, so what is written after a batch grows with the batch: the decay of all others
+    follows from the counts when it is asked for.
+
+    Between two gains a weight decayed once per query with neither note active.
+    A synapse that fell below the limit starts anew. What a pair gathers are its
+    own co-activations, a number and a few flags each.
     """
     counts = (F.col("source") != "nightly").cast("long")
-    seqs = running_total(log.select("seq", counts.alias("n")).distinct(), "seq", "n", "q")
+    known, seen, asked = before or (None, None, 0)
+    seqs = running_total(log.select("seq", counts.alias("n")).distinct(), "seq", "n", "q").withColumn("q", F.col("q") + asked)
     rows = log.select("seq", "id", "score", "source").join(seqs.select("seq", "q"), "seq")
     own = W.partitionBy("id").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
-    rows = stash(rows.withColumn("c", F.sum(counts).over(own)).withColumn("n", counts))
-    a = rows.select("seq", "q", "source", "n", F.col("id").alias("note_a"), F.col("score").alias("sa"), F.col("c").alias("ca"))
-    b = rows.select("seq", F.col("id").alias("note_b"), F.col("score").alias("sb"), F.col("c").alias("cb"))
-    both = a.join(b, (a["seq"] == b["seq"]) & (F.col("note_a") < F.col("note_b"))).drop(b["seq"])
-    neither = F.col("q") - F.col("ca") - F.col("cb")  # less what both were active in
+    rows = rows.withColumn("c", F.sum(counts).over(own)).withColumn("n", counts)
+    if seen is not None:
+        rows = rows.join(seen.select("id", F.col("c").alias("c0")), "id", "left").withColumn("c", F.col("c") + F.coalesce("c0", F.lit(0))).drop("c0")
+    rows = stash(rows)
+    left, right = in_blocks(rows.select("seq", "q", "source", "n", "id", "score", "c"), ["seq"])
+    a = left.select("seq", "__i", "__j", "q", "source", "n", F.col("id").alias("note_a"), F.col("score").alias("sa"), F.col("c").alias("ca"))
+    b = right.select("seq", "__i", "__j", F.col("id").alias("note_b"), F.col("score").alias("sb"), F.col("c").alias("cb"))
+    both = a.join(b, ["seq", "__i", "__j"]).filter("note_a < note_b")
     gain = F.when(F.col("source") == "user", 1.0).otherwise(settings.derived_increment)
     least = settings.pair_min_score
     gains = F.when((F.col("sa") >= least) & (F.col("sb") >= least), gain)
-    folded = both.groupBy("note_a", "note_b").agg(F.sort_array(F.collect_list(F.struct("seq", "n", neither.alias("rest"), gains.alias("gain")))).alias("e"), F.sum("n").alias("cab"), F.count(gains).alias("gained")).filter("gained > 0")
-    zero = F.struct(F.lit(0.0).alias("f"), F.lit(0.0).alias("w"), F.lit(0).cast("long").alias("idle"), F.lit(0).cast("long").alias("cab"))
-    neither = neither + F.col("cab")
+    # pairs that have never gained are left out before anything of them is gathered
+    learning = pairs(log, ["seq"], least).select("note_a", "note_b").distinct()
+    if known is not None:
+        learning = learning.unionByName(known.select("note_a", "note_b")).distinct()
+    events = both.join(learning, ["note_a", "note_b"], "left_semi")
+    rest = F.col("q") - F.col("ca") - F.col("cb")  # less what both were active in
+    folded = events.groupBy("note_a", "note_b").agg(F.sort_array(F.collect_list(F.struct("seq", "n", rest.alias("rest"), gains.alias("gain")))).alias("e"))
+    nothing = F.struct(F.lit(0.0).alias("f"), F.lit(0.0).alias("w"), F.lit(0).cast("long").alias("idle"), F.lit(0).cast("long").alias("cab"))
+    if known is None:
+        folded = folded.withColumn("s", nothing)
+    else:
+        folded = folded.join(known.select("note_a", "note_b", F.struct("f", "w", "idle", "cab").alias("s")), ["note_a", "note_b"], "left").withColumn("s", F.coalesce("s", nothing))
 
     def step(acc: Column, x: Column) -> Column:
         cab = acc["cab"] + x["n"]
@@ -96,12 +137,22 @@ def replay(log: DataFrame, settings: Settings = Settings()) -> DataFrame:
         grown = F.struct(f.alias("f"), weight_of(f, settings).alias("w"), idle.alias("idle"), cab.alias("cab"))
         return F.when(x["gain"].isNull(), F.struct(acc["f"].alias("f"), acc["w"].alias("w"), acc["idle"].alias("idle"), cab.alias("cab"))).otherwise(grown)
 
-    done = folded.select("note_a", "note_b", "cab", F.aggregate("e", zero, step).alias("s"))
-    total = rows.groupBy("id").agg(F.max("c").alias("c"))
-    end = rows.agg(F.max("q").alias("q"))
-    last = done.join(total.select(F.col("id").alias("note_a"), F.col("c").alias("ca")), "note_a").join(total.select(F.col("id").alias("note_b"), F.col("c").alias("cb")), "note_b").join(F.broadcast(end))
-    weight = F.col("s.w") * F.pow(F.lit(settings.decay), neither - F.col("s.idle"))
-    return last.select("note_a", "note_b", F.col("s.f").alias("frequency"), weight.alias("weight")).filter(F.col("weight") >= settings.forget_below)
+    done = folded.select("note_a", "note_b", F.aggregate("e", F.col("s"), step).alias("s")).select("note_a", "note_b", "s.f", "s.w", "s.idle", "s.cab")
+    notes = rows.groupBy("id").agg(F.max("c").alias("c"))
+    return done, notes, rows.agg(F.max("q")).first()[0] or asked
+
+
+def weights_now(known: DataFrame, seen: DataFrame, asked: int, settings: Settings = Settings()) -> DataFrame:
+    """note_a, note_b, frequency, weight of all pairs by what is known of pairs, notes and queries; what has decayed below the limit is forgotten."""
+    last = known.join(seen.select(F.col("id").alias("note_a"), F.col("c").alias("ca")), "note_a").join(seen.select(F.col("id").alias("note_b"), F.col("c").alias("cb")), "note_b")
+    idle = F.lit(asked) - F.col("ca") - F.col("cb") + F.col("cab") - F.col("idle")
+    weight = F.col("w") * F.pow(F.lit(settings.decay), idle)
+    return last.filter("f > 0").select("note_a", "note_b", F.col("f").alias("frequency"), weight.alias("weight")).filter(F.col("weight") >= settings.forget_below)
+
+
+def replay(log: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """note_a, note_b, frequency, weight after a log of queries (seq, id, score, source), as ``learn`` would leave them one by one."""
+    return weights_now(*fold(log, None, settings), settings)
 
 
 def endpoints(synapses: DataFrame) -> DataFrame:
@@ -142,6 +193,25 @@ def quality_stats(quality: DataFrame) -> DataFrame:
     return quality.agg(F.count(F.lit(1)).alias("total"), F.count_if("dormant").alias("dormant"), F.count_if(~F.col("dormant")).alias("active"), F.coalesce(F.avg("score"), F.lit(0.0)).alias("avg_score"))
 
 
+def worst_first(quality: DataFrame, titles: DataFrame, dormant: str = "dormant") -> DataFrame:
+    """Dormant notes with their titles (their id where they have none), the worst first, ties by id."""
+    known = titles.select("id", F.col("title").alias("__title"))
+    return quality.filter(F.col(dormant)).join(known, "id", "left").withColumn("title", F.coalesce("__title", F.col("id").cast("string"))).drop("__title").orderBy("score", "id")
+
+
+def learned(synapses: DataFrame, quality: DataFrame, queries: int, active: DataFrame, nodes: DataFrame, now: Column, source: str = "user", settings: Settings = Settings()) -> tuple[DataFrame, DataFrame, int]:
+    """Synapses, quality (id, score, dormant) and number of queries after one more query.
+
+    Pairs learn, dormant notes that were active strongly enough wake up, and at
+    every ``rescore_every``-th query all notes are rated anew.
+    """
+    after, queries = learn(synapses, active, now, source, settings), queries + 1
+    if queries % settings.rescore_every == 0:
+        after = stash(after)
+        return after, node_quality(nodes, after, settings).select("id", "score", "dormant"), queries
+    return after, reactivate(quality.select("id", "score", "dormant"), active.filter(F.col("score") >= settings.pair_min_score), settings), queries
+
+
 def reactivate(quality: DataFrame, active: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Dormant notes that were active strongly enough wake up with the higher score."""
     top = active.groupBy("id").agg(F.max("score").alias("__a"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engrama.functions.text import CONFLICTS
+from engrama.functions.text import ACKNOWLEDGEMENTS, CONFLICTS
 from engrama.operators import consolidation, genesis, graph, sessions, vectors
 from engrama.plans.registry import query, table
 from engrama.plans.text_queries import collection, degrees, notes, star_edges
@@ -60,19 +60,44 @@ def link_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.resolve_in_source(raw_links(docs), docs).select("src", "edge_ord", "dst")
 
 
+#: Notes of the vault's languages, and for some numbers others of that base name in two namespaces.
+NAMED_SQL = "n as (select concat(lang, '/', doc_id) as id, doc_id from documents union all select concat('wiki/', doc_id), doc_id from documents where doc_id % 3 = 0 union all select concat('concepts/', doc_id), doc_id from documents where doc_id % 2 = 0), f as (select doc_id, min(id) as id from n group by 1)"
+
+
 @query(
-    "with d as (select concat(lang, '/', doc_id) as id, doc_id, lang from documents), l as (select id as src, doc_id, lang from d) "
-    "select src, 0 as edge_ord, t.id as dst from l left join d t on t.doc_id = l.doc_id + 1 and t.lang = l.lang union all select src, 1, t.id from l left join d t on t.doc_id = l.doc_id + 2 union all select src, 2, null from l"
+    f"with {NAMED_SQL} select concat(d.lang, '/', d.doc_id) as src, 0 as edge_ord, coalesce(x.id, f.id) as dst from documents d left join n x on x.id = concat(d.lang, '/', d.doc_id + 1) left join f on f.doc_id = d.doc_id + 1 "
+    "union all select concat(d.lang, '/', d.doc_id), 1, coalesce(w.id, c.id, f.id) from documents d left join n w on w.id = concat('wiki/', d.doc_id + 2) left join n c on c.id = concat('concepts/', d.doc_id + 2) left join f on f.doc_id = d.doc_id + 2 "
+    "union all select concat(d.lang, '/', d.doc_id), 2, f.id from documents d left join f on f.doc_id = d.doc_id + 3 union all select concat(d.lang, '/', d.doc_id), 3, null from documents d"
 )
 def link_resolution_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A link to a whole id, a bare one, one into a folder that isn't there, and one to nothing."""
+    docs = table(spark, sf_dir, "documents")
+    number = lambda k: (F.col("doc_id") + k).cast("string")
+    own = F.concat("lang", F.lit("/"), number(0))
+    ids = F.array_compact(F.array(own, F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("wiki/"), number(0))), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("concepts/"), number(0)))))
+    nodes = docs.select(F.explode(ids).alias("id"))
+    raw = F.array(F.concat("lang", F.lit("/"), number(1)), number(2), F.concat(F.lit("x/"), number(3)), F.concat(F.lit("nowhere"), number(0)))
+    found = docs.select(own.alias("src"), F.posexplode(raw).alias("edge_ord", "target_raw"))
+    return graph.resolve_by_name(found, nodes).select("src", "edge_ord", "dst")
+
+
+@query(
+    "with n as (select concat(lang, '/', doc_id) as id, doc_id, lang from documents where doc_id % 7 <> 0 union all select concat('wiki/', doc_id), doc_id, lang from documents where doc_id % 5 = 0), f as (select doc_id, min(id) as id from n group by 1), "
+    "t as (select distinct cast(doc_id + 1 as varchar) as target_raw, doc_id + 1 as k, false as whole from documents union all select distinct concat(lang, '/', doc_id + 2), doc_id + 2, true from documents) "
+    "select target_raw, case when whole then coalesce(x.id, f.id) else coalesce(w.id, f.id) end as dst from t left join n x on whole and x.id = target_raw left join n w on not whole and w.id = concat('wiki/', target_raw) left join f on f.doc_id = t.k"
+)
+def incremental_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What links mean once every seventh note is gone and every fifth has a page of its number in the wiki: only targets that these could be are resolved anew."""
     docs = table(spark, sf_dir, "documents")
-    nodes = docs.select(F.concat("lang", F.lit("/"), F.col("doc_id").cast("string")).alias("id"))
     number = lambda k: (F.col("doc_id") + k).cast("string")
-    found = docs.select(F.concat("lang", F.lit("/"), number(0)).alias("src"), F.posexplode(F.array(F.concat("lang", F.lit("/"), number(1)), F.concat(F.lit("x/"), number(2)), F.concat(F.lit("nowhere"), number(0)))).alias("edge_ord", "target_raw"))
-    # the first link names a folder: where that note is missing, no other note has its base name either way
-    got = graph.resolve_by_name(found, nodes)
-    same = F.when((F.col("edge_ord") == 0) & (F.col("dst") != F.col("target_raw")), None).otherwise(F.col("dst"))
-    return got.select("src", "edge_ord", same.alias("dst"))
+    own = docs.select(F.concat("lang", F.lit("/"), number(0)).alias("id"), "doc_id")
+    pages = docs.filter("doc_id % 5 = 0").select(F.concat(F.lit("wiki/"), number(0)).alias("id"))
+    links = docs.select(F.explode(F.array(number(1), F.concat("lang", F.lit("/"), number(2)))).alias("target_raw"))
+    candidates = graph.name_candidates(links)
+    before = graph.name_only(candidates).join(graph.best_candidates(candidates, own.select("id")), "target_raw", "left")
+    gone = own.filter("doc_id % 7 = 0").select("id")
+    now = own.filter("doc_id % 7 <> 0").select("id").union(pages)
+    return graph.update_resolution(before, candidates, gone.union(pages), now)
 
 
 HREFS = "select page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) as href from pages"
@@ -145,6 +170,9 @@ def embedding_refresh_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MESSAGES_SQL = "msg as (select conv_id as session_id, turn as id, role, text as content from conversations)"
+#: Users of every third session only acknowledge, at length in one case.
+SPOKEN_SQL = "msg as (select conv_id as session_id, turn as id, role, case when role = 'user' and conv_id % 3 = 0 then case when conv_id % 2 = 0 then 'Perfetto!!!!!!!!!!!!!!!!!!!!!!!!!!!!' else 'grazie. . . . . . . . . . . . . . .' end else text end as content from conversations)"
+ONLY_THANKS = rf"regexp_full_match(trim(content), '(?i)({ACKNOWLEDGEMENTS})[.! ]*')"
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,11 +190,13 @@ def session_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"with {MESSAGES_SQL}, new as (select m.* from msg m left join (select conv_id as session_id, min(turn) as l from conversations where conv_id % 4 = 0 group by 1) c on c.session_id = m.session_id where m.id > coalesce(c.l, -1) and role in ('user', 'assistant') and trim(content) <> '') "
-    "select session_id, max(id) as last_message_id, substr(string_agg(concat('[', role, ']\n', trim(content)), '\n\n' order by id), 1, 12000) as content from new group by 1 having bool_or(role = 'user' and length(trim(content)) >= 24) and length(string_agg(concat('[', role, ']\n', trim(content)), '\n\n' order by id)) >= 200"
+    f"with {SPOKEN_SQL}, new as (select m.* from msg m left join (select conv_id as session_id, min(turn) as l from conversations where conv_id % 4 = 0 group by 1) c on c.session_id = m.session_id where m.id > coalesce(c.l, -1) and role in ('user', 'assistant') and trim(content) <> '') "
+    f"select session_id, max(id) as last_message_id, substr(string_agg(concat('[', role, ']\n', trim(content)), '\n\n' order by id), 1, 12000) as content from new group by 1 having bool_or(role = 'user' and length(trim(content)) >= 24 and not {ONLY_THANKS}) and length(string_agg(concat('[', role, ']\n', trim(content)), '\n\n' order by id)) >= 200"
 )
 def session_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = messages(spark, sf_dir)
+    thanks = F.when(F.col("session_id") % 2 == 0, "Perfetto!!!!!!!!!!!!!!!!!!!!!!!!!!!!").otherwise("grazie. . . . . . . . . . . . . . .")
+    said = F.when((F.col("role") == "user") & (F.col("session_id") % 3 == 0), thanks).otherwise(F.col("content"))
+    rows = messages(spark, sf_dir).withColumn("content", said)
     done = rows.filter("session_id % 4 = 0").groupBy("session_id").agg(F.min("id").alias("last_message_id"))
     return sessions.candidate_sessions(rows, done)
 
@@ -290,10 +320,3 @@ def burst_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select event_id, event_type, row_number() over (partition by event_type order by ts, event_id) as sequence from events")
 def event_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.sequenced(table(spark, sf_dir, "events"), vault="event_type").select("event_id", "event_type", F.col("sequence").cast("long").alias("sequence"))
-
-
-@query("select source as vault_id, count(*) as neurons, sum(n_chars) as chars from documents group by 1")
-def tenant_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy(F.col("source").alias("vault_id")).agg(F.count(F.lit(1)).alias("neurons"), F.sum("n_chars").alias("chars"))
-
-

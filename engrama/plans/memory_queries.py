@@ -70,6 +70,29 @@ def hebbian_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("note_a", "note_b", "frequency", F.round("weight", 6).alias("weight"))
 
 
+SESSION_SQL = f"""{LEARN_SQL}, kept as (select * from upd where weight >= 0.01),
+e0 as (select note_a as id, weight, frequency from syn union all select note_b, weight, frequency from syn),
+q0 as (select n.id, coalesce(e.score, 0) as score from nodes n left join (select id, {STRONG} as score from e0 cross join (select max(frequency) as top from syn) group by 1) e on e.id = n.id),
+e1 as (select note_a as id, weight, frequency from kept union all select note_b, weight, frequency from kept),
+q1 as (select n.id, coalesce(e.score, 0) as score from nodes n left join (select id, {STRONG} as score from e1 cross join (select max(frequency) as top from kept) group by 1) e on e.id = n.id),
+woken as (select q0.id, case when q0.score < 0.6 and c.score >= 0.5 and c.score >= 0.15 then greatest(q0.score, c.score) else q0.score end as score, q0.score < 0.6 and not coalesce(c.score >= 0.5 and c.score >= 0.15, false) as dormant from q0 left join cur c on c.id = q0.id)"""
+
+
+@query(f"{SESSION_SQL} select 49 as queries, id, round(score, 4) as score, dormant from woken union all select 50, id, score, score < 0.25 from q1")
+def hebbian_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the 49th query, which wakes notes, and the 50th, which rates all of them anew, leave of their quality."""
+    act = activity(spark, sf_dir)
+    last = act.join(F.broadcast(act.agg(F.max("h").alias("h"))), "h").select("id", "score")
+    syn, nodes = synapses(spark, sf_dir), users(spark, sf_dir)
+    rated = memory.node_quality(nodes, syn).select("id", "score", (F.col("score") < 0.6).alias("dormant"))
+    out = None
+    for before in (48, 49):
+        _, quality, queries = memory.learned(syn, rated, before, last, nodes, now(spark, sf_dir))
+        rows = quality.select(F.lit(queries).alias("queries"), "id", F.round("score", 4).alias("score"), "dormant")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 REPLAY_SQL = f"""with recursive {SYN_SQL},
 lg as (select cast(epoch(h) as bigint) as seq, id, score, case when hour(h) = 3 then 'nightly' when hour(h) % 5 = 0 then 'derived' else 'user' end as source, case when hour(h) = 3 then 0 else 1 end as n from act),
 qs as (select seq, sum(n) over (order by seq) as q from (select distinct seq, n from lg)),
@@ -219,7 +242,7 @@ def spurious_synapses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 AUDIT_SQL = f"""with {SYN_SQL}, {FADED_SQL}, ok as (select id from nodes where id % 3 <> 0), ed as (select note_a as src, case when note_b % 5 = 0 then note_a else note_b end as dst from syn)
 select (select count(*) from ok) as nodes, (select count(*) from ed) as edges, (select count(*) from ed where src = dst) as self_loops, (select coalesce(sum(n - 1), 0) from (select count(*) as n from ed group by src, dst)) as duplicates,
-(select count(*) from fad) as synapses, (select count(*) from fad where weight < 0.15) as weak, (select count(*) from fad where weight > 0.7) as strong, (select count(*) from fad, clock where weight < 0.15 and last_coactivated <= now - interval 48 hours) as stale, 0 as malformed,
+(select count(*) from fad) as synapses, (select count(*) from fad where weight < 0.15) as weak, (select count(*) from fad where weight > 0.7) as strong, (select count(*) from fad, clock where weight < 0.15 and last_coactivated <= now - interval 48 hours and (note_a + note_b) % 11 <> 0) as stale, (select count(*) from fad where (note_a + note_b) % 11 = 0) as malformed,
 (select count(*) from ed where src not in (select id from ok)) + (select count(*) from ed where dst not in (select id from ok)) as invalid_edge_ends,
 (select count(*) from fad where note_a not in (select id from ok)) + (select count(*) from fad where note_b not in (select id from ok)) as invalid_synapse_ends"""
 
@@ -228,4 +251,5 @@ select (select count(*) from ok) as nodes, (select count(*) from ed) as edges, (
 def structural_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = users(spark, sf_dir).filter("id % 3 != 0")
     edges = synapses(spark, sf_dir).select(F.col("note_a").alias("src"), F.when(F.col("note_b") % 5 == 0, F.col("note_a")).otherwise(F.col("note_b")).alias("dst"), F.lit("x").alias("type"))
-    return graph.audit(nodes, edges, faded(spark, sf_dir), now(spark, sf_dir))
+    at = F.when((F.col("note_a") + F.col("note_b")) % 11 == 0, "no time").otherwise(F.col("last_coactivated").cast("string"))
+    return graph.audit(nodes, edges, faded(spark, sf_dir).withColumn("last_coactivated", at), now(spark, sf_dir))

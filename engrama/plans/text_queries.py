@@ -8,14 +8,17 @@ source's least document with its other ones.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from engrama.functions import paths, text
+from engrama.functions.stemming import stems, stems_sql
 from engrama.functions.text import STOP_WORDS
 from engrama.operators import activation, graph, lexical, ranking, vectors
+from engrama.operators import lexical_index as index
 from engrama.plans.registry import query, table
 from engrama.settings import Settings
-from engrama.sources.shared import stash
+from engrama.sources.shared import shared_folder, signature, stash
 
 STOP_SQL = "(" + ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS)) + ")"
 DEFAULT = Settings()
@@ -27,12 +30,8 @@ def terms_sql(source: str, key: str, body: str = "text", pattern: str = r"[\p{L}
     return f"select {key}, term from (select {key}, unnest(regexp_extract_all(lower({body}), '{pattern}')) as term from {source}) where length(term) > 1 and term not in {STOP_SQL}"
 
 
-def bm25_sql(pattern: str = r"[\p{L}\p{N}_]+", items: str = "benchmark where item_id = 0") -> str:
-    """CTEs tok, q, scores(query_id, id, bm25, matched)."""
-    return rf"""
-tok as ({terms_sql('documents', 'doc_id', pattern=pattern)}),
-q as (select item_id as query_id, term, count(*) as times from ({terms_sql(f'(select * from {items})', 'item_id', pattern=pattern)}) group by 1, 2),
-dl as (select d.doc_id, coalesce(t.n, 0) as dl from documents d left join (select doc_id, count(*) as n from tok group by 1) t on d.doc_id = t.doc_id),
+#: CTE scores(query_id, id, bm25, matched) over tok(doc_id, term) and q(query_id, term, times).
+SCORES_SQL = """dl as (select d.doc_id, coalesce(t.n, 0) as dl from documents d left join (select doc_id, count(*) as n from tok group by 1) t on d.doc_id = t.doc_id),
 st as (select count(*) as n, greatest(avg(dl), 1.0) as avg_dl from dl),
 tf as (select doc_id, term, count(*) as tf from tok where term in (select term from q) group by 1, 2),
 df as (select term, count(*) as df from tf group by 1),
@@ -42,6 +41,14 @@ scores as (
   from tf join q on tf.term = q.term join df on tf.term = df.term join dl on tf.doc_id = dl.doc_id cross join st group by 1, 2)"""
 
 
+def bm25_sql(pattern: str = r"[\p{L}\p{N}_]+", items: str = "benchmark where item_id = 0") -> str:
+    """CTEs tok, q, scores(query_id, id, bm25, matched)."""
+    return rf"""
+tok as ({terms_sql('documents', 'doc_id', pattern=pattern)}),
+q as (select item_id as query_id, term, count(*) as times from ({terms_sql(f'(select * from {items})', 'item_id', pattern=pattern)}) group by 1, 2),
+{SCORES_SQL}"""
+
+
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "lang", "source", "n_chars")
 
@@ -55,6 +62,17 @@ def scores(spark: SparkSession, sf_dir: str, first: bool = True, cut=text.tokens
     return lexical.bm25(notes(spark, sf_dir), items(spark, sf_dir, first), F.col("text"), F.col("text"), DEFAULT, cut)
 
 
+def stored_index(spark: SparkSession, sf_dir: str) -> index.Index:
+    """The stored index over whole ``documents``, built when a version of the table is first asked for."""
+    folder = f"{shared_folder(spark)}/engrama-lexical-{signature(spark, f'{sf_dir}/documents.parquet')}"
+    return index.stored(notes(spark, sf_dir), F.col("text"), folder)
+
+
+def best_notes(spark: SparkSession, sf_dir: str, k: int, first: bool = True) -> DataFrame:
+    """query_id, id, bm25, matched of the k best notes of each item, from the stored index."""
+    return index.Search(stored_index(spark, sf_dir), items(spark, sf_dir, first), F.col("text"), k, DEFAULT).top()
+
+
 def collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
 
@@ -80,8 +98,7 @@ def inverse_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {bm25_sql()} select id as doc_id, round(bm25, 6) as bm25 from scores order by scores.bm25 desc, id limit 10")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = scores(spark, sf_dir).orderBy(F.desc("bm25"), "id").limit(10)
-    return top.select(F.col("id").alias("doc_id"), F.round("bm25", 6).alias("bm25"))
+    return best_notes(spark, sf_dir, 10).select(F.col("id").alias("doc_id"), F.round("bm25", 6).alias("bm25"))
 
 
 @query(f"with {bm25_sql(items='benchmark')} select query_id, id as doc_id, round(bm25, 5) as bm25, matched from scores")
@@ -109,6 +126,26 @@ def bm25_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(spark, sf_dir, cut=text.ascii_tokens).select(F.col("id").alias("doc_id"), F.round("bm25", 6).alias("bm25"))
 
 
+ASCII = "[a-z0-9]+"
+STEMMED_SQL = f"""
+raw as ({terms_sql('documents', 'doc_id', pattern=ASCII)}),
+asked as ({terms_sql('benchmark', 'item_id', pattern=ASCII)}),
+voc as materialized ({stems_sql('(select term from raw union select term from asked)')}),
+tok as (select doc_id, stem as term from raw join voc using (term)),
+q as (select item_id as query_id, stem as term, count(*) as times from asked join voc using (term) group by 1, 2),
+{SCORES_SQL}"""
+
+
+@query(f"with {STEMMED_SQL} select query_id, id as doc_id, round(bm25, 5) as bm25, matched from scores qualify row_number() over (partition by query_id order by round(bm25, 9) desc, id) <= 10")
+def bm25_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each item by BM25 over Italian stems."""
+    docs, asked = notes(spark, sf_dir), items(spark, sf_dir, first=False)
+    known = stash(stems(lexical.vocabulary(docs, asked, cut=text.ascii_tokens)))
+    rows = lexical.bm25(docs, asked, F.col("text"), F.col("text"), DEFAULT, text.ascii_tokens, known)
+    best = rows.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("bm25", 9)), "id"))).filter("r <= 10")
+    return best.select("query_id", F.col("id").alias("doc_id"), F.round("bm25", 5).alias("bm25"), F.array_join("matched", " ").alias("matched"))
+
+
 COS = "greatest(0, list_cosine_similarity(cast({a}.embedding as double[]), cast({b}.embedding as double[])))"
 VEC_SQL = f"vec as (select e.vec_id as id, {COS.format(a='e', b='q')} as vector_score from embeddings e join embeddings q on q.vec_id = 0 order by vector_score desc, id limit 25)"
 
@@ -151,8 +188,6 @@ def star_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = notes(spark, sf_dir).select("id", "source")
     anchors = own.groupBy("source").agg(F.min("id").alias("anchor"))
     edges = graph.star(own, anchors, ["source"], "project_context", 0.35)
-    from pyspark.sql import Window as W
-
     return edges.withColumn("edge_ord", F.row_number().over(W.partitionBy("src").orderBy("dst")) - 1)
 
 
@@ -163,7 +198,7 @@ def degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fused_scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     n = 5 * DEFAULT.seed_count
     vector = vectors.top_by_vector(collection(spark, sf_dir), query_vector(spark, sf_dir), n)
-    lex = lexical.normalized(scores(spark, sf_dir).filter("bm25 > 0").orderBy(F.desc("bm25"), "id").limit(n))
+    lex = lexical.normalized(stash(best_notes(spark, sf_dir, n)))
     return activation.fused(vector.withColumn("query_id", F.lit(0).cast("long")), lex), lex
 
 
@@ -249,13 +284,48 @@ z{n} as (select * from z{n - 1} union all select i.id, least(i.incoming - ({base
     return out
 
 
-@query(f"with {FUSED_SQL}, {RING_SQL}, {fire_sql()} select id, round(value, 6) as value, step from z5")
+#: Vector candidates alone, not dampened: hybrid scores over the ten times as many as there are seeds.
+CANDIDATE_SQL = f"""{bm25_sql()},
+cand as (select e.vec_id as id, {COS.format(a='e', b='q')} as vs from embeddings e join embeddings q on q.vec_id = 0 order by vs desc, id limit 50),
+lexed as (select cand.id, vs, coalesce(s.bm25, 0) as bm25, max(coalesce(s.bm25, 0)) over () as top from cand left join scores s on s.id = cand.id),
+hybrid as (select id, 0.7 * vs + 0.3 * case when top > 0 then bm25 / top else 0 end as score from lexed),
+thr as (select count(*) as n, case when count(*) < 3 then 0.15 else greatest(median(score) + 0.3 * coalesce(stddev_samp(score), 0), 0.15) end as threshold from hybrid),
+kept as (select hybrid.* from hybrid cross join thr where n < 5 or score >= threshold),
+seeds as (select id, score, row_number() over (order by score desc, id) - 1 as seed_rank from kept qualify seed_rank < 5)"""
+
+
+@query(f"with {CANDIDATE_SQL}, {RING_SQL}, {fire_sql()} select id, round(value, 6) as value, step from z5")
 def integrate_fire(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From the seeds along links of each document to its next three."""
-    seeds, kept = seed_scores(spark, sf_dir)
+    vector = vectors.top_by_vector(collection(spark, sf_dir), query_vector(spark, sf_dir), 10 * DEFAULT.seed_count)
+    hybrid = activation.over_candidates(vector.withColumn("query_id", F.lit(0).cast("long")), scores(spark, sf_dir))
+    kept = stash(activation.filtered(stash(hybrid)))
     docs = notes(spark, sf_dir).select("id")
     ring = docs.select(F.col("id").alias("src"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("k")).select("src", (F.col("src") + F.col("k")).alias("dst")).join(docs.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
-    return activation.fire(seeds, ring, kept, graph.degree(docs, ring), EAGER).select("id", F.round("value", 6).alias("value"), "step")
+    return activation.fire(activation.seeds(kept), ring, kept, graph.degree(docs, ring), EAGER).select("id", F.round("value", 6).alias("value"), "step")
+
+
+METHOD_SQL = f"""{bm25_sql(items='benchmark')},
+cand as (select q.vec_id as query_id, e.vec_id as id, {COS.format(a='e', b='q')} as vs from embeddings e cross join (select * from embeddings where vec_id in (select item_id from benchmark)) q qualify row_number() over (partition by q.vec_id order by {COS.format(a='e', b='q')} desc, e.vec_id) <= 50),
+lexed as (select cand.query_id, cand.id, vs, coalesce(s.bm25, 0) as bm25, max(coalesce(s.bm25, 0)) over (partition by cand.query_id) as top from cand left join scores s on s.id = cand.id and s.query_id = cand.query_id),
+normed as (select query_id, id, vs, case when top > 0 then bm25 / top else 0 end as b from lexed),
+methods as (select 'vector' as method, query_id, id, vs as score from normed union all select 'bm25', query_id, id, b from normed union all select 'hybrid', query_id, id, 0.7 * vs + 0.3 * b from normed),
+thr as (select method, query_id, case when count(*) < 3 then 0.05 else greatest(median(score) + 0.3 * coalesce(stddev_samp(score), 0), 0.05) end as threshold from methods group by 1, 2)"""
+
+
+@query(f"with {METHOD_SQL} select m.method, m.query_id, m.id, round(m.score, 6) as score from methods m join thr t on t.method = m.method and t.query_id = m.query_id where m.score >= t.threshold")
+def retrieval_by_method(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item with the vector of its number, by each method over the fifty nearest notes, without spreading."""
+    asked = collection(spark, sf_dir).join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id")), "id", "left_semi").select(F.col("id").alias("query_id"), F.col("embedding").alias("qv"))
+    vector = stash(vectors.top_by_vector(collection(spark, sf_dir), asked, 50))
+    lex = stash(scores(spark, sf_dir, first=False).join(vector.select("query_id", "id"), ["query_id", "id"], "left_semi"))
+    low = Settings(floor=0.05)
+    out = None
+    for method in ("vector", "bm25", "hybrid"):
+        kept = activation.filtered(activation.over_candidates(vector, lex, method), low, few=0)
+        rows = kept.select(F.lit(method).alias("method"), "query_id", "id", F.round("score", 6).alias("score"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query(f"with {FUSED_SQL} select case when max(score) >= 0.65 then 'direct' when max(score) >= 0.45 then 'weak' when max(score) is null then 'none' else 'insufficient' end as state, count(*) as seeds from seeds")
@@ -274,8 +344,6 @@ metrics as (select query_id, precision, recall, case when precision + recall > 0
 
 
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
     got = stash(scores(spark, sf_dir, first=False).select("query_id", "id", "bm25"))
     order = W.partitionBy("query_id").orderBy(F.desc(F.round("bm25", 9)), "id")
     ranked = got.withColumn("rank", F.row_number().over(order)).filter("rank <= 10").select("query_id", "id", "rank")

@@ -75,10 +75,10 @@ def counterparts_from_config(spark: SparkSession, config: dict) -> DataFrame:
 def scan(spark: SparkSession, source: Source) -> DataFrame:
     """Files of a source: source_id, source_type, relative_path, absolute_path, content, writable, mtime.
 
-    Hidden files and folders are skipped. A missing root is an error of the
-    reader.
+    Hidden files and folders are skipped, and only Markdown files are listed. A
+    missing root is an error of the reader.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(source.root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[mM][dD]").load(source.root)
     at = re.sub(r"^[a-z]+:/*(?=/)", "", source.root).rstrip("/")
     relative = F.regexp_replace(F.regexp_replace(F.col("path"), r"^[a-z]+:/*(?=/)", ""), "^" + re.escape(at) + "/", "")
     rows = files.select(relative.alias("relative_path"), F.col("path").alias("absolute_path"), "content", F.col("modificationTime").cast("double").alias("mtime"))

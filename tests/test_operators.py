@@ -264,3 +264,109 @@ def test_neighbourhood_and_paths(spark):
     assert [r.id for r in graph.neighbourhood(edges, "alone")[0].collect()] == ["alone"]
     assert {(r.src, r.dst) for r in graph.path_edges(edges, ["d", "c", "b"]).collect()} == {("c", "d"), ("b", "c")} and graph.path_edges(edges, ["a"]).count() == 0
     assert {(r.src, r.dst) for r in graph.visible_edges(edges, overview=True).collect()} == {("a", "b"), ("c", "d"), ("x", "y")}
+
+
+def test_a_dead_writer_does_not_block(spark, tmp_path, monkeypatch):
+    from engrama.sources import store as stores
+
+    monkeypatch.setattr(stores, "LEASE", 2)
+    monkeypatch.setattr(stores, "KEPT", 2)
+    store = Store(spark, f"file://{tmp_path}/state")
+    (tmp_path / "state").mkdir()
+    (tmp_path / "state" / "writer").touch()
+    meta = lambda n: spark.sql(f"select {n}L as queries, timestamp'2024-01-0{n}' as created, timestamp'2024-02-01' as updated, 1 as consolidation_cycles")
+    base = store.save({"meta": meta(3)})
+    store.save({"meta": meta(9)}, base)
+    store.save({"meta": meta(4)}, base)  # another writer has counted further
+    assert tuple(store.load()["meta"].select("queries", F.day("created")).first()) == (9, 4)
+    assert sorted(p.name for p in (tmp_path / "state").iterdir() if p.name.startswith("v")) == ["v2", "v3"]
+
+
+def test_graph_cache(spark, tmp_path):
+    from engrama.sources.store import cached_graph
+
+    parsed = []
+
+    def nodes_of(docs):
+        parsed.append(sorted(r.id for r in docs.select("id").collect()))
+        return docs.select("id", "mtime", F.upper("text").alias("title"))
+
+    links_of = lambda docs: docs.select(F.col("id").alias("src"), F.col("text").alias("target_raw"))
+    docs = lambda rows: spark.createDataFrame(rows, "id string, mtime long, text string")
+    folder = f"file://{tmp_path}/graph"
+    nodes, links, changes = cached_graph(spark, folder, docs([("a", 1, "b"), ("b", 1, "a"), ("c", 1, "a")]), nodes_of, links_of)
+    assert nodes.count() == links.count() == changes.count() == 3
+    now = docs([("a", 2, "x"), ("b", 1, "a"), ("d", 1, "b")])
+    nodes, links, changes = cached_graph(spark, folder, now, nodes_of, links_of)
+    assert parsed == [["a", "b", "c"], ["a", "d"]]
+    assert {tuple(r) for r in changes.collect()} == {("a", "changed"), ("c", "deleted"), ("d", "added")}
+    assert {tuple(r) for r in links.collect()} == {("a", "x"), ("b", "a"), ("d", "b")} and nodes.count() == 3
+
+
+def test_vaults_do_not_see_each_other(spark, tmp_path, capsys):
+    from engrama.operators import tenants
+    from engrama.sources.notes import of_tenant
+
+    rows = [(f"v{i % 3}", f"n{i}", " ".join(["alpha"] * (i % 5) + ["beta"] * (i % 2) + ["filler"] * (i % 7))) for i in range(90)]
+    every = tenants.laid_out(spark.createDataFrame(rows, "vault_id string, id string, text string"), f"file://{tmp_path}")
+    asked = spark.createDataFrame([("v0", 1, "alpha beta"), ("v1", 1, "alpha"), ("v2", 2, "beta beta alpha"), ("v9", 3, "alpha")], "vault_id string, query_id int, q string")
+    plain = lambda df: sorted((r.vault_id, r.query_id, r.id, round(r.bm25, 9), r["rank"]) for r in df.collect())
+    together = plain(tenants.top_by_vault(every, asked, F.col("text"), F.col("q"), 4))
+    apart = []
+    for v in ("v0", "v1", "v2"):
+        apart += plain(tenants.top_by_vault(of_tenant(every, v, ["v0", "v1", "v2"]), asked.filter(F.col("vault_id") == v), F.col("text"), F.col("q"), 4))
+    assert together == sorted(apart) and len(together) == 12
+    tenants.top_by_vault(every, asked.filter("query_id = 2"), F.col("text"), F.col("q"), 4).explain("formatted")
+    assert "dynamicpruning" in capsys.readouterr().out.lower()
+
+
+def test_debounced_and_spaced_streams_equal_batches(spark, tmp_path):
+    folder = tmp_path / "in"
+    table = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    rows = table.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("vault_id", F.col("user_id") % 3).withColumn("kind", F.when(F.col("event_type") == "signup", "added").otherwise("changed"))
+    rows.orderBy("ts").coalesce(1).write.parquet(str(folder))
+    last = rows.agg(F.max("ts")).first()[0]
+    read = lambda: streams.event_stream(spark, str(folder), rows._jdf.schema().toDDL(), late="1 hour")
+
+    def run(stream, name):
+        stream.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination(240)
+        return spark.table(name)
+
+    found = run(streams.debounced(read(), "30 minutes", "80 minutes"), "debounced")
+    batch = streams.debounced(rows, "30 minutes", "80 minutes")
+    got, expected = {tuple(r) for r in found.collect()}, {tuple(r) for r in batch.collect()}
+    assert got <= expected and len(got) > 0.9 * len(expected)
+    assert all((last - r.fires).total_seconds() < 3 * 3600 for r in batch.collect() if tuple(r) not in got)
+    gap = 6 * 3600 * 1_000_000
+    kept = {r.event_id for r in run(streams.spaced_stream(read(), ["event_type"], gap), "spaced").collect()}
+    assert kept == {r.event_id for r in streams.spaced(rows, ["event_type"], gap).collect()} and kept
+
+
+def test_embedding_in_batches_with_another_try(spark):
+    calls = []
+
+    def embed(texts):
+        calls.append(len(texts))
+        if len(calls) == 1:
+            raise OSError("busy")
+        return [[] if t == "drop" else [float(len(t))] for t in texts]
+
+    batch = __import__("pyarrow").RecordBatch.from_pydict({"id": list(range(5)), "text": ["a", "bb", "drop", "dddd", "e"]})
+    notes = spark.createDataFrame(batch.to_pylist(), "id long, text string").coalesce(1)
+    stored = notes.filter("id < 2").select("id", F.when(F.col("id") == 0, F.substring(F.sha2("text", 256), 1, 16)).otherwise("old").alias("content_hash"), F.array(F.lit(-1.0).cast("float")).alias("embedding"))
+    done = {r.id: list(r.embedding) for r in vectors.refreshed(stored, notes, embed, size=2).collect()}
+    assert done == {0: [-1.0], 1: [2.0], 3: [4.0], 4: [1.0]}
+
+
+def test_links_are_resolved_anew_only_where_notes_changed(spark):
+    old = [f"{'wiki/' if i % 3 else 'notes/'}n{i}" for i in range(200)]
+    links = spark.createDataFrame([(f"s{i}", t) for i in range(200) for t in (f"n{i}", f"notes/n{i}", f"gone{i}")], "src string, target_raw string")
+    ids = lambda x: spark.createDataFrame([(n,) for n in x], "id string")
+    candidates = graph.name_candidates(links)
+    before = graph.name_only(candidates).join(graph.best_candidates(candidates, ids(old)), "target_raw", "left")
+    now = [n for n in old if n not in (old[7], old[9])] + ["queries/gone5", "a/n11"]
+    changed = ids([old[7], old[9], "queries/gone5", "a/n11"])
+    got = {r.target_raw: r.dst for r in graph.update_resolution(before, candidates, changed, ids(now)).collect()}
+    assert got == {r.target_raw: r.dst for r in graph.resolve_by_name(links, ids(now)).select("target_raw", "dst").distinct().collect()}
+    assert got["gone5"] == "queries/gone5" and got["n7"] is None
+    assert graph.name_only(graph.touched_targets(candidates, changed)).count() == 7
