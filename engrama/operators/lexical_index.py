@@ -13,7 +13,10 @@ Term counts are kept as differences, so statistics are those of a new build.
 
 from __future__ import annotations
 
+import math
 import uuid
+import zlib
+from collections import Counter, defaultdict
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -23,18 +26,18 @@ from engrama.functions.text import content_hash, tokens
 from engrama.operators.graph import refresh_plan
 from engrama.operators.lexical import Tokenizer, idf, query_terms
 from engrama.settings import Settings
-from engrama.sources.shared import drop, exists, move, names_in, stash
+from engrama.sources.shared import drop, move, names_in, stash
 
 #: Notes of a block, about; folders that terms are dealt into.
 BLOCK, BUCKETS = 128, 16
-#: Query terms, and blocks, up to which they are pushed into the scan; beyond, they are joined.
-MOST_TERMS, MOST_BLOCKS = 2000, 5000
+#: Query terms and blocks up to which they are pushed into the scan, and bounds up to which the driver picks the blocks; beyond, all of this is joined.
+MOST_TERMS, MOST_BLOCKS, MOST_BOUNDS = 2000, 5000, 100_000
 #: Blocks per query that are scored first.
 PROBED = 4
 
 
 def _bucket(term: str | Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+    return F.pmod(F.crc32(F.col(term) if isinstance(term, str) else term), F.lit(BUCKETS)).cast("int")
 
 
 def _length_class(dl: Column) -> Column:
@@ -85,8 +88,8 @@ class Index:
         rows = self.table(name)
         if terms is None:
             return rows.join(wanted.select("term", _bucket("term").alias("bucket")).distinct(), ["bucket", "term"])
-        buckets = self.spark.createDataFrame([(t,) for t in terms] or [("",)], "term string").select(_bucket("term").alias("b")).distinct()
-        return rows.filter(F.col("bucket").isin([r.b for r in buckets.collect()]) & F.col("term").isin(terms))
+        buckets = sorted({zlib.crc32(t.encode()) % BUCKETS for t in terms})
+        return rows.filter(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
 
 
 def _write(index_folder: str, segment: int, notes: DataFrame, text: Column, cut: Tokenizer, dead: DataFrame, dead_terms: DataFrame, gone: tuple[int, int]) -> None:
@@ -149,23 +152,51 @@ class Search:
         wanted = query_terms(queries, query_text, cut)
         few = wanted.limit(MOST_TERMS + 1).collect()
         self.terms = sorted({r.term for r in few}) if len(few) <= MOST_TERMS else None
+        self.postings = index.of_terms("blocks", self.terms, wanted)
+        heads = self.postings.select("term", "seg", "block", "n", "max_tf", "min_dl")
+        known = heads.limit(MOST_BOUNDS + 1).collect() if self.terms is not None else []
+        self.few = self.terms is not None and len(known) * max(Counter(r.term for r in few).values(), default=1) <= MOST_BOUNDS
+        if self.few:
+            self._bounded(few, known, wanted)
+            return
         wanted = wanted if self.terms is None else spark.createDataFrame(few, wanted.schema)
         df = index.of_terms("terms", self.terms, wanted).groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0")
-        weights = wanted.join(df, "term").select("query_id", "term", (F.col("times") * idf(F.col("df"), F.lit(index.notes))).alias("w"))
-        self.weights = weights if self.terms is None else spark.createDataFrame(weights.collect(), weights.schema)
-        postings = index.of_terms("blocks", self.terms, wanted)
-        self.postings = postings
-        heads = postings.select("term", "seg", "block", "max_tf", "min_dl").join(self.weights, "term")
+        self.weights = wanted.join(df, "term").select("query_id", "term", (F.col("times") * idf(F.col("df"), F.lit(index.notes))).alias("w"))
         #: query_id, seg, block, rows (terms that the block has) and what a note of the block can score at most.
-        self.bounds = heads.groupBy("query_id", "seg", "block").agg(F.sum(_part("max_tf", "min_dl", self.average, settings)).alias("most"), F.count(F.lit(1)).alias("rows"))
-
-    def scored(self, chosen: DataFrame) -> DataFrame:
-        """query_id, id, bm25, matched of the notes in the chosen blocks."""
-        few = chosen.select("query_id", "seg", "block").limit(MOST_BLOCKS + 1).collect()
+        self.bounds = heads.join(self.weights, "term").groupBy("query_id", "seg", "block").agg(F.sum(_part("max_tf", "min_dl", self.average, settings)).alias("most"), F.count(F.lit(1)).alias("rows"))
+
+    def _bounded(self, few: list, heads: list, wanted: DataFrame) -> None:
+        """Weights and bounds of a few terms in a few blocks."""
+        index, df = self.index, Counter()
+        if len(index.segments) == 1:
+            for h in heads:
+                df[h.term] += h.n
+        else:
+            df.update({r.term: r.df for r in index.of_terms("terms", self.terms, wanted).groupBy("term").agg(F.sum("df").alias("df")).collect()})
+        weights = [(r.query_id, r.term, r.times * math.log(1 + (index.notes - df[r.term] + 0.5) / (df[r.term] + 0.5))) for r in few if df[r.term] > 0]
+        kind = wanted.schema["query_id"].dataType.simpleString()
+        self.weights = index.spark.createDataFrame(weights, f"query_id {kind}, term string, w double")
+        by_term, most, rows = defaultdict(list), defaultdict(float), Counter()
+        for q, term, w in weights:
+            by_term[term].append((q, w))
+        k1, b = self.settings.k1, self.settings.b
+        for h in heads:
+            part = h.max_tf * (k1 + 1) / (h.max_tf + k1 * (1 - b + b * h.min_dl / self.average))
+            for q, w in by_term[h.term]:
+                most[q, h.seg, h.block] += w * part
+                rows[q, h.seg, h.block] += 1
+        self.kept = [(*key, x, rows[key]) for key, x in most.items()]
+        self.bounds = index.spark.createDataFrame(self.kept, f"query_id {kind}, seg int, block long, most double, rows long")
+
+    def scored(self, chosen: DataFrame | list[tuple]) -> DataFrame:
+        """query_id, id, bm25, matched of the notes in the chosen blocks (query_id, seg, block)."""
+        kind = self.weights.schema["query_id"].dataType.simpleString()
+        few = chosen if isinstance(chosen, list) else [tuple(r) for r in chosen.select("query_id", "seg", "block").limit(MOST_BLOCKS + 1).collect()]
         rows = self.postings
+        if len(few) <= MOST_BLOCKS or isinstance(chosen, list):
+            chosen = F.broadcast(self.index.spark.createDataFrame(few, f"query_id {kind}, seg int, block long"))
         if len(few) <= MOST_BLOCKS:
-            chosen = self.index.spark.createDataFrame(few, chosen.select("query_id", "seg", "block").schema)
-            rows = rows.filter(F.col("block").isin(sorted({r.block for r in few})))
+            rows = rows.filter(F.col("block").isin(sorted({block for _, _, block in few})))
         each = rows.join(self.weights, "term").join(chosen.select("query_id", "seg", "block"), ["query_id", "seg", "block"])
         each = each.select("query_id", "seg", "term", "w", F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("p")).select("query_id", "seg", "term", "w", F.col("p.ids").alias("id"), F.col("p.tfs").alias("tf"), F.col("p.dls").alias("dl"))
         own = each.groupBy("query_id", "seg", "id").agg(F.sum(_part("tf", "dl", self.average, self.settings)).alias("bm25"), F.sort_array(F.collect_set("term")).alias("matched"))
@@ -173,19 +204,43 @@ class Search:
 
     def wanted_blocks(self) -> DataFrame:
         """query_id, seg, block, rows: the blocks that can still hold one of the k best notes."""
+        if self.few:
+            kind = self.weights.schema["query_id"].dataType.simpleString()
+            return self.index.spark.createDataFrame(self._picked(), f"query_id {kind}, seg int, block long, rows long")
         order = W.partitionBy("query_id").orderBy(F.desc("most"), "seg", "block")
         probe = self.scored(self.bounds.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= PROBED))
         last = probe.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("bm25")))).filter(F.col("r") == self.k).select("query_id", (F.col("bm25") * (1 - 1e-9)).alias("least"))
         return self.bounds.join(last, "query_id", "left").filter("least is null or most >= least").select("query_id", "seg", "block", "rows")
 
+    def _picked(self) -> list[tuple]:
+        """The same of few blocks: those of each query whose bound is highest are scored for the k-th best."""
+        first, seen = [], Counter()
+        for q, seg, block, _, _ in sorted(self.kept, key=lambda x: -x[3]):
+            seen[q] += 1
+            if seen[q] <= PROBED:
+                first.append((q, seg, block))
+        if len(first) == len(self.kept):
+            return [(q, seg, block, rows) for q, seg, block, _, rows in self.kept]
+        probe = self.scored(first).select("query_id", "bm25").withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("bm25"))))
+        least = {r.query_id: r.bm25 * (1 - 1e-9) for r in probe.filter(F.col("r") == self.k).collect()}
+        return [(q, seg, block, rows) for q, seg, block, most, rows in self.kept if most >= least.get(q, 0.0)]
+
     def top(self) -> DataFrame:
         """query_id, id, bm25, matched of each query's k best notes, ties by id."""
         order = W.partitionBy("query_id").orderBy(F.desc("bm25"), "id")
-        best = self.scored(self.wanted_blocks()).withColumn("r", F.row_number().over(order))
+        picked = [x[:3] for x in self._picked()] if self.few else self.wanted_blocks()
+        best = self.scored(picked).withColumn("r", F.row_number().over(order))
         return best.filter(F.col("r") <= self.k).drop("r")
 
 
+_opened: dict[tuple[str, str], Index] = {}
+
+
 def stored(notes: DataFrame, text: Column, folder: str, cut: Tokenizer = tokens) -> Index:
-    """The index in the folder, built there first if it isn't yet."""
+    """The index in the folder, built there first if it isn't yet; opened once an application as long as no segment is added."""
     spark = notes.sparkSession
-    return Index(spark, folder) if exists(spark, f"{folder}/seg-0/meta") else build(notes, text, folder, cut)
+    key = spark.sparkContext.applicationId, folder
+    there = sorted(int(n[4:]) for n in names_in(spark, folder) if n.startswith("seg-"))
+    if key not in _opened or _opened[key].segments != there:
+        _opened[key] = Index(spark, folder) if there else build(notes, text, folder, cut)
+    return _opened[key]

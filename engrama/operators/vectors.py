@@ -66,8 +66,9 @@ def fit_pivots(own: DataFrame, total: int) -> np.ndarray:
     few = own.orderBy(F.xxhash64("id")).limit(FITTED).select("x").collect()
     units = np.array([r.x for r in few], float).reshape(len(few), -1)
     units = units[units.any(axis=1)]
-    k = max(1, min(PIVOTS, total // CELL, len(units)))
-    pivots = units[:k]
+    if not len(units):
+        return np.zeros((1, units.shape[1] if units.ndim > 1 else 1))
+    pivots = units[: max(1, min(PIVOTS, total // CELL))]
     for _ in range(8):
         cell = (units @ pivots.T).argmax(axis=1)
         sums = np.zeros_like(pivots)
@@ -189,12 +190,14 @@ def _visited(n: int):
 def cells_of(collection: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Vectors in their cells (id, x, cell, angle, home), and the cells: pivots, radii, first blocks (-1: empty), parts."""
     length = F.sqrt(F.aggregate(v.doubles(F.col("embedding")), F.lit(0.0), lambda s, x: s + x * x))
-    unit = F.transform(v.doubles(F.col("embedding")), lambda x: F.when(length > 0, x / length).otherwise(F.lit(0.0)))
-    own = stash(collection.select("id", unit.alias("x")).filter(F.size("x") > 0))
-    pivots = fit_pivots(own, own.count())
+    own = collection.select("id", v.doubles(F.col("embedding")).alias("v"), length.alias("l")).filter(F.size("v") > 0)
+    own = own.select("id", F.transform("v", lambda x: F.when(F.col("l") > 0, x / F.col("l")).otherwise(F.lit(0.0))).alias("x"))
     kind = own.schema["id"].dataType.simpleString()
-    if not len(pivots):
-        pivots = np.zeros((1, 1))
+    total = collection.count()
+    if total <= BLOCK:  # one cell, which one task looks through
+        return own.select("id", "x", F.lit(0).alias("cell"), F.lit(0.0).alias("angle"), F.lit(0).alias("home")), np.zeros((1, 1)), np.zeros(1), np.zeros(1, np.int64), np.ones(1, np.int64)
+    own = stash(own)
+    pivots = fit_pivots(own, total)
     placed = stash(own.mapInArrow(_placed(pivots), f"id {kind}, x array<double>, cell int, angle double"))
     drop(own)
     radius, blocks, parts = np.zeros(len(pivots)), np.full(len(pivots), -1), np.ones(len(pivots), np.int64)
@@ -220,7 +223,10 @@ def nearest(collection: DataFrame, n: int, mode: str = "cosine") -> DataFrame:
     members, pivots, radius, blocks, parts = cells_of(collection)
     kind = members.schema["id"].dataType.simpleString()
     out = f"a {kind}, b {kind}, cos double"
-    own = stash(members.select("id", "x", "cell", "home").groupBy("home").applyInArrow(_own_cells(n), out))
+    own = members.select("id", "x", "cell", "home").groupBy("home").applyInArrow(_own_cells(n), out)
+    if len(pivots) == 1 and parts[0] == 1:
+        return _ranked(own, n, mode)
+    own = stash(own)
     least = own.groupBy("a").agg(F.min("cos").alias("least"), F.count(F.lit(1)).alias("found"))
     asking = members.join(least, members["id"] == least["a"], "left").select("id", "x", "cell", "home", F.when(F.col("found") >= n, F.col("least")).otherwise(F.lit(-1.0)).alias("least"))
     visits = stash(asking.mapInArrow(_visits(pivots, radius, blocks, parts), f"id {kind}, x array<double>, home int, least double, block int, cells array<int>"))
@@ -229,6 +235,10 @@ def nearest(collection: DataFrame, n: int, mode: str = "cosine") -> DataFrame:
     hosts = members.withColumnRenamed("home", "block").join(met, "block").select("block", "from", "id", "x", "cell", F.lit(-1.0).alias("least"), none.alias("cells"))
     guests = visits.select("block", F.col("home").alias("from"), "id", "x", F.lit(-1).alias("cell"), "least", "cells")
     found = own.unionByName(hosts.unionByName(guests).groupBy("block", "from").applyInArrow(_visited(n), out))
+    return _ranked(found, n, mode)
+
+
+def _ranked(found: DataFrame, n: int, mode: str) -> DataFrame:
     similar = v.distance_similarity(F.col("cos")) if mode == "distance" else F.greatest(F.lit(0.0), F.col("cos"))
     order = W.partitionBy("a").orderBy(F.desc("cos"), "b")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).select("a", "b", similar.alias("similarity"), "rank")
