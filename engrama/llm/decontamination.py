@@ -25,6 +25,8 @@ WIDTH = 10
 BROADCAST_ROWS = 200_000
 #: Shingles of the benchmark up to which they are part of the scan's expression.
 LITERALS = 20_000
+#: Keys over which the places of a shingle are dealt in such a shuffle.
+SALTS = 8
 #: Stands for a document itself among its shingles.
 ITSELF = -1
 
@@ -62,11 +64,12 @@ def _joined(places: DataFrame, table: DataFrame, rows: int) -> DataFrame:
     if rows <= BROADCAST_ROWS:
         itself = table.sparkSession.range(1).select(*[F.lit(ITSELF).cast("long").alias(c) if c == "shingle" else F.lit(None).cast(table.schema[c].dataType).alias(c) for c in table.columns])
         return places.join(F.broadcast(table.unionByName(itself)), "shingle")
-    # a document's own row has a key of its own, or all of them would meet in one task
+    # a common shingle's places are dealt over several keys; a document's own row has a key of its own, or all of them would meet in one task
     own = F.col("at") == 0
-    keyed = places.withColumn("__key", F.when(own, F.xxhash64("hash", "id")).otherwise(F.col("shingle")))
-    met = keyed.join(table.withColumnRenamed("shingle", "__key").withColumn("__met", F.lit(True)), "__key", "left").filter(own | F.col("__met"))
-    return met.select(*places.columns, *[F.when(~own, F.col(c)).alias(c) for c in others])
+    keyed = places.withColumn("key", F.when(own, F.xxhash64("hash", "id")).otherwise(F.col("shingle"))).withColumn("salt", F.when(own, -1).otherwise(F.pmod(F.xxhash64("id", "at"), F.lit(SALTS)).cast("int")))
+    spread = table.withColumnRenamed("shingle", "key").select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("met"))
+    met = keyed.join(spread, ["key", "salt"], "left").filter(own | F.col("met"))
+    return met.select(*places.columns, *others)
 
 
 def postings(docs: DataFrame, wanted: DataFrame, lone: bool) -> DataFrame:
@@ -83,13 +86,16 @@ def postings(docs: DataFrame, wanted: DataFrame, lone: bool) -> DataFrame:
     if lone:
         placed = F.concat(placed, F.transform(single_hashes(F.col("w")), lambda h, i: F.struct((-1 - i).alias("at"), h.alias("shingle"))))
     base = docs.select("id", "hash", normal_words(docs["text"]).alias("w"))
+    place = F.abs("at")
+    told = ["id", "hash", "at", "shingle", F.when(place > 0, F.get("w", place - 1)).alias("word"), F.when(place > 0, F.get("w", place)).alias("after"), F.when(place == 0, F.size("w").cast("long")).alias("n_words")]
     if rows <= LITERALS:  # a set lookup inside the row instead of a join of all rows
         known = [r[0] for r in wanted.collect()] + [ITSELF]
-        met = base.select("*", F.inline(F.filter(F.concat(marker, placed), lambda x: x["shingle"].isin(known))))
-    else:
-        met = _joined(base.select("*", F.inline(F.concat(marker, placed))), wanted, rows)
-    place = F.abs("at")
-    return met.select("id", "hash", "at", "shingle", F.when(place > 0, F.get("w", place - 1)).alias("word"), F.when(place > 0, F.get("w", place)).alias("after"), F.when(place == 0, F.size("w").cast("long")).alias("n_words"))
+        return base.select("*", F.inline(F.filter(F.concat(marker, placed), lambda x: x["shingle"].isin(known)))).select(*told)
+    each = base.select("*", F.inline(F.concat(marker, placed)))
+    if rows <= BROADCAST_ROWS:
+        return _joined(each, wanted, rows).select(*told)
+    # a place takes its two words along, never those of its whole text
+    return _joined(each.select(*told), wanted, rows)
 
 
 def prefixes(cut: DataFrame, placed: DataFrame) -> DataFrame:
@@ -116,8 +122,17 @@ def _per_text(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, row_id:
         table = stash(table)
     own = F.struct("at", "shingle", "word", "after")
     per = placed.groupBy("id", "hash").agg(F.max("n_words").alias("n_words"), F.count("n_words").alias("copies"), F.array_sort(F.collect_set(own)).alias("p"))
+    if shape["n"] > BROADCAST_ROWS:
+        per = stash(per)
     each = per.select("*", F.posexplode("p").alias("i", "one")).select("*", F.col("one.at").alias("at"), F.col("one.shingle").alias("shingle"))
-    met = _joined(each, table, shape["n"])
+    if shape["n"] <= BROADCAST_ROWS:
+        met = _joined(each, table, shape["n"])
+    else:
+        # the places alone are joined; what is near enough is held against the postings of its document, which are shuffled once
+        start, need = F.abs("at") - F.col("offset"), F.size("words")
+        likely = _joined(each.select("id", "hash", "i", "at", "shingle", "n_words"), table, shape["n"]).filter(F.col("words").isNull() | ((start >= 1) & (start + need - 1 <= F.col("n_words"))))
+        own_p = per.select(F.col("id").alias("of"), F.col("hash").alias("by"), "copies", "p")
+        met = likely.join(own_p, F.col("id").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("by"))).withColumn("one", F.get("p", F.col("i")))
     itself, need = F.col("words").isNull(), F.size("words")
     start = F.abs("at") - F.col("offset")  # of the window, counted from 1
     bounded = (start >= 1) & (start + need - 1 <= F.col("n_words")) & (F.col("i") >= F.col("offset"))

@@ -54,3 +54,22 @@ def test_empty_tables(spark):
     docs, bench = documents(spark, ["a b c"]), spark.createDataFrame([], "item_id long, text string")
     assert [tuple(r)[1:] for r in d.decontaminate(docs, bench).collect()] == [(3, 0, 0, sha(""), False)] * 4
     assert d.decontaminate(documents(spark, []), bench).count() == 0
+
+
+def test_a_large_benchmark_shuffles_words_in_proportion(spark, monkeypatch, capsys):
+    """No exchange holds a document's words or postings once per place, with nothing broadcast."""
+    monkeypatch.setattr(d, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(d, "LITERALS", 0)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        texts = [*hostile_texts(n=10), " ".join(f"w{i % 5000}" for i in range(20_000)), "w1 w2 " * 5000]
+        items = [*items_from(texts), (20, "w1 w2 w1 w2 w1 w2 w1 w2 w1 w2 w1"), (21, " ".join(f"w{i}" for i in range(700, 715)))]
+        check(spark, texts, items, 10)
+        slim = documents(spark, texts).selectExpr("doc_id as id", "text", "xxhash64(text) as hash")
+        wanted = spark.createDataFrame([(1,), (2,)], "shingle long")
+        d.postings(slim, wanted, True).explain("formatted")
+        shuffled = [line for part in capsys.readouterr().out.split("\n(")[1:] if part.split(")")[1].strip().startswith("Exchange") for line in part.split("\n") if line.startswith("Input")]
+        assert shuffled and not any("w#" in line.replace("word#", "") or " p#" in line for line in shuffled)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
