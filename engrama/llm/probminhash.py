@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from engrama.llm.components import components
 from engrama.llm.hashing import RunHashes, chunks, mixed, thrifty, word_values
-from engrama.llm.shared import broadcast_if, drop, stash
+from engrama.llm.shared import broadcast_if, drop, quoted, stash
 
 WIDTH = 5
 SIMILAR = 0.8
@@ -382,14 +382,15 @@ def representatives(docs: DataFrame, row_id: str = "doc_id", text: str = "text")
     """
     held = _rooted(docs, row_id, text)
     own = F.struct(F.col("id").isNull().alias("last"), "id", "node")
-    kept = held.groupBy("root").agg(F.min(own).alias("one")).select(F.col("one.id").alias("__id"), F.col("one.node").alias("__node"), "root")
-    copies = held.groupBy(F.col("id").alias("__i"), F.col("node").alias("__n")).agg(F.count(F.lit(1)).alias("__copies"))
-    chosen = kept.groupBy("__id", "__node").agg(F.count(F.lit(1)).alias("__take")).join(copies, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__node") == F.col("__n"))).select("__id", "__node", "__take", "__copies")
+    kept = held.groupBy("root").agg(F.min(own).alias("one")).select(F.col("one.id").alias("id"), F.col("one.node").alias("node"))
+    copies = held.groupBy(F.col("id").alias("of"), F.col("node").alias("by")).agg(F.count(F.lit(1)).alias("copies"))
+    chosen = kept.groupBy("id", "node").agg(F.count(F.lit(1)).alias("take")).join(copies, F.col("id").eqNullSafe(F.col("of")) & (F.col("node") == F.col("by"))).select("of", "by", "take", "copies")
     chosen = stash(chosen)
-    body = _key(F.coalesce(docs[text], F.lit("")))
-    joined = docs.join(chosen, docs[row_id].eqNullSafe(F.col("__id")) & (body == F.col("__node")))
-    all_of_them = joined.filter("__take = __copies").select(*[docs[c] for c in docs.columns])
-    if chosen.filter("__take < __copies").isEmpty():
+    # the rows are one column meanwhile, so their names can't meet others
+    rows = docs.select(F.struct(*[quoted(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"), docs[row_id].alias("id"), _key(F.coalesce(docs[text], F.lit(""))).alias("node"))
+    joined = rows.join(chosen, F.col("id").eqNullSafe(F.col("of")) & (F.col("node") == F.col("by")))
+    unpacked = lambda df: df.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    all_of_them = unpacked(joined.filter("take = copies"))
+    if chosen.filter("take < copies").isEmpty():
         return all_of_them
-    one_of_them = joined.filter("__take < __copies").dropDuplicates(["__id", "__node"]).select(*[docs[c] for c in docs.columns])
-    return all_of_them.union(one_of_them)
+    return all_of_them.union(unpacked(joined.filter("take < copies").dropDuplicates(["of", "by"])))

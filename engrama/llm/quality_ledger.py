@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from engrama.llm.columns import GAPS, count_of, hash_windows, let, plain_words, whole, word_hashes
+from engrama.llm.shared import quoted, unused
 
 REPEAT_WIDTH = 8
 SYMBOLS = "#*$%&|<>"
@@ -84,11 +85,12 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
 
     A null or empty text has no words, so it fails ``too_few_words`` and every
     other measurement is 0. Repeated rows are measured each on its own, very
-    long texts whole. Columns of ``docs`` that bear the name of a measurement
-    are replaced. An empty table gives no rows.
+    long texts whole. Columns of ``docs`` that bear the name of a measurement,
+    in whatever case, are replaced; all others stay. An empty table gives no rows.
     """
     added = {*MEASURES, "failure_bits"}
-    keep = [docs[c] for c in docs.columns if c not in added]
+    keep = [c for c in docs.columns if c.lower() not in added]
+    w, l, m = (unused(keep, name) for name in ("counted", "lined", "rest"))
     body = whole(docs[text])
     lines = F.filter(F.split(body, "\n"), lambda line: F.length(F.btrim(line, F.lit(GAPS))) > 0)
     counted = let(word_hashes(plain_words(body)), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words"), stutters(w).alias("n_stutters")))
@@ -101,7 +103,7 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
         count_of(r, SYMBOLS).alias("n_symbols"),
         count_of(r, MARKS).alias("n_marks"),
     ))
-    measured = docs.select(*keep, counted.alias("__w"), lined.alias("__l"), rest.alias("__c")).select(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns if c not in added], "__w.*", "__l.*", "__c.*")
+    measured = docs.select(*map(quoted, keep), counted.alias(w), lined.alias(l), rest.alias(m)).select(*map(quoted, keep), f"{w}.*", f"{l}.*", f"{m}.*")
     bits = None
     for bit, (_, fails) in enumerate(_rules()):
         one = F.when(fails, F.lit(1 << bit).cast("long")).otherwise(F.lit(0).cast("long"))

@@ -122,3 +122,11 @@ def test_repeated_rows_are_one_class(spark):
 def test_empty(spark):
     docs = documents(spark, [])
     assert p.classes(docs).count() == 0 and p.representatives(docs).count() == 0
+
+
+def test_any_other_columns(spark):
+    text = "a b c d e f g h i j"
+    rows = spark.createDataFrame([(2, text, 1, 2, 3, 4.0, 5), (1, text, 9, 8, 7, 6.0, 5), (3, "other words", 0, 0, 0, 0.0, 0)], "doc_id long, text string, __id long, __node long, `row` long, `a.b` double, of long")
+    got = p.representatives(rows)
+    assert got.columns == rows.columns
+    assert sorted(tuple(r) for r in got.collect()) == [(1, text, 9, 8, 7, 6.0, 5), (3, "other words", 0, 0, 0, 0.0, 0)]

@@ -48,3 +48,10 @@ def test_labels_are_met(spark):
     got = op4_rule_ledger(spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").filter("not base_failed")
     assert got.filter("kept and quality = 0").count() == 0
     assert got.filter("not kept and quality = 1").count() == 0
+
+
+def test_any_other_columns(spark):
+    rows = spark.createDataFrame([(1, "a b", 1, 2, 3, 4, 5.0)], "doc_id long, text string, __w long, counted long, `Lined` long, N_WORDS long, `a.b` double")
+    got = ledger(rows)
+    assert got.columns[:6] == ["doc_id", "text", "__w", "counted", "Lined", "a.b"]
+    assert tuple(got.select("__w", "counted", "Lined", "n_words").first()) == (1, 2, 3, 2)
