@@ -89,7 +89,7 @@ def project_group(source_type: Column, relative: Column) -> Column:
 
 def pretty_context(value: Column) -> Column:
     words = F.split(F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(value, F.lit("")), "[_-]", " "), r"\s+", " ")), " ")
-    shown = F.transform(words, lambda w: F.when(F.lower(w).isin(*ACRONYMS), F.upper(w)).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1_000_000)))))
+    shown = F.transform(words, lambda w: F.when(F.lower(w).isin(*ACRONYMS), F.upper(w)).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w))))))
     label = F.array_join(shown, " ")
     return F.when(label != "", label)
 

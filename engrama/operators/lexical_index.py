@@ -28,8 +28,8 @@ from engrama.operators.lexical import Tokenizer, idf, query_terms
 from engrama.settings import Settings
 from engrama.sources.shared import drop, move, names_in, stash
 
-#: Notes of a block, about; folders that terms are dealt into.
-BLOCK, BUCKETS = 128, 16
+#: Notes of a block, about; folders that terms are dealt into. The layout's number changes when either does, or the tables, or the tokens.
+BLOCK, BUCKETS, LAYOUT = 128, 16, 2
 #: Query terms and blocks up to which they are pushed into the scan, and bounds up to which the driver picks the blocks; beyond, all of this is joined.
 MOST_TERMS, MOST_BLOCKS, MOST_BOUNDS = 2000, 5000, 100_000
 #: Blocks per query that are scored first.
@@ -238,7 +238,7 @@ _opened: dict[tuple[str, str], Index] = {}
 
 def stored(notes: DataFrame, text: Column, folder: str, cut: Tokenizer = tokens) -> Index:
     """The index in the folder, built there first if it isn't yet; opened once an application as long as no segment is added."""
-    spark = notes.sparkSession
+    spark, folder = notes.sparkSession, f"{folder}-layout{LAYOUT}"
     key = spark.sparkContext.applicationId, folder
     there = sorted(int(n[4:]) for n in names_in(spark, folder) if n.startswith("seg-"))
     if key not in _opened or _opened[key].segments != there:

@@ -12,6 +12,7 @@ from engrama.plans.graph_queries import ASIDE, CLOSE_SQL, DEGREE_SQL, slug_sql,
 from engrama.plans.memory_queries import SYN_SQL, quality_sql, synapses, users
 from engrama.plans.registry import query, table
 from engrama.plans.text_queries import DEFAULT, NOISE_SQL, collection, degrees, notes, terms_sql
+from engrama.sources.notes import nodes as parsed_notes
 from engrama.sources.notes import rendered_note
 from engrama.sources.shared import shared_folder, signature
 from engrama.streaming import events as streams
@@ -89,6 +90,92 @@ def rendered_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(content.cast("binary"), 256).alias("content"))
 
 
+PAGE_SQL = "case doc_id % 4 when 0 then '' when 1 then concat('# Index', chr(10), chr(10), '## concepts ', chr(10), '- [[a|A]]', chr(10), '  - [[b|B]]', chr(10), chr(10), '## other', chr(10), '- x') when 2 then 'see ## concepts here' else text end"
+
+
+@query(
+    f"with p as (select doc_id, {PAGE_SQL} as c, concat('- [[n', doc_id, '|Note ', doc_id, ']]') as e from documents), h as (select *, case when trim(c) = '' then concat('# Log', chr(10), chr(10)) when c like '#%' then c else concat('# Log', chr(10), chr(10), c) end as l from p) "
+    "select doc_id, sha256(case doc_id % 4 when 1 then replace(c, concat('[[b|B]]', chr(10)), concat('[[b|B]]', chr(10), e, chr(10))) else concat(c, case when doc_id % 4 = 3 and c <> '' and not ends_with(c, chr(10)) then chr(10) else '' end, chr(10), '## concepts', chr(10), e, chr(10)) end) as index_page, "
+    "sha256(concat(l, case when ends_with(l, chr(10)) then '' else chr(10) end, '- 2026-01-02T03:04:05 — created n', doc_id, chr(10))) as log_page from h"
+)
+def index_and_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A new note's entry in pages without, with and almost with its section, and its line in a log."""
+    k, number = F.col("doc_id"), F.col("doc_id").cast("string")
+    page = F.when(k % 4 == 0, "").when(k % 4 == 1, "# Index\n\n## concepts \n- [[a|A]]\n  - [[b|B]]\n\n## other\n- x").when(k % 4 == 2, "see ## concepts here").otherwise(F.col("text"))
+    index = text.indexed(page, F.concat(F.lit("n"), number), F.concat(F.lit("Note "), number))
+    log = text.logged(page, F.lit("2026-01-02T03:04:05"), F.concat(F.lit("created n"), number))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return table(spark, sf_dir, "documents").select("doc_id", digest(index).alias("index_page"), digest(log).alias("log_page"))
+
+
+FLAT = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
+
+
+@query(
+    f"select doc_id, sha256(case when doc_id % 2 = 1 then concat('## Candidates', chr(10), text) when {FLAT} = '' then case when doc_id % 3 = 0 then concat('kind: lesson', chr(10), 'title: B', chr(10), 'definition: second') else '' end else concat_ws(concat(chr(10), chr(10)), concat('kind: concept', chr(10), 'title: A: ', doc_id, chr(10), 'definition: ', {FLAT}), case when doc_id % 3 = 0 then concat('kind: lesson', chr(10), 'title: B', chr(10), 'definition: second') end) end) as content from documents"
+)
+def approved_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The staging file of every second document cut to its approved candidates, whole texts among them; others as they are."""
+    k, number = F.col("doc_id"), F.col("doc_id").cast("string")
+    flat = F.trim(F.regexp_replace("text", r"\s+", " "))
+    listed = F.concat(
+        F.lit("# Staged\n\n## Candidates\n### Candidate 1\n- candidate: TRUE\n* kind: Concept\n- title: A: "), number, F.lit("\n- title: later\n- definition:  "), flat,
+        F.lit(" \n### Candidate\n- candidate: "), F.when(k % 3 == 0, "true").otherwise("false"), F.lit("\n- kind: lesson\n- title: B\n- definition: second\n### Candidates are not this\n### Candidate: 3\n- candidate: true\n- kind: rumour\n- title: C\n- definition: third\n## Done\n### Candidate\n- candidate: true\n- kind: lesson\n- title: D\n- definition: fourth\n"),
+    )
+    staged = F.when(k % 2 == 0, listed).otherwise(F.concat(F.lit("## Candidates\n"), "text"))
+    path = F.when(k % 2 == 0, "staging.md").otherwise("other.md")
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.approved_candidates(staged, path, "staging.md").cast("binary"), 256).alias("content"))
+
+
+@query("select conv_id, turn, case (conv_id + turn) % 6 when 0 then concat('t', turn, '=d', conv_id, ';u=v') when 1 then concat('t', turn, '=d', conv_id) when 2 then concat('t', turn, '=d', conv_id) when 3 then '' when 4 then '' else concat('t', turn, '=d', conv_id) end as concepts from conversations")
+def reply_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Concepts in a model's replies of each shape: wrapped, fenced, alone, a list, not durable, and none."""
+    k = (F.col("conv_id") + F.col("turn")) % 6
+    one = F.concat(F.lit('{"title": "t'), F.col("turn").cast("string"), F.lit('", "definition": "d'), F.col("conv_id").cast("string"), F.lit('"}'))
+    reply = (
+        F.when(k == 0, F.concat(F.lit('{"durable": true, "concepts": ['), one, F.lit(', {"title": "u", "definition": "v"}]}')))
+        .when(k == 1, F.concat(F.lit("```json\n"), one, F.lit("\n```")))
+        .when(k == 2, F.concat(F.lit("Here they are: ["), one, F.lit("] as asked")))
+        .when(k == 3, F.concat(F.lit('{"durable": false, "concepts": ['), one, F.lit("]}")))
+        .when(k == 4, "nothing new")
+        .otherwise(one)
+    )
+    found = text.concepts_of_reply(reply)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(F.transform(found, lambda c: F.concat(c["title"], F.lit("="), c["definition"])), ";").alias("concepts"))
+
+
+@query(
+    r"select concat('vault:', lang, '/', doc_id, '.md') as id, case when doc_id % 3 = 0 then cast(doc_id as varchar) else concat('Note ', doc_id) end as title, concat('[', lang, ']') as tags, concat('a;b;c', doc_id) as origins, length(trim(regexp_replace(regexp_replace(text, '[#*_`>-]', ' ', 'g'), '\s+', ' ', 'g'))) as n_plain from documents"
+)
+def note_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents as files of a vault, parsed: title or name, tags, origins, plain text."""
+    k, number = F.col("doc_id"), F.col("doc_id").cast("string")
+    front = F.concat(F.lit("---\n"), F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("title: Note "), number, F.lit("\n"))), F.lit("tags: ["), "lang", F.lit(']\nactivated_from_ids: ["a", " b ", "", "a", "c'), number, F.lit('", null]\n---\n'))
+    files = table(spark, sf_dir, "documents").select(F.lit("vault").alias("source_type"), F.lit("vault").alias("source_id"), F.concat("lang", F.lit("/"), number, F.lit(".md")).alias("relative_path"), F.concat(front, "text").alias("content"), F.lit(True).alias("writable"), F.lit(0.0).alias("mtime"))
+    rows = parsed_notes(files)
+    return rows.select("id", "title", "tags", F.array_join("activated_from_ids", ";").alias("origins"), F.length("text").cast("long").alias("n_plain"))
+
+
+PLACES = ("a/b", "a", "wiki/concepts")
+PLACED_SQL = "d as (select doc_id, doc_id % 3 as loc, case when lang = 'en' then 'vault' else lang end as sid, concat(case when lang = 'en' then 'vault:' else concat('external:', lang, '/') end, case doc_id % 3 when 0 then 'a/b/' when 1 then 'a/' else 'wiki/concepts/' end, doc_id, '.md') as id from documents)"
+
+
+@query(
+    f"with {PLACED_SQL} select d.id as src, 0 as edge_ord, t.id as dst from d left join d t on t.doc_id = d.doc_id + 1 and t.sid = d.sid and ((t.loc = 2 and (d.sid = 'vault' or d.loc = 2)) or (t.loc = 1 and d.loc < 2) or (t.loc = 0 and d.loc = 0)) "
+    "union all select d.id, 1, t.id from d left join d t on t.doc_id = d.doc_id + 2 union all select d.id, 2, null from d"
+)
+def link_resolution_in_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bare links to notes in the folders above and in namespaces of the own source, links that name their source, and links into other sources that don't."""
+    k = F.col("doc_id")
+    place = lambda n: F.concat(F.element_at(F.array(*map(F.lit, PLACES)), (n % 3 + 1).cast("int")), F.lit("/"), n.cast("string"), F.lit(".md"))
+    own = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("lang") == "en", "vault").otherwise("external").alias("source_type"), F.when(F.col("lang") == "en", "vault").otherwise(F.col("lang")).alias("source_id"), place(k).alias("relative_path"))
+    named = own.select((k - 2).alias("doc_id"), paths.canonical_id(F.col("source_type"), F.col("source_id"), F.col("relative_path")).alias("named"))
+    to = F.array(F.concat((k + 1).cast("string"), F.lit("#a heading")), F.coalesce(F.concat("named", F.lit("^block")), F.lit("vault:nowhere")), F.lit("no such note"))
+    listed = own.join(named, "doc_id", "left")
+    links = listed.select(paths.canonical_id(F.col("source_type"), F.col("source_id"), F.col("relative_path")).alias("src"), "source_type", "source_id", F.col("relative_path").alias("src_path"), F.posexplode(to).alias("edge_ord", "target_raw"))
+    return graph.resolve_in_source(links, own).select("src", "edge_ord", "dst")
+
+
 MASS = "round(least(greatest((case when degree <= 0 then 0.45 else 0.7 + 2.4 * sqrt(least(degree / greatest((select max(degree) from deg), 1), 1.0)) end) * (case when id % 4 = 0 then 0.65 else 1.0 end) * (case when id % 5 = 0 then 1.15 else 1.0 end), 0.35), 3.4), 6)"
 
 
