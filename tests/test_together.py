@@ -46,3 +46,34 @@ def test_no_pair_is_shuffled(spark):
     active = spark.createDataFrame([(q, i, 0.5) for q in range(4) for i in range(6)], "q long, id long, score double")
     plan = memory.coactivation(active, ["q"])._jdf.queryExecution().executedPlan().toString()
     assert "note_a" in plan and not [x for x in plan.splitlines() if "Exchange" in x and "note_a" in x]
+
+
+def exchanges_of_pairs(frame):
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    return [x for x in plan.splitlines() if "Exchange hashpartitioning(" in x and "note_" in x]
+
+
+def test_a_query_and_consolidation_leave_pairs_where_they_are(spark):
+    from pyspark.sql import functions as F
+
+    from engrama.operators import consolidation
+
+    kind = "note_a long, note_b long, weight double, frequency double, last_coactivated timestamp, created timestamp"
+    t = datetime(2024, 1, 1)
+    spark.createDataFrame([(a, b, 0.5, 2.0, t, t) for a, b in combinations(range(8), 2) if (a, b) != (1, 2)], kind).write.mode("overwrite").saveAsTable("held_pairs")
+    held = spark.table("held_pairs")
+    now = F.lit("2024-01-02").cast("timestamp")
+    active = spark.createDataFrame([(1, 0.5), (2, 0.5), (3, 0.5), (4, 0.1)], "id long, score double")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables of unknown size
+    try:
+        after = memory.learn(held, active, now)
+        got = {(r.note_a, r.note_b): (r.frequency, round(r.weight, 6)) for r in after.collect()}
+        nodes = held.select(F.col("note_a").alias("id")).distinct()
+        parts = [consolidation.with_notes(held, nodes), consolidation.without_notes(held, nodes.limit(2)), memory.boosts(held, nodes.limit(2)).select("id")]
+        assert not [x for p in parts for x in exchanges_of_pairs(p)]
+        assert not exchanges_of_pairs(consolidation.consolidate(held, nodes.withColumn("dormant_cycles", F.lit(0)), nodes, now)["synapses"])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        spark.sql("drop table held_pairs")
+    assert len(got) == 28 and got[1, 2] == (1.0, 0.37) and got[2, 3] == (3.0, 0.51) and got[4, 5] == (2.0, 0.5) and got[0, 5] == (2.0, 0.475)
