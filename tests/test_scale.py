@@ -153,3 +153,29 @@ def test_a_batch_writes_as_much_as_it_touches(spark, tmp_path):
     assert sizes == [300 * 299 // 2, 3]
     weights = {(r.note_a, r.note_b): round(r.weight, 6) for r in log.synapses().filter("note_a < 5 and note_b < 6").collect()}
     assert weights[1, 2] == 0.44 and weights[4, 5] == round(0.37 * 0.95, 6) and weights[1, 4] == 0.37
+
+
+@pytest.mark.parametrize("met", [32_768, 7])
+def test_best_matches_meet_in_blocks(spark, monkeypatch, met):
+    monkeypatch.setattr(vectors, "MET", met)
+    monkeypatch.setattr(vectors, "PART", 3)
+    rng = random.Random(8)
+    known = [(i, [rng.choice([0.0, 1.0, -1.0, 2.0]) for _ in range(3)]) for i in range(40)] + [(40, [1.0, 2.0]), (41, None), (42, [0.0, 0.0, 0.0]), (43, [1.0, None, 1.0]), (44, [])]
+    asked = [(f"q{i}", [rng.choice([0.0, 1.0, -1.0, 3.0]) for _ in range(3)]) for i in range(30)] + [("two", [2.0, 4.0]), ("none", None), ("zero", [0.0, 0.0, 0.0]), ("far", [0.0, 0.0, 0.0, 1.0])]
+
+    def cosine(a, b):
+        if not a or not b or len(a) != len(b) or None in a + b or not any(a) or not any(b):
+            return 0.0
+        return round(float(np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b))), 12)
+
+    wanted = {}
+    for q, x in asked:
+        best = min((-cosine(x, y), i) for i, y in known)
+        if -best[0] >= 0.65:
+            wanted[q] = (best[1], round(-best[0], 9))
+    rows, collection = spark.createDataFrame(asked, "query_id string, qv array<double>"), spark.createDataFrame(known, "id long, embedding array<double>")
+    found = vectors.best_match(rows, collection, 0.65)
+    assert {r.query_id: (r.match, round(r.similarity, 9)) for r in found.collect()} == wanted and wanted["two"][0] == 40 and len(wanted) > 20
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan  # no row per query and vector
+    assert vectors.best_match(rows, collection.limit(0), 0.65).count() == 0
