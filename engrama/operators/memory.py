@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from engrama.operators.together import together
+from engrama.operators.together import COUNTS, HELD, USER, in_block_pairs, replayed, together
 from engrama.settings import Settings
 from engrama.sources.shared import few, stash
 
@@ -157,8 +157,22 @@ def weights_now(known: DataFrame, seen: DataFrame, asked: int, settings: Setting
 
 
 def replay(log: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """note_a, note_b, frequency, weight after a log of queries (seq, id, score, source), as ``learn`` would leave them one by one."""
-    return weights_now(*fold(log, None, settings), settings)
+    """note_a, note_b, frequency, weight after a log of queries (seq, id, score, source), as ``learn`` would leave them one by one.
+
+    What ``fold`` gathers of a pair is gone through where two blocks of notes
+    meet; what is shuffled are notes with the queries that had them active.
+    """
+    log = log.filter("seq is not null and id is not null")
+    seqs = log.groupBy("seq").agg(F.max((F.col("source") != "nightly").cast("long")).alias("n")).withColumn("one", F.lit(1).cast("long"))
+    seqs = stash(running_total(running_total(seqs, "seq", "n", "q"), "seq", "one", "k"))
+    asked, queries = seqs.agg(F.coalesce(F.max("q"), F.lit(0)), F.coalesce(F.max("k"), F.lit(0))).first()
+    kind = "int" if queries < 1 << 31 else "long"
+    flag = lambda c, bit: F.when(c, F.lit(bit)).otherwise(F.lit(0))
+    flags = flag(F.col("n") > 0, COUNTS) + flag(F.col("score") >= settings.pair_min_score, HELD) + flag(F.col("source") == "user", USER)
+    places = log.join(few(seqs), "seq").select("id", F.col("k").cast(kind).alias("k"), F.col("q").cast(kind).alias("q"), flags.cast("tinyint").alias("flags"))
+    places = places.repartition("id").groupBy("id", "k").agg(F.max("q").alias("q"), F.max("flags").alias("flags"))
+    lists = places.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("k", "q", "flags"))).alias("p")).select("id", "p.k", "p.q", "p.flags")
+    return in_block_pairs(stash(lists), replayed(asked, settings), "frequency double, weight double")
 
 
 def endpoints(synapses: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, TimestampType
 
+from engrama.settings import Settings
 from engrama.sources.shared import stash
 
 #: Notes, and places of notes in the log, that a block has at most on average; a task holds two blocks.
@@ -38,11 +39,11 @@ class Block:
         return order, self.at["k"][order]
 
 
-def meetings(left: Block, right: Block, same: bool) -> Iterator[tuple[int, Iterator[Meetings], int]]:
+def meetings(left: Block, right: Block, same: bool, cells: int = CELLS) -> Iterator[tuple[int, Iterator[Meetings], int]]:
     """Stripe by stripe of the left block: its first note, its meetings in pieces, and how many they are."""
     order, keys = right.by_key()
     width = len(right.ids)
-    stripe = max(1, CELLS // max(width, 1))
+    stripe = max(1, cells // max(width, 1))
     for first in range(0, len(left.ids), stripe):
         begin, end = left.ends[first], left.ends[min(first + stripe, len(left.ids))]
         mine = begin + np.argsort(left.at["k"][begin:end], kind="stable")
@@ -55,7 +56,7 @@ def meetings(left: Block, right: Block, same: bool) -> Iterator[tuple[int, Itera
         def pieces(first=first, mine=mine, low=low, n=n, sums=sums) -> Iterator[Meetings]:
             i = 0
             while i < len(n):
-                j = max(i + 1, int(np.searchsorted(sums, (sums[i - 1] if i else 0) + CELLS, "right")))
+                j = max(i + 1, int(np.searchsorted(sums, (sums[i - 1] if i else 0) + cells, "right")))
                 part = n[i:j]
                 from_low = np.arange(part.sum()) - np.repeat(np.cumsum(part) - part, part) + np.repeat(low[i:j], part)
                 a, b = np.repeat(mine[i:j], part), order[from_low]
@@ -99,6 +100,75 @@ def grouped(cell: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return sorted_[begin], begin, np.r_[begin[1:], len(cell)][: len(begin)] - 1, by
 
 
+class Learned:
+    """What pairs have learned: frequency and weight of the last gain, queries idle by then, queries with both."""
+
+    def __init__(self, n: int):
+        self.f, self.w, self.idle, self.cab = np.zeros(n), np.zeros(n), np.zeros(n, "int64"), np.zeros(n, "int64")
+
+    def advance(self, at: np.ndarray, begin: np.ndarray, last: np.ndarray, n: np.ndarray, rest: np.ndarray, gain: np.ndarray, settings: Settings) -> None:
+        """More queries of pairs ``at``, the i-th's from begin[i] to last[i] in time: whether each counts, those that either note was idle in less those with both, and what is gained."""
+        size, run = last - begin + 1, np.cumsum(n)
+        cab = run + np.repeat(self.cab[at] - run[begin] + n[begin], size)
+        idle = rest + cab
+        self.cab[at] = cab[last]
+        gains = np.flatnonzero(gain > 0)
+        many = np.bincount(np.repeat(np.arange(len(at)), size)[gains], minlength=len(at))
+        start, live, r = np.cumsum(many) - many, np.flatnonzero(many), 0
+        while len(live):  # the r-th gain of all pairs that have as many
+            x, to = gains[start[live] + r], at[live]
+            alive = self.w[to] * settings.decay ** (idle[x] - self.idle[to]).astype(float) >= settings.forget_below
+            self.f[to] = np.where(alive, self.f[to], 0.0) + gain[x]
+            self.w[to] = settings.alpha * np.minimum(self.f[to] / 10, 1.0) + settings.beta
+            self.idle[to] = idle[x]
+            r += 1
+            live = live[many[live] > r]
+
+
+#: Flags of a note's place in a log: the query counts for decay, the note was active enough to learn, a user asked.
+COUNTS, HELD, USER = 1, 2, 4
+
+
+def replayed(asked: int, settings: Settings) -> Callable:
+    """Per stripe the pairs that a log of ``asked`` counting queries leaves with their frequency and weight now.
+
+    Keys are the queries' ranks; with each go q, the counting queries up to it, and flags.
+    """
+
+    room = CELLS  # as it is here, whatever the tasks import
+
+    def active(block: Block) -> tuple[np.ndarray, np.ndarray]:
+        """Counting queries that had a note active: up to each of its places, and of each note."""
+        run = np.r_[0, np.cumsum(block.at["flags"] & COUNTS, dtype="int64")]
+        own = run[block.ends]
+        return run[1:] - own[block.note], np.diff(own)
+
+    def found(left: Block, right: Block, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, dict[str, pa.Array]]]:
+        (ca, all_a), (cb, all_b) = active(left), active(right)
+        width = len(right.ids)
+        for first, pieces, total in meetings(left, right, same, room):
+            few = total <= room
+            if few:  # only pairs that meet have a state
+                pieces = [tuple(np.concatenate(x) for x in zip(*pieces, strict=True))]
+            state, cells = None if few else Learned(min(max(1, room // width), len(left.ids) - first) * width), None
+            for cell, a, b in pieces:
+                distinct, begin, last, by = grouped(cell)
+                if few:
+                    state, cells = Learned(len(distinct)), distinct
+                a, b = a[by], b[by]
+                flags = left.at["flags"][a]
+                gain = np.where(flags & right.at["flags"][b] & HELD, np.where(flags & USER, 1.0, settings.derived_increment), 0.0)
+                state.advance(np.arange(len(distinct)) if few else distinct, begin, last, (flags & COUNTS).astype("int64"), left.at["q"][a] - ca[a] - cb[b], gain, settings)
+            kept = np.flatnonzero(state.f > 0)
+            cell = cells[kept] if few else kept
+            i, j = first + cell // width, cell % width
+            weight = state.w[kept] * settings.decay ** (asked - all_a[i] - all_b[j] + state.cab[kept] - state.idle[kept]).astype(float)
+            here = weight >= settings.forget_below
+            yield i[here], j[here], {"frequency": pa.array(state.f[kept][here]), "weight": pa.array(weight[here])}
+
+    return found
+
+
 def in_block_pairs(lists: DataFrame, found: Callable, values: str) -> DataFrame:
     """note_a < note_b and ``values``, of what ``found`` gives of each two blocks of notes (id, and lists of equal length, of which k rises: the keys).
 

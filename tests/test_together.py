@@ -77,3 +77,27 @@ def test_a_query_and_consolidation_leave_pairs_where_they_are(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
         spark.sql("drop table held_pairs")
     assert len(got) == 28 and got[1, 2] == (1.0, 0.37) and got[2, 3] == (3.0, 0.51) and got[4, 5] == (2.0, 0.5) and got[0, 5] == (2.0, 0.475)
+
+
+@pytest.mark.parametrize(("cells", "notes"), [(2_000_000, 4096), (40, 7), (500, 4096)])
+def test_a_log_is_replayed_where_blocks_meet(spark, monkeypatch, cells, notes):
+    from engrama.settings import Settings
+
+    monkeypatch.setattr(together, "CELLS", cells)
+    monkeypatch.setattr(together, "BLOCK_NOTES", notes)
+    rng, s = random.Random(11), Settings(decay=0.7)
+    log = []
+    for q in range(60):
+        source = rng.choice(["user", "user", "derived", "nightly"])
+        log += [(q * 10, f"n{i}", rng.choice([0.05, 0.4, 0.9, None]), source) for i in rng.sample(range(30), rng.choice([2, 6, 12]))]
+    kind = "seq long, id string, score double, source string"
+    plain = lambda df: {(r.note_a, r.note_b): (round(r.frequency, 9), round(r.weight, 9)) for r in df.collect()}
+    rows = spark.createDataFrame(log, kind)
+    done = memory.replay(rows, s)
+    assert plain(done) == plain(memory.weights_now(*memory.fold(rows, None, s), s)) and 20 < len(plain(done)) < 435
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Exchange" in x and "note_" in x] and "Join" not in plan
+    odd = spark.createDataFrame([*log, *log, (None, "n1", 0.9, "user"), (5, None, 0.9, "user")], kind)  # a note that is named twice is one
+    once = spark.createDataFrame([*log, (5, "alone", 0.9, "user")], kind)
+    assert plain(memory.replay(odd, s)) == plain(memory.replay(once, s))
+    assert memory.replay(rows.limit(0), s).count() == 0
