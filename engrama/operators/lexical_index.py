@@ -17,7 +17,11 @@ import math
 import uuid
 import zlib
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,7 +33,7 @@ from engrama.settings import Settings
 from engrama.sources.shared import drop, move, names_in, stash
 
 #: Notes of a block, about; folders that terms are dealt into. The layout's number changes when either does, or the tables, or the tokens.
-BLOCK, BUCKETS, LAYOUT = 128, 16, 2
+BLOCK, BUCKETS, LAYOUT = 128, 16, 3
 #: Query terms and blocks up to which they are pushed into the scan, and bounds up to which the driver picks the blocks; beyond, all of this is joined.
 MOST_TERMS, MOST_BLOCKS, MOST_BOUNDS = 2000, 5000, 100_000
 #: Blocks per query that are scored first.
@@ -92,26 +96,57 @@ class Index:
         return rows.filter(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Notes with their words ``w`` to their length, their terms and how often each stands there."""
+    for batch in batches:
+        lengths, words = pc.list_value_length(batch["w"]), batch["w"].flatten().dictionary_encode()
+        size, terms = max(len(words.dictionary), 1), words.dictionary
+        note = np.repeat(np.arange(batch.num_rows), lengths.fill_null(0).to_numpy())
+        keys, tf = np.unique(note * size + words.indices.to_numpy(), return_counts=True)
+        ends = pa.array(np.searchsorted(keys, np.arange(batch.num_rows + 1) * size).astype("int32"))
+        lists = pa.ListArray.from_arrays(ends, terms.take(pa.array(keys % size))), pa.ListArray.from_arrays(ends, pa.array(tf.astype("int32")))
+        yield pa.RecordBatch.from_arrays([batch["id"], batch["content_hash"], lengths.cast(pa.int32()), *lists], names=["id", "content_hash", "dl", "terms", "tfs"])
+
+
+def _packed(rows: pa.Table) -> pa.Table:
+    """A block's notes to a row per term with its postings by id."""
+    rows = rows.take(pc.sort_indices(rows, [("id", "ascending")])).combine_chunks()
+    lists, tf = rows["terms"].combine_chunks(), rows["tfs"].combine_chunks().flatten().to_numpy()
+    words, n = lists.flatten().dictionary_encode(), pc.list_value_length(lists).fill_null(0).to_numpy()
+    order = np.argsort(words.indices.to_numpy(), kind="stable")
+    code, note = words.indices.to_numpy()[order], np.repeat(np.arange(len(rows)), n)[order]
+    tf, dl = tf[order].astype("int32"), np.repeat(rows["dl"].fill_null(0).to_numpy(), n)[order].astype("int32")
+    begin = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, "int64")
+    ends = pa.array(np.append(begin, len(code)).astype("int32"))
+    most, least = (f.reduceat(x, begin) if len(code) else x for f, x in ((np.maximum, tf), (np.minimum, dl)))
+    postings = [pa.ListArray.from_arrays(ends, x) for x in (rows["id"].combine_chunks().take(pa.array(note)), pa.array(tf), pa.array(dl))]
+    block = rows["block"].combine_chunks().take(pa.array(np.zeros(len(begin), "int64")))
+    names = ["term", "block", "n", "max_tf", "min_dl", "ids", "tfs", "dls"]
+    return pa.table([words.dictionary.take(pa.array(code[begin])), block, pa.array(np.diff(np.append(begin, len(code)))), pa.array(most), pa.array(least), *postings], names=names)
+
+
 def _write(index_folder: str, segment: int, notes: DataFrame, text: Column, cut: Tokenizer, dead: DataFrame, dead_terms: DataFrame, gone: tuple[int, int]) -> None:
     """A segment with these notes (id, ...), written aside and moved into place whole."""
     spark = notes.sparkSession
     at = f"{index_folder}/.writing-{uuid.uuid4().hex}"
-    own = stash(notes.select("id", content_hash(text).alias("content_hash"), cut(text).alias("w")).withColumn("dl", F.size("w")))
+    kind = notes.schema["id"].dataType.simpleString()
+    cols = f"id {kind}, content_hash string, dl int, terms array<string>, tfs array<int>"
+    # what a note says is counted in the task that reads it, and lies there once
+    notes.select("id", content_hash(text).alias("content_hash"), cut(text).alias("w")).mapInArrow(_counted, cols).write.parquet(f"{at}/notes")
+    own = spark.read.schema(cols).parquet(f"{at}/notes")
     # notes of one length class are dealt into blocks of about BLOCK; there are as many classes as lengths have orders of magnitude
     classes = own.groupBy(_length_class(F.col("dl")).alias("c")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     placed = own.withColumn("c", _length_class(F.col("dl"))).join(F.broadcast(classes), "c")
-    placed = placed.withColumn("block", F.col("c").cast("long") * (1 << 40) + F.pmod(F.xxhash64("id"), F.col("blocks")))
-    own_terms = placed.select("id", "dl", "block", F.explode("w").alias("term")).groupBy("id", "dl", "block", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    packed = own_terms.groupBy("term", "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.sort_array(F.collect_list(F.struct("id", "tf", "dl"))).alias("p"))
-    blocks = packed.select("term", "block", "n", "max_tf", "min_dl", F.col("p.id").alias("ids"), F.col("p.tf").alias("tfs"), F.col("p.dl").alias("dls"), _bucket("term").alias("bucket"))
-    blocks.repartition("bucket").sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{at}/blocks")
+    placed = placed.select("id", "dl", "terms", "tfs", (F.col("c").cast("long") * (1 << 40) + F.pmod(F.xxhash64("id"), F.col("blocks"))).alias("block"))
+    # notes are shuffled once, to their block; its postings are written by the task that packs them
+    packed = placed.groupBy("block").applyInArrow(_packed, f"term string, block long, n long, max_tf int, min_dl int, ids array<{kind}>, tfs array<int>, dls array<int>")
+    blocks = packed.withColumn("bucket", _bucket("term"))
+    blocks.sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{at}/blocks")
     written = spark.read.schema(blocks.schema).parquet(f"{at}/blocks")
     counted = written.select("term", F.col("n").alias("df")).unionByName(dead_terms.select("term", (-F.col("df")).alias("df"))).groupBy("term").agg(F.sum("df").alias("df")).withColumn("bucket", _bucket("term"))
     counted.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{at}/terms")
-    own.select("id", "content_hash", "dl", F.array_distinct("w").alias("terms")).write.parquet(f"{at}/notes")
     dead.select("id").write.parquet(f"{at}/dead")
     own.agg((F.count(F.lit(1)) - gone[0]).alias("notes"), (F.coalesce(F.sum("dl"), F.lit(0)) - gone[1]).alias("words")).write.parquet(f"{at}/meta")
-    drop(own)
     move(spark, at, f"{index_folder}/seg-{segment}")
 
 

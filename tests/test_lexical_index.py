@@ -78,3 +78,21 @@ def test_update_equals_new_build(spark, tmp_path, monkeypatch):
 def test_no_notes(spark, tmp_path):
     index = build(notes_of(spark, {"a": ""}).limit(0), F.col("text"), f"file://{tmp_path}/i")
     assert found(spark, index, 3) == {}
+
+
+def test_terms_are_counted_and_packed_where_their_note_is():
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from engrama.operators.lexical_index import _counted, _packed
+
+    words = [["b", "a", "b"], [], None, ["c"], ["a", "a", "ü"]]
+    batch = pa.RecordBatch.from_pydict({"id": [9, 2, 3, 4, 1], "content_hash": list("vwxyz"), "w": pa.array(words, pa.list_(pa.string()))})
+    rows = pa.Table.from_batches(list(_counted(iter([batch, batch.slice(0, 0)]))))
+    assert rows["dl"].to_pylist() == [3, 0, None, 1, 3]
+    assert [dict(zip(t, n, strict=True)) for t, n in zip(rows["terms"].to_pylist(), rows["tfs"].to_pylist(), strict=True)] == [Counter(w or []) for w in words]
+    found = {r["term"]: r for r in _packed(rows.append_column("block", pa.array([7] * 5, pa.int64()))).to_pylist()}
+    assert set(found) == {"a", "b", "c", "ü"} and found["b"] == {"term": "b", "block": 7, "n": 1, "max_tf": 2, "min_dl": 3, "ids": [9], "tfs": [2], "dls": [3]}
+    assert found["a"] == {"term": "a", "block": 7, "n": 2, "max_tf": 2, "min_dl": 3, "ids": [1, 9], "tfs": [2, 1], "dls": [3, 3]}
+    assert _packed(rows.slice(1, 2).append_column("block", pa.array([7, 7], pa.int64()))).num_rows == 0
