@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,8 +14,10 @@ from pyspark.sql.types import LongType, TimestampType
 from engrama.settings import Settings
 from engrama.sources.shared import stash
 
-#: Notes, and places of notes in the log, that a block has at most on average; a task holds two blocks.
-BLOCK_NOTES, BLOCK_PLACES = 4096, 2_000_000
+#: Notes, and places of notes in the log, that a block has at most on average; a task holds two blocks. Of more than 16 blocks each has more notes, up to the last number.
+BLOCK_NOTES, BLOCK_PLACES, MOST_NOTES = 4096, 2_000_000, 16_384
+#: Parts of the order by first key that a block is made of, and how many there are at most.
+PARTS, MOST_PARTS = 8, 1024
 #: Pairs that a task counts at a time, and meetings that it looks at together.
 CELLS = 2_000_000
 ROWS = 100_000
@@ -169,19 +172,56 @@ def replayed(asked: int, settings: Settings) -> Callable:
     return found
 
 
+def in_blocks_by_key(lists: DataFrame) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """``lists`` with the block ``own`` of each note, and the first and last key in each block.
+
+    Blocks follow the order of notes' first keys, so that those of different
+    times needn't meet. Where many notes begin together they are dealt by hash.
+    """
+    first, last = F.get("k", F.lit(0)), F.element_at("k", -1)
+    size = lists.agg(F.count(F.lit(1)).alias("notes"), F.coalesce(F.sum(F.size("k")), F.lit(0)).alias("places"), F.min(first).alias("low"), F.max(last).alias("high")).first()
+    most = max(BLOCK_NOTES, min(MOST_NOTES, size["notes"] // 16))
+    blocks = max(-(-size["notes"] // most), -(-size["places"] // BLOCK_PLACES))
+    if blocks <= 1:
+        return lists.withColumn("own", F.lit(0)), [(size["low"], size["high"])]
+    n = min(PARTS * blocks, MOST_PARTS)
+    bounds = lists.agg(F.percentile_approx(first, [i / n for i in range(1, n)])).first()[0]
+    bounds = F.lit(sorted(set(bounds)))
+    parted = lists.withColumn("__part", F.size(F.filter(bounds, lambda b: b <= first)))
+    stats = parted.groupBy("__part").agg(F.count(F.lit(1)).alias("notes"), F.sum(F.size("k")).alias("places"), F.min(first).alias("low"), F.max(last).alias("high")).collect()
+    begin, pieces, spans, held = {}, {}, [], None
+    for r in sorted(stats, key=lambda r: r["__part"]):
+        share = max(r["notes"] / most, r["places"] / BLOCK_PLACES)
+        if share <= 1 and held is not None and held + share <= 1:  # goes into the block before
+            spans[-1], held = (min(spans[-1][0], r["low"]), max(spans[-1][1], r["high"])), held + share
+            begin[r["__part"]], pieces[r["__part"]] = len(spans) - 1, 1
+            continue
+        many = max(1, math.ceil(share))
+        begin[r["__part"]], pieces[r["__part"]] = len(spans), many
+        spans += [(r["low"], r["high"])] * many
+        held = share if many == 1 else None
+    at = lambda known: F.get(F.lit([known.get(i, 0) for i in range(max(known) + 1)]), F.col("__part"))
+    own = at(begin) + F.pmod(F.xxhash64("id"), at(pieces)).cast("int")
+    return parted.withColumn("own", own).drop("__part"), spans
+
+
 def in_block_pairs(lists: DataFrame, found: Callable, values: str) -> DataFrame:
     """note_a < note_b and ``values``, of what ``found`` gives of each two blocks of notes (id, and lists of equal length, of which k rises: the keys).
 
-    A note's list is shuffled once per block. Each two blocks meet in one task, which counts their pairs
+    A note's list is shuffled once per block that has keys in its time. Each two blocks meet in one task, which counts their pairs
     and gives each pair once; what a task holds is bounded by the size of blocks.
     """
-    size = lists.agg(F.count(F.lit(1)).alias("notes"), F.coalesce(F.sum(F.size("k")), F.lit(0)).alias("places")).first()
-    blocks = max(1, -(-size["notes"] // BLOCK_NOTES), -(-size["places"] // BLOCK_PLACES))
-    own = F.pmod(F.xxhash64("id"), F.lit(blocks))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    dealt = lists.select("*", own.cast("long").alias("own"), other.alias("other"))
+    blocked, spans = in_blocks_by_key(lists.filter(F.size("k") > 0))
+    blocks = len(spans)
+    dealt = blocked.withColumn("own", F.col("own").cast("long"))
+    other, tasks = F.lit(0).cast("long"), 1
+    if blocks > 1:
+        low, high = (F.lit([s[i] for s in spans]) for i in (0, 1))
+        near = lambda j: (F.get(low, j.cast("int")) <= F.element_at("k", -1)) & (F.get(high, j.cast("int")) >= F.get("k", F.lit(0)))
+        other = F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")), near))
+        tasks = min(sum(a[0] <= b[1] and b[0] <= a[1] for i, a in enumerate(spans) for b in spans[i:]), 4096)
+    dealt = dealt.select("*", other.alias("other"))
     dealt = dealt.select(*lists.columns, "own", (F.least("own", "other") * blocks + F.greatest("own", "other")).alias("meet"))
-    tasks = min(blocks * (blocks + 1) // 2, 4096)
     dealt = dealt.repartition(tasks, "meet").sortWithinPartitions("meet")
 
     def met(rows: pa.Table, meet: int) -> Iterator[pa.RecordBatch]:

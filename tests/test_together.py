@@ -101,3 +101,26 @@ def test_a_log_is_replayed_where_blocks_meet(spark, monkeypatch, cells, notes):
     once = spark.createDataFrame([*log, (5, "alone", 0.9, "user")], kind)
     assert plain(memory.replay(odd, s)) == plain(memory.replay(once, s))
     assert memory.replay(rows.limit(0), s).count() == 0
+
+
+def test_blocks_of_different_times_never_meet(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(together, "BLOCK_NOTES", 5)
+    rng, day = random.Random(4), datetime(2024, 1, 1)
+    rows = [(day + timedelta(days=40 * month, hours=rng.randint(0, 20)), f"m{month}n{rng.randint(0, 9)}", 0.5) for month in range(8) for _ in range(60)]
+    rows += [(day, f"first{i}", 0.5) for i in range(12)]  # more than a block begins at one time
+    active = spark.createDataFrame([*rows, *[(day + timedelta(days=d), "always", 0.5) for d in range(300)]], "h timestamp, id string, score double")
+    got = together.together(active, ["h"], 0.15)
+    assert {(r.note_a, r.note_b): (r.n, r.first, r.last) for r in got.collect()} == naive([tuple(r) for r in active.collect()], 0.15)
+
+    sent = spark.sparkContext.accumulator(0)
+
+    def found(left, right, same):
+        sent.add(len(left.ids) + (0 if same else len(right.ids)))
+        yield from together.counts(left, right, same)
+
+    hours = spark.createDataFrame(rows, "h timestamp, id string, score double").groupBy("id").agg(F.sort_array(F.collect_set(F.unix_micros("h"))).alias("k"))
+    notes, pairs = hours.count(), together.in_block_pairs(hours, found, "n long, first long, last long")
+    assert pairs.count() == len(naive(rows, 0.15))
+    assert notes < sent.value < 6 * notes  # each met all of 19 blocks before
