@@ -124,3 +124,27 @@ def test_blocks_of_different_times_never_meet(spark, monkeypatch):
     notes, pairs = hours.count(), together.in_block_pairs(hours, found, "n long, first long, last long")
     assert pairs.count() == len(naive(rows, 0.15))
     assert notes < sent.value < 6 * notes  # each met all of 19 blocks before
+
+
+@pytest.mark.parametrize("rows", [1_000_000, 50])
+def test_states_merge_packed(spark, monkeypatch, rows):
+    from engrama.operators import consolidation, packed
+
+    monkeypatch.setattr(packed, "ROWS", rows)
+    rng = random.Random(9)
+    some = lambda n: [(rng.randint(-5, 20), rng.randint(0, 2**60), rng.choice([None, 1.0, 2.5]), rng.choice([None, ["x"], []])) for _ in range(n)]
+    disk = [*some(300), (None, 1, 7.0, None), (1, None, 8.0, ["y"])]
+    mine = [(a, b, 9.0, None) for a, b, *_ in disk[::2]] + some(20) + [(None, None, 3.0, None)]
+    kind = "note_a long, note_b long, frequency double, tags array<string>"
+    frame = lambda x, ids=kind: spark.createDataFrame(x, ids)
+    wanted = [*mine, *(r for r in disk if None in r[:2] or (r[0], r[1]) not in {m[:2] for m in mine})]
+    show = lambda x: sorted(map(repr, map(tuple, x)))
+    done = consolidation.merge_states(frame(mine), frame(disk).select("tags", "note_b", "frequency", "note_a"), ["note_a", "note_b"])
+    assert done.columns == ["note_a", "note_b", "frequency", "tags"] and show(done.collect()) == show(wanted)
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Exchange" in x and "note_" in x]  # no pair is shuffled by itself
+    text = lambda x: [(f"n{a}", *rest) for a, *rest in x]
+    named = consolidation.merge_states(*(frame(text(x), kind.replace("note_a long", "note_a string")) for x in (mine, disk)), ["note_a"])
+    assert show(named.collect()) == show([*text(mine), *(r for r in text(disk) if r[0] not in {m[0] for m in text(mine)})])
+    assert consolidation.merge_states(frame(mine).limit(0), frame(disk), ["note_a"]).count() == len(disk)
+    assert consolidation.merge_states(frame(mine), frame(disk).limit(0), ["note_a"]).count() == len(mine)
