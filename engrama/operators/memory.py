@@ -196,11 +196,20 @@ def boosts(synapses: DataFrame, recent: DataFrame, settings: Settings = Settings
     return top.groupBy("id").agg(F.least(F.sum("weight") * settings.boost_factor, F.lit(settings.boost_max)).alias("boost"))
 
 
-def node_quality(nodes: DataFrame, synapses: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """id, score, strong_ratio, mean_weight, frequency, dormant; all 0 for a note without synapses."""
-    ends = endpoints(synapses.select("note_a", "note_b", "weight", "frequency"))
-    per = ends.groupBy("id").agg(F.avg((F.col("weight") > 0.7).cast("double")).alias("strong_ratio"), F.avg("weight").alias("mean_weight"), F.sum("frequency").alias("frequency"), F.max("frequency").alias("most"))
-    per = stash(per)  # a row per note: synapses are gone through once
+def per_note(synapses: DataFrame, **totals: Column) -> DataFrame:
+    """A row per note: what ``node_quality`` needs of its synapses, and sums of ``totals`` over those of which it is note_a.
+
+    Stashed: synapses are gone through once, and a total over all of them is that over its column.
+    """
+    end = lambda c, own: F.struct(F.col(c).alias("id"), *[(t if own else F.when(F.lit(False), t)).alias(n) for n, t in totals.items()])
+    ends = synapses.select(F.explode(F.array(end("note_a", True), end("note_b", False))).alias("e"), "weight", "frequency").select("e.*", "weight", "frequency")
+    per = ends.groupBy("id").agg(F.avg((F.col("weight") > 0.7).cast("double")).alias("strong_ratio"), F.avg("weight").alias("mean_weight"), F.sum("frequency").alias("frequency"), F.max("frequency").alias("most"), *[F.sum(n).alias(n) for n in totals])
+    return stash(per)
+
+
+def node_quality(nodes: DataFrame, synapses: DataFrame, settings: Settings = Settings(), known: DataFrame | None = None) -> DataFrame:
+    """id, score, strong_ratio, mean_weight, frequency, dormant; all 0 for a note without synapses. ``known``: what ``per_note`` gives of them."""
+    per = per_note(synapses) if known is None else known
     top = per.agg(F.max("most").alias("top"))
     share = F.when(F.col("top") > 0, F.least(F.col("frequency") / F.col("top"), F.lit(1.0))).otherwise(F.lit(0.0))
     rated = nodes.select("id").join(per, "id", "left").join(F.broadcast(top))

@@ -37,12 +37,19 @@ def edge_payload(edges: DataFrame) -> DataFrame:
     return edges.filter("dst is not null").select(F.col("src").alias("source"), F.col("dst").alias("target"), shown, *[_or(edges, c, d) for c, d in EDGE_DEFAULTS.items() if c != "display"])
 
 
-def snapshot(nodes: DataFrame, edges: DataFrame, synapses: DataFrame, phantoms: DataFrame, quality: DataFrame) -> dict[str, DataFrame]:
-    """The graph as a client draws it: notes, edges, learned and phantom links, and one row of counts."""
+def snapshot(nodes: DataFrame, edges: DataFrame, synapses: DataFrame, phantoms: DataFrame, quality: DataFrame, counted: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The graph as a client draws it: notes, edges, learned and phantom links, and one row of counts.
+
+    ``counted``: one row of those counts that are known already.
+    """
     size = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    stats = size(nodes, "neurons")
-    for df, name in ((edges, "synapses"), (synapses, "hebbian_synapses"), (quality.filter("dormant"), "dormant_neurons"), (phantoms, "phantom_links")):
-        stats = stats.join(F.broadcast(size(df, name)))  # one row each
+    sizes = {"neurons": nodes, "synapses": edges, "hebbian_synapses": synapses, "dormant_neurons": quality.filter("dormant"), "phantom_links": phantoms}
+    known = [] if counted is None else [n for n in counted.columns if n in sizes]
+    rows = [size(df, n) for n, df in sizes.items() if n not in known] + ([counted.select(*known)] if known else [])
+    stats = rows[0]
+    for row in rows[1:]:
+        stats = stats.join(F.broadcast(row))  # one row each
+    stats = stats.select(*sizes)
     learned = synapses.select("note_a", "note_b", "weight", F.coalesce("frequency", F.lit(0.0)).alias("frequency"), "last_coactivated", F.lit("hebbian").alias("type"))
     return {"nodes": node_payload(nodes, quality), "edges": edge_payload(edges), "hebbian": learned, "phantom": phantoms, "stats": stats}
 

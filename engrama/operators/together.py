@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, TimestampType
 
+from engrama.operators.packed import compressed, listed, lists_coded
 from engrama.settings import Settings
 from engrama.sources.shared import stash
 
@@ -20,6 +21,8 @@ BLOCK_NOTES, BLOCK_PLACES, MOST_NOTES = 4096, 2_000_000, 16_384
 PARTS, MOST_PARTS = 8, 1024
 #: Pairs that a task counts at a time, and meetings that it looks at together.
 CELLS = 2_000_000
+#: Places of notes that a task packs at a time.
+PLACES = 2_000_000
 ROWS = 100_000
 HOUR = 3_600_000_000
 
@@ -205,27 +208,56 @@ def in_blocks_by_key(lists: DataFrame) -> tuple[DataFrame, list[tuple[int, int]]
     return parted.withColumn("own", own).drop("__part"), spans
 
 
+def sent_to_meetings(lists: DataFrame, spans: list[tuple[int, int]]) -> DataFrame:
+    """meet long, rows binary: the notes of ``lists`` (with their block ``own``), packed, for each two blocks that they meet in."""
+    blocks, most = len(spans), PLACES
+
+    def chunks(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        own, k = table["own"].to_numpy(), table["k"].combine_chunks()
+        ends, keys = k.offsets.to_numpy(), k.flatten().to_numpy(zero_copy_only=False)
+        first, last = keys[ends[:-1] - ends[0]], keys[ends[1:] - ends[0] - 1]
+        meets, out = [], []
+        for j, (low, high) in enumerate(spans):
+            near = np.flatnonzero((low <= last) & (high >= first)) if blocks > 1 else np.arange(len(own))
+            for i in np.unique(own[near]).tolist():
+                meets.append(min(i, j) * blocks + max(i, j))
+                out.append(compressed(lists_coded(table.take(pa.array(near[own[near] == i])))))
+        yield pa.RecordBatch.from_arrays([pa.array(meets, "int64"), pa.array(out, "binary")], names=["meet", "rows"])
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            n += len(batch["k"].flatten())
+            if n >= most:
+                yield from chunks(held)
+                held, n = [], 0
+        if held:
+            yield from chunks(held)
+
+    return lists.mapInArrow(sent, "meet long, rows binary")
+
+
 def in_block_pairs(lists: DataFrame, found: Callable, values: str) -> DataFrame:
     """note_a < note_b and ``values``, of what ``found`` gives of each two blocks of notes (id, and lists of equal length, of which k rises: the keys).
 
-    A note's list is shuffled once per block that has keys in its time. Each two blocks meet in one task, which counts their pairs
+    A note's list is shuffled once per block that has keys in its time, packed with others. Each two blocks meet in one task, which counts their pairs
     and gives each pair once; what a task holds is bounded by the size of blocks.
     """
     blocked, spans = in_blocks_by_key(lists.filter(F.size("k") > 0))
     blocks = len(spans)
-    dealt = blocked.withColumn("own", F.col("own").cast("long"))
-    other, tasks = F.lit(0).cast("long"), 1
+    tasks = 1
     if blocks > 1:
-        low, high = (F.lit([s[i] for s in spans]) for i in (0, 1))
-        near = lambda j: (F.get(low, j.cast("int")) <= F.element_at("k", -1)) & (F.get(high, j.cast("int")) >= F.get("k", F.lit(0)))
-        other = F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")), near))
         tasks = min(sum(a[0] <= b[1] and b[0] <= a[1] for i, a in enumerate(spans) for b in spans[i:]), 4096)
-    dealt = dealt.select("*", other.alias("other"))
-    dealt = dealt.select(*lists.columns, "own", (F.least("own", "other") * blocks + F.greatest("own", "other")).alias("meet"))
+    dealt = sent_to_meetings(blocked.select(*lists.columns, F.col("own").cast("long").alias("own")), spans)
     dealt = dealt.repartition(tasks, "meet").sortWithinPartitions("meet")
 
-    def met(rows: pa.Table, meet: int) -> Iterator[pa.RecordBatch]:
+    def met(held: list[pa.RecordBatch], meet: int) -> Iterator[pa.RecordBatch]:
         i, j = divmod(meet, blocks)
+        rows = pa.concat_tables(lists_coded(pa.ipc.open_stream(x.as_buffer()).read_all(), back=True) for batch in held for x in batch["rows"])
         own = rows["own"].to_numpy()
         left = Block(rows.filter(pa.array(own == i)))
         right = left if i == j else Block(rows.filter(pa.array(own == j)))
@@ -246,12 +278,12 @@ def in_block_pairs(lists: DataFrame, found: Callable, values: str) -> DataFrame:
                 if begin == end:
                     continue
                 if held and meet[begin] != at:
-                    yield from met(pa.Table.from_batches(held), int(at))
+                    yield from met(held, int(at))
                     held = []
                 held.append(batch.slice(begin, end - begin))
                 at = meet[begin]
         if held:
-            yield from met(pa.Table.from_batches(held), int(at))
+            yield from met(held, int(at))
 
     kind = lists.schema["id"].dataType.simpleString()
     pairs = dealt.mapInArrow(each, f"one {kind}, two {kind}, {values}")
@@ -275,7 +307,7 @@ def together(active: DataFrame, keys: list[str], least: float) -> DataFrame:
         held = held.withColumn(keys[0], F.unix_micros(keys[0]))
     held, key = numbered(held, keys)
     held = held.filter(key.isNotNull())
-    lists = stash(held.groupBy("id").agg(F.sort_array(F.collect_set(key)).alias("k")))
+    lists = stash(listed(held.select("id", key.alias("k")), "id", "k"))
     # what is shuffled are hours, or whatever the keys are, from the first on
     base, step = lists.agg(F.min(F.get("k", F.lit(0)))).first()[0] or 0, 1
     if times and lists.filter(F.exists("k", lambda k: (k - base) % HOUR != 0)).isEmpty():

@@ -32,8 +32,13 @@ def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("h", "id").agg(F.max("value").alias("score"))
 
 
+def moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """h, id, score of every event: who is active enough once in an hour is so by the largest score too."""
+    return table(spark, sf_dir, "events").select(F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("h"), F.col("user_id").alias("id"), F.col("value").alias("score"))
+
+
 def synapses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = together(activity(spark, sf_dir), ["h"], 0.15).select("note_a", "note_b", F.col("n").cast("double").alias("frequency"), F.col("last").alias("last_coactivated"), F.col("first").alias("created"))
+    pairs = together(moments(spark, sf_dir), ["h"], 0.15).select("note_a", "note_b", F.col("n").cast("double").alias("frequency"), F.col("last").alias("last_coactivated"), F.col("first").alias("created"))
     return pairs.select("note_a", "note_b", memory.weight_of(F.col("frequency")).alias("weight"), "frequency", "last_coactivated", "created")
 
 
@@ -48,7 +53,7 @@ def now(spark: SparkSession, sf_dir: str) -> F.Column:
 
 @query(f"with {SYN_SQL} select note_a, note_b, frequency, round(weight, 6) as weight from syn")
 def coactivation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memory.coactivation(activity(spark, sf_dir), ["h"]).select("note_a", "note_b", "frequency", F.round("weight", 6).alias("weight"))
+    return memory.coactivation(moments(spark, sf_dir), ["h"]).select("note_a", "note_b", "frequency", F.round("weight", 6).alias("weight"))
 
 
 @query(f"with {SYN_SQL} select note_a, note_b, round(weight, 6) as weight, strftime(last_coactivated, '%Y-%m-%d %H:%M:%S') as last_coactivated from syn order by syn.weight desc, note_a, note_b limit 10")

@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from engrama.operators import memory, together
 
@@ -148,3 +149,58 @@ def test_states_merge_packed(spark, monkeypatch, rows):
     assert show(named.collect()) == show([*text(mine), *(r for r in text(disk) if r[0] not in {m[0] for m in text(mine)})])
     assert consolidation.merge_states(frame(mine).limit(0), frame(disk), ["note_a"]).count() == len(disk)
     assert consolidation.merge_states(frame(mine), frame(disk).limit(0), ["note_a"]).count() == len(mine)
+
+
+@pytest.mark.parametrize("rows", [1_000_000, 7])
+def test_lists_of_keys_travel_packed(spark, monkeypatch, rows):
+    from engrama.operators import packed
+
+    monkeypatch.setattr(packed, "ROWS", rows)
+    monkeypatch.setattr(together, "PLACES", rows)
+    monkeypatch.setattr(together, "BLOCK_NOTES", 9)
+    rng = random.Random(5)
+    for ids, kind in ((lambda: rng.randint(-9, 20), "long"), (lambda: rng.choice(["", "a", "\u00e9", "n1", "n10"]), "string")):
+        found = [(ids(), rng.choice([-(2**62), 0, 5, 2**62, rng.randint(-50, 50)])) for _ in range(300)]
+        frame = spark.createDataFrame(found, f"id {kind}, k long")
+        wanted = {i: sorted({k for j, k in found if j == i}) for i, _ in found}
+        done = packed.listed(frame, "id", "k")
+        assert {r.id: r.k for r in done.collect()} == wanted and done.dtypes == [("id", frame.dtypes[0][1]), ("k", "array<bigint>")]
+        assert packed.listed(frame.limit(0), "id", "k").count() == 0
+    lists = spark.createDataFrame([(f"n{i}", list(range(i, 400)), [1] * (400 - i)) for i in range(40)], "id string, k array<int>, flags array<tinyint>")
+    blocked, spans = together.in_blocks_by_key(lists)
+    sent = together.sent_to_meetings(blocked, spans).collect()
+    places = sum(len(r.k) for r in lists.collect()) * len(spans)
+    assert len(spans) > 3 and (rows < 1000 or sum(len(r.rows) for r in sent) < 2 * places)  # five bytes a place before
+
+
+def test_a_snapshot_goes_through_pairs_once(spark):
+    from engrama.operators import payloads
+    from engrama.plans.detail_queries import graph_snapshot
+
+    plan = graph_snapshot(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan  # all that is told of pairs was gathered with the quality of notes
+    t = datetime(2024, 1, 1)
+    pairs = spark.createDataFrame([(1, 2, 0.5, 2.0, t), (2, 3, 0.9, None, t), (1, 8, 0.25, 1.0, t)], "note_a long, note_b long, weight double, frequency double, last_coactivated timestamp")
+    for held, n, total in ((pairs, 3, 1.65), (pairs.limit(0), None, None)):
+        per = memory.per_note(held, pairs=F.lit(1).cast("long"), weights=F.col("weight"))
+        assert [tuple(r) for r in per.agg(F.sum("pairs"), F.sum("weights")).collect()] == [(n, total)]
+        nodes = spark.createDataFrame([(i, f"t{i}") for i in (1, 2, 3, 4)], "id long, title string")
+        show = lambda known: sorted(map(tuple, memory.node_quality(nodes, held, known=known).collect()))
+        assert show(per) == show(None)
+        links = held.select(F.col("note_a").alias("src"), F.col("note_b").alias("dst"))
+        args = (nodes, links, held, links, memory.node_quality(nodes, held))
+        counted = per.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("hebbian_synapses"), F.sum("weights").alias("else"))
+        plain, known = payloads.snapshot(*args)["stats"], payloads.snapshot(*args, counted)["stats"]
+        assert plain.columns == known.columns and plain.collect() == known.collect()
+
+
+def test_who_is_active_enough_by_any_event_is_so_by_the_largest(spark, tmp_path):
+    from engrama.plans import memory_queries
+
+    day = datetime(2024, 1, 1)
+    rows = [(day + timedelta(minutes=20 * m), u, v) for m in range(9) for u, v in ((1, 0.1), (1, 0.2), (2, None), (2, 0.15), (3, 0.14), (4, float("nan")), (None, 0.5))]
+    spark.createDataFrame(rows, "ts timestamp, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    by_largest = memory.coactivation(memory_queries.activity(spark, str(tmp_path)), ["h"])
+    done = memory_queries.coactivation_pairs(spark, str(tmp_path))
+    show = lambda x: sorted((r.note_a, r.note_b, r.frequency, round(r.weight, 6)) for r in x.collect())
+    assert show(done) == show(by_largest) == [(1, 2, 3.0, 0.51), (1, 4, 3.0, 0.51), (2, 4, 3.0, 0.51)]
