@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from engrama.functions.text import tokens
 from engrama.operators.lexical import Tokenizer, idf
+from engrama.operators.memory import running_total
+from engrama.operators.together import together
 from engrama.settings import Settings
-from engrama.sources.shared import exists, shared_folder
+from engrama.sources.shared import exists, few, shared_folder, stash
 
 VAULT = "vault_id"
 
@@ -51,13 +53,32 @@ def laid_out_once(rows: DataFrame, folder: str, name: str) -> DataFrame:
     return laid_out(rows, folder, name)
 
 
+#: Bits of a key that are its seconds, some 35,000 years; those above are the vault.
+APART = 40
+
+
+def learned_by_vault(notes: DataFrame, active: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """vault_id, synapses: how many pairs of notes of one vault learn from being ``active`` (h, id, score) in the same hour.
+
+    Hours are keys of a vault each, so that only its own notes meet; what leaves a task are counts, and no pair
+    is sent anywhere. A vault's keys lie together: blocks of different vaults don't meet either.
+    """
+    known = notes.select(VAULT).na.drop().distinct().withColumn("one", F.lit(1).cast("long"))
+    vaults = stash(running_total(known, VAULT, "one", "__v").select(VAULT, "__v"))
+    own = notes.select("id", VAULT).join(few(vaults), VAULT).select("id", "__v")
+    keyed = active.filter(F.col("score") >= settings.pair_min_score).join(own, "id").select("id", "score", (F.shiftleft("__v", APART) + F.unix_seconds("h")).alias("k"))
+    met = together(keyed, ["k"], settings.pair_min_score)
+    counted = met.groupBy(F.shiftright("first", APART).alias("__v")).agg(F.count(F.lit(1)).alias("synapses"))
+    return counted.join(few(vaults), "__v").select(VAULT, "synapses")
+
+
 def rollup(notes: DataFrame, embedded: DataFrame, learned: DataFrame, queries: DataFrame) -> DataFrame:
     """vault_id, neurons, chars, embeddings, synapses, queries of each vault that has notes.
 
-    ``notes`` have n_chars; ``embedded`` are ids with a vector; ``learned`` and ``queries`` have a row per synapse and query.
+    ``notes`` have n_chars; ``embedded`` are ids with a vector; ``learned`` are vaults with their synapses; ``queries`` have a row per query.
     """
     vectors = notes.join(embedded, "id", "left_semi").groupBy(VAULT).agg(F.count(F.lit(1)).alias("embeddings"))
     counted = notes.groupBy(VAULT).agg(F.count(F.lit(1)).alias("neurons"), F.sum("n_chars").alias("chars"))
-    for part in (vectors, learned.groupBy(VAULT).agg(F.count(F.lit(1)).alias("synapses")), queries.groupBy(VAULT).agg(F.count(F.lit(1)).alias("queries"))):
+    for part in (vectors, learned, queries.groupBy(VAULT).agg(F.count(F.lit(1)).alias("queries"))):
         counted = counted.join(part, VAULT, "left")
     return counted.select(VAULT, "neurons", "chars", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("embeddings", "synapses", "queries")])

@@ -204,3 +204,23 @@ def test_who_is_active_enough_by_any_event_is_so_by_the_largest(spark, tmp_path)
     done = memory_queries.coactivation_pairs(spark, str(tmp_path))
     show = lambda x: sorted((r.note_a, r.note_b, r.frequency, round(r.weight, 6)) for r in x.collect())
     assert show(done) == show(by_largest) == [(1, 2, 3.0, 0.51), (1, 4, 3.0, 0.51), (2, 4, 3.0, 0.51)]
+
+
+@pytest.mark.parametrize("notes", [4096, 5])
+def test_a_vault_counts_its_pairs_where_they_meet(spark, monkeypatch, notes):
+    from engrama.operators import tenants
+    from engrama.plans.detail_queries import tenant_rollup
+
+    monkeypatch.setattr(together, "BLOCK_NOTES", notes)
+    rng, day = random.Random(5), datetime(2024, 1, 1)
+    vault = {i: rng.choice(["a", "b", None]) for i in range(30)} | {30: "alone"}
+    rows = [(day + timedelta(hours=rng.randint(0, 20)), rng.randint(0, 35), rng.choice([0.1, 0.2])) for _ in range(300)]
+    own = spark.createDataFrame([*vault.items()], "id long, vault_id string")
+    active = spark.createDataFrame(rows, "h timestamp, id long, score double")
+    wanted = {}
+    for a, b in naive(rows, 0.15):
+        if vault.get(a) and vault.get(a) == vault.get(b):
+            wanted[vault[a]] = wanted.get(vault[a], 0) + 1
+    assert dict(map(tuple, tenants.learned_by_vault(own, active).collect())) == wanted and len(wanted) == 2
+    plan = tenant_rollup(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "first" in plan and not [x for x in plan.splitlines() if "Exchange" in x and "note_" in x] and "note_a" not in plan  # pairs were sent to the driver and to every task
