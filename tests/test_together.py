@@ -224,3 +224,50 @@ def test_a_vault_counts_its_pairs_where_they_meet(spark, monkeypatch, notes):
     assert dict(map(tuple, tenants.learned_by_vault(own, active).collect())) == wanted and len(wanted) == 2
     plan = tenant_rollup(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "first" in plan and not [x for x in plan.splitlines() if "Exchange" in x and "note_" in x] and "note_a" not in plan  # pairs were sent to the driver and to every task
+
+
+def test_consolidation_counts_in_the_pass_that_rates_notes(spark):
+    from engrama.operators import consolidation
+
+    t, now = datetime(2024, 1, 1), F.lit("2024-02-01").cast("timestamp")
+    rows = [(1, 2, 0.9, 5.0, t), (1, 3, 0.1, 1.0, t), (2, 3, 0.01, 9.0, t), (4, 5, 0.02, 1.0, t), (5, 6, None, 2.0, None), (2, 6, 0.3, 1.0, t)]
+    held = spark.createDataFrame(rows, "note_a long, note_b long, weight double, frequency double, last_coactivated timestamp")
+    nodes = spark.createDataFrame([(i,) for i in range(1, 8)], "id long")
+    left = {(1, 2): (0.81, 5.0), (2, 6): (0.27, 1.0)}
+    rated = memory.node_quality(nodes, spark.createDataFrame([(*k, *v) for k, v in left.items()], "note_a long, note_b long, weight double, frequency double")).drop("dormant")
+    for cycles, gone, last in ((0, 0, 2), (2, 5, 1)):  # nobody has slept for long; all that sleep have, 6 among them
+        done = consolidation.consolidate(held, nodes.withColumn("dormant_cycles", F.lit(cycles)), nodes, now)
+        got = done["synapses"].select("note_a", "note_b", "weight").collect()
+        assert sorted(map(tuple, got)) == sorted((*k, v[0]) for k, v in left.items())[:last]
+        assert done["report"].columns == ["before", "after_stale", "after_structural", "after_dormant", "dropped_notes"]
+        assert tuple(done["report"].first()) == (6, 4, 2, last, gone)
+        kept = {r.id for r in done["node_quality"].collect()}
+        show = lambda x: sorted(tuple(r) for r in x.collect() if r.id in kept)
+        assert show(done["node_quality"].select(*rated.columns)) == show(rated) and len(kept) == 7 - gone
+        if not gone:
+            assert "note_a" not in done["report"]._jdf.queryExecution().executedPlan().toString()  # pairs were gone through twice more
+    assert tuple(consolidation.consolidate(held.limit(0), nodes.withColumn("dormant_cycles", F.lit(0)), nodes, now)["report"].first()) == (0, 0, 0, 0, 0)
+
+
+def test_an_audit_goes_through_each_table_once(spark):
+    from engrama.operators import graph
+
+    nodes = spark.createDataFrame([(1,), (2,), (2,)], "id long")
+    edges = spark.createDataFrame([(1, 1, "x"), (1, 1, "x"), (1, 9, "x"), (1, 9, "y"), (None, 2, "x"), (None, 2, "x"), (8, None, None)], "src long, dst long, type string")
+    held = spark.createDataFrame([(1, 2, 0.1, "2024-01-01 00:00:00"), (1, 9, 0.9, "no time"), (8, 9, 0.1, None), (None, 2, None, "2024-01-01 00:00:00")], "note_a long, note_b long, weight double, last_coactivated string")
+    now = F.lit("2024-01-31").cast("timestamp")
+    got = graph.audit(nodes, edges, held, now)
+    assert got.first().asDict() == {"nodes": 3, "edges": 7, "self_loops": 2, "duplicates": 2, "synapses": 4, "weak": 2, "strong": 1, "stale": 1, "malformed": 1, "invalid_edge_ends": 6, "invalid_synapse_ends": 4}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("src" in x and "LogicalRDD" in x for x in plan.splitlines()) == 1 == sum("weight" in x and "LogicalRDD" in x for x in plan.splitlines())
+    assert set(graph.audit(nodes.limit(0), edges.limit(0), held.limit(0), now).first()) == {0}
+
+
+def test_rounded_equals_round(spark):
+    from engrama.functions.numbers import rounded
+
+    rng = random.Random(2)
+    values = [rng.uniform(-3, 3) for _ in range(3000)] + [rng.randint(-(10**7), 10**7) / 2e6 for _ in range(1000)] + [(2 * rng.randint(-9999, 9999) + 1) / 2e6 for _ in range(3000)]
+    values += [0.0, -0.0, -1e-9, 1e300, -1e300, 5e8, 123456789.1234565, 1073.7418235, float("inf"), float("nan"), None]
+    rows = spark.createDataFrame([(v,) for v in values], "x double").select(F.col("x"), F.round("x", 6).alias("a"), rounded(F.col("x"), 6).alias("b"))
+    assert rows.filter(~F.col("a").eqNullSafe(F.col("b"))).collect() == []
